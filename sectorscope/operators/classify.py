@@ -30,27 +30,41 @@ from sectorscope.functions.scoring import arrow_scorer, native_found, native_sco
 RESULT_COLUMNS = ["Predicted_Archetype", "Confidence_Score", "Keywords_Found"]
 MODEL_COLUMNS = ["Secondary_Archetypes", "Driving_Capabilities", "Innovation_Wave"]
 
-_T = "_t"  # lower-cased text, materialised once and shared by all keyword tests
+_T = "_t"  # lower-cased text, kept for callers that re-use it
 
 
-def score(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,
-          scorer: str = "native") -> DataFrame:
-    """Add ``scores`` and ``found`` (and the helper ``_t``) for ``text_col``."""
-    lex = lexicon or default_lexicon()
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``fn``.
+
+    The value is bound to a lambda variable, so when Catalyst copies the
+    expression (a filter pushed below this projection, several consumers of
+    one column) every copy still evaluates ``value`` once instead of inlining
+    it into each keyword test.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _score_struct(text: Column, lex: Lexicon, scorer: str) -> Column:
+    """struct<t, found, scores> for one text, each part computed once."""
     if scorer == "native":
-        out = df.withColumn(_T, F.lower(F.col(text_col)))
-        t = F.col(_T)
-        out = out.withColumn("found", native_found(t, lex))
-        return out.withColumn("scores", native_scores(t, F.col("found"), lex))
+        return let(F.lower(text), lambda t: let(native_found(t, lex), lambda found: F.struct(
+            t.alias("t"), found.alias("found"), native_scores(t, found, lex).alias("scores"))))
     if scorer == "arrow":
         udf = arrow_scorer(lex)
-        out = df.withColumn("_s", udf(F.col(text_col)))
-        out = out.withColumn(_T, F.lower(F.col(text_col)))
-        return (out.withColumn("scores", F.col("_s.scores"))
-                   .withColumn("found", F.col("_s.found")).drop("_s"))
+        return let(udf(text), lambda r: F.struct(F.lower(text).alias("t"), r["found"].alias("found"),
+                                                  r["scores"].alias("scores")))
     raise ValueError(f"unknown scorer {scorer!r}")
 
 
+def score(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,
+          scorer: str = "native") -> DataFrame:
+    """Add ``scores`` and ``found`` (and the helper ``_t``) for ``text_col``."""
+    lex = lexicon or default_lexicon()
+    out = df.withColumn("_sc", _score_struct(F.col(text_col), lex, scorer))
+    return out.withColumns({_T: F.col("_sc.t"), "found": F.col("_sc.found"),
+                            "scores": F.col("_sc.scores")}).drop("_sc")
+
+
 def _first_two_best(scores: Column, best: Column, n: int) -> tuple[Column, Column]:
     first = F.array_position(scores, best)
     rel = F.array_position(F.slice(scores, (first + 1).cast("int"), n), best)
@@ -58,50 +72,72 @@ def _first_two_best(scores: Column, best: Column, n: int) -> tuple[Column, Colum
     return first.cast("int"), second.cast("int")
 
 
+def _decision(text: Column, sc: Column, lex: Lexicon) -> Column:
+    """struct<Predicted_Archetype, Confidence_Score, Keywords_Found> from a score struct."""
+    n = len(lex.categories)
+    cats = F.array(*[F.lit(c) for c in lex.categories])
+    t, found, scores = sc["t"], sc["found"], sc["scores"]
+
+    def with_best(best: Column) -> Column:
+        first, second = _first_two_best(scores, best, n)
+        return let(F.struct(best.alias("best"), first.alias("i1"), second.alias("i2")), decide_row)
+
+    def decide_row(b: Column) -> Column:
+        best, i1, i2 = b["best"], b["i1"], b["i2"]
+        generic = F.filter(F.array(*[F.lit(w) for w in lex.generic]), lambda w: t.contains(w))
+        empty = text.isNull()
+        if lex.needs_word_guard:
+            empty = empty | ~tx.has_word(text)
+        hybrid = i2.isNotNull() & (best > 0)
+        arch = (F.when(empty, F.lit(UNCLASSIFIED))
+                 .when(best == 0, F.when(F.size(generic) > 0, F.lit(GENERALIST)).otherwise(F.lit(UNCLASSIFIED)))
+                 .when(hybrid, F.lit(HYBRID))
+                 .otherwise(F.element_at(cats, i1)))
+        conf = (F.when(empty | (best == 0), F.lit("Low"))
+                 .when(hybrid, F.lit("Medium"))
+                 .when(best >= 3, F.lit("High"))
+                 .when(best >= 1, F.lit("Medium"))
+                 .otherwise(F.lit("Low")))
+        kws = (F.when(empty, F.lit(""))
+                .when(best == 0, F.array_join(generic, ", "))
+                .when(hybrid, F.array_join(F.concat(F.element_at(found, i1), F.element_at(found, i2)), ", "))
+                .otherwise(F.array_join(F.element_at(found, i1), ", ")))
+        return F.struct(arch.alias("Predicted_Archetype"), conf.alias("Confidence_Score"),
+                        kws.alias("Keywords_Found"))
+
+    return with_best(F.array_max(scores))
+
+
 def decide(df: DataFrame, lexicon: Lexicon | None = None, text_col: str = "text",
            keep_scores: bool = False) -> DataFrame:
-    """Turn ``scores`` / ``found`` into Predicted_Archetype, Confidence_Score, Keywords_Found."""
+    """Turn ``scores`` / ``found`` / ``_t`` into Predicted_Archetype, Confidence_Score, Keywords_Found."""
     lex = lexicon or default_lexicon()
-    n = len(lex.categories)
-    cats = F.array(*[F.lit(c) for c in lex.categories])
-    scores, found, t = F.col("scores"), F.col("found"), F.col(_T)
-    out = df.withColumn("_best", F.array_max(scores))
-    first, second = _first_two_best(scores, F.col("_best"), n)
-    out = out.withColumns({"_first": first, "_second": second})
-    best, i1, i2 = F.col("_best"), F.col("_first"), F.col("_second")
-    generic = F.filter(F.array(*[F.lit(w) for w in lex.generic]), lambda w: t.contains(w))
-    out = out.withColumn("_generic", F.when(best == 0, generic))
-
-    empty = F.col(text_col).isNull()
-    if lex.needs_word_guard:
-        empty = empty | ~tx.has_word(F.col(text_col))
-    hybrid = i2.isNotNull() & (best > 0)
-    has_generic = F.size(F.col("_generic")) > 0
-    arch = (F.when(empty, F.lit(UNCLASSIFIED))
-             .when(best == 0, F.when(has_generic, F.lit(GENERALIST)).otherwise(F.lit(UNCLASSIFIED)))
-             .when(hybrid, F.lit(HYBRID))
-             .otherwise(F.element_at(cats, i1)))
-    conf = (F.when(empty | (best == 0), F.lit("Low"))
-             .when(hybrid, F.lit("Medium"))
-             .when(best >= 3, F.lit("High"))
-             .when(best >= 1, F.lit("Medium"))
-             .otherwise(F.lit("Low")))
-    kws = (F.when(empty, F.lit(""))
-            .when(best == 0, F.array_join(F.col("_generic"), ", "))
-            .when(hybrid, F.array_join(F.concat(F.element_at(found, i1), F.element_at(found, i2)), ", "))
-            .otherwise(F.array_join(F.element_at(found, i1), ", ")))
-    out = out.withColumns({"Predicted_Archetype": arch, "Confidence_Score": conf, "Keywords_Found": kws})
-    drop = ["_best", "_first", "_second", "_generic", _T]
-    if not keep_scores:
-        drop += ["scores", "found"]
-    return out.drop(*drop)
+    sc = F.struct(F.col(_T).alias("t"), F.col("found").alias("found"), F.col("scores").alias("scores"))
+    out = df.withColumn("_d", let(sc, lambda s: _decision(F.col(text_col), s, lex)))
+    out = out.withColumns({c: F.col(f"_d.{c}") for c in RESULT_COLUMNS}).drop("_d", _T)
+    return out if keep_scores else out.drop("scores", "found")
+
+
+def classify_column(text: Column, lexicon: Lexicon | None = None, scorer: str = "native",
+                    keep_scores: bool = False) -> Column:
+    """The whole classifier as one column: struct of the three results (+ scores/found)."""
+    lex = lexicon or default_lexicon()
+
+    def body(s: Column) -> Column:
+        d = _decision(text, s, lex)
+        fields = [d[c].alias(c) for c in RESULT_COLUMNS]
+        if keep_scores:
+            fields += [s["scores"].alias("scores"), s["found"].alias("found")]
+        return F.struct(*fields)
+    return let(_score_struct(text, lex, scorer), body)
 
 
 def classify_text(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,
                   scorer: str = "native", keep_scores: bool = False) -> DataFrame:
-    """Keyword classifier over one text column (CLS-1..10)."""
-    lex = lexicon or default_lexicon()
-    return decide(score(df, text_col, lex, scorer), lex, text_col, keep_scores)
+    """Keyword classifier over one text column (CLS-1..10): one projection."""
+    out = df.withColumn("_c", classify_column(F.col(text_col), lexicon, scorer, keep_scores))
+    cols = RESULT_COLUMNS + (["scores", "found"] if keep_scores else [])
+    return out.withColumns({c: F.col(f"_c.{c}") for c in cols}).drop("_c")
 
 
 def with_text(df: DataFrame, main: str, aux: Sequence[str] = tx.AUX_TEXT_COLUMNS,

@@ -44,8 +44,22 @@ RESPONSES: dict[int, str] = {
 }
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Give a scan at least ``defaultParallelism`` partitions.
+
+    Parquet splits only at row-group boundaries, so a file written as one row
+    group is one task however large its texts are, and the per-row scoring
+    then runs on one core. Only such under-partitioned inputs are spread
+    (round-robin); a large input already has far more scan partitions than
+    cores and is left untouched, so no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small_input(df) if spread else df
 
 
 def _phrase(idx: Column) -> Column:
