@@ -7,8 +7,8 @@ an equi-join, never a cross join:
 1. every keyword gets an *anchor*: its first ``q`` characters, where ``q`` is
    the shortest keyword length, so every occurrence starts with an anchor;
 2. each text becomes (id, pos, window) rows, one per character position,
-   where ``window`` is the next ``maxlen`` characters (the text itself is not
-   copied per row);
+   where ``window`` is the next ``maxlen`` characters, cut by one regex pass
+   (the text itself is not copied per row);
 3. positions join keywords on anchor; a hit is a window starting with the
    keyword;
 4. hits are counted per (id, keyword) with a partial aggregate; keywords that
@@ -55,31 +55,28 @@ def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
         table = F.broadcast(table)
 
     texts = df.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_tl"))
-    n_pos = F.length("_tl") - q + 1
-    windows = F.when(n_pos > 0, F.transform(F.sequence(F.lit(1), n_pos),
-                                            lambda p: F.struct(p.alias("pos"),
-                                                               F.substring("_tl", p, maxlen).alias("win"))))
-    positions = (texts.select("_id", F.explode(windows).alias("w"))
-                      .select("_id", F.col("w.pos").alias("pos"), F.col("w.win").alias("win"))
+    # one window per start position with at least q characters left: a
+    # zero-width lookahead matches at every position, its group is the window
+    windows = F.regexp_extract_all("_tl", F.lit(f"(?s)(?=(.{{{q},{maxlen}}}))"), 1)
+    positions = (texts.select("_id", F.posexplode(windows).alias("pos", "win"))
                       .withColumn("anchor", F.substring("win", 1, q)))
     hits = (positions.join(table, "anchor")
                      .filter(F.substring("win", 1, F.col("klen")) == F.col("m"))
                      .select("_id", "cat_ord", "kw_ord", "keyword", "klen", "self_overlap", "pos"))
 
-    plain = (hits.filter(~F.col("self_overlap"))
-                 .groupBy("_id", "cat_ord", "kw_ord", "keyword")
-                 .agg(F.count(F.lit(1)).cast("int").alias("cnt")))
+    # one aggregate for both kinds of keyword: a plain count, plus the sorted
+    # positions for the (rare) self-overlapping keywords only
     greedy_acc = F.struct(F.lit(0).alias("next"), F.lit(0).alias("cnt"))
-    overl = (hits.filter(F.col("self_overlap"))
-                 .groupBy("_id", "cat_ord", "kw_ord", "keyword", "klen")
-                 .agg(F.array_sort(F.collect_list("pos")).alias("ps"))
-                 .select("_id", "cat_ord", "kw_ord", "keyword",
-                         F.aggregate("ps", greedy_acc,
-                                     lambda acc, p: F.when(p >= acc["next"],
-                                                           F.struct((p + F.col("klen")).alias("next"),
-                                                                    (acc["cnt"] + 1).alias("cnt")))
-                                                     .otherwise(acc))["cnt"].alias("cnt")))
-    per_kw = plain.unionByName(overl)
+    per_kw = (hits.groupBy("_id", "cat_ord", "kw_ord", "keyword", "klen", "self_overlap")
+                  .agg(F.count(F.lit(1)).cast("int").alias("n"),
+                       F.collect_list(F.when(F.col("self_overlap"), F.col("pos"))).alias("ps")))
+    greedy = F.aggregate(F.array_sort("ps"), greedy_acc,
+                         lambda acc, p: F.when(p >= acc["next"],
+                                               F.struct((p + F.col("klen")).alias("next"),
+                                                        (acc["cnt"] + 1).alias("cnt")))
+                                         .otherwise(acc))["cnt"]
+    per_kw = per_kw.select("_id", "cat_ord", "kw_ord", "keyword",
+                           F.when(F.col("self_overlap"), greedy).otherwise(F.col("n")).alias("cnt"))
 
     per_cat = (per_kw.groupBy("_id", "cat_ord")
                      .agg(F.sum("cnt").cast("int").alias("score"),
