@@ -262,19 +262,17 @@ def running_sum(df: DataFrame, order_col: str, value: Column, name: str,
     """
     n = df.count()
     k = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    if k > 1:
-        probs = [i / k for i in range(1, k)]
-        bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * k))))
-        bucket = F.lit(0)
-        if bounds:
-            from pyspark.ml.feature import Bucketizer
-            splits = [-math.inf] + bounds + [math.inf]
-            tmp = df.withColumn("_ord_d", F.col(order_col).cast("double"))
-            df = Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_bucket").transform(tmp).drop("_ord_d")
-            bucket = F.col("_bucket").cast("int")
-        df = df.withColumn("_bucket", bucket)
-    else:
-        df = df.withColumn("_bucket", F.lit(0))
+    if k == 1:
+        # at most rows_per_bucket rows: one window partition is bounded
+        w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(w))
+    probs = [i / k for i in range(1, k)]
+    bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * k))))
+    from pyspark.ml.feature import Bucketizer
+    splits = [-math.inf] + bounds + [math.inf]
+    tmp = df.withColumn("_ord_d", F.col(order_col).cast("double"))
+    df = (Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_bucket").transform(tmp)
+          .drop("_ord_d").withColumn("_bucket", F.col("_bucket").cast("int")))
     df = df.withColumn("_v", value)
     totals = df.groupBy("_bucket").agg(F.sum("_v").alias("_bt"))
     offsets = totals.select("_bucket", (F.sum("_bt").over(

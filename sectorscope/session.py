@@ -48,13 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
     """
     conf = spark.conf.get(CHECKPOINT_CONF, None)
     if not conf:
-        master = spark.sparkContext.master
+        master = spark.conf.get("spark.master", "local")
         if not master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before running on {master}")
         conf = tempfile.mkdtemp(prefix="sectorscope-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, conf)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(conf)
+    except Exception:  # noqa: BLE001 - no SparkContext access (Spark Connect)
+        pass
     return conf.rstrip("/")
 
 

@@ -53,8 +53,12 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     (round-robin); a large input already has far more scan partitions than
     cores and is left untouched, so no shuffle is added at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD access, leave the scan as is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
