@@ -72,8 +72,12 @@ def _first_two_best(scores: Column, best: Column, n: int) -> tuple[Column, Colum
     return first.cast("int"), second.cast("int")
 
 
-def _decision(text: Column, sc: Column, lex: Lexicon) -> Column:
-    """struct<Predicted_Archetype, Confidence_Score, Keywords_Found> from a score struct."""
+def _decision(text: Column, sc: Column, lex: Lexicon, precomputed: tuple[str, ...] = ()) -> Column:
+    """struct<Predicted_Archetype, Confidence_Score, Keywords_Found> from a score struct.
+
+    ``precomputed`` names extra fields of ``sc`` to use instead of recomputing
+    them from the text (``"generic"``: the generic words present).
+    """
     n = len(lex.categories)
     cats = F.array(*[F.lit(c) for c in lex.categories])
     t, found, scores = sc["t"], sc["found"], sc["scores"]
@@ -84,7 +88,10 @@ def _decision(text: Column, sc: Column, lex: Lexicon) -> Column:
 
     def decide_row(b: Column) -> Column:
         best, i1, i2 = b["best"], b["i1"], b["i2"]
-        generic = F.filter(F.array(*[F.lit(w) for w in lex.generic]), lambda w: t.contains(w))
+        if "generic" in precomputed:
+            generic = sc["generic"]
+        else:
+            generic = F.filter(F.array(*[F.lit(w) for w in lex.generic]), lambda w: t.contains(w))
         empty = text.isNull()
         if lex.needs_word_guard:
             empty = empty | ~tx.has_word(text)

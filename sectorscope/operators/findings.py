@@ -1,9 +1,10 @@
 """Findings: the headline numbers of a result table, one record each.
 
-Two passes over the data, both partial aggregates: one ``agg`` computes every
-scalar (totals, errors, distinct labels, waves, capability mentions, hybrid
-rows); one ``groupBy`` finds the dominant label. The findings are then
-unpivoted from the one-row scalar frame with ``inline`` (no join). Prose is
+One pass over the rows: a partial aggregate to the small profile cube
+(``profiles.profile_cube``); the scalars (totals, errors, distinct labels,
+waves, capability mentions, hybrid rows) and the dominant label are both
+derived from it, and the findings are unpivoted from the one-row scalar
+frame with ``inline`` (no join). Prose is
 rendered separately by ``render_text`` so the numbers can be checked as
 numbers.
 """
@@ -25,23 +26,22 @@ def _row(name: str, label: Column, n: Column, value: Column, keep: Column) -> Co
 
 
 def findings(df: DataFrame) -> DataFrame:
-    flagged = pf.with_dc_flags(df) if not pf.dc_columns(df) else df
-    cols = pf.dc_columns(flagged)
-    arch, wave, sec = F.col(pf.ARCH), F.col(pf.WAVE), F.col(pf.SECONDARY)
-    has_wave = wave.isNotNull() & (wave != "")
-    has_sec = sec.isNotNull() & (sec != "") & (sec != "[]")
-    per_row_dc = sum((F.coalesce(F.regexp_count(F.col(c), F.lit("DC")), F.lit(0)) for c in cols), F.lit(0))
-    s = flagged.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(pf.is_error()).alias("errors"),
-        F.countDistinct(F.when(~pf.is_error(), arch)).alias("n_distinct"),
-        F.count_if(has_wave).alias("n_waves"),
-        F.count_if(wave == "3.0").alias("n3"),
-        F.count_if(wave == "2.0").alias("n2"),
-        F.count_if(has_sec).alias("n_hybrid"),
-        F.avg(per_row_dc).alias("avg_dcs"),
-        F.array(*[F.struct(F.count_if(F.coalesce(F.col(c).contains("DC"), F.lit(False))).alias("n"),
-                           F.lit(c).alias("dc")) for c in cols]).alias("dc_counts"),
+    """Findings from one pass: everything derives from ``profiles.profile_cube``."""
+    cube, cols = pf.profile_cube(df)
+    label, wave = F.col("label"), F.col("wave")
+    err = pf.is_error(label)
+    per_row_dc = sum((F.col(c) for c in cols), F.lit(0))
+    s = cube.agg(
+        F.sum("n").alias("total"),
+        pf._sum_if(err).alias("errors"),
+        F.countDistinct(F.when(~err, label)).alias("n_distinct"),
+        pf._sum_if(wave.isNotNull() & (wave != "")).alias("n_waves"),
+        pf._sum_if(wave == "3.0").alias("n3"),
+        pf._sum_if(wave == "2.0").alias("n2"),
+        pf._sum_if(F.col("has_sec")).alias("n_hybrid"),
+        (F.sum(per_row_dc * F.col("n")) / F.sum("n")).alias("avg_dcs"),
+        F.array(*[F.struct(pf._sum_if(F.col(c) > 0).alias("n"), F.lit(c).alias("dc")) for c in cols])
+         .alias("dc_counts"),
     )
     total, errors = F.col("total"), F.col("errors")
     dc_sum = F.aggregate("dc_counts", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
@@ -64,8 +64,11 @@ def findings(df: DataFrame) -> DataFrame:
              F.col("n_hybrid") > 0),
     )
     scalar = s.select(F.inline(rows)).filter("keep").drop("keep")
-    dom = pf.dominant_archetype(df).select(
-        F.lit("dominant_archetype").alias("finding"), F.col(pf.ARCH).alias("label"),
+    # condition inside the sum (see profiles.archetype_summary): keeps one exchange for both branches
+    counts = (cube.groupBy("label").agg(F.sum(F.when(label.isNotNull() & ~err, F.col("n"))).alias("n"))
+                  .filter(F.col("n").isNotNull()))
+    dom = pf.top_n(pf.with_share(counts), "label", 1).select(
+        F.lit("dominant_archetype").alias("finding"), F.col("label"),
         F.col("n").cast("bigint").alias("n"), F.col("share_pct").cast("double").alias("value"))
     return dom.unionByName(scalar)
 

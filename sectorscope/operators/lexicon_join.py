@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.functions.lexicon import Lexicon
-from sectorscope.operators.classify import _T, decide
+from sectorscope.functions.text import has_word
+from sectorscope.operators.classify import RESULT_COLUMNS, _decision, let
 
 BROADCAST_MAX_KEYWORDS = 2_000_000
 
@@ -43,7 +44,13 @@ def _lexicon_table(lex_df: DataFrame) -> DataFrame:
 
 def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
                   lex_df: DataFrame | None = None) -> DataFrame:
-    """Add ``scores`` / ``found`` / ``_t`` to ``df`` (one row per ``id_col``)."""
+    """Per id: ``scores``, ``found``, ``_generic`` (generic words present) and ``_empty``.
+
+    Only ids and small per-id values cross a shuffle: the texts are cut into
+    position windows map-side, and the per-id facts the decision needs
+    besides the scores (null text, generic words) are computed map-side too,
+    so the result never joins back to the text table.
+    """
     spark = df.sparkSession
     lex_df = lex_df if lex_df is not None else lex.to_df(spark)
     table = _lexicon_table(lex_df)
@@ -55,6 +62,12 @@ def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
         table = F.broadcast(table)
 
     texts = df.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_tl"))
+    empty = F.col("_tl").isNull()
+    if lex.needs_word_guard:
+        empty = empty | ~has_word(F.col("_tl"))
+    base = texts.select("_id", empty.alias("_empty"),
+                        F.filter(F.array(*[F.lit(w) for w in lex.generic]),
+                                 lambda w: F.col("_tl").contains(w)).alias("_generic"))
     # one window per start position with at least q characters left: a
     # zero-width lookahead matches at every position, its group is the window
     windows = F.regexp_extract_all("_tl", F.lit(f"(?s)(?=(.{{{q},{maxlen}}}))"), 1)
@@ -87,16 +100,24 @@ def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
                                                       .alias("found"))))).alias("_m")))
     ncat = len(lex.categories)
     cats = F.sequence(F.lit(1), F.lit(ncat))
-    out = df.join(per_id.withColumnRenamed("_id", id_col), id_col, "left")
     empty = F.array().cast("array<string>")
+    out = base.join(per_id, "_id", "left").withColumnRenamed("_id", id_col)
     out = out.withColumns({
         "scores": F.transform(cats, lambda c: F.coalesce(F.col("_m")[c]["score"], F.lit(0))),
         "found": F.transform(cats, lambda c: F.coalesce(F.col("_m")[c]["found"], empty)),
-        _T: F.lower(F.col(text_col)),
     })
     return out.drop("_m")
 
 
 def classify_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
                      lex_df: DataFrame | None = None, keep_scores: bool = False) -> DataFrame:
-    return decide(score_by_join(df, id_col, text_col, lex, lex_df), lex, text_col, keep_scores)
+    """Per id: the three keyword results (and ``scores`` / ``found`` when asked)."""
+    scored = score_by_join(df, id_col, text_col, lex, lex_df)
+    sc = F.struct(F.lit(None).cast("string").alias("t"), F.col("found").alias("found"),
+                  F.col("scores").alias("scores"), F.col("_generic").alias("generic"))
+    # stands in for the text in the decision: null exactly when the text is empty
+    text_stub = F.when(~F.col("_empty"), F.lit("x"))
+    out = scored.withColumn("_d", let(sc, lambda s: _decision(text_stub, s, lex, ("generic",))))
+    out = out.withColumns({c: F.col(f"_d.{c}") for c in RESULT_COLUMNS})
+    keep = [id_col, *RESULT_COLUMNS] + (["scores", "found"] if keep_scores else [])
+    return out.select(*keep)

@@ -219,20 +219,47 @@ def _top_in_group(counts: DataFrame, group: str, label: str, k: int) -> DataFram
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def archetype_summary(df: DataFrame) -> DataFrame:
-    """Per label: rows, share of all rows, dominant wave, top-3 DC columns."""
+def profile_cube(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Row counts per (label, wave, has-secondary, "DC" mentions per DC column).
+
+    One hash aggregate with a map-side partial phase: every profile that
+    needs several views of the rows (findings, per-label summaries) derives
+    them from this small table, so the rows are read once and Spark reuses
+    the one exchange across branches. Returns the cube and the DC columns.
+    """
     flagged = with_dc_flags(df) if not dc_columns(df) else df
     cols = dc_columns(flagged)
-    base = flagged.groupBy(ARCH).agg(F.count(F.lit(1)).alias("n"), *_dc_mentions(flagged, cols))
-    base = with_share(base, name="pct").filter(F.col(ARCH).isNotNull())
+    sec = F.col(SECONDARY)
+    keys = [F.col(ARCH).alias("label"), F.col(WAVE).alias("wave"),
+            (sec.isNotNull() & (sec != "") & (sec != "[]")).alias("has_sec")]
+    keys += [F.coalesce(F.regexp_count(F.col(c), F.lit("DC")), F.lit(0)).alias(c) for c in cols]
+    cube = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return cube, cols
+
+
+def _sum_if(cond: Column, n: Column | None = None) -> Column:
+    n = F.col("n") if n is None else n
+    return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
+
+
+def archetype_summary(df: DataFrame) -> DataFrame:
+    """Per label: rows, share of all rows, dominant wave, top-3 DC columns."""
+    cube, cols = profile_cube(df)
+    base = cube.groupBy("label").agg(F.sum("n").alias("n"), *[_sum_if(F.col(c) > 0).alias(c) for c in cols])
+    base = with_share(base, name="pct").filter(F.col("label").isNotNull())
     ranked = F.sort_array(F.array(*[F.struct((-F.col(c)).alias("neg"), F.lit(i).alias("i"), F.lit(c).alias("dc"))
                                     for i, c in enumerate(cols)]))
     any_dc = sum((F.col(c) for c in cols), F.lit(0)) > 0
     top3 = F.when(any_dc, F.array_join(F.transform(F.slice(ranked, 1, 3), lambda s: s["dc"]), ", "))
-    base = base.select(ARCH, "n", "pct", top3.alias("top_capabilities"))
-    per_wave = (flagged.filter(F.col(WAVE).isNotNull() & F.col(ARCH).isNotNull())
-                       .groupBy(ARCH, WAVE).agg(F.count(F.lit(1)).alias("n")))
-    waves = _top_in_group(per_wave, ARCH, WAVE, 1).select(ARCH, F.col(WAVE).alias("dominant_wave"))
+    base = base.select(F.col("label").alias(ARCH), F.col("n").cast("bigint").alias("n"), "pct",
+                       top3.alias("top_capabilities"))
+    # conditions as conditional sums, filtered after the aggregate: a filter on
+    # the cube's keys would be pushed into the cube and stop the exchange reuse
+    valid = F.col("wave").isNotNull() & F.col("label").isNotNull()
+    per_wave = (cube.groupBy("label", "wave").agg(F.sum(F.when(valid, F.col("n"))).alias("n"))
+                    .filter(F.col("n").isNotNull()))
+    waves = _top_in_group(per_wave, "label", "wave", 1).select(F.col("label").alias(ARCH),
+                                                               F.col("wave").alias("dominant_wave"))
     return base.join(waves, ARCH, "left")
 
 
@@ -241,7 +268,11 @@ def wave_profile(df: DataFrame) -> DataFrame:
     per = df.groupBy(WAVE, ARCH).agg(F.count(F.lit(1)).alias("n"))
     sizes = with_share(per.groupBy(WAVE).agg(F.sum("n").alias("n")), name="pct")
     sizes = sizes.filter(F.col(WAVE).isNotNull())
-    top = _top_in_group(per.filter(F.col(WAVE).isNotNull() & F.col(ARCH).isNotNull()), WAVE, ARCH, 3)
+    # null keys dropped through the count (an aggregate output), not the keys,
+    # so the filter stays above ``per`` and both branches share its exchange
+    valid = F.col(WAVE).isNotNull() & F.col(ARCH).isNotNull()
+    top = _top_in_group(per.withColumn("n", F.when(valid, F.col("n"))).filter(F.col("n").isNotNull()),
+                        WAVE, ARCH, 3)
     label = lambda s: F.concat(s[ARCH], F.lit(": "), s["n"].cast("string"))
     top = (top.groupBy(WAVE)
               .agg(F.sort_array(F.collect_list(F.struct("rank", ARCH, "n"))).alias("t"))

@@ -44,21 +44,27 @@ RESPONSES: dict[int, str] = {
 }
 
 
-def spread_small_input(df: DataFrame) -> DataFrame:
+SPREAD_MIN_BYTES = 256 * 1024
+
+
+def spread_small_input(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
     """Give a scan at least ``defaultParallelism`` partitions.
 
     Parquet splits only at row-group boundaries, so a file written as one row
     group is one task however large its texts are, and the per-row scoring
     then runs on one core. Only such under-partitioned inputs are spread
-    (round-robin); a large input already has far more scan partitions than
-    cores and is left untouched, so no shuffle is added at scale.
+    (round-robin), and only when they hold at least ``min_bytes`` (below that
+    the extra stage costs more than it saves); a large input already has far
+    more scan partitions than cores and is left untouched, so no shuffle is
+    added at scale.
     """
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD access, leave the scan as is
         return df
-    return df.repartition(target) if current < target else df
+    return df.repartition(target) if current < target and size >= min_bytes else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:

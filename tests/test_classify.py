@@ -66,6 +66,8 @@ def test_word_guard_only_for_non_word_keywords(spark):
     df = spark.createDataFrame([("1", "-- --"), ("2", "a -- b")], "id string, text string")
     got = {r["id"]: r["Predicted_Archetype"] for r in classify_text(df, "text", lex).collect()}
     assert got == {"1": "Unclassified", "2": "dash"}
+    joined = {r["id"]: r["Predicted_Archetype"] for r in classify_by_join(df, "id", "text", lex).collect()}
+    assert joined == got
 
 
 def test_case_sensitive_lexicon_reports_original_spelling(spark):
