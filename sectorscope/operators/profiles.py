@@ -281,7 +281,8 @@ def wave_profile(df: DataFrame) -> DataFrame:
 
 
 def running_sum(df: DataFrame, order_col: str, value: Column, name: str,
-                rows_per_bucket: int = 2_000_000, max_buckets: int = 100_000) -> DataFrame:
+                rows_per_bucket: int = 2_000_000, max_buckets: int = 100_000,
+                keep: list[str] | None = None) -> DataFrame:
     """Running sum of ``value`` in ``order_col`` order, without a single-partition window.
 
     Phase 1 cuts the ordering column into ~equal range buckets (bounds from
@@ -290,13 +291,22 @@ def running_sum(df: DataFrame, order_col: str, value: Column, name: str,
     prefix sum. Phase 2 runs a window per bucket and adds the bucket's offset,
     joined by broadcast (size bounded by ``max_buckets``). Ties in
     ``order_col`` must not exist (it is a row id).
+
+    The input is narrowed to ``order_col``, ``keep`` and the value, and
+    written once to the shared folder: the count, the quantiles and the two
+    phases then re-read that small table instead of recomputing the upstream
+    plan four times.
     """
+    from sectorscope.session import materialize
+    cols = [order_col] + [c for c in (keep or []) if c != order_col]
+    df = materialize(df.select(*cols, value.alias("_v0")), "running-sum")
+    value = F.col("_v0")
     n = df.count()
     k = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
     if k == 1:
         # at most rows_per_bucket rows: one window partition is bounded
         w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value).over(w))
+        return df.withColumn(name, F.sum(value).over(w)).drop("_v0")
     probs = [i / k for i in range(1, k)]
     bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * k))))
     from pyspark.ml.feature import Bucketizer
@@ -312,4 +322,4 @@ def running_sum(df: DataFrame, order_col: str, value: Column, name: str,
     out = df.withColumn("_run", F.sum("_v").over(w))
     out = out.join(F.broadcast(offsets), "_bucket", "left")
     out = out.withColumn(name, F.col("_run") + F.coalesce(F.col("_off"), F.lit(0)))
-    return out.drop("_bucket", "_v", "_run", "_off")
+    return out.drop("_bucket", "_v", "_run", "_off", "_v0")

@@ -360,7 +360,8 @@ def q_actual_cost(spark, sf_dir):
 def q_cost_ledger(spark, sf_dir):
     m = _model_results(spark, sf_dir).select("company_id", "Predicted_Archetype")
     m = m.withColumn("billable", rs.billable(F.col("Predicted_Archetype")))
-    out = profiles.running_sum(m, "company_id", F.col("billable").cast("bigint"), "running_billable")
+    out = profiles.running_sum(m, "company_id", F.col("billable").cast("bigint"), "running_billable",
+                               keep=["billable"])
     return out.select("company_id", "billable", "running_billable",
                       (F.col("running_billable").cast("double") * F.lit(rs.LEDGER_COST_PER_ROW)).alias("running_cost"))
 

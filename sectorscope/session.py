@@ -64,3 +64,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unique path under the shared folder for one job's output."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, label: str):
+    """Write ``df`` as parquet under the shared folder and return it read back.
+
+    Cuts the lineage (a lost executor re-reads files instead of recomputing
+    the upstream plan) and lets several passes share one computation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -12,6 +12,8 @@ from conftest import SF_SMALL
 def test_running_sum_matches_single_window(spark):
     df = read_table(spark, SF_SMALL, "orders").select("o_orderkey", (F.col("o_orderkey") % 3 == 0).alias("f"))
     got = profiles.running_sum(df, "o_orderkey", F.col("f").cast("bigint"), "run", rows_per_bucket=97)
+    one = profiles.running_sum(df, "o_orderkey", F.col("f").cast("bigint"), "run")
+    assert sorted(got.select("o_orderkey", "run").collect()) == sorted(one.select("o_orderkey", "run").collect())
     w = Window.orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.withColumn("run", F.sum(F.col("f").cast("bigint")).over(w))
     assert sorted(got.select("o_orderkey", "run").collect()) == sorted(ref.select("o_orderkey", "run").collect())
