@@ -410,7 +410,7 @@ def q_batch_progress(spark, sf_dir):
     q = incremental.classify_stream_with_progress(spark, src, c.schema, sink, metrics, ckpt,
                                                   COMPANY_DESC, COMPANY_AUX, max_files_per_trigger=1)
     q.awaitTermination()
-    return incremental.progress_table(spark, metrics)
+    return incremental.progress_table(spark, metrics, total_rows=c.count())
 
 
 def q_export_roundtrip(spark, sf_dir):

@@ -93,12 +93,19 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
-def export_results(df: DataFrame, base: str, mode: str, run_id: str, fmt: str = "parquet") -> str:
+def run_id_now() -> str:
+    """Run id from the current time, e.g. ``20261202_0915`` (UTC)."""
+    from datetime import datetime, timezone
+    return datetime.now(timezone.utc).strftime("%Y%m%d_%H%M")
+
+
+def export_results(df: DataFrame, base: str, mode: str, run_id: str | None = None, fmt: str = "parquet") -> str:
     """Write one run's results under ``base/mode=<mode>/run_id=<run_id>``.
 
     Runs and modes become partition values instead of file-name suffixes, so
     readers prune to one run and re-running a run replaces only its folder.
     """
+    run_id = run_id or run_id_now()
     out = df.withColumns({"mode": F.lit(mode), "run_id": F.lit(run_id)})
     w = (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("mode", "run_id"))

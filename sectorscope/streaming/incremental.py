@@ -10,8 +10,9 @@ so a restarted query resumes where its checkpoint says.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -60,6 +61,7 @@ def classify_stream_with_progress(spark: SparkSession, source: str, schema: Stru
     batch replayed after a failure replaces its earlier output (idempotent).
     """
     def run_batch(batch: DataFrame, batch_id: int) -> None:
+        started = datetime.now(timezone.utc)
         out = classify_companies(batch, main, aux, lexicon).withColumn("batch_id", F.lit(batch_id))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id").parquet(sink))
@@ -68,6 +70,7 @@ def classify_stream_with_progress(spark: SparkSession, source: str, schema: Stru
                             F.count_if(billable(F.col("Predicted_Archetype"))).alias("n_billable"))
         row = stats.withColumns({"batch_id": F.lit(batch_id).cast("bigint"),
                                  "batch_cost": F.col("n_billable") * F.lit(cost_per_row),
+                                 "started_at": F.lit(started),
                                  "finished_at": F.current_timestamp()})
         (row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id").parquet(metrics))
@@ -78,10 +81,32 @@ def classify_stream_with_progress(spark: SparkSession, source: str, schema: Stru
             .trigger(availableNow=True).start())
 
 
-def progress_table(spark: SparkSession, metrics: str) -> DataFrame:
-    """Per-batch metrics with running totals (one row per micro-batch)."""
+def duration_text(seconds: Column) -> Column:
+    """"42s", "3m 5s" or "2h 7m", like the reference's ETA display."""
+    s = F.floor(seconds).cast("bigint")
+    return (F.when(seconds < 60, F.format_string("%ds", s))
+             .when(seconds < 3600, F.format_string("%dm %ds", F.floor(s / 60).cast("bigint"), s % 60))
+             .otherwise(F.format_string("%dh %dm", F.floor(s / 3600).cast("bigint"),
+                                        F.floor((s % 3600) / 60).cast("bigint"))))
+
+
+def progress_table(spark: SparkSession, metrics: str, total_rows: int | None = None) -> DataFrame:
+    """Per-batch metrics with running totals, rate and ETA (one row per micro-batch).
+
+    The window runs over the metrics table, which has one row per batch.
+    """
     m = spark.read.parquet(metrics)
     w = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
-    return m.select("batch_id", "n_rows", "n_billable", "batch_cost",
-                    F.sum("n_rows").over(w).alias("rows_done"),
-                    F.sum("batch_cost").over(w).alias("cost_so_far"))
+    out = m.select("batch_id", "n_rows", "n_billable", "batch_cost",
+                   F.sum("n_rows").over(w).alias("rows_done"),
+                   F.sum("batch_cost").over(w).alias("cost_so_far"),
+                   F.min("started_at").over(w).alias("_t0"), "finished_at")
+    elapsed = F.unix_micros("finished_at") / 1e6 - F.unix_micros("_t0") / 1e6
+    out = out.withColumns({"elapsed_s": elapsed,
+                           "rows_per_s": F.try_divide(F.col("rows_done").cast("double"), elapsed)})
+    if total_rows is not None:
+        remaining = F.lit(total_rows) - F.col("rows_done")
+        eta = F.coalesce(F.try_divide(remaining.cast("double"), F.col("rows_per_s")), F.lit(0.0))
+        out = out.withColumns({"pct_done": F.try_divide(F.col("rows_done") * 100.0, F.lit(float(total_rows))),
+                               "eta_s": eta, "eta_text": duration_text(eta)})
+    return out.drop("_t0")

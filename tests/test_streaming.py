@@ -33,5 +33,12 @@ def test_progress_table(spark, scratch):
                                                   scratch("ckpt"), "Description", COMPANY_AUX,
                                                   max_files_per_trigger=1)
     q.awaitTermination()
-    p = incremental.progress_table(spark, m).orderBy("batch_id").collect()
+    p = incremental.progress_table(spark, m, total_rows=c.count()).orderBy("batch_id").collect()
     assert len(p) == 3 and p[-1]["rows_done"] == c.count()
+    assert p[-1]["pct_done"] == 100.0 and p[-1]["eta_s"] == 0.0 and p[-1]["eta_text"] == "0s"
+
+
+def test_duration_text(spark):
+    df = spark.createDataFrame([(42.7,), (185.0,), (7625.0,)], "s double")
+    got = [r[0] for r in df.select(incremental.duration_text(F.col("s"))).collect()]
+    assert got == ["42s", "3m 5s", "2h 7m"]
