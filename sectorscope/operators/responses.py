@@ -11,6 +11,7 @@ and turn a table of stored JSON responses into result columns
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -222,3 +223,46 @@ def estimated_cost(n: Column, framework: str = FRAMEWORK_CONTEXT) -> dict[str, C
 
 def actual_cost(input_tokens: Column, output_tokens: Column) -> Column:
     return input_tokens / 1_000_000 * PRICE_INPUT_PER_M + output_tokens / 1_000_000 * PRICE_OUTPUT_PER_M
+
+
+# --- the model step as a pluggable DataFrame -> DataFrame --------------------------
+
+def stored_responder(stored: DataFrame, key: str = "company_id") -> Callable[[DataFrame], DataFrame]:
+    """Answer requests from a table of earlier responses (``key``, ``response_json``, ...).
+
+    An equi-join on the unique key; requests without a stored answer get none
+    (and fall back to keywords in ``classify_with_model``).
+    """
+    def respond(requests: DataFrame) -> DataFrame:
+        return requests.select(key).join(stored, key, "inner")
+    return respond
+
+
+def pandas_responder(fn, key: str = "company_id") -> Callable[[DataFrame], DataFrame]:
+    """Wrap ``fn(pandas.DataFrame[key, prompt]) -> pandas.DataFrame[key, response_json]``.
+
+    Runs per Arrow batch with ``mapInPandas`` on the executors, so a caller
+    can put a model client here; Spark partitions the requests, and batches
+    bound the memory of each call.
+    """
+    def respond(requests: DataFrame) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                yield fn(pdf[[key, "prompt"]])
+        return requests.select(key, "prompt").mapInPandas(run, f"{key} bigint, response_json string")
+    return respond
+
+
+def classify_with_model(df: DataFrame, keyword_result: DataFrame, responder, name: Column, text: Column,
+                        industries: Column, key: str = "company_id",
+                        errors_to_keywords: bool = False) -> DataFrame:
+    """Model mode: render requests, ask ``responder``, parse, fall back to keywords.
+
+    ``keyword_result`` is ``df`` classified in keyword mode (the fallback).
+    Columns of the prompt the responder does not read are pruned by Catalyst.
+    """
+    requests = render_requests(df.select(key, name.alias("_name"), text.alias("_text"),
+                                         industries.alias("_ind")),
+                               F.col("_name"), F.col("_text"), F.col("_ind")).select(key, "prompt")
+    parsed = parse_responses(responder(requests))
+    return merge_with_keywords(keyword_result, parsed, key, errors_to_keywords)

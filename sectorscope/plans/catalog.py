@@ -60,8 +60,15 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model mode: stored response where present, keyword result otherwise."""
-    return rs.merge_with_keywords(_classified(spark, sf_dir), _parsed(spark, sf_dir))
+    """Model mode: stored response where present, keyword result otherwise.
+
+    The stored ``responses`` table answers the rendered requests (its prompt
+    column is pruned, since this responder does not read it).
+    """
+    c = companies(spark, sf_dir)
+    return rs.classify_with_model(c, _classified(spark, sf_dir), rs.stored_responder(responses(spark, sf_dir)),
+                                  tx.company_name(c), tx.combined_text(c, COMPANY_DESC, COMPANY_AUX),
+                                  tx.industries(c, INDUSTRY_COLS))
 
 
 def _scores_str(c: Column | None = None) -> Column:

@@ -48,3 +48,24 @@ def test_prompt_rendering(spark):
     expected = rs.PROMPT_TEMPLATE.format(framework_context=rs.FRAMEWORK_CONTEXT, company_name="Acme",
                                          description="x" * 500, industries="Cyber")
     assert p == expected
+
+
+def test_pandas_responder_sees_prompts(spark):
+    from sectorscope.functions import text as tx
+    from sectorscope.operators.classify import classify_companies
+    from sectorscope.sources.tables import COMPANY_AUX
+
+    def fake_model(pdf):
+        out = pdf[["company_id"]].copy()
+        out["response_json"] = ['{"archetype":"Enablers","confidence":"High","innovation_wave":"%d.0"}'
+                                % (1 + len(p) % 3) if "Nombre:" in p else "bad" for p in pdf["prompt"]]
+        return out
+
+    c = companies(spark, SF_SMALL)
+    kw = classify_companies(c, "Description", COMPANY_AUX)
+    out = rs.classify_with_model(c, kw, rs.pandas_responder(fake_model), tx.company_name(c),
+                                 tx.combined_text(c, "Description", COMPANY_AUX), tx.industries(c))
+    rows = out.collect()
+    assert len(rows) == c.count()
+    assert {r["Predicted_Archetype"] for r in rows} == {"Enablers"}
+    assert {r["result_source"] for r in rows} == {"model"}
