@@ -80,3 +80,18 @@ def test_founding_year_rule(spark):
         "Predicted_Archetype string, Founded_Year double"), cutoff=2010)
     assert [(r[0], r[2]) for r in aged.collect()] == [("Traditional / Generalist", True), ("Innovators", None),
                                                       ("Enablers", None), ("Disruptors", None)]
+
+
+def test_empty_input_guards(spark):
+    schema = ("company_id long, Predicted_Archetype string, Confidence_Score string, Keywords_Found string, "
+              "Secondary_Archetypes string, Driving_Capabilities string, Innovation_Wave string")
+    empty = spark.createDataFrame([], schema)
+    assert profiles.success_rate(empty).first()["success_rate"] == 0.0
+    assert profiles.success_rate_exact(empty).first()["success_rate"] is None
+    for fn in (profiles.dominant_archetype, profiles.archetype_summary, profiles.wave_profile,
+               profiles.top_capability, profiles.capability_top10):
+        assert fn(empty).count() == 0, fn.__name__
+    got = {r["finding"]: r for r in findings.findings(empty).collect()}
+    assert set(got) == {"classification_quality", "ecosystem_diversity"}
+    assert got["classification_quality"]["value"] == 0.0 and got["ecosystem_diversity"]["n"] == 0
+    assert explore.filter_counts(empty, ["Hybrid"]).first().asDict() == {"n_shown": 0, "n_total": 0}
