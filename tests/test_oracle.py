@@ -20,6 +20,9 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for banned in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython"):
+        assert banned not in plan, f"{name}: {banned}"
     if name not in SQL:
         assert rows, name
         return
