@@ -230,11 +230,13 @@ def actual_cost(input_tokens: Column, output_tokens: Column) -> Column:
 def stored_responder(stored: DataFrame, key: str = "company_id") -> Callable[[DataFrame], DataFrame]:
     """Answer requests from a table of earlier responses (``key``, ``response_json``, ...).
 
-    An equi-join on the unique key; requests without a stored answer get none
-    (and fall back to keywords in ``classify_with_model``).
+    Returns the stored table as is: ``classify_with_model`` left-joins the
+    answers to its input on ``key``, so stored rows nobody asked for drop out
+    there, and no extra join against the requests (or re-scan of the input)
+    is needed.
     """
     def respond(requests: DataFrame) -> DataFrame:
-        return requests.select(key).join(stored, key, "inner")
+        return stored
     return respond
 
 

@@ -96,8 +96,12 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored model responses keyed by company, one per customer with k % 10 != 4."""
-    c = read_table(spark, sf_dir, "customer")
+    """Stored model responses keyed by company, one per customer with k % 10 != 4.
+
+    Not spread: parsing short JSON is cheap per row, and at small sizes this
+    side is the build side of Spark's size-checked broadcast join.
+    """
+    c = read_table(spark, sf_dir, "customer", spread=False)
     k = F.col("c_custkey")
     mod = (k % 10).cast("int")
     resp = F.element_at(F.create_map(*[x for i, j in sorted(RESPONSES.items())
