@@ -169,3 +169,19 @@ def default_lexicon() -> Lexicon:
 
 def probe_lexicon() -> Lexicon:
     return Lexicon.of(PROBE_LEXICON)
+
+
+def read_lexicon(spark: SparkSession, path: str, fmt: str | None = None,
+                 generic: list[str] | None = None) -> Lexicon:
+    """Load a lexicon table (``cat_ord, category, kw_ord, keyword``) from CSV or Parquet.
+
+    Ordinals decide the tie-break and reporting order; the size is checked
+    on the cluster before the keywords are folded into a plan.
+    """
+    fmt = fmt or ("csv" if path.rstrip("/").lower().endswith(".csv") else "parquet")
+    if fmt == "csv":
+        df = (spark.read.option("header", True)
+                   .schema("cat_ord int, category string, kw_ord int, keyword string").csv(path))
+    else:
+        df = spark.read.format(fmt).load(path)
+    return Lexicon.from_df(df, generic)

@@ -128,3 +128,10 @@ def test_classifier_plan_is_one_projection(spark):
     d = read_table(spark, SF_SMALL, "documents", spread=False)
     plan = classify_text(d, "text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_lexicon_round_trip_through_a_table(spark, scratch):
+    from sectorscope.functions.lexicon import read_lexicon
+    path = scratch("lexicon") + ".csv"
+    default_lexicon().to_df(spark).orderBy("kw_ord").write.option("header", True).csv(path)
+    assert read_lexicon(spark, path) == default_lexicon()
