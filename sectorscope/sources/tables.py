@@ -61,10 +61,29 @@ def spread_small_input(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> Data
     try:
         target = df.sparkSession.sparkContext.defaultParallelism
         current = df.rdd.getNumPartitions()
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD access, leave the scan as is
         return df
-    return df.repartition(target) if current < target and size >= min_bytes else df
+    if current >= target:
+        return df
+    size = _local_input_bytes(df)
+    return df if size is not None and size < min_bytes else df.repartition(target)
+
+
+def _local_input_bytes(df: DataFrame) -> int | None:
+    """Total size of the scan's files when all are local; None for remote stores.
+
+    An under-partitioned scan of a remote store is spread without asking its
+    size (that would need a file-system call per file).
+    """
+    import os
+    from urllib.parse import unquote, urlparse
+    total = 0
+    for f in df.inputFiles():
+        u = urlparse(f)
+        if u.scheme not in ("", "file"):
+            return None
+        total += os.path.getsize(unquote(u.path))
+    return total
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
