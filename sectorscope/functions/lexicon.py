@@ -132,6 +132,8 @@ class Lexicon:
                 "into the plan; use operators.lexicon_join.score_by_join")
         if any(not k for ks in self.keywords for k in ks):
             raise ValueError("empty keyword")
+        if any("\u0000" in k for ks in self.keywords for k in (*ks, *self.generic)):
+            raise ValueError("keyword holds a NUL character")
         if len(set(self.categories)) != len(self.categories):
             raise ValueError("duplicate category")
 

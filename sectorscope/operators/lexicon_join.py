@@ -8,14 +8,18 @@ an equi-join, never a cross join:
    the shortest keyword length, so every occurrence starts with an anchor;
 2. each text becomes (id, pos, window) rows, one per character position,
    where ``window`` is the next ``maxlen`` characters, cut by one regex pass
-   (the text itself is not copied per row);
+   (the text itself is not copied per row), plus one base row per text so
+   that texts without hits still give a result; generic words are matched
+   by the same join, as category 0;
 3. positions join keywords on anchor; a hit is a window starting with the
    keyword;
-4. hits are counted per (id, keyword) with a partial aggregate; keywords that
-   can overlap themselves ("aa", "abab") count greedily over their sorted
-   positions, which matches ``str.count``;
+4. hits are counted per (id, category) with a partial aggregate (every
+   position of a text is produced in one task, so the map side already
+   reduces a text to one row per category); keywords that can overlap
+   themselves ("aa", "abab") count greedily over their sorted positions,
+   which matches ``str.count``;
 5. per-category scores and found lists are assembled per id (at most one
-   entry per category) and joined back to the texts on id.
+   entry per category). The texts are read once and never joined back.
 
 The keyword side is broadcast when its size is within a checked bound;
 beyond it the join shuffles and AQE's skew handling splits hot anchors.
@@ -31,6 +35,8 @@ from sectorscope.functions.text import has_word
 from sectorscope.operators.classify import RESULT_COLUMNS, _decision, let
 
 BROADCAST_MAX_KEYWORDS = 2_000_000
+# prefix of a base row's anchor; no lower-cased keyword starts with it
+BASE_MARK = "\u0000#"
 
 
 def _lexicon_table(lex_df: DataFrame) -> DataFrame:
@@ -42,69 +48,94 @@ def _lexicon_table(lex_df: DataFrame) -> DataFrame:
     return out.withColumn("self_overlap", (F.col("klen") > 1) & border)
 
 
+def _with_generic(lex_df: DataFrame, generic: tuple[str, ...]) -> DataFrame:
+    """The lexicon plus the generic words as category 0, so one join finds both."""
+    if not generic:
+        return lex_df
+    spark = lex_df.sparkSession
+    g = spark.createDataFrame([(0, "", i + 1, w) for i, w in enumerate(generic)],
+                              "cat_ord int, category string, kw_ord int, keyword string")
+    return lex_df.select("cat_ord", "category", "kw_ord", "keyword").unionByName(g)
+
+
 def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
                   lex_df: DataFrame | None = None) -> DataFrame:
     """Per id: ``scores``, ``found``, ``_generic`` (generic words present) and ``_empty``.
 
-    Only ids and small per-id values cross a shuffle: the texts are cut into
-    position windows map-side, and the per-id facts the decision needs
-    besides the scores (null text, generic words) are computed map-side too,
-    so the result never joins back to the text table.
+    One pass over the texts: every text becomes one *base* row (position 0,
+    so texts without hits still give a result) plus one row per position;
+    generic words are matched by the same join as category 0. Both kinds of
+    row go through the keyword join together (a left join; a base row's
+    anchor is unique to its id and matches no keyword, so base rows never
+    gather on one key) and through two aggregates, per (id, category) and
+    then per id. Only ids and small per-id values cross a shuffle; nothing
+    joins back to the texts.
     """
     spark = df.sparkSession
-    lex_df = lex_df if lex_df is not None else lex.to_df(spark)
-    table = _lexicon_table(lex_df)
-    stats = table.agg(F.min("klen").alias("q"), F.max("klen").alias("maxlen"),
-                      F.count(F.lit(1)).alias("n")).first()
-    q, maxlen, n_kw = int(stats["q"]), int(stats["maxlen"]), int(stats["n"])
+    if lex_df is None:
+        lex_df = lex.to_df(spark)
+        klens = [len(k.lower()) for ks in lex.keywords for k in ks] + [len(w) for w in lex.generic]
+        q, maxlen, n_kw = min(klens), max(klens), len(klens)
+        table = _lexicon_table(_with_generic(lex_df, lex.generic))
+    else:
+        table = _lexicon_table(_with_generic(lex_df, lex.generic))
+        stats = table.agg(F.min("klen").alias("q"), F.max("klen").alias("maxlen"),
+                          F.count(F.lit(1)).alias("n")).first()
+        q, maxlen, n_kw = int(stats["q"]), int(stats["maxlen"]), int(stats["n"])
     table = table.withColumn("anchor", F.substring("m", 1, q))
     if n_kw <= BROADCAST_MAX_KEYWORDS:
         table = F.broadcast(table)
 
     texts = df.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_tl"))
-    empty = F.col("_tl").isNull()
+    tl = F.col("_tl")
+    empty = tl.isNull()
     if lex.needs_word_guard:
-        empty = empty | ~has_word(F.col("_tl"))
-    base = texts.select("_id", empty.alias("_empty"),
-                        F.filter(F.array(*[F.lit(w) for w in lex.generic]),
-                                 lambda w: F.col("_tl").contains(w)).alias("_generic"))
+        empty = empty | ~has_word(tl)
     # one window per start position with at least q characters left: a
     # zero-width lookahead matches at every position, its group is the window
-    windows = F.regexp_extract_all("_tl", F.lit(f"(?s)(?=(.{{{q},{maxlen}}}))"), 1)
-    positions = (texts.select("_id", F.posexplode(windows).alias("pos", "win"))
-                      .withColumn("anchor", F.substring("win", 1, q)))
-    hits = (positions.join(table, "anchor")
-                     .filter(F.substring("win", 1, F.col("klen")) == F.col("m"))
-                     .select("_id", "cat_ord", "kw_ord", "keyword", "klen", "self_overlap", "pos"))
-
-    # one aggregate for both kinds of keyword: a plain count, plus the sorted
-    # positions for the (rare) self-overlapping keywords only
-    greedy_acc = F.struct(F.lit(0).alias("next"), F.lit(0).alias("cnt"))
-    per_kw = (hits.groupBy("_id", "cat_ord", "kw_ord", "keyword", "klen", "self_overlap")
-                  .agg(F.count(F.lit(1)).cast("int").alias("n"),
-                       F.collect_list(F.when(F.col("self_overlap"), F.col("pos"))).alias("ps")))
-    greedy = F.aggregate(F.array_sort("ps"), greedy_acc,
-                         lambda acc, p: F.when(p >= acc["next"],
-                                               F.struct((p + F.col("klen")).alias("next"),
-                                                        (acc["cnt"] + 1).alias("cnt")))
-                                         .otherwise(acc))["cnt"]
-    per_kw = per_kw.select("_id", "cat_ord", "kw_ord", "keyword",
-                           F.when(F.col("self_overlap"), greedy).otherwise(F.col("n")).alias("cnt"))
-
-    per_cat = (per_kw.groupBy("_id", "cat_ord")
-                     .agg(F.sum("cnt").cast("int").alias("score"),
-                          F.sort_array(F.collect_list(F.struct("kw_ord", "keyword"))).alias("kws")))
+    windows = F.regexp_extract_all(tl, F.lit(f"(?s)(?=(.{{{q},{maxlen}}}))"), 1)
+    base = F.array(F.concat(F.lit(BASE_MARK), F.col("_id").cast("string")))
+    all_rows = F.concat(base, F.coalesce(windows, F.array().cast("array<string>")))
+    rows = (texts.select("_id", empty.alias("_empty"), F.posexplode(all_rows).alias("pos", "win"))
+                 .withColumn("anchor", F.when(F.col("pos") == 0, F.col("win"))
+                                        .otherwise(F.substring("win", 1, q))))
+
+    # a position row survives only as a hit; a base row always survives
+    hits = (rows.join(table, "anchor", "left")
+                .filter((F.col("pos") == 0) | (F.substring("win", 1, F.col("klen")) == F.col("m"))))
+
+    # per (id, category): plain hits are counted; self-overlapping keywords
+    # ("aa", "abab") keep their positions and are counted greedily below,
+    # which matches str.count; the base row lands in the null category and
+    # generic words in category 0
+    kw = F.when(F.col("kw_ord").isNotNull(), F.struct("kw_ord", "keyword"))
+    overlap = F.when(F.col("self_overlap"), F.struct("kw_ord", "pos", "klen"))
+    per_cat = (hits.groupBy("_id", "cat_ord")
+                   .agg(F.count_if(~F.col("self_overlap")).alias("n_plain"),
+                        F.collect_set(kw).alias("kws"),
+                        F.collect_list(overlap).alias("ov"),
+                        F.bool_or("_empty").alias("_empty")))
+    start = F.struct(F.lit(-1).alias("kw"), F.lit(0).alias("next"), F.lit(0).alias("cnt"))
+
+    def step(acc, o):
+        nxt = F.when(o["kw_ord"] == acc["kw"], acc["next"]).otherwise(F.lit(0))
+        return F.when(o["pos"] >= nxt, F.struct(o["kw_ord"].alias("kw"), (o["pos"] + o["klen"]).alias("next"),
+                                                (acc["cnt"] + 1).alias("cnt"))) \
+                .otherwise(F.struct(o["kw_ord"].alias("kw"), nxt.alias("next"), acc["cnt"].alias("cnt")))
+    greedy = F.aggregate(F.array_sort("ov"), start, step)["cnt"]
+    score = (F.col("n_plain") + greedy).cast("int")
+    found = F.transform(F.array_sort("kws"), lambda s: s["keyword"])
+    entry = F.when(F.col("cat_ord").isNotNull(),
+                   F.struct("cat_ord", F.struct(score.alias("score"), found.alias("found"))))
     per_id = (per_cat.groupBy("_id")
-                     .agg(F.map_from_entries(F.collect_list(
-                         F.struct("cat_ord", F.struct("score", F.transform("kws", lambda s: s["keyword"])
-                                                      .alias("found"))))).alias("_m")))
-    ncat = len(lex.categories)
-    cats = F.sequence(F.lit(1), F.lit(ncat))
-    empty = F.array().cast("array<string>")
-    out = base.join(per_id, "_id", "left").withColumnRenamed("_id", id_col)
-    out = out.withColumns({
+                     .agg(F.map_from_entries(F.collect_list(entry)).alias("_m"),
+                          F.bool_or("_empty").alias("_empty")))
+    cats = F.sequence(F.lit(1), F.lit(len(lex.categories)))
+    none = F.array().cast("array<string>")
+    out = per_id.withColumnRenamed("_id", id_col).withColumns({
+        "_generic": F.coalesce(F.col("_m")[0]["found"], none),
         "scores": F.transform(cats, lambda c: F.coalesce(F.col("_m")[c]["score"], F.lit(0))),
-        "found": F.transform(cats, lambda c: F.coalesce(F.col("_m")[c]["found"], empty)),
+        "found": F.transform(cats, lambda c: F.coalesce(F.col("_m")[c]["found"], none)),
     })
     return out.drop("_m")
 
