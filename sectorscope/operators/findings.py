@@ -98,7 +98,7 @@ def render_text(f: DataFrame) -> DataFrame:
                    F.concat(F.lit("**"), _fmt1(v), F.lit("%** successful classifications ("), n, F.lit("/"),
                             label, F.lit(" companies)")))
              .when(F.col("finding") == "ecosystem_diversity",
-                   F.concat(F.lit("Ecosystem spans **"), n, F.lit(" different archetypes** from the Sosa framework")))
+                   F.concat(F.lit("Ecosystem spans **"), n, F.lit(" different archetypes** from the framework")))
              .when(F.col("finding") == "hybrid_models",
                    F.concat(F.lit("**"), _fmt1(v), F.lit("%** of companies exhibit hybrid characteristics, "
                                                          "operating across multiple archetypes"))))

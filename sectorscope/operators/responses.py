@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for identical prompts/costs.
+# Exception: the framework's title line and the template's framework mention
+# carry no personal name here; both are parameters of ``render_requests`` and
+# ``estimated_cost``, so a caller can pass any framework text.
 FRAMEWORK_CONTEXT = """
-TESIS IVÁN SOSA GÓMEZ (2024) - MARCO INSURTECH
+TESIS (2024) - MARCO INSURTECH
 
 ARQUETIPOS (7):
 1. Innovators: Nuevos modelos (P2P, on-demand, paramétrico, microseguros)
@@ -52,7 +55,7 @@ Descripción: {description}
 Industrias: {industries}
 
 ANÁLISIS REQUERIDO:
-Clasifica usando el marco Sosa. Devuelve SOLO JSON:
+Clasifica usando el marco. Devuelve SOLO JSON:
 
 {{
   "archetype": "Nombre exacto del arquetipo",
