@@ -230,16 +230,21 @@ def actual_cost(input_tokens: Column, output_tokens: Column) -> Column:
 
 # --- the model step as a pluggable DataFrame -> DataFrame --------------------------
 
+def answered(stored: DataFrame, json_col: str = "response_json") -> DataFrame:
+    """Rows of a stored-response table that hold an answer (a null response is none)."""
+    return stored.filter(F.col(json_col).isNotNull())
+
+
 def stored_responder(stored: DataFrame, key: str = "company_id") -> Callable[[DataFrame], DataFrame]:
     """Answer requests from a table of earlier responses (``key``, ``response_json``, ...).
 
-    Returns the stored table as is: ``classify_with_model`` left-joins the
-    answers to its input on ``key``, so stored rows nobody asked for drop out
-    there, and no extra join against the requests (or re-scan of the input)
-    is needed.
+    Returns the answered rows of the stored table: ``classify_with_model``
+    left-joins them to its input on ``key``, so stored rows nobody asked for
+    drop out there, and no extra join against the requests (or re-scan of
+    the input) is needed. A request without an answer falls back to keywords.
     """
     def respond(requests: DataFrame) -> DataFrame:
-        return stored
+        return answered(stored)
     return respond
 
 

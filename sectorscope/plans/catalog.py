@@ -56,7 +56,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rs.parse_responses(responses(spark, sf_dir))
+    return rs.parse_responses(rs.answered(responses(spark, sf_dir)))
 
 
 def _model_results(spark: SparkSession, sf_dir: str) -> DataFrame:

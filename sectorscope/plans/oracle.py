@@ -39,12 +39,13 @@ COMPANIES = f"""companies AS (
   FROM customer)"""
 
 _resp_cases = " ".join(f"WHEN {k} THEN {q(v)}" for k, v in sorted(RESPONSES.items()))
-RESPONSES_CTE = f"""responses AS (
+# every customer; no stored answer (null response and tokens) when k % 10 = 4
+RESPONSES_CTE = f"""stored AS (
   SELECT CAST(c_custkey AS BIGINT) AS company_id,
     CASE c_custkey % 10 {_resp_cases} END AS response_json,
-    CAST(400 + c_custkey % 100 AS BIGINT) AS input_tokens,
-    CAST(100 + c_custkey % 50 AS BIGINT) AS output_tokens
-  FROM customer WHERE c_custkey % 10 <> 4)"""
+    CASE WHEN c_custkey % 10 <> 4 THEN CAST(400 + c_custkey % 100 AS BIGINT) END AS input_tokens,
+    CASE WHEN c_custkey % 10 <> 4 THEN CAST(100 + c_custkey % 50 AS BIGINT) END AS output_tokens
+  FROM customer), responses AS (SELECT * FROM stored WHERE response_json IS NOT NULL)"""
 
 COMPANY_TEXT = "concat_ws(' ', Description, Industries, industry_groups)"
 

@@ -33,7 +33,7 @@ def test_merge_keeps_keywords_for_missing_responses(spark):
     from sectorscope.operators.classify import classify_companies
     from sectorscope.sources.tables import COMPANY_AUX
     kw = classify_companies(companies(spark, SF_SMALL), "Description", COMPANY_AUX)
-    parsed = rs.parse_responses(responses(spark, SF_SMALL))
+    parsed = rs.parse_responses(rs.answered(responses(spark, SF_SMALL)))
     merged = rs.merge_with_keywords(kw, parsed)
     assert merged.count() == kw.count()
     bad = merged.filter((F.col("company_id") % 10 == 4) != (F.col("result_source") == "keywords")).count()
