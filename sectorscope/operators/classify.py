@@ -13,7 +13,9 @@ Decision rules (in order):
     first two such categories in lexicon order)
   * else the first best category; High at >= 3, Medium at >= 1.
 
-Everything is a projection: no shuffle, no Python unless ``scorer="arrow"``.
+Everything is a projection: no shuffle. The scorer is a parameter
+(``functions.scoring``): ``"auto"`` uses the Arrow-batched Aho-Corasick UDF
+when ``pyahocorasick`` is installed, ``"native"`` stays in the JVM.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 
 from sectorscope.functions import text as tx
 from sectorscope.functions.lexicon import GENERALIST, HYBRID, UNCLASSIFIED, Lexicon, default_lexicon
-from sectorscope.functions.scoring import arrow_scorer, native_found, native_scores
+from sectorscope.functions.scoring import (aho_scorer, arrow_scorer, native_found, native_scores,
+                                          resolve_scorer)
 
 RESULT_COLUMNS = ["Predicted_Archetype", "Confidence_Score", "Keywords_Found"]
 MODEL_COLUMNS = ["Secondary_Archetypes", "Driving_Capabilities", "Innovation_Wave"]
@@ -44,8 +47,18 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def _score_struct(text: Column, lex: Lexicon, scorer: str) -> Column:
-    """struct<t, found, scores> for one text, each part computed once."""
+def _score_struct(text: Column, lex: Lexicon, scorer: str, need_t: bool = True) -> Column:
+    """struct<t, found, scores[, generic]> for one text, each part computed once.
+
+    The ``aho`` scorer also returns the generic words present; ``t`` (the
+    lower-cased text) is then only built when ``need_t``.
+    """
+    scorer = resolve_scorer(scorer)
+    if scorer == "aho":
+        udf = aho_scorer(lex)
+        t = F.lower(text) if need_t else F.lit(None).cast("string")
+        return let(udf(text), lambda r: F.struct(t.alias("t"), r["found"].alias("found"),
+                                                  r["scores"].alias("scores"), r["generic"].alias("generic")))
     if scorer == "native":
         return let(F.lower(text), lambda t: let(native_found(t, lex), lambda found: F.struct(
             t.alias("t"), found.alias("found"), native_scores(t, found, lex).alias("scores"))))
@@ -57,7 +70,7 @@ def _score_struct(text: Column, lex: Lexicon, scorer: str) -> Column:
 
 
 def score(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,
-          scorer: str = "native") -> DataFrame:
+          scorer: str = "auto") -> DataFrame:
     """Add ``scores`` and ``found`` (and the helper ``_t``) for ``text_col``."""
     lex = lexicon or default_lexicon()
     out = df.withColumn("_sc", _score_struct(F.col(text_col), lex, scorer))
@@ -125,22 +138,23 @@ def decide(df: DataFrame, lexicon: Lexicon | None = None, text_col: str = "text"
     return out if keep_scores else out.drop("scores", "found")
 
 
-def classify_column(text: Column, lexicon: Lexicon | None = None, scorer: str = "native",
+def classify_column(text: Column, lexicon: Lexicon | None = None, scorer: str = "auto",
                     keep_scores: bool = False) -> Column:
     """The whole classifier as one column: struct of the three results (+ scores/found)."""
     lex = lexicon or default_lexicon()
+    scorer = resolve_scorer(scorer)
 
     def body(s: Column) -> Column:
-        d = _decision(text, s, lex)
+        d = _decision(text, s, lex, ("generic",) if scorer == "aho" else ())
         fields = [d[c].alias(c) for c in RESULT_COLUMNS]
         if keep_scores:
             fields += [s["scores"].alias("scores"), s["found"].alias("found")]
         return F.struct(*fields)
-    return let(_score_struct(text, lex, scorer), body)
+    return let(_score_struct(text, lex, scorer, need_t=False), body)
 
 
 def classify_text(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,
-                  scorer: str = "native", keep_scores: bool = False) -> DataFrame:
+                  scorer: str = "auto", keep_scores: bool = False) -> DataFrame:
     """Keyword classifier over one text column (CLS-1..10): one projection."""
     out = df.withColumn("_c", classify_column(F.col(text_col), lexicon, scorer, keep_scores))
     cols = RESULT_COLUMNS + (["scores", "found"] if keep_scores else [])
@@ -153,7 +167,7 @@ def with_text(df: DataFrame, main: str, aux: Sequence[str] = tx.AUX_TEXT_COLUMNS
 
 
 def classify_companies(df: DataFrame, main: str, aux: Sequence[str] = tx.AUX_TEXT_COLUMNS,
-                       lexicon: Lexicon | None = None, scorer: str = "native",
+                       lexicon: Lexicon | None = None, scorer: str = "auto",
                        keep_text: bool = False) -> DataFrame:
     """Row classifier in keyword mode: input columns + six result columns."""
     out = classify_text(with_text(df, main, aux, "_text"), "_text", lexicon, scorer)

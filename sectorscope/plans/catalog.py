@@ -34,7 +34,7 @@ EXPLORER_LABELS = ["Hybrid", "Enablers"]
 SEARCH_COMPANIES = "hybrid|iot"
 SEARCH_DOCS = "licen[cs]e|passw"
 AGE_CUTOFF = 2010
-SCORER = "native"
+SCORER = "auto"
 
 
 # --- shared building blocks ------------------------------------------------------
@@ -212,6 +212,22 @@ def q_classify_default_docs(spark, sf_dir):
     return out.select("doc_id", "Predicted_Archetype", "Confidence_Score", "Keywords_Found")
 
 
+# JVM-only variants (no Python workers): same results as the default scorer
+
+def q_classify_keywords_docs_native(spark, sf_dir):
+    out = classify_text(_docs(spark, sf_dir), "text", probe_lexicon(), scorer="native")
+    return out.select("doc_id", "Predicted_Archetype", "Confidence_Score", "Keywords_Found")
+
+
+def q_classify_default_docs_native(spark, sf_dir):
+    out = classify_text(_docs(spark, sf_dir), "text", default_lexicon(), scorer="native")
+    return out.select("doc_id", "Predicted_Archetype", "Confidence_Score", "Keywords_Found")
+
+
+def q_classify_keywords_native(spark, sf_dir):
+    return _classified(spark, sf_dir, scorer="native").select("company_id", *RESULT6)
+
+
 def q_explorer_search_docs(spark, sf_dir):
     d = _docs(spark, sf_dir)
     return explore.search(d, SEARCH_DOCS).select("doc_id", "lang", "source")
@@ -455,6 +471,9 @@ def queries() -> dict[str, Query]:
         "classify_keywords_docs": q_classify_keywords_docs,
         "classify_keywords_docs_arrow": q_classify_keywords_docs_arrow,
         "classify_default_docs": q_classify_default_docs,
+        "classify_keywords_docs_native": q_classify_keywords_docs_native,
+        "classify_default_docs_native": q_classify_default_docs_native,
+        "classify_keywords_native": q_classify_keywords_native,
         "explorer_search_docs": q_explorer_search_docs,
         "lexicon_join_docs": q_lexicon_join_docs,
         "recent_classifications": q_recent_classifications,

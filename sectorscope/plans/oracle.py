@@ -424,4 +424,7 @@ def oracle_sql() -> dict[str, str]:
         "export_roundtrip": with_(C, f"SELECT company_id, {SELECT6}, 'keywords' AS mode, 'r1' AS run_id FROM classified"),
     }
     d["classify_keywords_docs_arrow"] = d["classify_keywords_docs"]
+    d["classify_keywords_docs_native"] = d["classify_keywords_docs"]
+    d["classify_default_docs_native"] = d["classify_default_docs"]
+    d["classify_keywords_native"] = d["classify_keywords"]
     return d

@@ -33,7 +33,7 @@ GOLDEN = {
 }
 
 
-@pytest.mark.parametrize("scorer", ["native", "arrow"])
+@pytest.mark.parametrize("scorer", ["native", "arrow", "aho"])
 def test_golden_fixture(spark, scorer):
     df = spark.createDataFrame(FIXTURE, "Company string, Description string")
     out = classify_companies(df, "Description", scorer=scorer)
@@ -82,10 +82,12 @@ def test_scorers_agree_on_documents(spark):
     for lex in (default_lexicon(), probe_lexicon()):
         native = classify_text(d, "text", lex, keep_scores=True)
         arrow = classify_text(d, "text", lex, scorer="arrow", keep_scores=True)
+        aho = classify_text(d, "text", lex, scorer="aho", keep_scores=True)
         joined = classify_by_join(d, "doc_id", "text", lex, keep_scores=True)
         cols = ["doc_id", "scores", "found", "Predicted_Archetype", "Confidence_Score", "Keywords_Found"]
         a = sorted(map(tuple, native.select(cols).collect()))
         assert a == sorted(map(tuple, arrow.select(cols).collect()))
+        assert a == sorted(map(tuple, aho.select(cols).collect()))
         assert a == sorted(map(tuple, joined.select(cols).collect()))
 
 
@@ -126,8 +128,22 @@ def test_properties(spark, texts):
 
 def test_classifier_plan_is_one_projection(spark):
     d = read_table(spark, SF_SMALL, "documents", spread=False)
-    plan = classify_text(d, "text")._jdf.queryExecution().executedPlan().toString()
+    plan = classify_text(d, "text", scorer="native")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+    # the automaton scorer adds one Arrow-batched Python step, still no shuffle
+    plan = classify_text(d, "text", scorer="aho")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ArrowEvalPython" in plan
+
+
+def test_aho_scorer_edge_cases(spark):
+    lex = Lexicon.of([("a", ["aa", "abab", "api"]), ("b", ["b", "api-first"]), ("dash", ["--"])], ["inc", "ltd"])
+    rows = [(1, "aaaaa"), (2, "abababab"), (3, "xyz inc"), (4, None), (5, "API-first Api"), (6, "-- --"), (7, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    cols = ["id", "scores", "found", "Predicted_Archetype", "Confidence_Score", "Keywords_Found"]
+    native = sorted(map(tuple, classify_text(df, "text", lex, scorer="native", keep_scores=True).select(cols).collect()))
+    aho = sorted(map(tuple, classify_text(df, "text", lex, scorer="aho", keep_scores=True).select(cols).collect()))
+    assert native == aho
+    assert aho[0][1] == [2, 0, 0] and aho[1][1] == [2, 4, 0] and aho[4][1] == [2, 1, 0]
 
 
 def test_lexicon_round_trip_through_a_table(spark, scratch):
