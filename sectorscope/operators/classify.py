@@ -47,6 +47,20 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def fence(value: Column) -> Column:
+    """``value``, marked nondeterministic so that Catalyst evaluates it where it stands.
+
+    Catalyst pushes filters below projections and merges projections by
+    copying expressions; for the classifier each copy would score the text
+    again (a filter on the label would score every row before the projection
+    scores it once more). A projection holding a nondeterministic expression
+    is neither pushed through nor inlined, so scoring runs once per row. The
+    guard is always true and costs one comparison per row. A filter on input
+    columns belongs before the classifier, where it still reaches the scan.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _score_struct(text: Column, lex: Lexicon, scorer: str, need_t: bool = True) -> Column:
     """struct<t, found, scores[, generic]> for one text, each part computed once.
 
@@ -55,7 +69,7 @@ def _score_struct(text: Column, lex: Lexicon, scorer: str, need_t: bool = True)
     """
     scorer = resolve_scorer(scorer)
     if scorer == "aho":
-        udf = aho_scorer(lex)
+        udf = aho_scorer(lex).asNondeterministic()
         t = F.lower(text) if need_t else F.lit(None).cast("string")
         return let(udf(text), lambda r: F.struct(t.alias("t"), r["found"].alias("found"),
                                                   r["scores"].alias("scores"), r["generic"].alias("generic")))
@@ -63,7 +77,7 @@ def _score_struct(text: Column, lex: Lexicon, scorer: str, need_t: bool = True)
         return let(F.lower(text), lambda t: let(native_found(t, lex), lambda found: F.struct(
             t.alias("t"), found.alias("found"), native_scores(t, found, lex).alias("scores"))))
     if scorer == "arrow":
-        udf = arrow_scorer(lex)
+        udf = arrow_scorer(lex).asNondeterministic()
         return let(udf(text), lambda r: F.struct(F.lower(text).alias("t"), r["found"].alias("found"),
                                                   r["scores"].alias("scores")))
     raise ValueError(f"unknown scorer {scorer!r}")
@@ -73,7 +87,7 @@ def score(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,
           scorer: str = "auto") -> DataFrame:
     """Add ``scores`` and ``found`` (and the helper ``_t``) for ``text_col``."""
     lex = lexicon or default_lexicon()
-    out = df.withColumn("_sc", _score_struct(F.col(text_col), lex, scorer))
+    out = df.withColumn("_sc", fence(_score_struct(F.col(text_col), lex, scorer)))
     return out.withColumns({_T: F.col("_sc.t"), "found": F.col("_sc.found"),
                             "scores": F.col("_sc.scores")}).drop("_sc")
 
@@ -150,7 +164,7 @@ def classify_column(text: Column, lexicon: Lexicon | None = None, scorer: str =
         if keep_scores:
             fields += [s["scores"].alias("scores"), s["found"].alias("found")]
         return F.struct(*fields)
-    return let(_score_struct(text, lex, scorer, need_t=False), body)
+    return fence(let(_score_struct(text, lex, scorer, need_t=False), body))
 
 
 def classify_text(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,

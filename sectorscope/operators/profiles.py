@@ -243,41 +243,55 @@ def _sum_if(cond: Column, n: Column | None = None) -> Column:
 
 
 def archetype_summary(df: DataFrame) -> DataFrame:
-    """Per label: rows, share of all rows, dominant wave, top-3 DC columns."""
-    cube, cols = profile_cube(df)
-    base = cube.groupBy("label").agg(F.sum("n").alias("n"), *[_sum_if(F.col(c) > 0).alias(c) for c in cols])
+    """Per label: rows, share of all rows, dominant wave, top-3 DC columns.
+
+    Two hash aggregates and no join: rows -> (label, wave) with per-column
+    "DC" mention counts -> label, where the dominant wave (most rows, ties to
+    the smallest wave) is a ``min_by`` with constant state per group.
+    """
+    flagged = with_dc_flags(df) if not dc_columns(df) else df
+    cols = dc_columns(flagged)
+    mentions = [F.count_if(F.coalesce(F.col(c).contains("DC"), F.lit(False))).alias(c) for c in cols]
+    per_wave = flagged.groupBy(F.col(ARCH).alias("label"), F.col(WAVE).alias("wave")).agg(
+        F.count(F.lit(1)).alias("n"), *mentions)
+    rank = F.when(F.col("wave").isNotNull(), F.struct((-F.col("n")).alias("neg"), F.col("wave").alias("wave")))
+    base = per_wave.groupBy("label").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols],
+                                         F.min_by("wave", rank).alias("dominant_wave"))
     base = with_share(base, name="pct").filter(F.col("label").isNotNull())
     ranked = F.sort_array(F.array(*[F.struct((-F.col(c)).alias("neg"), F.lit(i).alias("i"), F.lit(c).alias("dc"))
                                     for i, c in enumerate(cols)]))
     any_dc = sum((F.col(c) for c in cols), F.lit(0)) > 0
     top3 = F.when(any_dc, F.array_join(F.transform(F.slice(ranked, 1, 3), lambda s: s["dc"]), ", "))
-    base = base.select(F.col("label").alias(ARCH), F.col("n").cast("bigint").alias("n"), "pct",
-                       top3.alias("top_capabilities"))
-    # conditions as conditional sums, filtered after the aggregate: a filter on
-    # the cube's keys would be pushed into the cube and stop the exchange reuse
-    valid = F.col("wave").isNotNull() & F.col("label").isNotNull()
-    per_wave = (cube.groupBy("label", "wave").agg(F.sum(F.when(valid, F.col("n"))).alias("n"))
-                    .filter(F.col("n").isNotNull()))
-    waves = _top_in_group(per_wave, "label", "wave", 1).select(F.col("label").alias(ARCH),
-                                                               F.col("wave").alias("dominant_wave"))
-    return base.join(waves, ARCH, "left")
+    return base.select(F.col("label").alias(ARCH), F.col("n").cast("bigint").alias("n"), "pct",
+                       top3.alias("top_capabilities"), "dominant_wave")
+
+
+NO_WAVE = "\u0000"  # join key standing in for a null wave (real waves never equal it)
 
 
 def wave_profile(df: DataFrame) -> DataFrame:
-    """Per wave: rows, share of all rows, top-3 labels as "label: n, ..."."""
+    """Per wave: rows, share of all rows, top-3 labels as "label: n, ...".
+
+    Both branches read one ``per`` aggregate (wave x label counts); Spark
+    shares its exchange only if neither branch filters on its keys, since
+    such a filter is pushed below the aggregate and makes the branches
+    differ. So null labels rank last and are dropped above the window (not a
+    window key), and null waves drop out of the join, whose key is never
+    null, so Catalyst infers no filter from it either.
+    """
     per = df.groupBy(WAVE, ARCH).agg(F.count(F.lit(1)).alias("n"))
     sizes = with_share(per.groupBy(WAVE).agg(F.sum("n").alias("n")), name="pct")
     sizes = sizes.filter(F.col(WAVE).isNotNull())
-    # null keys dropped through the count (an aggregate output), not the keys,
-    # so the filter stays above ``per`` and both branches share its exchange
-    valid = F.col(WAVE).isNotNull() & F.col(ARCH).isNotNull()
-    top = _top_in_group(per.withColumn("n", F.when(valid, F.col("n"))).filter(F.col("n").isNotNull()),
-                        WAVE, ARCH, 3)
+    w = Window.partitionBy(WAVE).orderBy(F.col(ARCH).isNull(), F.desc("n"), F.asc(ARCH))
+    top = (per.withColumn("rank", F.row_number().over(w))
+              .filter((F.col("rank") <= 3) & F.col(ARCH).isNotNull()))
     label = lambda s: F.concat(s[ARCH], F.lit(": "), s["n"].cast("string"))
     top = (top.groupBy(WAVE)
               .agg(F.sort_array(F.collect_list(F.struct("rank", ARCH, "n"))).alias("t"))
-              .select(WAVE, F.array_join(F.transform("t", label), ", ").alias("top_archetypes")))
-    return sizes.join(top, WAVE, "left")
+              .select(F.coalesce(F.col(WAVE), F.lit(NO_WAVE)).alias("_w"),
+                      F.array_join(F.transform("t", label), ", ").alias("top_archetypes")))
+    out = sizes.join(top, F.coalesce(sizes[WAVE], F.lit(NO_WAVE)) == top["_w"], "left")
+    return out.drop("_w")
 
 
 def running_sum(df: DataFrame, order_col: str, value: Column, name: str,

@@ -291,7 +291,8 @@ def q_success_rate_exact(spark, sf_dir):
 def q_resume_pending(spark, sf_dir):
     """Rows not yet in a saved progress table, classified; progress = rows with an industry."""
     c = companies(spark, sf_dir)
-    done = _classified(spark, sf_dir).filter(F.col("Industries").isNotNull()).select("company_id", "Predicted_Archetype")
+    saved = c.filter(F.col("Industries").isNotNull())
+    done = classify_companies(saved, COMPANY_DESC, COMPANY_AUX, scorer=SCORER).select("company_id", "Predicted_Archetype")
     done = done.filter(F.col("Predicted_Archetype").isNotNull() & (F.col("Predicted_Archetype") != ""))
     pending = c.join(done.select("company_id"), "company_id", "left_anti")
     out = classify_companies(pending, COMPANY_DESC, COMPANY_AUX)
