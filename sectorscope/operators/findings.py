@@ -64,10 +64,15 @@ def findings(df: DataFrame) -> DataFrame:
              F.col("n_hybrid") > 0),
     )
     scalar = s.select(F.inline(rows)).filter("keep").drop("keep")
-    # condition inside the sum (see profiles.archetype_summary): keeps one exchange for both branches
-    counts = (cube.groupBy("label").agg(F.sum(F.when(label.isNotNull() & ~err, F.col("n"))).alias("n"))
+    # the share's base is every non-error row, null labels included (they
+    # pass the error filter; only the count per label drops them). Both
+    # conditions sit inside the sum or above the window, never on the cube's
+    # keys, so Catalyst cannot push them into the cube: one exchange serves
+    # both branches.
+    counts = (cube.groupBy("label").agg(F.sum(F.when(~err, F.col("n"))).alias("n"))
                   .filter(F.col("n").isNotNull()))
-    dom = pf.top_n(pf.with_share(counts), "label", 1).select(
+    shares = pf.with_share(counts).filter(F.col("label").isNotNull())
+    dom = pf.top_n(shares, "label", 1).select(
         F.lit("dominant_archetype").alias("finding"), F.col("label"),
         F.col("n").cast("bigint").alias("n"), F.col("share_pct").cast("double").alias("value"))
     return dom.unionByName(scalar)

@@ -214,11 +214,6 @@ def hybrid_share(df: DataFrame) -> DataFrame:
 
 # --- per-group profiles --------------------------------------------------------
 
-def _top_in_group(counts: DataFrame, group: str, label: str, k: int) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.desc("n"), F.asc(label))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def profile_cube(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Row counts per (label, wave, has-secondary, "DC" mentions per DC column).
 

@@ -397,8 +397,8 @@ def oracle_sql() -> dict[str, str]:
                 f"SELECT '{c}' AS dc, {c} AS m FROM fsc" for c in DC_CODES) + ") ORDER BY m DESC, dc LIMIT 1)",
             f"""dom AS (SELECT Predicted_Archetype, n, {pct('n', 'tot')} AS v FROM (
                 SELECT Predicted_Archetype, n, sum(n) OVER () AS tot FROM (
-                  SELECT Predicted_Archetype, count(*) AS n FROM model
-                  WHERE Predicted_Archetype IS NOT NULL AND {NOT_ERR} GROUP BY 1))
+                  SELECT Predicted_Archetype, count(*) AS n FROM model WHERE {NOT_ERR} GROUP BY 1))
+                WHERE Predicted_Archetype IS NOT NULL
                 ORDER BY n DESC, Predicted_Archetype LIMIT 1)"""],
             f"""SELECT 'dominant_archetype' AS finding, Predicted_Archetype AS label, CAST(n AS BIGINT) AS n,
                  CAST(v AS DOUBLE) AS value FROM dom

@@ -50,6 +50,16 @@ def test_findings_text(spark):
     assert got["hybrid_models"]["n"] == 1
 
 
+def test_findings_dominant_share_counts_null_labels(spark):
+    # a null label is not an error: it stays in the share's base, though it is no candidate
+    df = spark.createDataFrame([("Enablers", "3.0"), ("Enablers", "3.0"), (None, "3.0"), ("API Error", "")],
+                               "Predicted_Archetype string, Innovation_Wave string")
+    df = df.selectExpr("*", "'' AS Secondary_Archetypes", "'' AS Driving_Capabilities")
+    got = {r["finding"]: r for r in findings.render_text(findings.findings(df)).collect()}
+    assert got["dominant_archetype"]["label"] == "Enablers" and got["dominant_archetype"]["n"] == 2
+    assert got["dominant_archetype"]["text"].endswith("with 2 companies (66.7%)")
+
+
 def test_csv_scan_nulls_and_mapping(spark, scratch):
     path = scratch("csv") + ".csv"
     os.makedirs(path)
