@@ -82,8 +82,13 @@ def archetype_mode(df: DataFrame) -> DataFrame:
 
 
 def dominant_archetype(df: DataFrame) -> DataFrame:
-    """Most frequent non-error label, its count and its share of non-error rows."""
-    return top_n(archetype_share(df), ARCH, 1)
+    """Most frequent non-error label, its count and its share of non-error rows.
+
+    Null labels are no error, so they count in the share's base; they are
+    dropped only as candidates (above the window, so nothing is pushed down).
+    """
+    counts = non_error_rows(df).groupBy(ARCH).agg(F.count(F.lit(1)).alias("n"))
+    return top_n(with_share(counts).filter(F.col(ARCH).isNotNull()), ARCH, 1)
 
 
 def distinct_archetypes(df: DataFrame) -> DataFrame:
