@@ -21,8 +21,9 @@ an equi-join, never a cross join:
 5. per-category scores and found lists are assembled per id (at most one
    entry per category). The texts are read once and never joined back.
 
-The keyword side is broadcast when its size is within a checked bound;
-beyond it the join shuffles and AQE's skew handling splits hot anchors.
+The keyword side is broadcast when its keyword count and bytes are within
+checked bounds; beyond them the join shuffles and AQE's skew handling
+splits hot anchors.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from sectorscope.functions.lexicon import Lexicon
 from sectorscope.functions.text import has_word
 from sectorscope.operators.classify import RESULT_COLUMNS, _decision, let
 
+# the keyword table is broadcast only within both bounds; beyond, it is shuffled
 BROADCAST_MAX_KEYWORDS = 2_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 # prefix of a base row's anchor; no lower-cased keyword starts with it
 BASE_MARK = "\u0000#"
 
@@ -74,16 +77,19 @@ def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
     spark = df.sparkSession
     if lex_df is None:
         lex_df = lex.to_df(spark)
-        klens = [len(k.lower()) for ks in lex.keywords for k in ks] + [len(w) for w in lex.generic]
+        words = [k for ks in lex.keywords for k in ks] + list(lex.generic)
+        klens = [len(k.lower()) for k in words]
         q, maxlen, n_kw = min(klens), max(klens), len(klens)
+        n_bytes = sum(2 * len(k.encode()) for k in words)
         table = _lexicon_table(_with_generic(lex_df, lex.generic))
     else:
         table = _lexicon_table(_with_generic(lex_df, lex.generic))
         stats = table.agg(F.min("klen").alias("q"), F.max("klen").alias("maxlen"),
-                          F.count(F.lit(1)).alias("n")).first()
-        q, maxlen, n_kw = int(stats["q"]), int(stats["maxlen"]), int(stats["n"])
+                          F.count(F.lit(1)).alias("n"),
+                          F.sum(F.octet_length("keyword") + F.octet_length("m")).alias("bytes")).first()
+        q, maxlen, n_kw, n_bytes = int(stats["q"]), int(stats["maxlen"]), int(stats["n"]), int(stats["bytes"])
     table = table.withColumn("anchor", F.substring("m", 1, q))
-    if n_kw <= BROADCAST_MAX_KEYWORDS:
+    if n_kw <= BROADCAST_MAX_KEYWORDS and n_bytes <= BROADCAST_MAX_BYTES:
         table = F.broadcast(table)
 
     texts = df.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_tl"))

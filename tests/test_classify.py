@@ -101,6 +101,26 @@ def test_join_scorer_self_overlapping_keywords(spark):
     assert lit[1] == [2, 0] and lit[2] == [2, 4]
 
 
+def test_join_scorer_shuffled_path(spark, monkeypatch):
+    # beyond the broadcast bounds the keyword table is shuffled: same results
+    from sectorscope.operators import lexicon_join
+    monkeypatch.setattr(lexicon_join, "BROADCAST_MAX_KEYWORDS", 0)
+    d = read_table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    lex = probe_lexicon()
+    cols = ["doc_id", "scores", "found", "Predicted_Archetype", "Confidence_Score", "Keywords_Found"]
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = classify_by_join(d, "doc_id", "text", lex, keep_scores=True)
+        rows = sorted(map(tuple, joined.select(cols).collect()))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    assert "BroadcastHashJoin" not in plan
+    native = classify_text(d, "text", lex, scorer="native", keep_scores=True)
+    assert rows == sorted(map(tuple, native.select(cols).collect()))
+
+
 TEXTS = st.text(alphabet=st.sampled_from(list("abcdeiotplsf -")), max_size=60)
 
 
