@@ -39,13 +39,18 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 
 
 def scan(spark: SparkSession, path: str, fmt: str | None = None,
-         columns: Sequence[str] | None = None) -> DataFrame:
-    """Read a company table; CSV columns are all strings, null tokens become null."""
+         columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
+    """Read a company table; CSV columns are all strings, null tokens become null.
+
+    ``multi_line`` allows quoted line breaks inside CSV cells (as pandas
+    does); Spark then reads each CSV file in one task. For large files known
+    to have none, ``multi_line=False`` lets Spark split them.
+    """
     fmt = fmt or format_of(path)
     if fmt == "csv":
         names = list(columns) if columns else csv_header(spark, path)
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+        df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
                    .option("escape", '"').option("nullValue", None).option("emptyValue", "").csv(path))
         return null_normalise(df)
     if fmt == "json":

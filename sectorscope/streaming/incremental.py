@@ -65,7 +65,8 @@ def classify_stream_with_progress(spark: SparkSession, source: str, schema: Stru
         out = classify_companies(batch, main, aux, lexicon).withColumn("batch_id", F.lit(batch_id))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id").parquet(sink))
-        written = spark.read.parquet(sink).filter(F.col("batch_id") == batch_id)
+        # read back only this batch's folder: the listing does not grow with the batches
+        written = spark.read.parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
         stats = written.agg(F.count(F.lit(1)).alias("n_rows"),
                             F.count_if(billable(F.col("Predicted_Archetype"))).alias("n_billable"))
         row = stats.withColumns({"batch_id": F.lit(batch_id).cast("bigint"),
