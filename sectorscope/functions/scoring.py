@@ -9,7 +9,7 @@ Interchangeable scorers produce the same ``scores ARRAY<INT>`` and
 ``found ARRAY<ARRAY<STRING>>`` columns (``resolve_scorer`` picks one for
 ``"auto"``):
 
-* ``native`` (default): the lexicon is one literal ``ARRAY<ARRAY<STRING>>``;
+* ``native``: the lexicon is one literal ``ARRAY<ARRAY<STRING>>``;
   ``filter(contains)`` runs once per keyword and the occurrence count
   (``length`` / ``replace``) only for keywords that passed the gate. Stays in
   the JVM, no Python workers.
@@ -19,9 +19,10 @@ Interchangeable scorers produce the same ``scores ARRAY<INT>`` and
   word) in one Aho-Corasick pass per text, so its cost grows with the text
   length and the hits, not with text length x keywords. Occurrences of a
   keyword that can overlap itself are counted greedily left to right, which
-  is ``str.count``. Needs ``pyahocorasick`` on the executors.
+  is ``str.count``. Needs ``pyahocorasick`` on the executors; the ``auto``
+  default when it is installed.
 
-Both are row-local (a projection): no shuffle, partitioned like the input.
+All are row-local (a projection): no shuffle, partitioned like the input.
 """
 
 from __future__ import annotations
