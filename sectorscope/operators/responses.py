@@ -220,8 +220,11 @@ def estimated_cost(n: Column, framework: str = FRAMEWORK_CONTEXT) -> dict[str, C
     tin = (n * per_in).cast("bigint")
     tout = (n * OUTPUT_TOKENS_PER_COMPANY).cast("bigint")
     cost = tin / 1_000_000 * PRICE_INPUT_PER_M + tout / 1_000_000 * PRICE_OUTPUT_PER_M
+    secs = n / RATE_ROWS_PER_SECOND
+    # shown as "~{minutes}m {seconds}s", both truncated
+    text = F.format_string("~%dm %ds", F.floor(secs / 60).cast("bigint"), F.floor(secs % 60).cast("bigint"))
     return {"input_tokens": tin, "output_tokens": tout, "total_cost_usd": cost,
-            "est_seconds": n / RATE_ROWS_PER_SECOND}
+            "est_seconds": secs, "est_time_text": text}
 
 
 def actual_cost(input_tokens: Column, output_tokens: Column) -> Column:

@@ -295,7 +295,10 @@ def oracle_sql() -> dict[str, str]:
         "cost_estimate": with_([COMPANIES], f"""SELECT n_companies, input_tokens, output_tokens,
             CAST(input_tokens AS DOUBLE) / 1000000 * CAST({rs.PRICE_INPUT_PER_M} AS DOUBLE)
               + CAST(output_tokens AS DOUBLE) / 1000000 * CAST({rs.PRICE_OUTPUT_PER_M} AS DOUBLE) AS total_cost_usd,
-            CAST(n_companies AS DOUBLE) / {rs.RATE_ROWS_PER_SECOND} AS est_seconds FROM (
+            CAST(n_companies AS DOUBLE) / {rs.RATE_ROWS_PER_SECOND} AS est_seconds,
+            '~' || CAST(floor(CAST(n_companies AS DOUBLE) / {rs.RATE_ROWS_PER_SECOND} / 60) AS BIGINT) || 'm '
+              || CAST(floor(CAST(n_companies AS DOUBLE) / {rs.RATE_ROWS_PER_SECOND} % 60) AS BIGINT) || 's'
+              AS est_time_text FROM (
             SELECT count(*) AS n_companies, CAST(count(*) * {per_in} AS BIGINT) AS input_tokens,
               CAST(count(*) * {rs.OUTPUT_TOKENS_PER_COMPANY} AS BIGINT) AS output_tokens FROM companies)"""),
         "response_parse": with_(PARSED, f"SELECT company_id, error_class, {SELECT6} FROM parsed"),
