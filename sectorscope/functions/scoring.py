@@ -141,15 +141,18 @@ def aho_scorer(lex: Lexicon):
             automaton.add_word(w, pid)
         automaton.make_automaton()
         pattern_of = itemgetter(1)
+        # one shared "nothing found" result (null text, or no match): read-only
+        zeros, nothing, no_generic = [0] * len(kw_ids), [[] for _ in kw_ids], []
         all_scores, all_found, all_generic = [], [], []
-        for text in texts:
-            if text is None:  # like the native scorer: nothing found
-                all_scores.append([0] * len(kw_ids))
-                all_found.append([[] for _ in kw_ids])
-                all_generic.append([])
+        for text in texts.tolist():
+            if text is not None:
+                low = text.lower()
+                counts = Counter(map(pattern_of, automaton.iter(low)))
+            if text is None or not counts:
+                all_scores.append(zeros)
+                all_found.append(nothing)
+                all_generic.append(no_generic)
                 continue
-            low = text.lower()
-            counts = Counter(map(pattern_of, automaton.iter(low)))
             for pid, w in overlapping:
                 if pid in counts:
                     counts[pid] = low.count(w)
