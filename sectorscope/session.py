@@ -16,28 +16,40 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     """Build (or reuse) a session with AQE on and the UI off.
 
     On a cluster, call with ``master=None`` and let ``spark-submit`` decide;
-    ``shuffle_partitions`` is then only the AQE starting point.
+    the cluster's ``spark.sql.shuffle.partitions`` is then kept (it is AQE's
+    starting point: AQE merges small partitions but never splits a large
+    one, so it must be sized for the data). A local session without an
+    explicit ``shuffle_partitions`` gets one partition per core.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("SECTORSCOPE_SHUFFLE_PARTITIONS", "8"))
+    local = bool(master) and master.startswith("local")
+    parts = shuffle_partitions or (_local_cores(master) if local else None)
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
         builder.config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    if master and master.startswith("local"):
+    if local:
         builder = builder.config("spark.driver.memory", os.environ.get("SECTORSCOPE_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def _local_cores(master: str) -> int:
+    """N of ``local[N]``; the machine's cores for ``local`` / ``local[*]``."""
+    inner = master[len("local["):-1] if master.startswith("local[") else ""
+    head = inner.split(",")[0]
+    return int(head) if head.isdigit() else (os.cpu_count() or 1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
