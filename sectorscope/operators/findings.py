@@ -11,6 +11,8 @@ numbers.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,22 @@ from sectorscope.operators import profiles as pf
 
 FINDINGS_SCHEMA = "finding string, label string, n bigint, value double"
 
+# The sentence of each finding, worded as the reference words
+# it ({value} is shown with one decimal). The wave finding has two forms.
+SENTENCES: dict[str, str] = {
+    "dominant_archetype": "**{label}** is the dominant archetype with {n} companies ({value}%)",
+    "innovation_maturity_3": "**{value}%** of companies are in Wave 3.0, indicating a highly evolved ecosystem "
+                             "with embedded insurance and open platforms",
+    "innovation_maturity_2": "**{value}%** in Wave 2.0, showing strong B2B enabler presence",
+    "top_capability": "**{label}** is the most prevalent driving capability across the ecosystem",
+    "capability_density": "Companies leverage an average of **{value} capabilities**, showing {label} "
+                          "technological sophistication",
+    "classification_quality": "**{value}%** successful classifications ({n}/{label} companies)",
+    "ecosystem_diversity": "Ecosystem spans **{n} different archetypes** from the framework",
+    "hybrid_models": "**{value}%** of companies exhibit hybrid characteristics, operating across multiple archetypes",
+}
+# End of fixed values.
+
 
 def _row(name: str, label: Column, n: Column, value: Column, keep: Column) -> Column:
     return F.struct(F.lit(name).alias("finding"), label.cast("string").alias("label"),
@@ -83,28 +101,26 @@ def _fmt1(x: Column) -> Column:
     return F.regexp_replace(F.format_number(x, 1), ",", "")
 
 
+def _sentence(template: str, fields: dict[str, Column]) -> Column:
+    """``template.format(**fields)`` as one ``concat`` of literals and columns."""
+    pieces: list[Column] = []
+    for lit, fld, _, _ in string.Formatter().parse(template):
+        if lit:
+            pieces.append(F.lit(lit))
+        if fld is not None:
+            pieces.append(fields[fld])
+    return F.concat(*pieces)
+
+
 def render_text(f: DataFrame) -> DataFrame:
     """Add the sentence for each finding."""
-    label, n, v = F.col("label"), F.col("n").cast("string"), F.col("value")
-    text = (F.when(F.col("finding") == "dominant_archetype",
-                   F.concat(F.lit("**"), label, F.lit("** is the dominant archetype with "), n,
-                            F.lit(" companies ("), _fmt1(v), F.lit("%)")))
-             .when((F.col("finding") == "innovation_maturity") & (label == "3.0"),
-                   F.concat(F.lit("**"), _fmt1(v), F.lit("%** of companies are in Wave 3.0, indicating a highly "
-                                                         "evolved ecosystem with embedded insurance and open platforms")))
-             .when(F.col("finding") == "innovation_maturity",
-                   F.concat(F.lit("**"), _fmt1(v), F.lit("%** in Wave 2.0, showing strong B2B enabler presence")))
-             .when(F.col("finding") == "top_capability",
-                   F.concat(F.lit("**"), label, F.lit("** is the most prevalent driving capability across the ecosystem")))
-             .when(F.col("finding") == "capability_density",
-                   F.concat(F.lit("Companies leverage an average of **"), _fmt1(v), F.lit(" capabilities**, showing "),
-                            label, F.lit(" technological sophistication")))
-             .when(F.col("finding") == "classification_quality",
-                   F.concat(F.lit("**"), _fmt1(v), F.lit("%** successful classifications ("), n, F.lit("/"),
-                            label, F.lit(" companies)")))
-             .when(F.col("finding") == "ecosystem_diversity",
-                   F.concat(F.lit("Ecosystem spans **"), n, F.lit(" different archetypes** from the framework")))
-             .when(F.col("finding") == "hybrid_models",
-                   F.concat(F.lit("**"), _fmt1(v), F.lit("%** of companies exhibit hybrid characteristics, "
-                                                         "operating across multiple archetypes"))))
+    fields = {"label": F.col("label"), "n": F.col("n").cast("string"), "value": _fmt1(F.col("value"))}
+    finding = F.col("finding")
+    wave3 = (finding == "innovation_maturity") & (F.col("label") == "3.0")
+    key = F.when(wave3, F.lit("innovation_maturity_3")) \
+           .when(finding == "innovation_maturity", F.lit("innovation_maturity_2")).otherwise(finding)
+    text = None
+    for name, template in SENTENCES.items():
+        branch = _sentence(template, fields)
+        text = F.when(key == name, branch) if text is None else text.when(key == name, branch)
     return f.withColumn("text", text)

@@ -84,6 +84,7 @@ API_ERROR = "API Error"
 JSON_ERROR_TEXT = "JSON parse error"
 DEFAULT_ARCHETYPE = "Unclassified"
 DEFAULT_CONFIDENCE = "Medium"
+ESTIMATE_TIME_FORMAT = "~%dm %ds"  # time estimate shown before a run
 # End of fixed values.
 # ---------------------------------------------------------------------------
 
@@ -221,8 +222,9 @@ def estimated_cost(n: Column, framework: str = FRAMEWORK_CONTEXT) -> dict[str, C
     tout = (n * OUTPUT_TOKENS_PER_COMPANY).cast("bigint")
     cost = tin / 1_000_000 * PRICE_INPUT_PER_M + tout / 1_000_000 * PRICE_OUTPUT_PER_M
     secs = n / RATE_ROWS_PER_SECOND
-    # shown as "~{minutes}m {seconds}s", both truncated
-    text = F.format_string("~%dm %ds", F.floor(secs / 60).cast("bigint"), F.floor(secs % 60).cast("bigint"))
+    # minutes and seconds, both truncated
+    text = F.format_string(ESTIMATE_TIME_FORMAT, F.floor(secs / 60).cast("bigint"),
+                           F.floor(secs % 60).cast("bigint"))
     return {"input_tokens": tin, "output_tokens": tout, "total_cost_usd": cost,
             "est_seconds": secs, "est_time_text": text}
 

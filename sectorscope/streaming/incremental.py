@@ -82,12 +82,17 @@ def classify_stream_with_progress(spark: SparkSession, source: str, schema: Stru
             .trigger(availableNow=True).start())
 
 
+# ETA display formats, below a minute / below an hour / longer.
+ETA_SECONDS, ETA_MINUTES, ETA_HOURS = "%ds", "%dm %ds", "%dh %dm"
+# End of fixed values.
+
+
 def duration_text(seconds: Column) -> Column:
     """"42s", "3m 5s" or "2h 7m", like the reference's ETA display."""
     s = F.floor(seconds).cast("bigint")
-    return (F.when(seconds < 60, F.format_string("%ds", s))
-             .when(seconds < 3600, F.format_string("%dm %ds", F.floor(s / 60).cast("bigint"), s % 60))
-             .otherwise(F.format_string("%dh %dm", F.floor(s / 3600).cast("bigint"),
+    return (F.when(seconds < 60, F.format_string(ETA_SECONDS, s))
+             .when(seconds < 3600, F.format_string(ETA_MINUTES, F.floor(s / 60).cast("bigint"), s % 60))
+             .otherwise(F.format_string(ETA_HOURS, F.floor(s / 3600).cast("bigint"),
                                         F.floor((s % 3600) / 60).cast("bigint"))))
 
 
