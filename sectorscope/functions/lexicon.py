@@ -61,6 +61,9 @@ GENERIC_WORDS: list[str] = [
 HYBRID = "Hybrid"
 GENERALIST = "Traditional / Generalist"
 UNCLASSIFIED = "Unclassified"
+# Confidence labels, and the best scores at which High / Medium start.
+HIGH, MEDIUM, LOW = "High", "Medium", "Low"
+HIGH_FROM, MEDIUM_FROM = 3, 1
 # End of fixed values.
 # ---------------------------------------------------------------------------
 

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.functions import text as tx
-from sectorscope.functions.lexicon import GENERALIST, HYBRID, UNCLASSIFIED, Lexicon, default_lexicon
+from sectorscope.functions.lexicon import (GENERALIST, HIGH, HIGH_FROM, HYBRID, LOW, MEDIUM, MEDIUM_FROM,
+                                          UNCLASSIFIED, Lexicon, default_lexicon)
 from sectorscope.functions.scoring import (aho_scorer, arrow_scorer, native_found, native_scores,
                                           resolve_scorer)
 
@@ -127,11 +128,11 @@ def _decision(text: Column, sc: Column, lex: Lexicon, precomputed: tuple[str, ..
                  .when(best == 0, F.when(F.size(generic) > 0, F.lit(GENERALIST)).otherwise(F.lit(UNCLASSIFIED)))
                  .when(hybrid, F.lit(HYBRID))
                  .otherwise(F.element_at(cats, i1)))
-        conf = (F.when(empty | (best == 0), F.lit("Low"))
-                 .when(hybrid, F.lit("Medium"))
-                 .when(best >= 3, F.lit("High"))
-                 .when(best >= 1, F.lit("Medium"))
-                 .otherwise(F.lit("Low")))
+        conf = (F.when(empty | (best == 0), F.lit(LOW))
+                 .when(hybrid, F.lit(MEDIUM))
+                 .when(best >= HIGH_FROM, F.lit(HIGH))
+                 .when(best >= MEDIUM_FROM, F.lit(MEDIUM))
+                 .otherwise(F.lit(LOW)))
         kws = (F.when(empty, F.lit(""))
                 .when(best == 0, F.array_join(generic, ", "))
                 .when(hybrid, F.array_join(F.concat(F.element_at(found, i1), F.element_at(found, i2)), ", "))

@@ -68,7 +68,7 @@ def findings(df: DataFrame) -> DataFrame:
                                                                        x["dc"].alias("dc"))))
     mat_n = F.when(F.col("n3") > 0, F.col("n3")).otherwise(F.col("n2"))
     mat_label = F.when(F.col("n3") > 0, F.lit("3.0")).otherwise(F.lit("2.0"))
-    level = F.when(F.col("avg_dcs") >= 3, F.lit("high")).otherwise(F.lit("moderate"))
+    level = F.when(F.col("avg_dcs") >= pf.DENSITY_HIGH_FROM, F.lit(pf.DENSITY_HIGH)).otherwise(F.lit(pf.DENSITY_MODERATE))
     none_s, none_n, none_v = F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(None).cast("double")
     rows = F.array(
         _row("innovation_maturity", mat_label, mat_n, pf.pct(mat_n, F.col("n_waves")),

@@ -29,6 +29,10 @@ SECONDARY = "Secondary_Archetypes"
 # Capability codes and the labels the reference treats specially.
 DC_CODES = ["DC1", "DC2", "DC3", "DC4", "DC5"]
 EXACT_FAILURES = ["Unclassified", "API Error"]
+ERROR_MARK = "Error"                    # a label containing it is an error
+DC_MARK = "DC"                          # counted in the capability columns
+DENSITY_HIGH_FROM = 3                   # average capabilities per row for "high"
+DENSITY_HIGH, DENSITY_MODERATE = "high", "moderate"
 # End of fixed values.
 
 
@@ -40,7 +44,7 @@ def pct(n: Column, total: Column) -> Column:
 def is_error(arch: Column | None = None) -> Column:
     """Label contains "Error"; a null label is not an error."""
     arch = F.col(ARCH) if arch is None else arch
-    return F.coalesce(arch.contains("Error"), F.lit(False))
+    return F.coalesce(arch.contains(ERROR_MARK), F.lit(False))
 
 
 def non_error_rows(df: DataFrame, arch_col: str = ARCH) -> DataFrame:
@@ -154,7 +158,7 @@ def with_dc_flags(df: DataFrame, col: str = DCS) -> DataFrame:
 
 
 def dc_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith("DC")]
+    return [c for c in df.columns if c.startswith(DC_MARK)]
 
 
 def capability_top10(df: DataFrame) -> DataFrame:
@@ -169,7 +173,7 @@ def capability_counts(df: DataFrame) -> DataFrame:
 
 
 def _dc_mentions(df: DataFrame, cols: list[str]) -> list[Column]:
-    return [F.count_if(F.coalesce(F.col(c).contains("DC"), F.lit(False))).alias(c) for c in cols]
+    return [F.count_if(F.coalesce(F.col(c).contains(DC_MARK), F.lit(False))).alias(c) for c in cols]
 
 
 def _long_form(df: DataFrame, cols: list[str], key: str, value: str) -> DataFrame:
@@ -189,9 +193,9 @@ def capability_density(df: DataFrame) -> DataFrame:
     """Average number of "DC" mentions per row over the DC columns."""
     flagged = with_dc_flags(df) if not dc_columns(df) else df
     cols = dc_columns(flagged)
-    per_row = sum((F.coalesce(F.regexp_count(F.col(c), F.lit("DC")), F.lit(0)) for c in cols), F.lit(0))
+    per_row = sum((F.coalesce(F.regexp_count(F.col(c), F.lit(DC_MARK)), F.lit(0)) for c in cols), F.lit(0))
     out = flagged.agg(F.avg(per_row).alias("avg_dcs"))
-    level = F.when(F.col("avg_dcs") >= 3, F.lit("high")).otherwise(F.lit("moderate"))
+    level = F.when(F.col("avg_dcs") >= DENSITY_HIGH_FROM, F.lit(DENSITY_HIGH)).otherwise(F.lit(DENSITY_MODERATE))
     return out.withColumn("level", level)
 
 
@@ -232,7 +236,7 @@ def profile_cube(df: DataFrame) -> tuple[DataFrame, list[str]]:
     sec = F.col(SECONDARY)
     keys = [F.col(ARCH).alias("label"), F.col(WAVE).alias("wave"),
             (sec.isNotNull() & (sec != "") & (sec != "[]")).alias("has_sec")]
-    keys += [F.coalesce(F.regexp_count(F.col(c), F.lit("DC")), F.lit(0)).alias(c) for c in cols]
+    keys += [F.coalesce(F.regexp_count(F.col(c), F.lit(DC_MARK)), F.lit(0)).alias(c) for c in cols]
     cube = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return cube, cols
 
@@ -251,7 +255,7 @@ def archetype_summary(df: DataFrame) -> DataFrame:
     """
     flagged = with_dc_flags(df) if not dc_columns(df) else df
     cols = dc_columns(flagged)
-    mentions = [F.count_if(F.coalesce(F.col(c).contains("DC"), F.lit(False))).alias(c) for c in cols]
+    mentions = [F.count_if(F.coalesce(F.col(c).contains(DC_MARK), F.lit(False))).alias(c) for c in cols]
     per_wave = flagged.groupBy(F.col(ARCH).alias("label"), F.col(WAVE).alias("wave")).agg(
         F.count(F.lit(1)).alias("n"), *mentions)
     rank = F.when(F.col("wave").isNotNull(), F.struct((-F.col("n")).alias("neg"), F.col("wave").alias("wave")))

@@ -84,6 +84,7 @@ API_ERROR = "API Error"
 JSON_ERROR_TEXT = "JSON parse error"
 DEFAULT_ARCHETYPE = "Unclassified"
 DEFAULT_CONFIDENCE = "Medium"
+ERROR_CONFIDENCE = "Low"
 ESTIMATE_TIME_FORMAT = "~%dm %ds"  # time estimate shown before a run
 # End of fixed values.
 # ---------------------------------------------------------------------------
@@ -178,7 +179,7 @@ def parse_responses(df: DataFrame, json_col: str = "response_json") -> DataFrame
         "Predicted_Archetype": pick(F.coalesce(r["archetype"], F.lit(DEFAULT_ARCHETYPE)),
                                     F.lit(JSON_ERROR), F.lit(API_ERROR)),
         "Confidence_Score": pick(F.coalesce(r["confidence"], F.lit(DEFAULT_CONFIDENCE)),
-                                 F.lit("Low"), F.lit("Low")),
+                                 F.lit(ERROR_CONFIDENCE), F.lit(ERROR_CONFIDENCE)),
         "Keywords_Found": pick(just, F.lit(JSON_ERROR_TEXT),
                                F.concat(F.lit("Error: "), F.substring(api_msg, 1, ERROR_MESSAGE_CHARS))),
         "Secondary_Archetypes": pick(joined("secondary_archetypes"), F.lit(""), F.lit("")),
