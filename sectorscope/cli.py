@@ -1,6 +1,6 @@
 """Command line: classify a company table and write the results.
 
-    spark-submit -m sectorscope.cli companies.csv --out results/
+    spark-submit --py-files sectorscope.zip sectorscope/cli.py companies.csv --out results/
     python -m sectorscope.cli companies.parquet --out results/ --desc 3 --mode model \\
         --responses stored.parquet --key company_id --age-cutoff 2010
 
