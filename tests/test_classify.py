@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sectorscope.functions.lexicon import Lexicon, default_lexicon, probe_lexicon
 from sectorscope.operators.classify import classify_companies, classify_text, score
 from sectorscope.operators.lexicon_join import classify_by_join
+from sectorscope.plans.explain import plan_text
 from sectorscope.sources.tables import read_table
 from conftest import SF_SMALL
 
@@ -113,7 +114,7 @@ def test_join_scorer_shuffled_path(spark, monkeypatch):
     try:
         joined = classify_by_join(d, "doc_id", "text", lex, keep_scores=True)
         rows = sorted(map(tuple, joined.select(cols).collect()))
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        plan = plan_text(joined)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     assert "BroadcastHashJoin" not in plan
@@ -148,10 +149,10 @@ def test_properties(spark, texts):
 
 def test_classifier_plan_is_one_projection(spark):
     d = read_table(spark, SF_SMALL, "documents", spread=False)
-    plan = classify_text(d, "text", scorer="native")._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(classify_text(d, "text", scorer="native"))
     assert "Exchange" not in plan and "Python" not in plan
     # the automaton scorer adds one Arrow-batched Python step, still no shuffle
-    plan = classify_text(d, "text", scorer="aho")._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(classify_text(d, "text", scorer="aho"))
     assert "Exchange" not in plan and "ArrowEvalPython" in plan
 
 

@@ -8,6 +8,8 @@ import sys, os
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from oracle_check import digest, duck  # noqa: E402
 
+from sectorscope.plans.explain import plan_text  # noqa: E402
+
 SQL = entry.oracle_sql()
 
 
@@ -20,7 +22,7 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(df)
     for banned in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython"):
         assert banned not in plan, f"{name}: {banned}"
     # every row is scored once: one scoring step per query in the final plan

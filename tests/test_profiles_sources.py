@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sectorscope.operators import corrections, explore, findings, profiles
+from sectorscope.plans.explain import plan_text
 from sectorscope.sources import files
 from sectorscope.sources.tables import read_table
 from conftest import SF_SMALL
@@ -24,7 +25,7 @@ def test_head_per_label_uses_partial_group_limit(spark):
                                      F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("Predicted_Archetype"),
                                      F.lit("Low").alias("Confidence_Score"), F.lit("").alias("Keywords_Found"))
     out = explore.head_per_label(df, "company_id", 5)
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(out)
     assert "WindowGroupLimit" in plan
     rows = out.collect()
     assert len(rows) == 10 and sorted(r["company_id"] for r in rows if r["Predicted_Archetype"] == "A") == [0, 3, 6, 9, 12]
