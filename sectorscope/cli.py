@@ -71,9 +71,10 @@ def classify_table(spark: SparkSession, args: argparse.Namespace) -> tuple[DataF
         if args.key not in df.columns:
             raise SystemExit(f"--key {args.key!r} is not a column of the input")
         stored = files.scan(spark, args.responses, args.responses_format)
-        names = [name_col] + [c for c in tx.NAME_COLUMNS if c != name_col]
+        # the prompt's company name comes from the default name columns, as in
+        # the row classifier; the chosen name column is for display only
         result = rs.classify_with_model(
-            df, result, rs.stored_responder(stored, args.key), tx.company_name(df, names),
+            df, result, rs.stored_responder(stored, args.key), tx.company_name(df),
             tx.combined_text(df, desc_col), tx.industries(df), key=args.key)
     if args.age_cutoff is not None:
         result = corrections.age_correction(corrections.founding_year(result), args.age_cutoff)
