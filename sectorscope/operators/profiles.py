@@ -4,9 +4,8 @@ Scale notes, for every operator here:
   * every ``groupBy`` is a hash aggregate with a partial (map-side) phase, so
     a label holding a third of all rows costs one partial row per task, not a
     hot reducer;
-  * whole-table totals are attached to *aggregated* results (one row per
-    label) with an unpartitioned window; those inputs are label-sized, never
-    row-sized;
+  * whole-table totals are attached to aggregated results as a scalar
+    subquery (partial sums, one row), never through a single partition;
   * top-N uses ``orderBy().limit()`` (``TakeOrderedAndProject``: a partial
     top-N per task) or ``row_number() <= N`` per group, which Spark plans
     with a partial ``WindowGroupLimit`` before the shuffle;
@@ -56,9 +55,19 @@ def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
     return df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias(name))
 
 
-def with_share(counts: DataFrame, n_col: str = "n", name: str = "share_pct") -> DataFrame:
-    """Share of each row of an aggregated result (label-sized input only)."""
-    return counts.withColumn(name, pct(F.col(n_col), F.sum(n_col).over(Window.partitionBy())))
+def with_share(counts: DataFrame, n_col: str = "n", name: str = "share_pct",
+               total: Column | None = None) -> DataFrame:
+    """Share of each row of an aggregated result.
+
+    The total is a scalar subquery: partial sums per task, one row at the
+    end, and the rows themselves stay where they are (no single-partition
+    window, however many labels a model returns). Spark reuses the input's
+    exchange for the subquery, so the rows below are computed once; that
+    holds when the subquery needs the same columns of ``counts`` as the
+    query does. Pass ``total`` to use another expression of the total.
+    """
+    total = counts.agg(F.sum(n_col)).scalar() if total is None else total
+    return counts.withColumn(name, pct(F.col(n_col), total))
 
 
 def top_n(counts: DataFrame, label: str, n: int, n_col: str = "n") -> DataFrame:
@@ -261,7 +270,12 @@ def archetype_summary(df: DataFrame) -> DataFrame:
     rank = F.when(F.col("wave").isNotNull(), F.struct((-F.col("n")).alias("neg"), F.col("wave").alias("wave")))
     base = per_wave.groupBy("label").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols],
                                          F.min_by("wave", rank).alias("dominant_wave"))
-    base = with_share(base, name="pct").filter(F.col("label").isNotNull())
+    # total over the per-label rows through a window: a scalar subquery would
+    # need only ``n``, Catalyst would prune the DC counts from its copy of the
+    # aggregates, the exchanges would differ and the rows would be classified
+    # twice. One row per label reaches the window's single partition.
+    total = F.sum("n").over(Window.partitionBy())
+    base = with_share(base, name="pct", total=total).filter(F.col("label").isNotNull())
     ranked = F.sort_array(F.array(*[F.struct((-F.col(c)).alias("neg"), F.lit(i).alias("i"), F.lit(c).alias("dc"))
                                     for i, c in enumerate(cols)]))
     any_dc = sum((F.col(c) for c in cols), F.lit(0)) > 0

@@ -21,5 +21,22 @@ def plan_text(df: DataFrame, mode: str = "simple") -> str:
 
 
 def final_plan(df: DataFrame) -> str:
-    """The executed physical plan, without AQE's initial plan."""
-    return plan_text(df).split("== Initial Plan ==")[0]
+    """The executed physical plan without AQE's initial plans.
+
+    Every adaptive plan (the query's and each subquery's) prints a
+    ``+- == Initial Plan ==`` subtree after its final one; each such subtree
+    is dropped, up to the next line at its own depth or shallower.
+    """
+    out, skip_from = [], None
+    for line in plan_text(df).splitlines():
+        body = line.lstrip(" :|")
+        depth = len(line) - len(body)
+        if skip_from is not None:
+            if depth > skip_from or not body:
+                continue
+            skip_from = None
+        if body.startswith("+- == Initial Plan =="):
+            skip_from = depth
+            continue
+        out.append(line)
+    return "\n".join(out)

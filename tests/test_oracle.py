@@ -8,7 +8,7 @@ import sys, os
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from oracle_check import digest, duck  # noqa: E402
 
-from sectorscope.plans.explain import plan_text  # noqa: E402
+from sectorscope.plans.explain import final_plan, plan_text  # noqa: E402
 
 SQL = entry.oracle_sql()
 
@@ -27,7 +27,7 @@ def test_query_matches_oracle(spark, con, name):
         assert banned not in plan, f"{name}: {banned}"
     # every row is scored once: one scoring step per query in the final plan
     # (resume_pending scores the saved rows and the pending rows apart)
-    final = plan.split("== Initial Plan ==")[0]
+    final = final_plan(df)
     sites = 2 if name == "resume_pending" else 1
     assert final.count("ArrowEvalPython") <= sites, name
     # the classifier's fence marks each place it is evaluated, for every scorer
