@@ -40,10 +40,10 @@ _T = "_t"  # lower-cased text, kept for callers that re-use it
 def let(value: Column, fn) -> Column:
     """Evaluate ``value`` once per row and pass it to ``fn``.
 
-    The value is bound to a lambda variable, so when Catalyst copies the
-    expression (a filter pushed below this projection, several consumers of
-    one column) every copy still evaluates ``value`` once instead of inlining
-    it into each keyword test.
+    The value is bound to a lambda variable. Higher-order functions evaluate
+    their lambdas per element, so an expression captured there (the
+    lower-cased text in every keyword test, the scores in every decision
+    branch) would otherwise be recomputed for each element.
     """
     return F.element_at(F.transform(F.array(value), fn), 1)
 
