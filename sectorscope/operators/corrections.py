@@ -2,9 +2,9 @@
 
 The year column is chosen at plan time by name. Whether a string column is
 read as numbers or as dates is a whole-column decision (at least 30% of the
-rows must parse as numbers); that needs one small aggregate, run eagerly as a
-single-row action before the projection is built. Date and timestamp columns
-skip it and use ``year()``.
+rows must parse as numbers); that is one small aggregate, a scalar subquery
+inside the same query, so building the plan runs no job. Date and timestamp
+columns skip it and use ``year()``.
 """
 
 from __future__ import annotations
@@ -53,9 +53,10 @@ def founding_year(df: DataFrame, column: str | None = None) -> DataFrame:
     if isinstance(dtype, T.NumericType):
         return df.withColumn("Founded_Year", c.cast("double"))
     numeric = F.expr(f"try_cast(`{col_name}` AS DOUBLE)")
-    stats = df.agg(F.count(numeric).alias("n_num"), F.count(F.lit(1)).alias("n")).first()
-    use_numbers = stats["n_num"] >= stats["n"] * NUMERIC_SHARE
-    year = numeric if use_numbers else _date_year(c).cast("double")
+    # whole-column choice as a scalar subquery: one row, computed once inside
+    # the query (column pruning leaves it a scan of the year column)
+    use_numbers = df.agg(F.count(numeric) >= F.count(F.lit(1)) * F.lit(NUMERIC_SHARE)).scalar()
+    year = F.when(use_numbers, numeric).otherwise(_date_year(c).cast("double"))
     return df.withColumn("Founded_Year", year)
 
 
