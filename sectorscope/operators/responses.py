@@ -85,6 +85,8 @@ JSON_ERROR_TEXT = "JSON parse error"
 DEFAULT_ARCHETYPE = "Unclassified"
 DEFAULT_CONFIDENCE = "Medium"
 ERROR_CONFIDENCE = "Low"
+PROCESSING_ERROR = "Processing Error"   # a request whose processing raised
+PROCESSING_MESSAGE_CHARS = 100          # its message, cut to this length
 ESTIMATE_TIME_FORMAT = "~%dm %ds"  # time estimate shown before a run
 # End of fixed values.
 # ---------------------------------------------------------------------------
@@ -141,9 +143,11 @@ def _python_type_name(j: Column) -> Column:
              .otherwise(number))
 
 
-def parse_responses(df: DataFrame, json_col: str = "response_json") -> DataFrame:
-    """Add the six result columns and ``error_class`` (null / 'json' / 'api').
+def parse_responses(df: DataFrame, json_col: str = "response_json", error_col: str = "error") -> DataFrame:
+    """Add the six result columns and ``error_class`` (null / 'processing' / 'json' / 'api').
 
+    * a recorded failure (``error_col`` set, when the table has it) ->
+      ("Processing Error", Low, the message cut to 100 characters)
     * not valid JSON -> ("API Error - JSON", Low, "JSON parse error")
     * valid JSON that is not an object -> ("API Error", Low, "Error: <message>")
     * an object -> fields with defaults; null and absent both get the default;
@@ -154,7 +158,10 @@ def parse_responses(df: DataFrame, json_col: str = "response_json") -> DataFrame
     out = df.withColumn("_r", F.from_json(j, RESPONSE_SCHEMA))
     valid = F.try_parse_json(j).isNotNull()
     is_obj = F.substring(F.trim(j), 1, 1) == "{"
-    err = (F.when(j.isNull() | ~valid, F.lit("json"))
+    failed = F.col(error_col).isNotNull() if error_col in df.columns else F.lit(False)
+    message = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")
+    err = (F.when(failed, F.lit("processing"))
+            .when(j.isNull() | ~valid, F.lit("json"))
             .when(~is_obj, F.lit("api")))
     out = out.withColumn("error_class", err)
     r = F.col("_r")
@@ -165,8 +172,10 @@ def parse_responses(df: DataFrame, json_col: str = "response_json") -> DataFrame
     e = F.col("error_class")
     ok = e.isNull()
 
-    def pick(value: Column, on_json: Column, on_api: Column) -> Column:
-        return F.when(ok, value).when(e == "json", on_json).otherwise(on_api)
+    def pick(value: Column, on_json: Column, on_api: Column, on_failed: Column | None = None) -> Column:
+        on_failed = on_json if on_failed is None else on_failed
+        return (F.when(ok, value).when(e == "processing", on_failed)
+                 .when(e == "json", on_json).otherwise(on_api))
 
     def joined(field: str) -> Column:
         return F.coalesce(F.array_join(r[field], ", "), F.lit(""))
@@ -177,11 +186,12 @@ def parse_responses(df: DataFrame, json_col: str = "response_json") -> DataFrame
         mismatch = mismatch | (present & r[field].isNull())
     out = out.withColumns({
         "Predicted_Archetype": pick(F.coalesce(r["archetype"], F.lit(DEFAULT_ARCHETYPE)),
-                                    F.lit(JSON_ERROR), F.lit(API_ERROR)),
+                                    F.lit(JSON_ERROR), F.lit(API_ERROR), F.lit(PROCESSING_ERROR)),
         "Confidence_Score": pick(F.coalesce(r["confidence"], F.lit(DEFAULT_CONFIDENCE)),
                                  F.lit(ERROR_CONFIDENCE), F.lit(ERROR_CONFIDENCE)),
         "Keywords_Found": pick(just, F.lit(JSON_ERROR_TEXT),
-                               F.concat(F.lit("Error: "), F.substring(api_msg, 1, ERROR_MESSAGE_CHARS))),
+                               F.concat(F.lit("Error: "), F.substring(api_msg, 1, ERROR_MESSAGE_CHARS)),
+                               F.substring(message, 1, PROCESSING_MESSAGE_CHARS)),
         "Secondary_Archetypes": pick(joined("secondary_archetypes"), F.lit(""), F.lit("")),
         "Driving_Capabilities": pick(joined("driving_capabilities"), F.lit(""), F.lit("")),
         "Innovation_Wave": pick(F.coalesce(r["innovation_wave"], F.lit("")), F.lit(""), F.lit("")),
@@ -236,9 +246,15 @@ def actual_cost(input_tokens: Column, output_tokens: Column) -> Column:
 
 # --- the model step as a pluggable DataFrame -> DataFrame --------------------------
 
-def answered(stored: DataFrame, json_col: str = "response_json") -> DataFrame:
-    """Rows of a stored-response table that hold an answer (a null response is none)."""
-    return stored.filter(F.col(json_col).isNotNull())
+def answered(stored: DataFrame, json_col: str = "response_json", error_col: str = "error") -> DataFrame:
+    """Rows of a stored-response table that hold an answer or a recorded failure.
+
+    A row with neither (null response, no error) was never answered.
+    """
+    has = F.col(json_col).isNotNull()
+    if error_col in stored.columns:
+        has = has | F.col(error_col).isNotNull()
+    return stored.filter(has)
 
 
 def stored_responder(stored: DataFrame, key: str = "company_id") -> Callable[[DataFrame], DataFrame]:
@@ -259,13 +275,35 @@ def pandas_responder(fn, key: str = "company_id") -> Callable[[DataFrame], DataF
 
     Runs per Arrow batch with ``mapInPandas`` on the executors, so a caller
     can put a model client here; Spark partitions the requests, and batches
-    bound the memory of each call.
+    bound the memory of each call. If ``fn`` raises on a batch, the batch is
+    retried one request at a time and a request that still raises gets its
+    message in ``error`` (parsed as "Processing Error"), so one bad row does
+    not fail the job.
     """
+    import pandas as pd
+
+    def one_by_one(req: "pd.DataFrame") -> "pd.DataFrame":
+        parts = []
+        for i in range(len(req)):
+            row = req.iloc[[i]]
+            try:
+                parts.append(fn(row).assign(error=None))
+            except Exception as exc:  # noqa: BLE001 - recorded per row, like the reference
+                parts.append(pd.DataFrame({key: row[key].to_numpy(), "response_json": [None],
+                                           "error": [str(exc)]}))
+        return pd.concat(parts, ignore_index=True) if parts else req.assign(response_json=None, error=None)
+
     def respond(requests: DataFrame) -> DataFrame:
         def run(batches):
             for pdf in batches:
-                yield fn(pdf[[key, "prompt"]])
-        return requests.select(key, "prompt").mapInPandas(run, f"{key} bigint, response_json string")
+                req = pdf[[key, "prompt"]]
+                try:
+                    out = fn(req).assign(error=None)
+                except Exception:  # noqa: BLE001 - isolate the failing requests
+                    out = one_by_one(req)
+                yield out[[key, "response_json", "error"]]
+        return requests.select(key, "prompt").mapInPandas(
+            run, f"{key} bigint, response_json string, error string")
     return respond
 
 

@@ -13,7 +13,7 @@ from sectorscope.operators import responses as rs
 from sectorscope.operators.profiles import DC_CODES
 from sectorscope.plans import catalog as cat
 from sectorscope.sources.files import NULL_TOKENS
-from sectorscope.sources.tables import PHRASES, RESPONSES
+from sectorscope.sources.tables import FAILED_CALL, PHRASES, RESPONSES
 
 
 def q(s: str) -> str:
@@ -43,9 +43,10 @@ _resp_cases = " ".join(f"WHEN {k} THEN {q(v)}" for k, v in sorted(RESPONSES.item
 RESPONSES_CTE = f"""stored AS (
   SELECT CAST(c_custkey AS BIGINT) AS company_id,
     CASE c_custkey % 10 {_resp_cases} END AS response_json,
+    CASE WHEN c_custkey % 20 = 14 THEN {q(FAILED_CALL)} END AS error,
     CASE WHEN c_custkey % 10 <> 4 THEN CAST(400 + c_custkey % 100 AS BIGINT) END AS input_tokens,
     CASE WHEN c_custkey % 10 <> 4 THEN CAST(100 + c_custkey % 50 AS BIGINT) END AS output_tokens
-  FROM customer), responses AS (SELECT * FROM stored WHERE response_json IS NOT NULL)"""
+  FROM customer), responses AS (SELECT * FROM stored WHERE response_json IS NOT NULL OR error IS NOT NULL)"""
 
 COMPANY_TEXT = "concat_ws(' ', Description, Industries, industry_groups)"
 
@@ -120,15 +121,18 @@ def _mismatch(field: str) -> str:
 
 
 JC = rs.JUSTIFICATION_CHARS
-PARSED = [RESPONSES_CTE, f"""parsed0 AS (SELECT company_id, response_json AS j, input_tokens, output_tokens,
-      CASE WHEN response_json IS NULL OR NOT json_valid(response_json) THEN 'json'
+PARSED = [RESPONSES_CTE, f"""parsed0 AS (SELECT company_id, response_json AS j, error, input_tokens, output_tokens,
+      CASE WHEN error IS NOT NULL THEN 'processing'
+           WHEN response_json IS NULL OR NOT json_valid(response_json) THEN 'json'
            WHEN json_type(response_json) <> 'OBJECT' THEN 'api' END AS error_class
     FROM responses)""", f"""parsed AS (SELECT company_id, error_class, input_tokens, output_tokens,
-      CASE error_class WHEN 'json' THEN '{rs.JSON_ERROR}' WHEN 'api' THEN '{rs.API_ERROR}'
+      CASE error_class WHEN 'processing' THEN '{rs.PROCESSING_ERROR}'
+           WHEN 'json' THEN '{rs.JSON_ERROR}' WHEN 'api' THEN '{rs.API_ERROR}'
            ELSE coalesce(json_extract_string(j, '$.archetype'), '{rs.DEFAULT_ARCHETYPE}') END AS Predicted_Archetype,
       CASE WHEN error_class IS NOT NULL THEN 'Low'
            ELSE coalesce(json_extract_string(j, '$.confidence'), '{rs.DEFAULT_CONFIDENCE}') END AS Confidence_Score,
-      CASE error_class WHEN 'json' THEN '{rs.JSON_ERROR_TEXT}'
+      CASE error_class WHEN 'processing' THEN left(error, {rs.PROCESSING_MESSAGE_CHARS})
+           WHEN 'json' THEN '{rs.JSON_ERROR_TEXT}'
            WHEN 'api' THEN 'Error: ' || left('''' || {_pytype} || ''' object has no attribute ''get''', {rs.ERROR_MESSAGE_CHARS})
            ELSE CASE WHEN length(coalesce(json_extract_string(j, '$.justification'), '')) > {JC}
                      THEN left(json_extract_string(j, '$.justification'), {JC}) || '...'

@@ -25,7 +25,11 @@ PHRASES: list[str] = [
     "Rapid capital for patriots.",
 ]
 
-# Model responses keyed by k % 10; k % 10 = 4 has no response.
+# A failed call (k % 20 = 14): its message, longer than the 100 characters kept.
+FAILED_CALL = ("ConnectionError: the model endpoint closed the connection before it answered; "
+               "the client gave up on this request")
+
+# Model responses keyed by k % 10; k % 10 = 4 has no response (k % 20 = 14: a failed call).
 RESPONSES: dict[int, str] = {
     0: "not json",
     1: "[1]",
@@ -118,9 +122,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored model responses keyed by company: one row per customer.
 
     Customers with ``k % 10 = 4`` have no stored answer (null response and
-    token counts), which exercises the keyword fallback; ``answered`` keeps
-    the rows that hold one. Not spread: parsing short JSON is cheap per row,
-    and at small sizes this side is the build side of Spark's size-checked
+    token counts): with ``k % 20 = 4`` the call was never made, which
+    exercises the keyword fallback; with ``k % 20 = 14`` it failed and
+    ``error`` holds the message. ``answered`` keeps the rows with an answer
+    or an error. Not spread: parsing short JSON is cheap per row, and at
+    small sizes this side is the build side of Spark's size-checked
     broadcast join.
     """
     c = read_table(spark, sf_dir, "customer", spread=False)
@@ -131,6 +137,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     has = resp.isNotNull()
     return c.select(k.cast("bigint").alias("company_id"),
                     resp.alias("response_json"),
+                    F.when(k % 20 == 14, F.lit(FAILED_CALL)).alias("error"),
                     F.when(has, (F.lit(400) + k % 100).cast("bigint")).alias("input_tokens"),
                     F.when(has, (F.lit(100) + k % 50).cast("bigint")).alias("output_tokens"))
 

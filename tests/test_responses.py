@@ -36,7 +36,8 @@ def test_merge_keeps_keywords_for_missing_responses(spark):
     parsed = rs.parse_responses(rs.answered(responses(spark, SF_SMALL)))
     merged = rs.merge_with_keywords(kw, parsed)
     assert merged.count() == kw.count()
-    bad = merged.filter((F.col("company_id") % 10 == 4) != (F.col("result_source") == "keywords")).count()
+    # no answer when k % 20 = 4 (k % 20 = 14 is a failed call, which answers with an error)
+    bad = merged.filter((F.col("company_id") % 20 == 4) != (F.col("result_source") == "keywords")).count()
     assert bad == 0
     errs = rs.merge_with_keywords(kw, parsed, errors_to_keywords=True)
     assert errs.filter(F.col("Predicted_Archetype").contains("Error")).count() == 0
@@ -69,3 +70,35 @@ def test_pandas_responder_sees_prompts(spark):
     assert len(rows) == c.count()
     assert {r["Predicted_Archetype"] for r in rows} == {"Enablers"}
     assert {r["result_source"] for r in rows} == {"model"}
+
+
+def test_failed_request_is_a_processing_error(spark):
+    from sectorscope.functions import text as tx
+    from sectorscope.operators.classify import classify_companies
+    from sectorscope.sources.tables import COMPANY_AUX
+
+    message = "model unavailable: " + "z" * 150
+
+    def flaky_model(pdf):
+        if (pdf["company_id"] % 7 == 0).any():  # one bad request fails the whole call
+            raise RuntimeError(message)
+        out = pdf[["company_id"]].copy()
+        out["response_json"] = '{"archetype":"Enablers"}'
+        return out
+
+    c = companies(spark, SF_SMALL)
+    kw = classify_companies(c, "Description", COMPANY_AUX)
+    out = rs.classify_with_model(c, kw, rs.pandas_responder(flaky_model), tx.company_name(c),
+                                 tx.combined_text(c, "Description", COMPANY_AUX), tx.industries(c))
+    rows = {r["company_id"]: r for r in out.collect()}
+    assert len(rows) == c.count()
+    bad = [r for k, r in rows.items() if k % 7 == 0]
+    good = [r for k, r in rows.items() if k % 7 != 0]
+    assert bad and all(r["Predicted_Archetype"] == "Processing Error" and r["Confidence_Score"] == "Low"
+                       and r["Keywords_Found"] == message[:100] for r in bad)
+    assert good and all(r["Predicted_Archetype"] == "Enablers" for r in good)
+    # with the flag, failures fall back to keywords like other error responses
+    back = rs.classify_with_model(c, kw, rs.pandas_responder(flaky_model), tx.company_name(c),
+                                  tx.combined_text(c, "Description", COMPANY_AUX), tx.industries(c),
+                                  errors_to_keywords=True)
+    assert back.filter("Predicted_Archetype = 'Processing Error'").count() == 0
