@@ -38,7 +38,7 @@ def search(df: DataFrame, pattern: str, literal: bool = False, columns: Sequence
         needle = F.lit(pattern.lower())
         tests = [F.coalesce(F.lower(F.col(f"`{c}`").cast("string")).contains(needle), F.lit(False)) for c in cols]
     else:
-        rx = "(?i)" + pattern
+        rx = "(?iu)" + pattern  # case-insensitive for all letters, as Python's re
         tests = [F.coalesce(F.col(f"`{c}`").cast("string").rlike(rx), F.lit(False)) for c in cols]
     return df.filter(reduce(lambda a, b: a | b, tests))
 

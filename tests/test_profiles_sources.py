@@ -38,6 +38,11 @@ def test_search_is_case_insensitive_and_skips_nulls(spark):
     assert explore.search(df, "a.b", literal=True).count() == 0
 
 
+def test_search_ignores_case_beyond_ascii(spark):
+    df = spark.createDataFrame([(1, "École du Soir"), (2, "niño"), (3, "plain")], "id int, t string")
+    assert [r["id"] for r in explore.search(df, "ÉCOLE|NIÑO").orderBy("id").collect()] == [1, 2]
+
+
 def test_findings_text(spark):
     df = spark.createDataFrame([("Enablers", "", "DC1, DC2", "3.0"), ("Enablers", "Connectors", "DC1", "2.0"),
                                 ("API Error", "", "", "")],
