@@ -155,9 +155,14 @@ def wave_maturity(df: DataFrame) -> DataFrame:
 
 # --- driving capabilities ------------------------------------------------------
 
+def strip(x: Column) -> Column:
+    """Leading and trailing whitespace of any kind removed (Python's ``str.strip()``)."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def dc_list(col: str = DCS) -> Column:
-    """Capability list: split on ",", trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(F.col(col), ","), lambda x: F.trim(x)), lambda x: x != "")
+    """Capability list: split on ",", each item stripped, empties dropped."""
+    return F.filter(F.transform(F.split(F.col(col), ","), strip), lambda x: x != "")
 
 
 def with_dc_flags(df: DataFrame, col: str = DCS) -> DataFrame:

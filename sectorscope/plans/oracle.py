@@ -155,7 +155,7 @@ MODEL = _company_cls() + PARSED + ["""model AS (SELECT c.company_id,
       CASE WHEN p.company_id IS NOT NULL THEN p.Innovation_Wave ELSE '' END AS Innovation_Wave
     FROM classified c LEFT JOIN parsed p ON p.company_id = c.company_id)""",
     # capability list: split on ',', trimmed, empties dropped; one flag column per code
-    "mdc AS (SELECT *, list_filter(list_transform(string_split(Driving_Capabilities, ','), lambda x: trim(x)), "
+    "mdc AS (SELECT *, list_filter(list_transform(string_split(Driving_Capabilities, ','), lambda x: regexp_replace(x, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')), "
     "lambda x: x <> '') AS dcl FROM model)",
     "mflag AS (SELECT *, " + ", ".join(f"CASE WHEN list_contains(dcl, '{c}') THEN '{c}' END AS {c}"
                                         for c in DC_CODES) + " FROM mdc)",
