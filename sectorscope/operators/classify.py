@@ -32,7 +32,6 @@ from sectorscope.functions.scoring import (aho_scorer, arrow_scorer, native_foun
                                           resolve_scorer)
 
 RESULT_COLUMNS = ["Predicted_Archetype", "Confidence_Score", "Keywords_Found"]
-MODEL_COLUMNS = ["Secondary_Archetypes", "Driving_Capabilities", "Innovation_Wave"]
 
 _T = "_t"  # lower-cased text, kept for callers that re-use it
 

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from sectorscope.operators import profiles as pf
 
-FINDINGS_SCHEMA = "finding string, label string, n bigint, value double"
-
 # The sentence of each finding, worded as the reference words
 # it ({value} is shown with one decimal). The wave finding has two forms.
 SENTENCES: dict[str, str] = {
