@@ -5,7 +5,8 @@ Scale notes, for every operator here:
     a label holding a third of all rows costs one partial row per task, not a
     hot reducer;
   * whole-table totals are attached to aggregated results as a scalar
-    subquery (partial sums, one row), never through a single partition;
+    subquery (partial sums, one row); only ``archetype_summary`` sums its
+    per-label rows with a window (one row per label, reason given there);
   * top-N uses ``orderBy().limit()`` (``TakeOrderedAndProject``: a partial
     top-N per task) or ``row_number() <= N`` per group, which Spark plans
     with a partial ``WindowGroupLimit`` before the shuffle;
@@ -289,7 +290,7 @@ def archetype_summary(df: DataFrame) -> DataFrame:
                        top3.alias("top_capabilities"), "dominant_wave")
 
 
-NO_WAVE = "\u0000"  # join key standing in for a null wave (real waves never equal it)
+NO_WAVE = "\u0000no wave\u0000"  # join key standing in for a null wave
 
 
 def wave_profile(df: DataFrame) -> DataFrame:
