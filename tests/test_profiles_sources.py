@@ -111,3 +111,15 @@ def test_empty_input_guards(spark):
     assert set(got) == {"classification_quality", "ecosystem_diversity"}
     assert got["classification_quality"]["value"] == 0.0 and got["ecosystem_diversity"]["n"] == 0
     assert explore.filter_counts(empty, ["Hybrid"]).first().asDict() == {"n_shown": 0, "n_total": 0}
+
+
+def test_wave_profile_nulls(spark):
+    # null waves are no wave row but count in the base; null labels are no top label
+    rows = [("A", "3.0"), ("A", "3.0"), ("B", "3.0"), (None, "3.0"), (None, "3.0"), (None, "3.0"),
+            ("A", None), ("C", "1.0")]
+    df = spark.createDataFrame(rows, "Predicted_Archetype string, Innovation_Wave string")
+    got = {r["Innovation_Wave"]: r for r in profiles.wave_profile(df).collect()}
+    assert set(got) == {"3.0", "1.0"}
+    assert got["3.0"]["n"] == 6 and got["3.0"]["pct"] == 75.0
+    assert got["3.0"]["top_archetypes"] == "A: 2, B: 1"
+    assert got["1.0"]["top_archetypes"] == "C: 1" and got["1.0"]["pct"] == 12.5
