@@ -123,3 +123,17 @@ def test_wave_profile_nulls(spark):
     assert got["3.0"]["n"] == 6 and got["3.0"]["pct"] == 75.0
     assert got["3.0"]["top_archetypes"] == "A: 2, B: 1"
     assert got["1.0"]["top_archetypes"] == "C: 1" and got["1.0"]["pct"] == 12.5
+
+
+def test_archetype_summary_ties_and_nulls(spark):
+    rows = [("A", "3.0", "DC2"), ("A", "3.0", "DC2, DC1"), ("A", "2.0", ""), ("A", "2.0", "DC5"),
+            ("A", None, "DC1"), ("B", None, ""), (None, "1.0", "")]
+    df = spark.createDataFrame(rows, "Predicted_Archetype string, Innovation_Wave string, "
+                                     "Driving_Capabilities string")
+    got = {r["Predicted_Archetype"]: r for r in profiles.archetype_summary(df).collect()}
+    assert set(got) == {"A", "B"}
+    a = got["A"]
+    assert a["n"] == 5 and abs(a["pct"] - 500 / 7) < 1e-9
+    assert a["dominant_wave"] == "2.0"                 # 2 x "3.0" and 2 x "2.0": ties go to the smaller
+    assert a["top_capabilities"] == "DC1, DC2, DC5"   # 2, 2, 1 mentions; ties in column order
+    assert got["B"]["dominant_wave"] is None and got["B"]["top_capabilities"] is None
