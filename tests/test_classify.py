@@ -130,8 +130,12 @@ TEXTS = st.text(alphabet=st.sampled_from(list("abcdeiotplsf -")), max_size=60)
 def test_properties(spark, texts):
     lex = Lexicon.of([("c1", ["api", "iot", "sa"]), ("c2", ["pl", "ai"]), ("c3", ["e"])])
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t.upper()) for i, t in enumerate(texts)]
-    out = classify_text(spark.createDataFrame(rows, "id long, text string"), "text", lex, keep_scores=True)
+    df = spark.createDataFrame(rows, "id long, text string")
+    out = classify_text(df, "text", lex, keep_scores=True)
     got = {r["id"]: r for r in out.collect()}
+    # the JVM scorer agrees row for row
+    native = {r["id"]: r for r in classify_text(df, "text", lex, scorer="native", keep_scores=True).collect()}
+    assert native == got
     for i, t in enumerate(texts):
         low, up = got[i], got[100 + i]
         # case does not change scores or labels
