@@ -113,6 +113,13 @@ def archetype_diversity(df: DataFrame) -> DataFrame:
     return non_error_rows(df).agg(F.countDistinct(ARCH).alias("n_archetypes"))
 
 
+def processed_count(saved: DataFrame, arch_col: str = ARCH) -> DataFrame:
+    """Rows of a saved progress table that already hold a label (resume point), and all its rows."""
+    arch = F.col(arch_col)
+    return saved.agg(F.count_if(arch.isNotNull() & (arch != "")).alias("n_done"),
+                     F.count(F.lit(1)).alias("n_saved"))
+
+
 def confidence_mix(df: DataFrame) -> DataFrame:
     return value_counts(df, "Confidence_Score")
 

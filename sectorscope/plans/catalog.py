@@ -288,11 +288,20 @@ def q_success_rate_exact(spark, sf_dir):
     return profiles.success_rate_exact(_classified(spark, sf_dir))
 
 
+def _saved_progress(spark, sf_dir):
+    """A saved progress table: the rows with an industry, classified earlier."""
+    saved = companies(spark, sf_dir).filter(F.col("Industries").isNotNull())
+    return classify_companies(saved, COMPANY_DESC, COMPANY_AUX, scorer=SCORER)
+
+
+def q_resume_done_count(spark, sf_dir):
+    return profiles.processed_count(_saved_progress(spark, sf_dir))
+
+
 def q_resume_pending(spark, sf_dir):
     """Rows not yet in a saved progress table, classified; progress = rows with an industry."""
     c = companies(spark, sf_dir)
-    saved = c.filter(F.col("Industries").isNotNull())
-    done = classify_companies(saved, COMPANY_DESC, COMPANY_AUX, scorer=SCORER).select("company_id", "Predicted_Archetype")
+    done = _saved_progress(spark, sf_dir).select("company_id", "Predicted_Archetype")
     done = done.filter(F.col("Predicted_Archetype").isNotNull() & (F.col("Predicted_Archetype") != ""))
     pending = c.join(done.select("company_id"), "company_id", "left_anti")
     out = classify_companies(pending, COMPANY_DESC, COMPANY_AUX)
@@ -489,6 +498,7 @@ def queries() -> dict[str, Query]:
         "archetype_share": q_archetype_share,
         "success_rate_exact": q_success_rate_exact,
         "resume_pending": q_resume_pending,
+        "resume_done_count": q_resume_done_count,
         "founding_year": q_founding_year,
         "founding_year_orders": q_founding_year_orders,
         "founding_year_dates": q_founding_year_dates,

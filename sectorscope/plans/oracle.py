@@ -276,6 +276,8 @@ def oracle_sql() -> dict[str, str]:
         "resume_pending": with_(C, """SELECT company_id, Predicted_Archetype, Confidence_Score FROM classified
             WHERE company_id NOT IN (SELECT company_id FROM classified WHERE Industries IS NOT NULL
               AND Predicted_Archetype IS NOT NULL AND Predicted_Archetype <> '')"""),
+        "resume_done_count": with_(C, """SELECT count(*) FILTER (WHERE Predicted_Archetype IS NOT NULL
+              AND Predicted_Archetype <> '') AS n_done, count(*) AS n_saved FROM classified WHERE Industries IS NOT NULL"""),
         "founding_year": with_([COMPANIES], "SELECT company_id, founded, TRY_CAST(founded AS DOUBLE) AS Founded_Year FROM companies"),
         "founding_year_orders": "SELECT o_orderkey, CAST(year(o_orderdate) AS DOUBLE) AS Founded_Year FROM orders",
         "founding_year_dates": """SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS launch_date,
