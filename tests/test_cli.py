@@ -39,3 +39,15 @@ def test_cli_model_mode_csv_output(spark, scratch):
     got = {r["company_id"]: r for r in spark.read.option("header", True).csv(path).collect()}
     assert got["1"]["Predicted_Archetype"] == "Integrators" and got["1"]["Driving_Capabilities"] == "DC1"
     assert got["2"]["Predicted_Archetype"] == "Disruptors"  # no stored answer: keywords
+
+
+def test_cli_rejects_bad_choices(spark, scratch):
+    import pytest
+    src, out = scratch("cli-in") + ".csv", scratch("cli-out")
+    _write_input(src)
+    with pytest.raises(SystemExit, match="no column"):
+        cli.main([src, "--out", out, "--desc", "Nope"], spark=spark)
+    with pytest.raises(SystemExit, match="needs --responses"):
+        cli.main([src, "--out", out, "--mode", "model"], spark=spark)
+    with pytest.raises(SystemExit, match="is not a column"):
+        cli.main([src, "--out", out, "--mode", "model", "--responses", src, "--key", "id"], spark=spark)
