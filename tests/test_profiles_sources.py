@@ -137,3 +137,19 @@ def test_archetype_summary_ties_and_nulls(spark):
     assert a["dominant_wave"] == "2.0"                 # 2 x "3.0" and 2 x "2.0": ties go to the smaller
     assert a["top_capabilities"] == "DC1, DC2, DC5"   # 2, 2, 1 mentions; ties in column order
     assert got["B"]["dominant_wave"] is None and got["B"]["top_capabilities"] is None
+
+
+def test_processed_count_skips_empty_labels(spark):
+    df = spark.createDataFrame([("A",), ("",), (None,), ("B",)], "Predicted_Archetype string")
+    r = profiles.processed_count(df).first()
+    assert (r["n_done"], r["n_saved"]) == (2, 4)
+
+
+def test_founding_year_builds_without_a_job(spark):
+    # the whole-column number/date choice is a scalar subquery: no job until an action
+    df = spark.createDataFrame([("1999",), ("2012",), ("n/a",)], "founded string")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    out = corrections.founding_year(df)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    assert sorted(r["Founded_Year"] for r in out.collect() if r["Founded_Year"] is not None) == [1999.0, 2012.0]
