@@ -153,3 +153,17 @@ def test_founding_year_builds_without_a_job(spark):
     out = corrections.founding_year(df)
     assert set(tracker.getJobIdsForGroup(None)) == before
     assert sorted(r["Founded_Year"] for r in out.collect() if r["Founded_Year"] is not None) == [1999.0, 2012.0]
+
+
+def test_strip_matches_python(spark):
+    from hypothesis import given, settings, strategies as st
+    chars = st.sampled_from(list("DC1 ,x") + [" ", "\t", "\n", "\r", "\u00a0", "\u2003", "\u3000", "\x0b", "\x0c"])
+
+    @settings(max_examples=20, deadline=None)
+    @given(st.lists(st.text(alphabet=chars, max_size=8), min_size=1, max_size=6))
+    def check(values):
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        got = [r[0] for r in df.select(profiles.strip(F.col("v"))).collect()]
+        assert got == [v.strip() for v in values]
+
+    check()
