@@ -38,6 +38,8 @@ from sectorscope.session import materialize
 SHINGLE, RADIUS = 4, 4
 TRIE_SIZE = 20_000
 _SPLIT_BITS = 6
+#: Node pairs with at most this many member pairs are compared directly.
+_DIRECT = 1024
 
 
 def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
@@ -114,9 +116,11 @@ def trie_roots(fps: np.ndarray, radius: int = RADIUS, step: int = 1 << 15) -> np
         if not len(pairs):
             continue
         a0, a1, b0, b1, diff = pairs.T
-        few = (a1 - a0) * (b1 - b0) <= 16
-        if few.any():
-            x0, x1, y0, y1 = (v[few] for v in (a0, a1, b0, b1))
+        few = (a1 - a0) * (b1 - b0) <= _DIRECT
+        leaves = pairs[few]
+        piece = np.cumsum((leaves[:, 1] - leaves[:, 0]) * (leaves[:, 3] - leaves[:, 2])) >> 20
+        for part in np.split(leaves, np.flatnonzero(np.diff(piece)) + 1) if len(leaves) else ():
+            x0, x1, y0, y1, _ = part.T
             size = (x1 - x0) * (y1 - y0)
             k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             width = np.repeat(y1 - y0, size)
