@@ -10,7 +10,6 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,22 +56,6 @@ def row_struct(cols: Iterable[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
 
 
-class WordHash(dict):
-    """Word -> 64-bit hash, remembered; cleared when full, so memory is bounded."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def crc_mod(id_col: str, mod: int) -> Column:
     """``crc32(doc_id as text) mod n``, the fold of a document; null for a null id."""
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % mod
@@ -81,7 +64,7 @@ def crc_mod(id_col: str, mod: int) -> Column:
 def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and the path for ``discard``."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

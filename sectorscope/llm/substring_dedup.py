@@ -34,25 +34,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import WordHash, as_bytes, discard, map_batches, row_struct, stored, with_fields
+from sectorscope.llm.common import as_bytes, discard, map_batches, row_struct, stored, with_fields
+from sectorscope.llm.word_hashes import WordBuffer, buffers, normal
 
 WINDOW, GRAM = 13, 5
 HOT = 20_000
 SHARD_WORDS = 100_000
 _SUB_KEYS = 1024
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_HASH = WordHash()
 
 
-def minimizers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``words``: the start of its minimizer gram, and (by gram start) the gram hashes."""
-    n = len(words) - window + 1
+def window_runs(words: WordBuffer, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer: gram hash, first window, last window, number of the text.
+
+    A window is named by its first word; all its words are of one text.
+    """
+    none = np.zeros(0, np.int64)
+    n = len(words.hash) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = _HASH.of(words)
+        return none.view(np.uint64), none, none, none
+    h = words.hash
     grams = np.zeros(len(h) - gram + 1, np.uint64)
     for j in range(gram):
         grams = (grams ^ h[j:j + len(grams)]) * _MUL
@@ -60,19 +64,18 @@ def minimizers(words: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tu
     best, at = grams[:n].copy(), np.arange(n)
     for j in range(1, window - gram + 1):
         other = grams[j:j + n]
-        less = other < best
+        less = np.flatnonzero(other < best)
         best[less] = other[less]
-        at[less] = np.flatnonzero(less) + j
-    return at, grams
-
-
-def window_runs(at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Runs of windows with one minimizer: (gram start, first window, last window)."""
-    if len(at):
-        cuts = np.flatnonzero(np.diff(at)) + 1
-        first = np.concatenate(([0], cuts))
-        last = np.concatenate((cuts, [len(at)])) - 1
-        yield from zip(at[first].tolist(), first.tolist(), last.tolist())
+        at[less] = less + j
+    whole = np.flatnonzero(words.doc[:n] == words.doc[window - 1:])
+    if not len(whole):
+        return none.view(np.uint64), none, none, none
+    at = at[whole]
+    # a window that crosses two texts ends a run, as does a new minimizer
+    cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(whole) != 1)) + 1
+    first = np.concatenate(([0], cut))
+    last = np.concatenate((cut, [len(at)])) - 1
+    return grams[at[first]], whole[first], whole[last], words.doc[whole[first]]
 
 
 class SuffixAutomaton:
@@ -183,60 +186,78 @@ def shard_firsts(groups: list[tuple[list[bytes], list]], window: int) -> list[li
     return out
 
 
-def shared_grams(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM,
-                 hot: int = HOT) -> DataFrame:
-    """``id``, ``grams``, ``hot_grams``: each document's minimizers that another document has too."""
+def _store_grams(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> str:
+    """Path of ``g, id``: the minimizers of each document."""
     packed = (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), as_bytes(text_col).alias("raw"))
               .where("id is not null and raw is not null"))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        ids, found = [], []
-        for doc, raw in zip(batch["id"], batch["raw"]):
-            at, grams = minimizers(raw.split(), window, gram)
-            if len(at):
-                own = np.unique(grams[at]).view(np.int64)
-                found.append(own)
-                ids.append(np.full(len(own), doc, np.int64))
-        none = [np.zeros(0, np.int64)]
-        return {"g": np.concatenate(found or none), "id": np.concatenate(ids or none)}
-
-    rows, path = stored(map_batches(packed, run, "g bigint, id bigint"), "gram-rows")
+        ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        doc_ids = np.array(batch["id"], np.int64)
+        for at, words in buffers(list(map(normal, batch["raw"]))):
+            grams, _, _, doc = window_runs(words, window, gram)
+            found.append(grams.view(np.int64))
+            ids.append(doc_ids[at + doc])
+        return {"g": np.concatenate(found), "id": np.concatenate(ids)}
+
+    return stored(map_batches(packed, run, "g bigint, id bigint"), "gram-rows")[1]
+
+
+def _store_shared(spark: SparkSession, grams_path: str, hot: int) -> str:
+    """Path of ``id``, ``grams``, ``hot_grams``: each document's minimizers that another document has too."""
+    rows = spark.read.parquet(grams_path)
     shared = (rows.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
               .where("lo < hi").select("g", (F.col("n") > hot).alias("hot")))
-    own = (rows.join(shared, "g").groupBy("id")
-           .agg(F.collect_set(F.when(~F.col("hot"), F.col("g"))).alias("grams"),
-                F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot_grams")))
-    own, _ = stored(own, "grams")
-    discard(docs.sparkSession, path)
-    return own
+    return stored(rows.join(shared, "g").groupBy("id")
+                  .agg(F.collect_set(F.when(~F.col("hot"), F.col("g"))).alias("grams"),
+                       F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot_grams")), "grams")[1]
+
 
+def _store_segments(texts: DataFrame, shared_path: str, window: int, gram: int) -> str:
+    """Path of ``g, sub, sh, seg, id, tie, at`` (``sh``: hash of ``seg``): the segments round shared grams."""
+    joined = texts.select("id", "tie", "raw").join(texts.sparkSession.read.parquet(shared_path), "id")
 
-def _segments(joined: DataFrame, window: int, gram: int) -> DataFrame:
-    """``g, sub, sh, seg, id, tie, at`` (``sh``: hash of ``seg``): the segments of each document round its shared grams."""
     def run(batch: dict[str, list]) -> dict[str, list]:
         import xxhash
         out: dict[str, list] = {c: [] for c in ("g", "sub", "sh", "seg", "id", "tie", "at")}
 
-        def put(g: int, sub: int, seg: bytes, doc: int, tie: int, at: int) -> None:
-            for c, v in zip(out, (g, sub, xxhash.xxh64_intdigest(seg) - (1 << 63), seg, doc, tie, at)):
+        def put(g: int, sub: int, seg: bytes, doc: int, at: int) -> None:
+            for c, v in zip(out, (g, sub, xxhash.xxh64_intdigest(seg) - (1 << 63), seg, batch["id"][doc],
+                                  batch["tie"][doc], at)):
                 out[c].append(v)
 
-        for doc, tie, raw, cold, hot in zip(batch["id"], batch["tie"], batch["raw"], batch["grams"], batch["hot_grams"]):
-            words = _unpack(raw).split()
-            at, grams = minimizers(words, window, gram)
-            cold, hot = set(cold), set(hot)
-            signed = grams.view(np.int64).tolist()
-            for p, first, last in window_runs(at):
-                g = signed[p]
-                if g in cold:
-                    put(g, -1, b" ".join(words[first:last + window]), doc, tie, first)
-                elif g in hot:
-                    for i in range(first, last + 1):
-                        seg = b" ".join(words[i:i + window])
-                        put(g, xxhash.xxh32_intdigest(seg) % _SUB_KEYS, seg, doc, tie, i)
+        # a gram is shared or not for all documents alike
+        cold, hot = (np.unique(np.fromiter((g for gs in batch[c] for g in gs), np.int64)).view(np.uint64)
+                     for c in ("grams", "hot_grams"))
+        for at, words in buffers(list(map(_unpack, batch["raw"]))):
+            grams, first, last, doc = window_runs(words, window, gram)
+            begin = np.searchsorted(words.doc, np.arange(words.doc[-1] + 1 if len(words.doc) else 0))
+            for few, is_hot in ((cold, False), (hot, True)):
+                pick = np.isin(grams, few)
+                for g, a, b, d in zip(grams[pick].view(np.int64).tolist(), first[pick].tolist(), last[pick].tolist(),
+                                      doc[pick].tolist()):
+                    if not is_hot:
+                        put(g, -1, words.words(a, b + window), at + d, a - int(begin[d]))
+                    else:
+                        for i in range(a, b + 1):
+                            seg = words.words(i, i + window)
+                            put(g, xxhash.xxh32_intdigest(seg) % _SUB_KEYS, seg, at + d, i - int(begin[d]))
         return out
 
-    return map_batches(joined, run, "g bigint, sub int, sh bigint, seg binary, id bigint, tie bigint, at int")
+    return stored(map_batches(joined, run, "g bigint, sub int, sh bigint, seg binary, id bigint, tie bigint, at int"),
+                  "segments")[1]
+
+
+def _store_hits(spark: SparkSession, segments_path: str, window: int, shard_words: int) -> str:
+    """Path of ``id, tie, starts``: the windows of each document that an earlier document has."""
+    segments = spark.read.parquet(segments_path)
+    asked = segments.select("g", "sub", "sh", "id", "tie", "at")
+    hits = (asked.join(_answers(segments, window, shard_words), ["g", "sub", "sh"])
+            .select("id", "tie", F.expr("filter(transform(firsts, (f, i) -> if(f < id, at + i, -1)), s -> s >= 0)")
+                    .alias("starts"))
+            .where(F.size("starts") > 0)
+            .groupBy("id", "tie").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts")))
+    return stored(hits, "repeats")[1]
 
 
 def _answers(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -279,7 +300,7 @@ def _answers(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
 
 def _pack(raw: bytes | None) -> bytes | None:
     import zstandard
-    return None if raw is None else zstandard.ZstdCompressor(level=1).compress(raw)
+    return None if raw is None else zstandard.ZstdCompressor(level=1).compress(normal(raw))
 
 
 def _unpack(raw: bytes | None) -> bytes:
@@ -289,26 +310,25 @@ def _unpack(raw: bytes | None) -> bytes:
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
                  window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per input row: ``row`` (struct of ``carry``), ``raw`` (compressed text), ``starts``.
+    """One row per input row: ``row`` (struct of ``carry``), ``raw`` (compressed, words joined by a blank), ``starts``.
 
     ``starts`` holds the word numbers at which windows start that an earlier document has.
     """
-    grams = shared_grams(docs, id_col, text_col, window, gram, hot)
     packed = docs.select(F.struct(row_struct(carry), F.col(f"`{id_col}`").cast("bigint").alias("id"),
                                   F.xxhash64(F.col(f"`{text_col}`")).alias("tie")).alias("row"),
                          as_bytes(text_col).alias("raw"))
     texts = map_batches(packed, lambda b: {"row": b["row"], "raw": [_pack(r) for r in b["raw"]]},
                         with_fields(packed, "row", "raw binary")).select("row.row", "row.id", "row.tie", "raw")
-    around = texts.select("id", "tie", "raw").join(grams, "id")
-    segments, path = stored(_segments(around, window, gram), "segments")
-    asked = segments.select("g", "sub", "sh", "id", "tie", "at")
-    hits = (asked.join(_answers(segments, window, shard_words), ["g", "sub", "sh"])
-            .select("id", "tie", F.expr("filter(transform(firsts, (f, i) -> if(f < id, at + i, -1)), s -> s >= 0)")
-                    .alias("starts"))
-            .where(F.size("starts") > 0)
-            .groupBy("id", "tie").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts")))
-    hits, _ = stored(hits, "repeats")
-    discard(docs.sparkSession, path)
+    spark = docs.sparkSession
+    # each step's input goes when it is done; the frames it came from are out of scope by then
+    grams = _store_grams(docs, id_col, text_col, window, gram)
+    shared = _store_shared(spark, grams, hot)
+    discard(spark, grams)
+    segments = _store_segments(texts, shared, window, gram)
+    discard(spark, shared)
+    found = _store_hits(spark, segments, window, shard_words)
+    discard(spark, segments)
+    hits = spark.read.parquet(found)
     return texts.join(hits, ["id", "tie"], "left").select("row", "raw", "starts")
 
 
@@ -323,9 +343,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"row": batch["row"], "n_words": [], "n_removed": [], "spans": [], "kept": []}
         for raw, starts in zip(batch["raw"], batch["starts"]):
-            words = _unpack(raw).split()
+            text = _unpack(raw)
+            if not starts:
+                out["n_words"].append(text.count(b" ") + bool(text))
+                out["n_removed"].append(0)
+                out["spans"].append([])
+                out["kept"].append(text)
+                continue
+            words = text.split(b" ")
             spans: list[list[int]] = []
-            for s in sorted(starts or ()):
+            for s in sorted(starts):
                 if spans and s <= spans[-1][1]:
                     spans[-1][1] = s + window
                 else:
