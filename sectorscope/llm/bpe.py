@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -77,7 +78,7 @@ class ByteBPE:
         import regex
         import sentencepiece
         self.tokens = sorted(ranks, key=ranks.__getitem__)
-        self.ids = np.array([ranks[t] for t in self.tokens], np.uint32)
+        self.ids = [ranks[t] for t in self.tokens]
         self.whole = {to_letters(t): ranks[t] for t in self.tokens}
         self.bytes_of = {ranks[t]: t for t in self.tokens}
         self.pattern = regex.compile(pattern)
@@ -94,10 +95,10 @@ class ByteBPE:
             for p in ps:
                 rank = self.whole.get(p)
                 if rank is None:
-                    ids += self.ids[merged[p]].tolist()
+                    ids += map(self.ids.__getitem__, merged[p])
                 else:
                     ids.append(rank)
-            out.append(np.array(ids, "<u4").tobytes())
+            out.append(array("I", ids).tobytes())
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

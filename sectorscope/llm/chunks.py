@@ -8,7 +8,12 @@ equal chunks, which make up most of any corpus, are encoded once per worker.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+
+#: A blank before white space, or at either end.
+_IRREGULAR = re.compile(r" [\s\x1c-\x1f]|^ | $")
+_GROUP = 1 << 20
 
 
 def chunks_of(text: str) -> list[str]:
@@ -17,6 +22,8 @@ def chunks_of(text: str) -> list[str]:
     A piece is cut before a blank that a visible character follows.
     """
     head, *rest = text.split(" ")
+    if not _IRREGULAR.search(text):
+        return [head, *[" " + piece for piece in rest]]
     out = [head]
     for piece in rest:
         if not piece or piece[0].isspace():
@@ -33,23 +40,35 @@ class ChunkCache(dict):
     over ``long`` characters are encoded but not kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, long: int = 200):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000, long: int = 200):
         super().__init__()
         self.encode, self.limit, self.long = encode, limit, long
 
     def pack(self, texts: list[str | None]) -> list[bytes]:
         """The packed ids of each text; null counts as empty."""
-        return [self._pack(chunks_of(t)) if t else b"" for t in texts]
+        return [ids for group in _groups(texts) for ids in self._pack(group)]
 
-    def _pack(self, chunks: list[str]) -> bytes:
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        extra: dict[str, bytes] = {}
+    def _pack(self, texts: list[str | None]) -> list[bytes]:
+        cut = [chunks_of(t) if t else [] for t in texts]
+        known = [list(map(self.get, c)) for c in cut]
+        new = list(dict.fromkeys(c for cs, ks in zip(cut, known) if None in ks for c, k in zip(cs, ks) if k is None))
         if new:
+            found = dict(zip(new, self.encode(new)))
+            known = [ks if None not in ks else [k if k is not None else found[c] for c, k in zip(cs, ks)]
+                     for cs, ks in zip(cut, known)]
             if len(self) + len(new) > self.limit:
                 self.clear()
-                new = list(dict.fromkeys(chunks))
-            for chunk, ids in zip(new, self.encode(new)):
-                (self if len(chunk) <= self.long and len(self) < self.limit else extra)[chunk] = ids
-        if extra:
-            return b"".join([extra[c] if c in extra else self[c] for c in chunks])
-        return b"".join(map(self.__getitem__, chunks))
+            self.update((c, ids) for c, ids in list(found.items())[:self.limit] if len(c) <= self.long)
+        return list(map(b"".join, known))
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in groups of about a million characters; a longer text is a group by itself."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text or "") > _GROUP:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text or "")
+    yield group

@@ -196,18 +196,21 @@ def _store_grams(docs: DataFrame, id_col: str, text_col: str, window: int, gram:
         doc_ids = np.array(batch["id"], np.int64)
         for at, words in buffers(list(map(normal, batch["raw"]))):
             grams, _, _, doc = window_runs(words, window, gram)
-            found.append(grams.view(np.int64))
-            ids.append(doc_ids[at + doc])
+            order = np.lexsort((grams, doc))
+            grams, doc = grams[order], doc[order]
+            # once a document
+            once = np.concatenate(([True], (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])))[:len(grams)]
+            found.append(grams[once].view(np.int64))
+            ids.append(doc_ids[at + doc[once]])
         return {"g": np.concatenate(found), "id": np.concatenate(ids)}
 
     return stored(map_batches(packed, run, "g bigint, id bigint"), "gram-rows")[1]
 
 
 def _store_shared(spark: SparkSession, grams_path: str, hot: int) -> str:
-    """Path of ``id``, ``grams``, ``hot_grams``: each document's minimizers that another document has too."""
+    """Path of ``id``, ``grams``, ``hot_grams``: each document's minimizers that another row has too."""
     rows = spark.read.parquet(grams_path)
-    shared = (rows.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"))
-              .where("lo < hi").select("g", (F.col("n") > hot).alias("hot")))
+    shared = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g", (F.col("n") > hot).alias("hot"))
     return stored(rows.join(shared, "g").groupBy("id")
                   .agg(F.collect_set(F.when(~F.col("hot"), F.col("g"))).alias("grams"),
                        F.collect_set(F.when(F.col("hot"), F.col("g"))).alias("hot_grams")), "grams")[1]

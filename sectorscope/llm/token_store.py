@@ -20,6 +20,7 @@ and equal rows are all written; an empty table gives files without rows.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -63,7 +64,7 @@ def _encoder(path: str) -> ChunkCache:
     tokenizer.encode_special_tokens = True
 
     def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
+        return [array("I", e.ids).tobytes()
                 for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     return ChunkCache(encode)
