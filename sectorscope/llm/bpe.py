@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.llm.chunks import ChunkCache
-from sectorscope.llm.common import map_batches, row_struct, with_fields
+from sectorscope.llm.common import as_bytes, map_batches, row_struct, with_fields
 
 _LETTERS = {i: 256 + i for i in range(256)}
 
@@ -101,8 +101,8 @@ class ByteBPE:
             out.append(array("I", ids).tobytes())
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids (little-endian unsigned 32-bit) of each text."""
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Packed ids (little-endian unsigned 32-bit) of each text (UTF-8)."""
         return self.cache.pack(texts)
 
     def decode(self, packed: bytes) -> bytes:
@@ -128,11 +128,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     """
     kinds = {"ids": "array<int>", "ids_packed": "binary", "ids_sha256": "string", "decoded": "binary",
              "decoded_sha256": "string"}
-    packed = docs.select(row_struct(carry), F.col(f"`{text_col}`").cast("string").alias("text"))
+    packed = docs.select(row_struct(carry), as_bytes(text_col).alias("raw"))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         codec = _codec(ranks_path, pattern)
-        ids = codec.encode(batch["text"])
+        ids = codec.encode(batch["raw"])
         make = {
             "ids": lambda p: np.frombuffer(p, "<i4"),
             "ids_packed": lambda p: p,

@@ -1,74 +1,117 @@
-"""Cutting a text where the pre-token pattern cannot see across.
+"""Encoding texts by chunks, each distinct chunk once.
 
 The byte-level pattern starts a new match at the last blank of a run of white
 space before a visible character, whatever stands before it. So a text falls
 into chunks (a blank, then visible characters) that can be encoded alone, and
 equal chunks, which make up most of any corpus, are encoded once per worker.
+
+Chunks are found and told apart in numpy over a buffer of texts: grouped by a
+hash, then compared byte by byte with the first of their group, so a hash
+collision cannot pass.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
-#: A blank before white space, or at either end.
-_IRREGULAR = re.compile(r" [\s\x1c-\x1f]|^ | $")
+import numpy as np
+
+from sectorscope.llm.word_hashes import span_hashes
+
+#: Bytes that start a visible character for certain: ASCII, and lead bytes under which no white space is coded.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[0x21:0x7F] = True
+_VISIBLE[0xC3:0xE1] = True
+_VISIBLE[0xE4:0xF5] = True
 _GROUP = 1 << 20
 
 
-def chunks_of(text: str) -> list[str]:
-    """Pieces of ``text``, in order and without loss, each of which is pre-tokenised by itself.
+def chunk_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in one buffer, and per chunk its first byte, end and text number.
 
-    A piece is cut before a blank that a visible character follows.
+    A chunk ends before a blank that a visible character follows, and at the end of its text.
     """
-    head, *rest = text.split(" ")
-    if not _IRREGULAR.search(text):
-        return [head, *[" " + piece for piece in rest]]
-    out = [head]
-    for piece in rest:
-        if not piece or piece[0].isspace():
-            out[-1] += " " + piece
-        else:
-            out.append(" " + piece)
-    return out if out[0] else out[1:]
+    buffer = b"\n".join(texts) + b"\n"
+    data = np.frombuffer(buffer, np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ends = np.cumsum(sizes + 1) - 1
+    begins = ends - sizes
+    starts = np.append((data[:-1] == 32) & _VISIBLE[data[1:]], False)
+    starts[begins[sizes > 0]] = True
+    start = np.flatnonzero(starts)
+    doc = np.searchsorted(ends, start, side="right")
+    end = np.append(start[1:], len(buffer))
+    return buffer, start, np.minimum(end, ends[doc]), doc
 
 
 class ChunkCache(dict):
-    """Chunk -> packed token ids (little-endian unsigned 32-bit); cleared when full, so memory is bounded.
+    """Chunk (bytes) -> packed token ids (little-endian unsigned 32-bit); cleared when full, so memory is bounded.
 
-    ``encode`` gets a list of new chunks and returns their packed ids. Chunks
-    over ``long`` characters are encoded but not kept.
+    ``encode`` gets a list of new chunks (text) and returns their packed ids.
+    Chunks over ``long`` bytes are encoded but not kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_000_000, long: int = 200):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000, long: int = 200):
         super().__init__()
         self.encode, self.limit, self.long = encode, limit, long
 
-    def pack(self, texts: list[str | None]) -> list[bytes]:
-        """The packed ids of each text; null counts as empty."""
+    def pack(self, texts: list[bytes | None]) -> list[bytes]:
+        """The packed ids of each text (UTF-8); null counts as empty."""
         return [ids for group in _groups(texts) for ids in self._pack(group)]
 
-    def _pack(self, texts: list[str | None]) -> list[bytes]:
-        cut = [chunks_of(t) if t else [] for t in texts]
-        known = [list(map(self.get, c)) for c in cut]
-        new = list(dict.fromkeys(c for cs, ks in zip(cut, known) if None in ks for c, k in zip(cs, ks) if k is None))
-        if new:
-            found = dict(zip(new, self.encode(new)))
-            known = [ks if None not in ks else [k if k is not None else found[c] for c, k in zip(cs, ks)]
-                     for cs, ks in zip(cut, known)]
-            if len(self) + len(new) > self.limit:
-                self.clear()
-            self.update((c, ids) for c, ids in list(found.items())[:self.limit] if len(c) <= self.long)
-        return list(map(b"".join, known))
-
-
-def _groups(texts: list[str | None]) -> Iterator[list[str | None]]:
-    """The texts in groups of about a million characters; a longer text is a group by itself."""
-    group, size = [], 0
+    def _pack(self, texts: list[bytes]) -> list[bytes]:
+        buffer, start, end, doc = chunk_spans(texts)
+        if not len(start):
+            return [b""] * len(texts)
+        first, which = _distinct(np.frombuffer(buffer, np.uint8), start, end)
+        packed = self._ids([buffer[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        offset = np.cumsum(size) - size
+        n = size[which]
+        before = np.cumsum(n) - n
+        out = ids[np.repeat(offset[which] - before, n) + np.arange(int(n.sum()))]
+        at = np.append(before, len(out))[np.searchsorted(doc, np.arange(len(texts) + 1))].tolist()
+        return [out[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        known = list(map(self.get, chunks))
+        new = [c for c, k in zip(chunks, known) if k is None]
+        if not new:
+            return known
+        found = self.encode([c.decode("utf-8", "replace") for c in new])
+        if len(self) + len(new) > self.limit:
+            self.clear()
+        self.update((c, ids) for c, ids in zip(new[:self.limit], found) if len(c) <= self.long)
+        rest = iter(found)
+        return [next(rest) if k is None else k for k in known]
+
+
+def _distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct chunks' first occurrences, and for each chunk the place of its own among them."""
+    _, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    like = first[which]
+    length = end - start
+    same = length == length[like]
+    shift = np.repeat(start[like] - start, length)
+    here = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    other = np.minimum(here + shift, len(data) - 1)
+    if same.all() and (data[here] == data[other]).all():
+        return first, which
+    every = np.arange(len(start))
+    return every, every
+
+
+def _groups(texts: list[bytes | None]) -> Iterator[list[bytes]]:
+    """The texts in groups of about a million bytes; a longer text is a group by itself."""
+    group: list[bytes] = []
+    size = 0
     for text in texts:
-        if group and size + len(text or "") > _GROUP:
+        text = text or b""
+        if group and size + len(text) > _GROUP:
             yield group
             group, size = [], 0
         group.append(text)
-        size += len(text or "")
-    yield group
+        size += len(text)
+    if group:
+        yield group

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from sectorscope.llm.chunks import ChunkCache
+from sectorscope.llm.common import as_bytes
 
 
 @dataclass(frozen=True)
@@ -74,8 +75,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
                  text_col: str = "text", layout: StoreLayout = StoreLayout()) -> None:
     """Write ``doc_id, n_tokens, part_start, ids`` under ``path/data`` and the manifest under ``path/parts``."""
     spark = docs.sparkSession
-    text = F.col(f"`{text_col}`").cast("string")
-    ordered = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
+    ordered = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), as_bytes(text_col).alias("text"))
                .withColumn("tie", F.xxhash64("text"))
                .repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
                .select("doc_id", "text"))

@@ -46,6 +46,23 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte range of ``data``; the ranges are in order and do not overlap."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        lo = int(start[at])
+        to = max(at + 1, int(np.searchsorted(end, lo + _PIECE, side="right")))
+        hi = int(end[to - 1])
+        _POWERS.to(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((data[lo:hi] + np.uint64(1)) * _POWERS.up[:hi - lo], out=total[1:])
+        first = start[at:to] - lo
+        out[at:to] = (total[end[at:to] - lo] - total[first]) * _POWERS.down[first]
+        at = to
+    return out ^ (out >> np.uint64(31))
+
+
 class WordBuffer:
     """The words of some texts: ``text``, and per word ``start``, ``end`` (bytes), ``doc`` (number) and ``hash``."""
 
@@ -57,19 +74,7 @@ class WordBuffer:
         self.start, self.end = edges[::2], edges[1::2]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.doc = np.searchsorted(np.cumsum(sizes), self.start, side="right")
-        self.hash = np.zeros(len(self.start), np.uint64)
-        at = 0
-        while at < len(self.start):
-            lo = int(self.start[at])
-            to = max(at + 1, int(np.searchsorted(self.end, lo + _PIECE, side="right")))
-            hi = int(self.end[to - 1])
-            _POWERS.to(hi - lo + 1)
-            total = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum((data[lo:hi] + np.uint64(1)) * _POWERS.up[:hi - lo], out=total[1:])
-            first = self.start[at:to] - lo
-            self.hash[at:to] = (total[self.end[at:to] - lo] - total[first]) * _POWERS.down[first]
-            at = to
-        self.hash ^= self.hash >> np.uint64(31)
+        self.hash = span_hashes(data, self.start, self.end)
 
     def words(self, first: int, last: int) -> bytes:
         """The words ``first`` up to ``last`` (not included), joined by one blank; they are of one text."""
