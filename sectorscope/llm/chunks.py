@@ -51,7 +51,7 @@ class ChunkCache(dict):
     Chunks over ``long`` bytes are encoded but not kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000, long: int = 200):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 650_000, long: int = 200):
         super().__init__()
         self.encode, self.limit, self.long = encode, limit, long
 
