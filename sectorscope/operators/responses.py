@@ -18,12 +18,8 @@ from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
 # These must equal the reference's for identical prompts/costs.
-# Exception: the framework's title line and the template's framework mention
-# carry no personal name here; both are parameters of ``render_requests`` and
-# ``estimated_cost``, so a caller can pass any framework text.
+# The framework text leaves out its source's title; it is a parameter of ``render_requests``.
 FRAMEWORK_CONTEXT = """
-TESIS (2024) - MARCO INSURTECH
-
 ARQUETIPOS (7):
 1. Innovators: Nuevos modelos (P2P, on-demand, paramétrico, microseguros)
 2. Disruptors: Eficiencia extrema vía automatización/AI (full-stack carriers)
@@ -72,6 +68,7 @@ JUSTIFICATION_CHARS = 200        # longer justifications are cut and get "..."
 ERROR_MESSAGE_CHARS = 80         # "Error: " + first 80 chars of the message
 PRICE_INPUT_PER_M = 0.15         # USD per 1M input tokens
 PRICE_OUTPUT_PER_M = 0.60        # USD per 1M output tokens
+FRAMEWORK_TOKENS = 258           # token estimate of the framework text, title included
 EXTRA_INPUT_TOKENS = 200         # added to the framework's token estimate
 OUTPUT_TOKENS_PER_COMPANY = 250
 LEDGER_COST_PER_ROW = 0.0002     # running cost per billable row
@@ -133,9 +130,9 @@ def token_estimate(text: Column) -> Column:
 
 
 def _python_type_name(j: Column) -> Column:
-    """Python type name of a valid non-object JSON document (for the error text)."""
-    head = F.substring(F.trim(j), 1, 1)
-    number = F.when(F.trim(j).rlike("[.eE]"), F.lit("float")).otherwise(F.lit("int"))
+    """Python type name of a valid non-object JSON document without outer white space (for the error text)."""
+    head = F.substring(j, 1, 1)
+    number = F.when(j.rlike("[.eE]"), F.lit("float")).otherwise(F.lit("int"))
     return (F.when(head == "[", F.lit("list"))
              .when(head == '"', F.lit("str"))
              .when(head.isin("t", "f"), F.lit("bool"))
@@ -154,10 +151,14 @@ def parse_responses(df: DataFrame, json_col: str = "response_json", error_col: s
       a field of the wrong type (e.g. a string where a list is expected) is
       treated as absent and the row is flagged in ``type_mismatch``.
     """
-    j = F.col(json_col)
+    # a key that occurs twice keeps its last value, as in Python's parser
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    j = F.regexp_replace(F.col(json_col), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     out = df.withColumn("_r", F.from_json(j, RESPONSE_SCHEMA))
-    valid = F.try_parse_json(j).isNotNull()
-    is_obj = F.substring(F.trim(j), 1, 1) == "{"
+    # in brackets, so that anything after the document makes it invalid
+    wrapped = F.try_parse_json(F.concat(F.lit("["), j, F.lit("]")))
+    valid = wrapped.isNotNull() & (F.length(j) > 0) & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    is_obj = F.substring(j, 1, 1) == "{"
     failed = F.col(error_col).isNotNull() if error_col in df.columns else F.lit(False)
     message = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")
     err = (F.when(failed, F.lit("processing"))
@@ -206,11 +207,13 @@ def merge_with_keywords(keyword_result: DataFrame, parsed: DataFrame, key: str =
 
     ``keyword_result`` holds the input rows with the keyword result columns;
     ``parsed`` holds ``key`` + the parsed result columns + ``error_class``.
-    With ``errors_to_keywords`` an error response also falls back.
+    With ``errors_to_keywords`` an error response also falls back. Of several
+    responses for one key the smallest counts, by error class (none first) and
+    then by the result columns, so a key never multiplies its rows.
     """
-    resp = parsed.select(key, "error_class",
-                         *[F.col(c).alias(f"_m_{c}") for c in RESULT_COLUMNS],
-                         F.lit(True).alias("_has_resp"))
+    resp = (parsed.groupBy(key).agg(F.min(F.struct("error_class", *RESULT_COLUMNS)).alias("_r"))
+            .select(key, "_r.error_class", *[F.col(f"_r.{c}").alias(f"_m_{c}") for c in RESULT_COLUMNS],
+                    F.lit(True).alias("_has_resp")))
     out = keyword_result.join(resp, key, "left")
     use_model = F.col("_has_resp").isNotNull()
     if errors_to_keywords:
@@ -226,9 +229,9 @@ def billable(arch: Column, not_billed: list[str] = NOT_BILLED) -> Column:
     return ~F.coalesce(arch.isin(*not_billed), F.lit(False))
 
 
-def estimated_cost(n: Column, framework: str = FRAMEWORK_CONTEXT) -> dict[str, Column]:
+def estimated_cost(n: Column, framework_tokens: int = FRAMEWORK_TOKENS) -> dict[str, Column]:
     """Cost and duration estimate for ``n`` companies (before a run)."""
-    per_in = len(framework) // CHARS_PER_TOKEN + EXTRA_INPUT_TOKENS
+    per_in = framework_tokens + EXTRA_INPUT_TOKENS
     tin = (n * per_in).cast("bigint")
     tout = (n * OUTPUT_TOKENS_PER_COMPANY).cast("bigint")
     cost = tin / 1_000_000 * PRICE_INPUT_PER_M + tout / 1_000_000 * PRICE_OUTPUT_PER_M
@@ -270,40 +273,35 @@ def stored_responder(stored: DataFrame, key: str = "company_id") -> Callable[[Da
     return respond
 
 
-def pandas_responder(fn, key: str = "company_id") -> Callable[[DataFrame], DataFrame]:
+def pandas_responder(fn, key: str = "company_id", batch_rows: int = 1) -> Callable[[DataFrame], DataFrame]:
     """Wrap ``fn(pandas.DataFrame[key, prompt]) -> pandas.DataFrame[key, response_json]``.
 
-    Runs per Arrow batch with ``mapInPandas`` on the executors, so a caller
-    can put a model client here; Spark partitions the requests, and batches
-    bound the memory of each call. If ``fn`` raises on a batch, the batch is
-    retried one request at a time and a request that still raises gets its
-    message in ``error`` (parsed as "Processing Error"), so one bad row does
-    not fail the job.
+    Runs with ``mapInPandas`` on the executors, so a caller can put a model
+    client here; ``fn`` gets ``batch_rows`` requests a call. A call that raises
+    gives its requests the message in ``error`` (parsed as "Processing Error");
+    nothing is sent twice. The answers are written once to the shared folder
+    and read back, so that whatever is computed from them later asks nothing
+    again. The key's type is the input's.
     """
     import pandas as pd
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    from sectorscope.session import materialize
 
-    def one_by_one(req: "pd.DataFrame") -> "pd.DataFrame":
-        parts = []
-        for i in range(len(req)):
-            row = req.iloc[[i]]
-            try:
-                parts.append(fn(row).assign(error=None))
-            except Exception as exc:  # noqa: BLE001 - recorded per row, like the reference
-                parts.append(pd.DataFrame({key: row[key].to_numpy(), "response_json": [None],
-                                           "error": [str(exc)]}))
-        return pd.concat(parts, ignore_index=True) if parts else req.assign(response_json=None, error=None)
+    def ask(req: "pd.DataFrame") -> "pd.DataFrame":
+        try:
+            return fn(req).assign(error=None)
+        except Exception as exc:  # noqa: BLE001 - recorded with the requests
+            return pd.DataFrame({key: req[key].to_numpy(), "response_json": None, "error": str(exc)})
 
     def respond(requests: DataFrame) -> DataFrame:
         def run(batches):
             for pdf in batches:
-                req = pdf[[key, "prompt"]]
-                try:
-                    out = fn(req).assign(error=None)
-                except Exception:  # noqa: BLE001 - isolate the failing requests
-                    out = one_by_one(req)
-                yield out[[key, "response_json", "error"]]
-        return requests.select(key, "prompt").mapInPandas(
-            run, f"{key} bigint, response_json string, error string")
+                for at in range(0, len(pdf), batch_rows):
+                    yield ask(pdf[[key, "prompt"]].iloc[at:at + batch_rows])[[key, "response_json", "error"]]
+        schema = StructType([StructField(key, requests.schema[key].dataType), StructField("response_json", StringType()),
+                             StructField("error", StringType())])
+        return materialize(requests.select(key, "prompt").mapInPandas(run, schema), "answers")
     return respond
 
 

@@ -102,3 +102,47 @@ def test_failed_request_is_a_processing_error(spark):
                                   tx.combined_text(c, "Description", COMPANY_AUX), tx.industries(c),
                                   errors_to_keywords=True)
     assert back.filter("Predicted_Archetype = 'Processing Error'").count() == 0
+
+
+def test_white_space_and_repeated_keys(spark):
+    cases = {'\n {"archetype":"Enablers"}\t': "Enablers", '{"archetype":"A","archetype":"B"}': "B", "\t[1]": "API Error",
+             "\n": "API Error - JSON", '\r\n"x" ': "API Error", '{"archetype":"A"} x': "API Error - JSON"}
+    df = spark.createDataFrame(list(enumerate(cases)), "company_id long, response_json string")
+    got = {r["response_json"]: r for r in rs.parse_responses(df).collect()}
+    assert {k: r["Predicted_Archetype"] for k, r in got.items()} == cases
+    assert "'list'" in got["\t[1]"]["Keywords_Found"] and "'str'" in got['\r\n"x" ']["Keywords_Found"]
+
+
+def test_one_answer_a_key(spark):
+    kw = spark.createDataFrame([("a", *["k"] * 6), ("b", *["k"] * 6)], "company_id string, " + ", ".join(f"{c} string" for c in rs.RESULT_COLUMNS))
+    stored = spark.createDataFrame([("a", "broken"), ("a", '{"archetype":"Z"}'), ("a", '{"archetype":"Y"}')], "company_id string, response_json string")
+    got = {r["company_id"]: r["Predicted_Archetype"] for r in rs.merge_with_keywords(kw, rs.parse_responses(stored)).collect()}
+    assert got == {"a": "Y", "b": "k"}
+
+
+def test_each_request_is_sent_once(spark, scratch):
+    import os
+    from pyspark.sql import functions as F
+    from sectorscope.operators import findings, profiles
+    log = scratch("asked").removeprefix("file:")
+    os.makedirs(log)
+
+    def model(pdf):
+        for k in pdf["company_id"]:
+            with open(f"{log}/{k}", "a") as f:
+                f.write("x")
+        if pdf["company_id"].iloc[0] == "c3":
+            raise RuntimeError("down")
+        return pdf[["company_id"]].assign(response_json='{"archetype":"Enablers","innovation_wave":"2.0","driving_capabilities":["DC1"]}')
+
+    c = spark.range(20).select(F.concat(F.lit("c"), "id").alias("company_id"), F.lit("cloud").alias("t"))
+    kw = c.select("company_id", *[F.lit("k").alias(x) for x in rs.RESULT_COLUMNS])
+    out = rs.classify_with_model(c, kw, rs.pandas_responder(model), F.col("company_id"), F.col("t"), F.col("t"))
+    findings.findings(out).collect()
+    profiles.wave_profile(out).collect()
+    assert {f: os.path.getsize(f"{log}/{f}") for f in os.listdir(log)} == {f"c{i}": 1 for i in range(20)}
+    assert out.where("Predicted_Archetype = 'Processing Error'").count() == 1
+
+
+def test_cost_estimate_per_company():
+    assert rs.FRAMEWORK_TOKENS + rs.EXTRA_INPUT_TOKENS == 458 and rs.OUTPUT_TOKENS_PER_COMPANY == 250
