@@ -21,9 +21,9 @@ an equi-join, never a cross join:
 5. per-category scores and found lists are assembled per id (at most one
    entry per category). The texts are read once and never joined back.
 
-The keyword side is broadcast when its keyword count and bytes are within
-checked bounds; beyond them the join shuffles and AQE's skew handling
-splits hot anchors.
+No side is broadcast by force: Spark broadcasts the keywords within its own
+bound, else the join shuffles and AQE splits hot anchors. A lexicon of any
+size can be given as a table alone (``lex_df`` without ``lex``).
 """
 
 from __future__ import annotations
@@ -31,13 +31,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.functions.lexicon import Lexicon
+from sectorscope.functions.lexicon import GENERIC_WORDS, Lexicon
 from sectorscope.functions.text import has_word
 from sectorscope.operators.classify import RESULT_COLUMNS, _decision, let
 
-# the keyword table is broadcast only within both bounds; beyond, it is shuffled
-BROADCAST_MAX_KEYWORDS = 2_000_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 # prefix of a base row's anchor; no lower-cased keyword starts with it
 BASE_MARK = "\u0000#"
 
@@ -61,7 +58,13 @@ def _with_generic(lex_df: DataFrame, generic: tuple[str, ...]) -> DataFrame:
     return lex_df.select("cat_ord", "category", "kw_ord", "keyword").unionByName(g)
 
 
-def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
+def table_lexicon(lex_df: DataFrame, generic: tuple[str, ...] = tuple(GENERIC_WORDS)) -> Lexicon:
+    """The categories of a lexicon table; the keywords stay in the table."""
+    cats = lex_df.select("cat_ord", "category").distinct().orderBy("cat_ord").collect()
+    return Lexicon(tuple(r["category"] for r in cats), tuple(() for _ in cats), generic)
+
+
+def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon | None = None,
                   lex_df: DataFrame | None = None) -> DataFrame:
     """Per id: ``scores``, ``found``, ``_generic`` (generic words present) and ``_empty``.
 
@@ -75,32 +78,29 @@ def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
     joins back to the texts.
     """
     spark = df.sparkSession
+    lex = table_lexicon(lex_df) if lex is None else lex
     if lex_df is None:
         lex_df = lex.to_df(spark)
-        words = [k for ks in lex.keywords for k in ks] + list(lex.generic)
-        klens = [len(k.lower()) for k in words]
-        q, maxlen, n_kw = min(klens), max(klens), len(klens)
-        n_bytes = sum(2 * len(k.encode()) for k in words)
+        klens = [len(k.lower()) for ks in (*lex.keywords, lex.generic) for k in ks]
+        q, maxlen, guard = min(klens), max(klens), lex.needs_word_guard
         table = _lexicon_table(_with_generic(lex_df, lex.generic))
     else:
         table = _lexicon_table(_with_generic(lex_df, lex.generic))
         stats = table.agg(F.min("klen").alias("q"), F.max("klen").alias("maxlen"),
-                          F.count(F.lit(1)).alias("n"),
-                          F.sum(F.octet_length("keyword") + F.octet_length("m")).alias("bytes")).first()
-        q, maxlen, n_kw, n_bytes = int(stats["q"]), int(stats["maxlen"]), int(stats["n"]), int(stats["bytes"])
+                          F.bool_or((F.col("cat_ord") > 0) & ~has_word(F.col("m"))).alias("guard")).first()
+        q, maxlen, guard = int(stats["q"]), int(stats["maxlen"]), bool(stats["guard"])
     table = table.withColumn("anchor", F.substring("m", 1, q))
-    if n_kw <= BROADCAST_MAX_KEYWORDS and n_bytes <= BROADCAST_MAX_BYTES:
-        table = F.broadcast(table)
 
-    texts = df.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_tl"))
+    # rows of equal id stay apart
+    texts = df.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("_id"), F.lower(F.col(text_col)).alias("_tl"))
     tl = F.col("_tl")
     empty = tl.isNull()
-    if lex.needs_word_guard:
+    if guard:
         empty = empty | ~has_word(tl)
     # one window per start position with at least q characters left: a
     # zero-width lookahead matches at every position, its group is the window
     windows = F.regexp_extract_all(tl, F.lit(f"(?s)(?=(.{{{q},{maxlen}}}))"), 1)
-    base = F.array(F.concat(F.lit(BASE_MARK), F.col("_id").cast("string")))
+    base = F.array(F.concat(F.lit(BASE_MARK), F.col("_id.row").cast("string")))
     all_rows = F.concat(base, F.coalesce(windows, F.array().cast("array<string>")))
     rows = (texts.select("_id", empty.alias("_empty"), F.posexplode(all_rows).alias("pos", "win"))
                  .withColumn("anchor", F.when(F.col("pos") == 0, F.col("win"))
@@ -138,7 +138,7 @@ def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
                           F.bool_or("_empty").alias("_empty")))
     cats = F.sequence(F.lit(1), F.lit(len(lex.categories)))
     none = F.array().cast("array<string>")
-    out = per_id.withColumnRenamed("_id", id_col).withColumns({
+    out = per_id.withColumn(id_col, F.col("_id.id")).drop("_id").withColumns({
         "_generic": F.coalesce(F.col("_m")[0]["found"], none),
         "scores": F.transform(cats, lambda c: F.coalesce(F.col("_m")[c]["score"], F.lit(0))),
         "found": F.transform(cats, lambda c: F.coalesce(F.col("_m")[c]["found"], none)),
@@ -146,9 +146,10 @@ def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
     return out.drop("_m")
 
 
-def classify_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon,
+def classify_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon | None = None,
                      lex_df: DataFrame | None = None, keep_scores: bool = False) -> DataFrame:
     """Per id: the three keyword results (and ``scores`` / ``found`` when asked)."""
+    lex = table_lexicon(lex_df) if lex is None else lex
     scored = score_by_join(df, id_col, text_col, lex, lex_df)
     sc = F.struct(F.lit(None).cast("string").alias("t"), F.col("found").alias("found"),
                   F.col("scores").alias("scores"), F.col("_generic").alias("generic"))

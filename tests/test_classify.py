@@ -102,10 +102,8 @@ def test_join_scorer_self_overlapping_keywords(spark):
     assert lit[1] == [2, 0] and lit[2] == [2, 4]
 
 
-def test_join_scorer_shuffled_path(spark, monkeypatch):
-    # beyond the broadcast bounds the keyword table is shuffled: same results
-    from sectorscope.operators import lexicon_join
-    monkeypatch.setattr(lexicon_join, "BROADCAST_MAX_KEYWORDS", 0)
+def test_join_scorer_shuffled_path(spark):
+    # beyond Spark's broadcast bound the keyword table is shuffled: same results
     d = read_table(spark, SF_SMALL, "documents").select("doc_id", "text")
     lex = probe_lexicon()
     cols = ["doc_id", "scores", "found", "Predicted_Archetype", "Confidence_Score", "Keywords_Found"]
@@ -152,7 +150,7 @@ def test_properties(spark, texts):
 
 
 def test_classifier_plan_is_one_projection(spark):
-    d = read_table(spark, SF_SMALL, "documents", spread=False)
+    d = read_table(spark, SF_SMALL, "documents")
     plan = plan_text(classify_text(d, "text", scorer="native"))
     assert "Exchange" not in plan and "Python" not in plan
     # the automaton scorer adds one Arrow-batched Python step, still no shuffle
@@ -176,3 +174,20 @@ def test_lexicon_round_trip_through_a_table(spark, scratch):
     path = scratch("lexicon") + ".csv"
     default_lexicon().to_df(spark).orderBy("kw_ord").write.option("header", True).csv(path)
     assert read_lexicon(spark, path) == default_lexicon()
+
+
+def test_large_lexicon_table_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+    from sectorscope.operators.lexicon_join import classify_by_join
+    words = spark.range(6000).select((F.col("id") % 3 + 1).cast("int").alias("cat_ord"), F.concat(F.lit("cat"), F.col("id") % 3).alias("category"),
+                                     (F.col("id") + 1).cast("int").alias("kw_ord"), F.format_string("kw%05d", "id").alias("keyword"))
+    docs = spark.createDataFrame([(1, "kw00000 kw00003 kw00001"), (1, "kw00004"), (2, "nothing"), (3, None)], "id long, text string")
+    got = sorted((r["id"], r["scores"]) for r in classify_by_join(docs, "id", "text", lex_df=words, keep_scores=True).collect())
+    assert got == [(1, [0, 1, 0]), (1, [2, 1, 0]), (2, [0, 0, 0]), (3, [0, 0, 0])]
+
+
+def test_scorer_is_explicit():
+    from sectorscope.functions.scoring import resolve_scorer
+    import pytest
+    with pytest.raises(ValueError):
+        resolve_scorer("auto")
