@@ -51,7 +51,7 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--responses-format", choices=["csv", "json", "parquet"],
                    help="format of the responses; default: from their extension")
     p.add_argument("--key", default="company_id", help="model mode: id column shared with the responses")
-    p.add_argument("--scorer", default="auto", choices=["auto", "aho", "native", "arrow"])
+    p.add_argument("--scorer", default="native", choices=["native", "aho", "arrow"])
     p.add_argument("--age-cutoff", type=float, help="apply the age correction with this founding-year cutoff")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv"], help="output format")
     p.add_argument("--run-id", help="run id of the output folder; default: the current time")
@@ -64,6 +64,9 @@ def classify_table(spark: SparkSession, args: argparse.Namespace) -> tuple[DataF
     default_name, default_desc = files.column_mapping(df.columns)
     name_col = _column(df.columns, args.name, default_name)
     desc_col = _column(df.columns, args.desc, default_desc)
+    source = df
+    if args.age_cutoff is not None:
+        df = corrections.founding_year(df)  # on the input: its whole-column choice never repeats a join
     result = classify_companies(df, desc_col, scorer=args.scorer)
     if args.mode == "model":
         if not args.responses:
@@ -77,8 +80,8 @@ def classify_table(spark: SparkSession, args: argparse.Namespace) -> tuple[DataF
             df, result, rs.stored_responder(stored, args.key), tx.company_name(df),
             tx.combined_text(df, desc_col), tx.industries(df), key=args.key)
     if args.age_cutoff is not None:
-        result = corrections.age_correction(corrections.founding_year(result), args.age_cutoff)
-    return df, result, name_col, desc_col
+        result = corrections.age_correction(result, args.age_cutoff)
+    return source, result, name_col, desc_col
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> str:
@@ -93,8 +96,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     path = files.export_results(result, args.out, args.mode, args.run_id, args.format)
     written = spark.read.format(args.format).option("header", True).load(path) \
         if args.format == "csv" else spark.read.parquet(path)
-    counts = profiles.archetype_counts_all(written).orderBy(F.desc("n"), F.asc(profiles.ARCH))
-    for row in counts.limit(20).collect():  # label-sized summary, bounded
+    for row in profiles.archetype_counts_all(written).toLocalIterator():  # every label, a partition at a time
         print(f"  {row[profiles.ARCH]}: {row['n']}")
     print(f"written: {path}")
     return path

@@ -14,8 +14,8 @@ Decision rules (in order):
   * else the first best category; High at >= 3, Medium at >= 1.
 
 Everything is a projection: no shuffle. The scorer is a parameter
-(``functions.scoring``): ``"auto"`` uses the Arrow-batched Aho-Corasick UDF
-when ``pyahocorasick`` is installed, ``"native"`` stays in the JVM.
+(``functions.scoring``): ``"native"`` (the default) stays in the JVM, ``"aho"``
+is an Arrow-batched Aho-Corasick UDF, by choice only.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def _score_struct(text: Column, lex: Lexicon, scorer: str, need_t: bool = True)
 
 
 def score(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,
-          scorer: str = "auto") -> DataFrame:
+          scorer: str = "native") -> DataFrame:
     """Add ``scores`` and ``found`` (and the helper ``_t``) for ``text_col``."""
     lex = lexicon or default_lexicon()
     out = df.withColumn("_sc", fence(_score_struct(F.col(text_col), lex, scorer)))
@@ -152,7 +152,7 @@ def decide(df: DataFrame, lexicon: Lexicon | None = None, text_col: str = "text"
     return out if keep_scores else out.drop("scores", "found")
 
 
-def classify_column(text: Column, lexicon: Lexicon | None = None, scorer: str = "auto",
+def classify_column(text: Column, lexicon: Lexicon | None = None, scorer: str = "native",
                     keep_scores: bool = False) -> Column:
     """The whole classifier as one column: struct of the three results (+ scores/found)."""
     lex = lexicon or default_lexicon()
@@ -168,7 +168,7 @@ def classify_column(text: Column, lexicon: Lexicon | None = None, scorer: str =
 
 
 def classify_text(df: DataFrame, text_col: str = "text", lexicon: Lexicon | None = None,
-                  scorer: str = "auto", keep_scores: bool = False) -> DataFrame:
+                  scorer: str = "native", keep_scores: bool = False) -> DataFrame:
     """Keyword classifier over one text column (CLS-1..10): one projection."""
     out = df.withColumn("_c", classify_column(F.col(text_col), lexicon, scorer, keep_scores))
     cols = RESULT_COLUMNS + (["scores", "found"] if keep_scores else [])
@@ -181,7 +181,7 @@ def with_text(df: DataFrame, main: str, aux: Sequence[str] = tx.AUX_TEXT_COLUMNS
 
 
 def classify_companies(df: DataFrame, main: str, aux: Sequence[str] = tx.AUX_TEXT_COLUMNS,
-                       lexicon: Lexicon | None = None, scorer: str = "auto",
+                       lexicon: Lexicon | None = None, scorer: str = "native",
                        keep_text: bool = False) -> DataFrame:
     """Row classifier in keyword mode: input columns + six result columns."""
     out = classify_text(with_text(df, main, aux, "_text"), "_text", lexicon, scorer)

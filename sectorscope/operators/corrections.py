@@ -26,7 +26,8 @@ DEFAULT_CUTOFF = 2010
 
 # Our explicit date formats for the date fallback (tried in order).
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy",
-                "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM", "MMM d, yyyy", "d MMM yyyy", "yyyy"]
+                "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM", "MMM d, yyyy", "d MMM yyyy", "yyyy",
+                "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "MMMM yyyy"]
 
 
 def year_column(columns: Sequence[str], fragments: Sequence[str] = YEAR_NAME_FRAGMENTS) -> str | None:

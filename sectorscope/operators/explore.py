@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectorscope.operators.profiles import ARCH, non_error_rows
@@ -22,9 +22,12 @@ def filter_labels(df: DataFrame, labels: Sequence[str], col: str = ARCH) -> Data
     return df.filter(F.col(col).isin(*labels)) if labels else df
 
 
-def filter_counts(df: DataFrame, labels: Sequence[str], col: str = ARCH) -> DataFrame:
-    """Shown vs total rows in one pass."""
+def filter_counts(df: DataFrame, labels: Sequence[str], col: str = ARCH, pattern: str | None = None,
+                  literal: bool = False) -> DataFrame:
+    """Shown vs total rows in one pass: shown are those that pass the labels and, if given, the search."""
     shown = F.coalesce(F.col(col).isin(*labels), F.lit(False)) if labels else F.lit(True)
+    if pattern is not None:
+        shown = shown & matches(df.columns, pattern, literal)
     return df.agg(F.count_if(shown).alias("n_shown"), F.count(F.lit(1)).alias("n_total"))
 
 
@@ -33,14 +36,19 @@ def search(df: DataFrame, pattern: str, literal: bool = False, columns: Sequence
 
     ``pattern`` is a Java regex unless ``literal``; null cells never match.
     """
-    cols = list(columns or df.columns)
+    return df.filter(matches(columns or df.columns, pattern, literal))
+
+
+def matches(columns: Sequence[str], pattern: str, literal: bool = False) -> Column:
+    """The test of ``search``."""
+    cols = list(columns)
     if literal:
         needle = F.lit(pattern.lower())
         tests = [F.coalesce(F.lower(F.col(f"`{c}`").cast("string")).contains(needle), F.lit(False)) for c in cols]
     else:
         rx = "(?iu)" + pattern  # case-insensitive for all letters, as Python's re
         tests = [F.coalesce(F.col(f"`{c}`").cast("string").rlike(rx), F.lit(False)) for c in cols]
-    return df.filter(reduce(lambda a, b: a | b, tests))
+    return reduce(lambda a, b: a | b, tests)
 
 
 def display_column(df: DataFrame) -> str:

@@ -16,11 +16,11 @@ Scale notes, for every operator here:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectorscope.session import materialize
+
 ARCH = "Predicted_Archetype"
 WAVE = "Innovation_Wave"
 DCS = "Driving_Capabilities"
@@ -79,7 +79,8 @@ def top_n(counts: DataFrame, label: str, n: int, n_col: str = "n") -> DataFrame:
 # --- archetype distribution ---------------------------------------------------
 
 def archetype_counts_all(df: DataFrame) -> DataFrame:
-    return value_counts(df, ARCH)
+    """Rows per label, most frequent first (ties: smallest label)."""
+    return value_counts(df, ARCH).orderBy(F.desc("n"), F.asc(ARCH))
 
 
 def archetype_counts(df: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ def archetype_share(df: DataFrame) -> DataFrame:
 
 def archetype_mode(df: DataFrame) -> DataFrame:
     """Most frequent label over all rows; ties go to the smallest label."""
-    return top_n(archetype_counts_all(df), ARCH, 1)
+    return top_n(value_counts(df, ARCH), ARCH, 1)
 
 
 def dominant_archetype(df: DataFrame) -> DataFrame:
@@ -145,7 +146,8 @@ def wave_counts(df: DataFrame) -> DataFrame:
 
 
 def wave_share(df: DataFrame) -> DataFrame:
-    return with_share(wave_counts(df))
+    """Share of each wave, in order of the wave's label."""
+    return with_share(wave_counts(df)).orderBy(WAVE)
 
 
 def wave_maturity(df: DataFrame) -> DataFrame:
@@ -207,8 +209,10 @@ def top_capability(df: DataFrame) -> DataFrame:
     """The DC column with most rows mentioning "DC" (ties: first column)."""
     flagged = with_dc_flags(df) if not dc_columns(df) else df
     cols = dc_columns(flagged)
-    counts = _long_form(flagged.agg(*_dc_mentions(flagged, cols)), cols, "DC", "n")
-    return top_n(counts.filter(F.col("n") > 0), "DC", 1)
+    counts = flagged.agg(*_dc_mentions(flagged, cols)).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(c).alias("DC"), F.col(c).cast("bigint").alias("n"))
+        for i, c in enumerate(cols)])))
+    return counts.filter(F.col("n") > 0).orderBy(F.desc("n"), "place").limit(1).select("DC", "n")
 
 
 def capability_density(df: DataFrame) -> DataFrame:
@@ -271,7 +275,8 @@ def _sum_if(cond: Column, n: Column | None = None) -> Column:
 def archetype_summary(df: DataFrame) -> DataFrame:
     """Per label: rows, share of all rows, dominant wave, top-3 DC columns.
 
-    Two hash aggregates and no join: rows -> (label, wave) with per-column
+    Two hash aggregates and no join, then one row per label is written to the
+    shared folder and the total is a scalar over it: rows -> (label, wave) with per-column
     "DC" mention counts -> label, where the dominant wave (most rows, ties to
     the smallest wave) is a ``min_by`` with constant state per group.
     """
@@ -283,12 +288,8 @@ def archetype_summary(df: DataFrame) -> DataFrame:
     rank = F.when(F.col("wave").isNotNull(), F.struct((-F.col("n")).alias("neg"), F.col("wave").alias("wave")))
     base = per_wave.groupBy("label").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols],
                                          F.min_by("wave", rank).alias("dominant_wave"))
-    # total over the per-label rows through a window: a scalar subquery would
-    # need only ``n``, Catalyst would prune the DC counts from its copy of the
-    # aggregates, the exchanges would differ and the rows would be classified
-    # twice. One row per label reaches the window's single partition.
-    total = F.sum("n").over(Window.partitionBy())
-    base = with_share(base, name="pct", total=total).filter(F.col("label").isNotNull())
+    # written once: the total and the rows below read the same small table, the input is classified once
+    base = with_share(materialize(base, "labels"), name="pct").filter(F.col("label").isNotNull())
     ranked = F.sort_array(F.array(*[F.struct((-F.col(c)).alias("neg"), F.lit(i).alias("i"), F.lit(c).alias("dc"))
                                     for i, c in enumerate(cols)]))
     any_dc = sum((F.col(c) for c in cols), F.lit(0)) > 0
@@ -325,46 +326,21 @@ def wave_profile(df: DataFrame) -> DataFrame:
     return out.drop("_w")
 
 
-def running_sum(df: DataFrame, order_col: str, value: Column, name: str,
-                rows_per_bucket: int = 2_000_000, max_buckets: int = 100_000,
-                keep: list[str] | None = None) -> DataFrame:
-    """Running sum of ``value`` in ``order_col`` order, without a single-partition window.
+def running_sum(df: DataFrame, order_col: str, value: Column, name: str, keep: list[str] | None = None) -> DataFrame:
+    """Running sum of ``value`` in ``order_col`` order, without a single-partition window over the rows.
 
-    Phase 1 cuts the ordering column into ~equal range buckets (bounds from
-    ``approxQuantile``: at most ``max_buckets`` numbers reach the driver) and
-    sums each bucket; the bucket totals (one row per bucket) get an exclusive
-    prefix sum. Phase 2 runs a window per bucket and adds the bucket's offset,
-    joined by broadcast (size bounded by ``max_buckets``). Ties in
+    The rows are range-partitioned on ``order_col`` (any orderable type) and
+    written once to the shared folder with the number of their partition;
+    the partition sums (one row per partition) get an exclusive prefix sum,
+    which is added to the running sum inside each partition. Ties in
     ``order_col`` must not exist (it is a row id).
-
-    The input is narrowed to ``order_col``, ``keep`` and the value, and
-    written once to the shared folder: the count, the quantiles and the two
-    phases then re-read that small table instead of recomputing the upstream
-    plan four times.
     """
-    from sectorscope.session import materialize
     cols = [order_col] + [c for c in (keep or []) if c != order_col]
-    df = materialize(df.select(*cols, value.alias("_v0")), "running-sum")
-    value = F.col("_v0")
-    n = df.count()
-    k = max(1, min(max_buckets, math.ceil(n / rows_per_bucket)))
-    if k == 1:
-        # at most rows_per_bucket rows: one window partition is bounded
-        w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.sum(value).over(w)).drop("_v0")
-    probs = [i / k for i in range(1, k)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, 1.0 / (4 * k))))
-    from pyspark.ml.feature import Bucketizer
-    splits = [-math.inf] + bounds + [math.inf]
-    tmp = df.withColumn("_ord_d", F.col(order_col).cast("double"))
-    df = (Bucketizer(splits=splits, inputCol="_ord_d", outputCol="_bucket").transform(tmp)
-          .drop("_ord_d").withColumn("_bucket", F.col("_bucket").cast("int")))
-    df = df.withColumn("_v", value)
-    totals = df.groupBy("_bucket").agg(F.sum("_v").alias("_bt"))
-    offsets = totals.select("_bucket", (F.sum("_bt").over(
-        Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
-    w = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("_run", F.sum("_v").over(w))
-    out = out.join(F.broadcast(offsets), "_bucket", "left")
-    out = out.withColumn(name, F.col("_run") + F.coalesce(F.col("_off"), F.lit(0)))
-    return out.drop("_bucket", "_v", "_run", "_off", "_v0")
+    parts = materialize(df.select(*cols, value.alias("_v")).repartitionByRange(order_col)
+                        .withColumn("_part", F.spark_partition_id()), "running-sum")
+    totals = parts.groupBy("_part").agg(F.sum("_v").alias("_total"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    w = Window.partitionBy("_part").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    return (parts.withColumn("_run", F.sum("_v").over(w)).join(offsets, "_part")
+            .withColumn(name, F.col("_run") + F.col("_before")).drop("_part", "_v", "_run", "_before"))

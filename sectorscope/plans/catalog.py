@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from sectorscope.functions import text as tx
 from sectorscope.functions.lexicon import Lexicon, default_lexicon, probe_lexicon
-from sectorscope.operators import corrections, explore, profiles, responses as rs
+from sectorscope.operators import corrections, explore, profiles, responses as rs, resume
 from sectorscope.operators.classify import classify_companies, classify_text, score
 from sectorscope.operators.lexicon_join import classify_by_join
 from sectorscope.session import scratch_path
@@ -34,7 +34,7 @@ EXPLORER_LABELS = ["Hybrid", "Enablers"]
 SEARCH_COMPANIES = "hybrid|iot"
 SEARCH_DOCS = "licen[cs]e|passw"
 AGE_CUTOFF = 2010
-SCORER = "auto"
+SCORER = "native"
 
 
 # --- shared building blocks ------------------------------------------------------
@@ -300,11 +300,10 @@ def q_resume_done_count(spark, sf_dir):
 
 def q_resume_pending(spark, sf_dir):
     """Rows not yet in a saved progress table, classified; progress = rows with an industry."""
-    c = companies(spark, sf_dir)
-    done = _saved_progress(spark, sf_dir).select("company_id", "Predicted_Archetype")
-    done = done.filter(F.col("Predicted_Archetype").isNotNull() & (F.col("Predicted_Archetype") != ""))
-    pending = c.join(done.select("company_id"), "company_id", "left_anti")
-    out = classify_companies(pending, COMPANY_DESC, COMPANY_AUX)
+    path = scratch_path(spark, "progress")
+    _saved_progress(spark, sf_dir).write.parquet(path)
+    pending = resume.pending_rows(companies(spark, sf_dir), spark.read.parquet(path), "company_id")
+    out = classify_companies(pending, COMPANY_DESC, COMPANY_AUX, scorer=SCORER)
     return out.select("company_id", "Predicted_Archetype", "Confidence_Score")
 
 
@@ -426,7 +425,7 @@ def q_findings(spark, sf_dir):
 def q_incremental_classify(spark, sf_dir):
     src = scratch_path(spark, "incoming")
     c = companies(spark, sf_dir)
-    c.repartition(4).write.parquet(src)
+    c.write.parquet(src)
     sink, ckpt = scratch_path(spark, "classified"), scratch_path(spark, "stream-ckpt")
     q = incremental.classify_stream(spark, src, c.schema, sink, ckpt, COMPANY_DESC, COMPANY_AUX,
                                     max_files_per_trigger=1, keep=["company_id", *RESULT6])
@@ -437,7 +436,7 @@ def q_incremental_classify(spark, sf_dir):
 def q_batch_progress(spark, sf_dir):
     src = scratch_path(spark, "incoming")
     c = companies(spark, sf_dir)
-    c.repartition(4).write.parquet(src)
+    c.write.parquet(src)
     sink, metrics, ckpt = (scratch_path(spark, "classified"), scratch_path(spark, "metrics"),
                            scratch_path(spark, "stream-ckpt"))
     q = incremental.classify_stream_with_progress(spark, src, c.schema, sink, metrics, ckpt,

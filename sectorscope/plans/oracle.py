@@ -204,7 +204,7 @@ _TOKEN_LIST = _list(NULL_TOKENS)
 def oracle_sql() -> dict[str, str]:
     C = _company_cls()
     M = MODEL
-    per_in = len(rs.FRAMEWORK_CONTEXT) // rs.CHARS_PER_TOKEN + rs.EXTRA_INPUT_TOKENS
+    per_in = 458  # input tokens a company
     d = {
         "scan_companies": with_([COMPANIES], """SELECT CAST(company_id AS VARCHAR) AS company_id, Company, Industries,
             industry_groups, Description, founded FROM companies"""),

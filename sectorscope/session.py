@@ -63,8 +63,7 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "local")
         if not master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder before running on {master}")
-        conf = tempfile.mkdtemp(prefix="sectorscope-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, conf)
+        conf = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sectorscope-ckpt-")
     try:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(conf)

@@ -48,51 +48,10 @@ RESPONSES: dict[int, str] = {
 }
 
 
-SPREAD_MIN_BYTES = 256 * 1024
-
-
-def spread_small_input(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Give a scan at least ``defaultParallelism`` partitions.
-
-    Parquet splits only at row-group boundaries, so a file written as one row
-    group is one task however large its texts are, and the per-row scoring
-    then runs on one core. Only such under-partitioned inputs are spread
-    (round-robin), and only when they hold at least ``min_bytes`` (below that
-    the extra stage costs more than it saves); a large input already has far
-    more scan partitions than cores and is left untouched, so no shuffle is
-    added at scale.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect: no RDD access, leave the scan as is
-        return df
-    if current >= target:
-        return df
-    size = _local_input_bytes(df)
-    return df if size is not None and size < min_bytes else df.repartition(target)
-
-
-def _local_input_bytes(df: DataFrame) -> int | None:
-    """Total size of the scan's files when all are local; None for remote stores.
-
-    An under-partitioned scan of a remote store is spread without asking its
-    size (that would need a file-system call per file).
-    """
-    import os
-    from urllib.parse import unquote, urlparse
-    total = 0
-    for f in df.inputFiles():
-        u = urlparse(f)
-        if u.scheme not in ("", "file"):
-            return None
-        total += os.path.getsize(unquote(u.path))
-    return total
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
+    """One driver table. ``partitions`` spreads a table whose files hold too few splits; off by default."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small_input(df) if spread else df
+    return df if partitions is None else df.repartition(partitions)
 
 
 def _phrase(idx: Column) -> Column:
@@ -125,11 +84,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     token counts): with ``k % 20 = 4`` the call was never made, which
     exercises the keyword fallback; with ``k % 20 = 14`` it failed and
     ``error`` holds the message. ``answered`` keeps the rows with an answer
-    or an error. Not spread: parsing short JSON is cheap per row, and at
-    small sizes this side is the build side of Spark's size-checked
-    broadcast join.
+    or an error.
     """
-    c = read_table(spark, sf_dir, "customer", spread=False)
+    c = read_table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     mod = (k % 10).cast("int")
     resp = F.try_element_at(F.create_map(*[x for i, j in sorted(RESPONSES.items())

@@ -21,6 +21,7 @@ from sectorscope.functions.lexicon import Lexicon
 from sectorscope.functions.text import AUX_TEXT_COLUMNS
 from sectorscope.operators.classify import classify_companies
 from sectorscope.operators.responses import billable
+from sectorscope.sources.files import NULL_TOKENS
 
 
 def _source(spark: SparkSession, path: str, schema: StructType, fmt: str,
@@ -28,6 +29,17 @@ def _source(spark: SparkSession, path: str, schema: StructType, fmt: str,
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        return _null_tokens(_load(reader, path, max_files_per_trigger))
+    return _load(reader, path, max_files_per_trigger)
+
+
+def _null_tokens(stream: DataFrame) -> DataFrame:
+    """The null rule of ``files.scan``: a string cell that is a null token is null."""
+    return stream.withColumns({f.name: F.when(~F.col(f"`{f.name}`").isin(*NULL_TOKENS), F.col(f"`{f.name}`"))
+                               for f in stream.schema.fields if f.dataType.simpleString() == "string"})
+
+
+def _load(reader, path: str, max_files_per_trigger: int | None) -> DataFrame:
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(path)
@@ -54,10 +66,10 @@ def classify_stream_with_progress(spark: SparkSession, source: str, schema: Stru
                                   metrics: str, checkpoint: str, main: str,
                                   aux: Sequence[str] = AUX_TEXT_COLUMNS, lexicon: Lexicon | None = None,
                                   fmt: str = "parquet", max_files_per_trigger: int | None = None,
-                                  cost_per_row: float = 0.0002) -> StreamingQuery:
+                                  cost_per_row: float = 0.0) -> StreamingQuery:
     """Like ``classify_stream`` but through ``foreachBatch``, writing one metrics row per batch.
 
-    Each batch overwrites its own ``batch_id=`` partition in both tables, so a
+    Keyword mode is free, so ``cost_per_row`` is 0 by default. Each batch overwrites its own ``batch_id=`` partition in both tables, so a
     batch replayed after a failure replaces its earlier output (idempotent).
     """
     def run_batch(batch: DataFrame, batch_id: int) -> None:

@@ -16,11 +16,10 @@ def spark():
     spark = (SparkSession.builder.master("local[4]").appName("sectorscope-tests")
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sectorscope-test-"))
              .config("spark.sql.session.timeZone", "UTC")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="sectorscope-test-"))
     yield spark
     spark.stop()
 

@@ -12,9 +12,12 @@ from conftest import SF_SMALL
 
 def test_running_sum_matches_single_window(spark):
     df = read_table(spark, SF_SMALL, "orders").select("o_orderkey", (F.col("o_orderkey") % 3 == 0).alias("f"))
-    got = profiles.running_sum(df, "o_orderkey", F.col("f").cast("bigint"), "run", rows_per_bucket=97)
-    one = profiles.running_sum(df, "o_orderkey", F.col("f").cast("bigint"), "run")
-    assert sorted(got.select("o_orderkey", "run").collect()) == sorted(one.select("o_orderkey", "run").collect())
+    df = df.withColumn("o_orderkey", F.format_string("k%08d", "o_orderkey"))  # any orderable key
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = profiles.running_sum(df, "o_orderkey", F.col("f").cast("bigint"), "run")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert "SinglePartition" not in plan_text(df.repartitionByRange("o_orderkey"))
     w = Window.orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     ref = df.withColumn("run", F.sum(F.col("f").cast("bigint")).over(w))
     assert sorted(got.select("o_orderkey", "run").collect()) == sorted(ref.select("o_orderkey", "run").collect())
@@ -167,3 +170,23 @@ def test_strip_matches_python(spark):
         assert got == [v.strip() for v in values]
 
     check()
+
+
+def test_sorted_outputs_and_small_rules(spark):
+    rows = [("B", "2.0", "DC2", "2015-03-01T10:00:00Z"), ("A", "1.0", "DC1", "March 2012"), ("B", "1.0", "DC1, DC2", "2015-03-01T00:00:00"), ("C", None, "", "x")]
+    df = spark.createDataFrame(rows, "Predicted_Archetype string, Innovation_Wave string, Driving_Capabilities string, founded string")
+    assert [r[0] for r in profiles.archetype_counts_all(df).collect()] == ["B", "A", "C"]
+    assert [r[0] for r in profiles.wave_share(df).collect()] == ["1.0", "2.0"]
+    own = spark.createDataFrame([("DC", "DC")], "DC2 string, DC1 string")
+    assert profiles.top_capability(own).first()["DC"] == "DC2"
+    years = [r["Founded_Year"] for r in corrections.founding_year(df, "founded").collect()]
+    assert years == [2015.0, 2012.0, 2015.0, None]
+    counts = explore.filter_counts(df, ["B"], pattern="march|z$").first()
+    assert (counts["n_shown"], counts["n_total"]) == (1, 4)
+
+
+def test_resume_skips_labelled_rows(spark):
+    from sectorscope.operators.resume import pending_rows
+    df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k long")
+    saved = spark.createDataFrame([(1, "A"), (2, ""), (3, None), (1, "A")], "k long, Predicted_Archetype string")
+    assert sorted((r[0] or 0) for r in pending_rows(df, saved, "k").collect()) == [0, 2, 3]
