@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +31,8 @@ from sectorscope.llm.common import map_batches, row_struct, with_fields
 
 UNDEFINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+_GROUP = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -44,29 +47,43 @@ class LangIdConfig:
     rate: float = 0.5
     held: float = 0.2               # share of the sample kept for calibration
     accept_precision: float = 0.99  # wanted accuracy among accepted texts
-    word_limit: int = 200_000       # words remembered per worker
+    word_limit: int = 400_000       # words remembered per worker
+    sample_tasks: int = 16          # tasks that read the sample
     seed: int = 7
 
 
-def subwords(word: str, cfg: LangIdConfig) -> list[int]:
-    """Hashed n-grams of one marked word."""
-    marked = f"<{word}>"
-    n = len(marked)
-    return [zlib.crc32(marked[i:i + k].encode()) % cfg.buckets
-            for k in range(cfg.min_gram, cfg.max_gram + 1) for i in range(n - k + 1)]
+def subwords(words: list[str], cfg: LangIdConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of the marked words: buckets, in order of the words, and how many each word has."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    word = np.repeat(np.arange(len(words)), size)
+    buckets, owners = [], []
+    for k in range(cfg.min_gram, cfg.max_gram + 1):
+        n = max(0, len(points) - k + 1)
+        h = np.full(n, k, np.uint64)
+        for j in range(k):
+            h = (h ^ points[j:j + n]) * _MUL
+            h ^= h >> np.uint64(29)
+        whole = word[:n] == word[k - 1:k - 1 + n]
+        buckets.append((h[whole] % np.uint64(cfg.buckets)).astype(np.int64))
+        owners.append(word[:n][whole])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(buckets)[order], np.bincount(owner, minlength=len(words))
 
 
 def bag(text: str | None, cfg: LangIdConfig) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and their shares."""
-    counts: dict[int, int] = {}
     words: dict[str, int] = {}
     for w in _LETTERS.findall((text or "").lower()):
         words[w] = words.get(w, 0) + 1
-    for w, n in words.items():
-        for b in subwords(w, cfg):
-            counts[b] = counts.get(b, 0) + n
-    total = sum(counts.values()) or 1
-    return np.fromiter(counts, np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts)) / total
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    buckets, sizes = subwords(list(words), cfg)
+    times = np.repeat(np.fromiter(words.values(), np.float64, len(words)), sizes)
+    count = np.bincount(buckets, times, cfg.buckets)
+    found = np.flatnonzero(count)
+    return found.astype(np.int32), (count[found] / times.sum()).astype(np.float32)
 
 
 @dataclass
@@ -97,7 +114,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         chosen = chosen | ((lang == name) & (draw < int(share * (1 << 20)) + 1))
     most = 2 * cfg.per_language * max(1, len(shares))
     rows = (docs.where(chosen).select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-            .limit(most))
+            .limit(most).repartition(cfg.sample_tasks))
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         bags = [bag(t, cfg) for t in batch["text"]]
@@ -177,19 +194,24 @@ class _Words(dict):
         self.model, self.cfg = model, cfg
         self.rows = np.zeros((1024, len(model.languages) + 1))
 
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.rows):
+    def learn(self, texts: list[list[str]]) -> None:
+        """Make every word of ``texts`` known."""
+        new = list(dict.fromkeys(w for words in texts for w in words if w not in self))
+        if len(self) + len(new) > min(self.cfg.word_limit, 20_000_000 // self.rows.shape[1]):
+            self.clear()
+            new = list(dict.fromkeys(w for words in texts for w in words))
+        if not new:
+            return
+        at = len(self)
+        while len(self.rows) < at + len(new):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-        grams = subwords(word, self.cfg)
-        self.rows[k, :-1] = self.model.table[grams].sum(axis=0)
-        self.rows[k, -1] = len(grams)
-        self[word] = k
-        return k
+        buckets, sizes = subwords(new, self.cfg)
+        starts = np.cumsum(sizes) - sizes
+        self.rows[at:at + len(new), :-1] = np.add.reduceat(self.model.table[buckets].astype(np.float64), starts, axis=0)
+        self.rows[at:at + len(new), -1] = sizes
+        self.update(zip(new, range(at, at + len(new))))
 
     def logits(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.cfg.word_limit:
-            self.clear()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         total = np.zeros(self.rows.shape[1])
         for i in range(0, len(at), 1 << 16):
@@ -197,6 +219,19 @@ class _Words(dict):
         return total[:-1] / total[-1] + self.model.bias
 
 
+def _groups(texts: list[str | None]) -> Iterator[list[list[str]]]:
+    """The letter runs of the texts, in groups of about a million characters; a longer text is a group by itself."""
+    group: list[list[str]] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text or "") > _GROUP:
+            yield group
+            group, size = [], 0
+        group.append(_LETTERS.findall(text.lower()) if text else [])
+        size += len(text or "")
+    yield group
+
+
 def predict(docs: DataFrame, model: LangModel, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
             cfg: LangIdConfig = LangIdConfig()) -> DataFrame:
     """One row per input row: ``row`` (struct of ``carry``), ``lang_pred``, ``score``, ``accepted``."""
@@ -208,16 +243,18 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text", carry: tu
         m = shared.value
         table = memo.setdefault(0, _Words(m, cfg))
         names, scores = [], []
-        for text in batch["text"]:
-            words = _LETTERS.findall(text.lower()) if text else []
-            if not words or not m.languages:
-                names.append(UNDEFINED)
-                scores.append(0.0)
-                continue
-            p = _softmax(table.logits(words) / m.temperature)
-            best = int(p.argmax())
-            names.append(m.languages[best])
-            scores.append(float(p[best]))
+        for group in _groups(batch["text"]):
+            if m.languages:
+                table.learn(group)
+            for words in group:
+                if not words or not m.languages:
+                    names.append(UNDEFINED)
+                    scores.append(0.0)
+                    continue
+                p = _softmax(table.logits(words) / m.temperature)
+                best = int(p.argmax())
+                names.append(m.languages[best])
+                scores.append(float(p[best]))
         return {"row": batch["row"], "lang_pred": names, "score": scores,
                 "accepted": [n != UNDEFINED and s >= m.threshold for n, s in zip(names, scores)]}
 
