@@ -118,12 +118,12 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         bags = [bag(t, cfg) for t in batch["text"]]
-        return {"lang": batch["lang"], "ids": [b[0] for b in bags], "shares": [b[1] for b in bags]}
+        return {"lang": batch["lang"], "ids": [b[0].tobytes() for b in bags], "shares": [b[1].tobytes() for b in bags]}
 
-    sample = [r for r in map_batches(rows, run, "lang string, ids array<int>, shares array<float>").collect() if r["ids"]]
+    sample = [r for r in map_batches(rows, run, "lang string, ids binary, shares binary").collect() if r["ids"]]
     # a fixed order, whatever order the tasks ended in
-    sample.sort(key=lambda r: (zlib.crc32(np.array(r["ids"], np.int32).tobytes()), r["lang"]))
-    return fit([(r["lang"], np.array(r["ids"]), np.array(r["shares"], np.float32)) for r in sample], cfg)
+    sample.sort(key=lambda r: (zlib.crc32(r["ids"]), r["lang"]))
+    return fit([(r["lang"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in sample], cfg)
 
 
 def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], cfg: LangIdConfig = LangIdConfig()) -> LangModel:
