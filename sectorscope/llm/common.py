@@ -8,6 +8,7 @@ are never decoded only to be split.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -75,5 +76,7 @@ def discard(spark: SparkSession, path: str) -> None:
     """
     hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the second round takes what the first one's finalizers let go
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
