@@ -8,8 +8,9 @@ against the window's words, and the words inside it are marked.
 
 The windows are cut into blocks by hash so that one broadcast never exceeds
 ``block_bytes``, whatever the size of the benchmark; each block is one further
-map over the documents that adds to their marks. There is no shuffle of
-documents and no cap on items.
+map over the documents that adds to their marks. The marks are written before
+the next block is sent, so a worker holds one block at a time. There is no
+shuffle of documents and no cap on items.
 
 Defined results: null, empty or word-free texts have no words, no hits and are
 not contaminated; null, empty or word-free items have no window; items with
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.llm.common import as_bytes, map_batches, row_struct, with_fields
+from sectorscope.session import materialize
 
 NGRAM = 13
 #: Bytes of windows and item ids in one broadcast block.
@@ -128,7 +130,11 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                          F.lit(None).cast("binary").alias("hits"),
                          F.array().cast("array<string>").alias("items"))
     schema = with_fields(marked, "row", "raw binary, n_words bigint, n_hit bigint, hits binary, items array<string>")
+    index = None
     for rows in window_blocks(windows, block_bytes):
+        if index is not None:
+            marked = materialize(marked, "marks")
+            index.unpersist()
         index = spark.sparkContext.broadcast(WindowIndex(rows))
 
         def run(batch: dict[str, list], index=index) -> dict[str, list]:
