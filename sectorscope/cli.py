@@ -42,6 +42,8 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("input", help="CSV, JSON or Parquet file or folder")
     p.add_argument("--input-format", choices=["csv", "json", "parquet"],
                    help="format of the input; default: from its extension")
+    p.add_argument("--single-line", action="store_true",
+                   help="CSV cells hold no line breaks, so that large files can be split")
     p.add_argument("--out", required=True, help="base folder of the results")
     p.add_argument("--name", help="company name column (name or 0-based position); default: the first")
     p.add_argument("--desc", help="description column (name or position); default: first named "
@@ -60,7 +62,7 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
 
 def classify_table(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, str, str]:
     """The input, the result table for ``args`` (both lazy) and the chosen name / description columns."""
-    df = files.scan(spark, args.input, args.input_format)
+    df = files.scan(spark, args.input, args.input_format, multi_line=not args.single_line)
     default_name, default_desc = files.column_mapping(df.columns)
     name_col = _column(df.columns, args.name, default_name)
     desc_col = _column(df.columns, args.desc, default_desc)

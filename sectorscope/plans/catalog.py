@@ -95,9 +95,27 @@ def _cats(lex: Lexicon) -> Column:
 # --- scans, mapping, projections -------------------------------------------------
 
 def q_scan_companies(spark, sf_dir):
+    """Two sets of files in one folder, with their columns in opposite orders."""
     path = scratch_path(spark, "companies") + ".csv"
-    files.write_csv(companies(spark, sf_dir), path)
-    return files.scan(spark, path)
+    c = companies(spark, sf_dir)
+    odd = F.col("company_id") % 2 == 1
+    files.write_csv(c.where(~odd), path)
+    files.write_csv(c.where(odd).select(*reversed(c.columns)), path, mode="append")
+    return files.scan(spark, path).select(*c.columns)
+
+
+def _scan_as(fmt: str, write: Callable[[DataFrame, str], None]) -> Query:
+    def query(spark, sf_dir):
+        path = scratch_path(spark, "companies") + f".{fmt}"
+        write(companies(spark, sf_dir), path)
+        return files.scan(spark, path)
+    return query
+
+
+def q_upload_mapping(spark, sf_dir):
+    c = companies(spark, sf_dir)
+    name, desc = files.column_mapping(c.columns, rule="upload")
+    return c.select(F.col(name).cast("string").alias("name"), F.col(desc).cast("string").alias("description"))
 
 
 def q_null_normalise(spark, sf_dir):
@@ -422,6 +440,11 @@ def q_findings(spark, sf_dir):
     return findings(_model_results(spark, sf_dir))
 
 
+def q_findings_text(spark, sf_dir):
+    from sectorscope.operators.findings import findings, render_text
+    return render_text(findings(_model_results(spark, sf_dir)))
+
+
 def q_incremental_classify(spark, sf_dir):
     src = scratch_path(spark, "incoming")
     c = companies(spark, sf_dir)
@@ -445,6 +468,14 @@ def q_batch_progress(spark, sf_dir):
     return incremental.progress_table(spark, metrics, total_rows=c.count())
 
 
+def q_batch_totals(spark, sf_dir):
+    """The progress of a finished stream, in figures that do not depend on how it was cut into batches."""
+    return q_batch_progress(spark, sf_dir).agg(
+        F.max("rows_done").alias("rows_done"), F.sum("n_billable").alias("n_billable"),
+        F.max("cost_so_far").alias("cost"), F.max("pct_done").alias("pct_done"),
+        F.max_by("eta_text", "batch_id").alias("eta_text"))
+
+
 def q_export_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "export")
     files.export_results(_classified(spark, sf_dir).select("company_id", *RESULT6), path, "keywords", "r1")
@@ -461,8 +492,11 @@ def _result_schema() -> StructType:
 def queries() -> dict[str, Query]:
     return {
         "scan_companies": q_scan_companies,
+        "scan_json": _scan_as("json", lambda df, path: df.write.json(path)),
+        "scan_parquet": _scan_as("parquet", files.write_parquet),
         "null_normalise": q_null_normalise,
         "column_mapping": q_column_mapping,
+        "upload_mapping": q_upload_mapping,
         "table_shape": q_table_shape,
         "combined_text": q_combined_text,
         "company_name": q_company_name,
@@ -531,7 +565,9 @@ def queries() -> dict[str, Query]:
         "archetype_summary": _m(profiles.archetype_summary),
         "wave_profile": _m(profiles.wave_profile),
         "findings": q_findings,
+        "findings_text": q_findings_text,
         "incremental_classify": q_incremental_classify,
         "batch_progress": q_batch_progress,
+        "batch_totals": q_batch_totals,
         "export_roundtrip": q_export_roundtrip,
     }

@@ -430,8 +430,38 @@ def oracle_sql() -> dict[str, str]:
                SELECT 'hybrid_models', CAST(NULL AS VARCHAR), CAST(n_hybrid AS BIGINT), {pct('n_hybrid', 'total')}
                  FROM fsc WHERE n_hybrid > 0"""),
         "incremental_classify": with_(C, f"SELECT company_id, {SELECT6} FROM classified"),
+        # keyword mode is free; a finished stream has nothing left
+        "batch_totals": with_(C + ["model AS (SELECT * FROM classified)"],
+            f"""SELECT count(*) AS rows_done, count(*) FILTER (WHERE {BILLABLE}) AS n_billable,
+                CAST(0.0 AS DOUBLE) AS cost, CAST(100.0 AS DOUBLE) AS pct_done, '0s' AS eta_text FROM model"""),
         "export_roundtrip": with_(C, f"SELECT company_id, {SELECT6}, 'keywords' AS mode, 'r1' AS run_id FROM classified"),
     }
+    d["scan_parquet"] = with_([COMPANIES], """SELECT company_id, Company, Industries, industry_groups, Description, founded
+        FROM companies""")
+    d["scan_json"] = d["scan_parquet"]
+    # the first column is the name, the second the description
+    d["upload_mapping"] = with_([COMPANIES], """SELECT CAST(company_id AS VARCHAR) AS name, Company AS description
+        FROM companies""")
+    d["findings_text"] = f"""SELECT finding, label, n, value, CASE
+        WHEN finding = 'dominant_archetype'
+          THEN printf('**%s** is the dominant archetype with %d companies (%.1f%%)', label, n, value)
+        WHEN finding = 'innovation_maturity' AND label = '3.0'
+          THEN printf('**%.1f%%** of companies are in Wave 3.0, indicating a highly evolved ecosystem ', value)
+            || 'with embedded insurance and open platforms'
+        WHEN finding = 'innovation_maturity'
+          THEN printf('**%.1f%%** in Wave 2.0, showing strong B2B enabler presence', value)
+        WHEN finding = 'top_capability'
+          THEN printf('**%s** is the most prevalent driving capability across the ecosystem', label)
+        WHEN finding = 'capability_density'
+          THEN printf('Companies leverage an average of **%.1f capabilities**, showing %s technological sophistication',
+                      value, label)
+        WHEN finding = 'classification_quality'
+          THEN printf('**%.1f%%** successful classifications (%d/%s companies)', value, n, label)
+        WHEN finding = 'ecosystem_diversity'
+          THEN printf('Ecosystem spans **%d different archetypes** from the framework', n)
+        WHEN finding = 'hybrid_models'
+          THEN printf('**%.1f%%** of companies exhibit hybrid characteristics, operating across multiple archetypes', value)
+        END AS text FROM ({d["findings"]}) f"""
     d["classify_keywords_docs_arrow"] = d["classify_keywords_docs"]
     d["classify_keywords_docs_native"] = d["classify_keywords_docs"]
     d["classify_default_docs_native"] = d["classify_default_docs"]

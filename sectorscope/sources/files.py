@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
                "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 # End of fixed values.
 
+#: Header lines read at the same time.
+_HEADER_THREADS = 16
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 
 
@@ -32,10 +36,35 @@ def format_of(path: str) -> str:
     return FORMATS[ext]
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the header line only (reads one line, not the file)."""
-    first = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
-    return [str(v) for v in first.limit(1).first()]
+def csv_header(spark: SparkSession, path: str) -> list[str] | None:
+    """Column names from one file's header line (reads one line, not the file); None for an empty file.
+
+    An unnamed column is called ``Unnamed: <position>``; a repeated name gets ``.1``, ``.2`` and so on.
+    """
+    first = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path).limit(1).first()
+    if first is None:
+        return None
+    given = [f"Unnamed: {i}" if v is None else str(v) for i, v in enumerate(first)]
+    names: list[str] = []
+    for name in given:
+        k, unique = 0, name
+        while unique in names or (k and unique in given):
+            k += 1
+            unique = f"{name}.{k}"
+        names.append(unique)
+    return names
+
+
+def csv_files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The CSV files under ``path``, in order of their paths, grouped by their columns: a listing and one line a file."""
+    listed = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    with ThreadPoolExecutor(_HEADER_THREADS) as pool:
+        headers = list(pool.map(lambda f: csv_header(spark, f), listed))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, names in zip(listed, headers):
+        if names is not None:
+            groups.setdefault(tuple(names), []).append(file)
+    return groups
 
 
 def scan(spark: SparkSession, path: str, fmt: str | None = None,
@@ -45,14 +74,22 @@ def scan(spark: SparkSession, path: str, fmt: str | None = None,
     ``multi_line`` allows quoted line breaks inside CSV cells (as pandas
     does); Spark then reads each CSV file in one task. For large files known
     to have none, ``multi_line=False`` lets Spark split them.
+
+    Columns go by name in each file, so files of a folder may order them
+    differently or lack some (null there); ``columns`` names them by position
+    instead, for all files alike.
     """
     fmt = fmt or format_of(path)
     if fmt == "csv":
-        names = list(columns) if columns else csv_header(spark, path)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        df = (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
-                   .option("escape", '"').option("nullValue", None).option("emptyValue", "").csv(path))
-        return null_normalise(df)
+        groups = {tuple(columns): [path]} if columns else csv_files_by_header(spark, path)
+        if not groups:
+            raise ValueError(f"no columns in {path!r}")
+        parts = []
+        for names, paths in groups.items():
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            parts.append(spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
+                         .option("escape", '"').option("nullValue", None).option("emptyValue", "").csv(paths))
+        return null_normalise(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
     if fmt == "json":
         return spark.read.json(path)
     return spark.read.parquet(path)

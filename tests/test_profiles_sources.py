@@ -190,3 +190,27 @@ def test_resume_skips_labelled_rows(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k long")
     saved = spark.createDataFrame([(1, "A"), (2, ""), (3, None), (1, "A")], "k long, Predicted_Archetype string")
     assert sorted((r[0] or 0) for r in pending_rows(df, saved, "k").collect()) == [0, 2, 3]
+
+
+def test_csv_columns_go_by_name_in_each_file(spark, scratch):
+    import os
+    path = scratch("csv") + ".csv"
+    os.makedirs(path)
+    for name, body in {"a": "Company,Description\nX,cloud\n", "b": "Description,Company\nrisk,Y\n",
+                       "c": "Company\nZ\n", "d": ""}.items():
+        with open(f"{path}/{name}.csv", "w") as fh:
+            fh.write(body)
+    df = files.scan(spark, path)
+    assert df.columns == ["Company", "Description"]
+    assert sorted(map(tuple, df.collect()), key=str) == [("X", "cloud"), ("Y", "risk"), ("Z", None)]
+
+
+def test_csv_repeated_and_missing_names(spark, scratch):
+    import os
+    path = scratch("csv") + ".csv"
+    os.makedirs(path)
+    with open(f"{path}/a.csv", "w") as fh:
+        fh.write("a,a,,a.1\n1,2,3,4\n")
+    df = files.scan(spark, path)
+    assert df.columns == ["a", "a.2", "Unnamed: 2", "a.1"]
+    assert tuple(df.first()) == ("1", "2", "3", "4")
