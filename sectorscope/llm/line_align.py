@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import WS_CHARS, as_bytes, map_batches, row_struct, with_fields
+from sectorscope.llm.common import WS_CHARS, as_bytes, map_batches, row_struct, stored, with_fields
 
 _WS = WS_CHARS.encode()
 
@@ -134,6 +134,8 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = document_lines(docs, id_col, text_col)
     owners = (lines.groupBy("h").agg(F.min("key").alias("owner"), F.min_by("pos", "key").alias("owner_pos"),
                                      F.count("*").alias("df")).where("df > 1"))
+    # read back from a table, so that AQE can split a line that very many documents have
+    owners, _ = stored(owners, "line-owners")
     matched = lines.join(owners, "h").where(F.col("key") != F.col("owner"))
     return matched.groupBy("key").agg(F.first("n_lines").alias("n_lines"), F.collect_set(
         F.struct("h", "pos", "owner", "owner_pos", "df")).alias("shared"))
