@@ -1,9 +1,10 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join on the same key; both sides of the
-joins are ordinary shuffles, so AQE splits a node with very many links. Each
-round's links are written to the shared folder, which cuts the lineage; the
-rounds end when the links no longer change.
+Each step is a grouped minimum and a join on the same key. The minima are
+written to the shared folder and read back, so both sides of the joins are
+ordinary shuffles and AQE splits a node with very many links. Each round's
+links are written too, which cuts the lineage; the rounds end when the links
+no longer change.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ def components(links: DataFrame, label: str = "links") -> DataFrame:
     state = _state(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), label)
+        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                            .distinct(), label)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), label)
         small = (large.join(least, "u").where("v != m")
                  .select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())

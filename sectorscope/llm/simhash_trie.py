@@ -171,6 +171,7 @@ def trie_links(fps: DataFrame, radius: int = RADIUS, trie_size: int = TRIE_SIZE)
         for k, (shift, width) in enumerate(blocks)])).alias("t")).select("fp", "t.*")
     large = (keyed.groupBy("block", "value").count().where(F.col("count") > trie_size)
              .select("block", "value", F.lit(True).alias("large")))
+    large = materialize(large, "simhash-large")  # a table, so that AQE can split the join on a very common value
     masks = F.array(*[F.lit(m).cast("bigint") for m in range(1 << _SPLIT_BITS) if m.bit_count() <= radius])
     cut = (keyed.join(large, ["block", "value"], "left")
            .withColumn("mask", F.explode(F.when(F.col("large"), masks).otherwise(F.array(F.lit(-1).cast("bigint")))))
@@ -230,7 +231,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     roots = components(trie_links(firsts, radius, trie_size), "simhash-links")
     placed = (firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
-    smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
     classes = placed.join(smallest, "root").select("fp", "component_id")
     return (printed.join(classes, "fp")
             .select("row", "id", "tie", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
