@@ -8,13 +8,20 @@ ranks from ``row_number``, lists from ordered ``string_agg``. Tables
 
 from __future__ import annotations
 
-from sectorscope.functions.lexicon import GENERALIST, HYBRID, UNCLASSIFIED, Lexicon, default_lexicon, probe_lexicon
+from sectorscope.functions.lexicon import Lexicon, default_lexicon, probe_lexicon
 from sectorscope.operators import responses as rs
-from sectorscope.operators.profiles import DC_CODES
-from sectorscope.plans import catalog as cat
-from sectorscope.sources.files import NULL_TOKENS
 from sectorscope.sources.tables import FAILED_CALL, PHRASES, RESPONSES
 
+# Expected values, stated here again and not imported, so that a wrong one in the library shows as a difference.
+HYBRID, GENERALIST, UNCLASSIFIED = "Hybrid", "Traditional / Generalist", "Unclassified"
+DC_CODES = ["DC1", "DC2", "DC3", "DC4", "DC5"]
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+SEARCH_COMPANIES, SEARCH_DOCS = "hybrid|iot", "licen[cs]e|passw"
+EXPLORER_LABELS = ["Hybrid", "Enablers"]
+AGE_CUTOFF = 2010
+# End of expected values.
+
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -120,22 +127,21 @@ def _mismatch(field: str) -> str:
     return f"coalesce(json_type(j, '$.{field}') NOT IN ('ARRAY', 'NULL'), false)"
 
 
-JC = rs.JUSTIFICATION_CHARS
 PARSED = [RESPONSES_CTE, f"""parsed0 AS (SELECT company_id, response_json AS j, error, input_tokens, output_tokens,
       CASE WHEN error IS NOT NULL THEN 'processing'
            WHEN response_json IS NULL OR NOT json_valid(response_json) THEN 'json'
            WHEN json_type(response_json) <> 'OBJECT' THEN 'api' END AS error_class
     FROM responses)""", f"""parsed AS (SELECT company_id, error_class, input_tokens, output_tokens,
-      CASE error_class WHEN 'processing' THEN '{rs.PROCESSING_ERROR}'
-           WHEN 'json' THEN '{rs.JSON_ERROR}' WHEN 'api' THEN '{rs.API_ERROR}'
-           ELSE coalesce(json_extract_string(j, '$.archetype'), '{rs.DEFAULT_ARCHETYPE}') END AS Predicted_Archetype,
+      CASE error_class WHEN 'processing' THEN 'Processing Error'
+           WHEN 'json' THEN 'API Error - JSON' WHEN 'api' THEN 'API Error'
+           ELSE coalesce(json_extract_string(j, '$.archetype'), 'Unclassified') END AS Predicted_Archetype,
       CASE WHEN error_class IS NOT NULL THEN 'Low'
-           ELSE coalesce(json_extract_string(j, '$.confidence'), '{rs.DEFAULT_CONFIDENCE}') END AS Confidence_Score,
-      CASE error_class WHEN 'processing' THEN left(error, {rs.PROCESSING_MESSAGE_CHARS})
-           WHEN 'json' THEN '{rs.JSON_ERROR_TEXT}'
-           WHEN 'api' THEN 'Error: ' || left('''' || {_pytype} || ''' object has no attribute ''get''', {rs.ERROR_MESSAGE_CHARS})
-           ELSE CASE WHEN length(coalesce(json_extract_string(j, '$.justification'), '')) > {JC}
-                     THEN left(json_extract_string(j, '$.justification'), {JC}) || '...'
+           ELSE coalesce(json_extract_string(j, '$.confidence'), 'Medium') END AS Confidence_Score,
+      CASE error_class WHEN 'processing' THEN left(error, 100)
+           WHEN 'json' THEN 'JSON parse error'
+           WHEN 'api' THEN 'Error: ' || left('''' || {_pytype} || ''' object has no attribute ''get''', 80)
+           ELSE CASE WHEN length(coalesce(json_extract_string(j, '$.justification'), '')) > 200
+                     THEN left(json_extract_string(j, '$.justification'), 200) || '...'
                      ELSE coalesce(json_extract_string(j, '$.justification'), '') END END AS Keywords_Found,
       CASE WHEN error_class IS NOT NULL THEN '' ELSE {_joined('secondary_archetypes')} END AS Secondary_Archetypes,
       CASE WHEN error_class IS NOT NULL THEN '' ELSE {_joined('driving_capabilities')} END AS Driving_Capabilities,
@@ -172,11 +178,11 @@ def pct(n: str, total: str) -> str:
 
 NOT_ERR = "NOT coalesce(contains(Predicted_Archetype, 'Error'), false)"
 SELECT6 = "Predicted_Archetype, Confidence_Score, Keywords_Found, Secondary_Archetypes, Driving_Capabilities, Innovation_Wave"
-BILLABLE = "NOT coalesce(Predicted_Archetype IN ({}), false)".format(", ".join(q(x) for x in rs.NOT_BILLED))
+BILLABLE = "NOT coalesce(Predicted_Archetype IN ({}), false)".format(", ".join(q(x) for x in ("API Error", "Unclassified", "Processing Error")))
 PROMPT_FIELDS = {
     "framework_context": q(rs.FRAMEWORK_CONTEXT),
     "company_name": "coalesce(Company, 'Unknown Company')",
-    "description": f"left({COMPANY_TEXT}, {rs.DESCRIPTION_CHARS})",
+    "description": f"left({COMPANY_TEXT}, 500)",
     "industries": "coalesce(Industries, industry_groups, '')",
 }
 
@@ -239,11 +245,11 @@ def oracle_sql() -> dict[str, str]:
         "classify_default_docs": with_(_doc_cls(default_lexicon()), """SELECT id AS doc_id, Predicted_Archetype,
             Confidence_Score, Keywords_Found FROM cls"""),
         "explorer_search_docs": f"""SELECT doc_id, lang, source FROM documents WHERE
-            coalesce(regexp_matches(CAST(doc_id AS VARCHAR), {q(cat.SEARCH_DOCS)}, 'i'), false)
-            OR coalesce(regexp_matches(text, {q(cat.SEARCH_DOCS)}, 'i'), false)
-            OR coalesce(regexp_matches(lang, {q(cat.SEARCH_DOCS)}, 'i'), false)
-            OR coalesce(regexp_matches(source, {q(cat.SEARCH_DOCS)}, 'i'), false)
-            OR coalesce(regexp_matches(CAST(n_chars AS VARCHAR), {q(cat.SEARCH_DOCS)}, 'i'), false)""",
+            coalesce(regexp_matches(CAST(doc_id AS VARCHAR), {q(SEARCH_DOCS)}, 'i'), false)
+            OR coalesce(regexp_matches(text, {q(SEARCH_DOCS)}, 'i'), false)
+            OR coalesce(regexp_matches(lang, {q(SEARCH_DOCS)}, 'i'), false)
+            OR coalesce(regexp_matches(source, {q(SEARCH_DOCS)}, 'i'), false)
+            OR coalesce(regexp_matches(CAST(n_chars AS VARCHAR), {q(SEARCH_DOCS)}, 'i'), false)""",
         "lexicon_join_docs": with_(_doc_cls(probe_lexicon()), """SELECT id AS doc_id, scores, Predicted_Archetype,
             Confidence_Score, Keywords_Found FROM cls"""),
         "recent_classifications": with_(C, """SELECT company_id, Predicted_Archetype, Confidence_Score, Innovation_Wave
@@ -252,11 +258,11 @@ def oracle_sql() -> dict[str, str]:
             Keywords_Found, row_number() OVER (PARTITION BY Predicted_Archetype ORDER BY company_id) AS rn
             FROM classified WHERE {NOT_ERR} AND Predicted_Archetype IS NOT NULL) WHERE rn <= 5"""),
         "explorer_filter": with_(C, """SELECT company_id, Company, Predicted_Archetype, Confidence_Score FROM classified
-            WHERE Predicted_Archetype IN ({})""".format(", ".join(q(x) for x in cat.EXPLORER_LABELS))),
+            WHERE Predicted_Archetype IN ({})""".format(", ".join(q(x) for x in EXPLORER_LABELS))),
         "explorer_counts": with_(C, """SELECT count(*) FILTER (WHERE Predicted_Archetype IN ({})) AS n_shown,
-            count(*) AS n_total FROM classified""".format(", ".join(q(x) for x in cat.EXPLORER_LABELS))),
+            count(*) AS n_total FROM classified""".format(", ".join(q(x) for x in EXPLORER_LABELS))),
         "explorer_search": with_(C, "SELECT company_id, Predicted_Archetype FROM classified WHERE " + " OR ".join(
-            f"coalesce(regexp_matches(CAST({c} AS VARCHAR), {q(cat.SEARCH_COMPANIES)}, 'i'), false)"
+            f"coalesce(regexp_matches(CAST({c} AS VARCHAR), {q(SEARCH_COMPANIES)}, 'i'), false)"
             for c in ["company_id", "Company", "Industries", "industry_groups", "Description", "founded",
                       "Predicted_Archetype", "Confidence_Score", "Keywords_Found", "Secondary_Archetypes",
                       "Driving_Capabilities", "Innovation_Wave"])),
@@ -283,48 +289,48 @@ def oracle_sql() -> dict[str, str]:
         "founding_year_dates": """SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS launch_date,
             CAST(year(o_orderdate) AS DOUBLE) AS Founded_Year FROM orders""",
         "age_correction": with_(C + [f"""aged AS (SELECT *, TRY_CAST(founded AS DOUBLE) AS Founded_Year,
-              coalesce(Predicted_Archetype IN ('Disruptors', 'Innovators') AND TRY_CAST(founded AS DOUBLE) < {cat.AGE_CUTOFF},
+              coalesce(Predicted_Archetype IN ('Disruptors', 'Innovators') AND TRY_CAST(founded AS DOUBLE) < {AGE_CUTOFF},
                        false) AS hit FROM classified)"""],
             """SELECT company_id, CASE WHEN hit THEN 'Traditional / Generalist' ELSE Predicted_Archetype END
             AS Predicted_Archetype, Founded_Year, CASE WHEN hit THEN true END AS Age_Corrected FROM aged"""),
         "age_correction_count": with_(C, f"""SELECT count(*) FILTER (WHERE Predicted_Archetype IN ('Disruptors', 'Innovators')
-            AND TRY_CAST(founded AS DOUBLE) < {cat.AGE_CUTOFF}) AS n_corrected FROM classified"""),
+            AND TRY_CAST(founded AS DOUBLE) < {AGE_CUTOFF}) AS n_corrected FROM classified"""),
         "year_archetype": with_(C, f"""SELECT Founded_Year, Predicted_Archetype, count(*) AS n FROM (
             SELECT TRY_CAST(founded AS DOUBLE) AS Founded_Year,
-              CASE WHEN Predicted_Archetype IN ('Disruptors', 'Innovators') AND TRY_CAST(founded AS DOUBLE) < {cat.AGE_CUTOFF}
+              CASE WHEN Predicted_Archetype IN ('Disruptors', 'Innovators') AND TRY_CAST(founded AS DOUBLE) < {AGE_CUTOFF}
               THEN 'Traditional / Generalist' ELSE Predicted_Archetype END AS Predicted_Archetype FROM classified)
             GROUP BY 1, 2"""),
         "request_render": with_([COMPANIES], f"SELECT company_id, {_prompt_sql()} AS prompt FROM companies"),
         "token_estimate": with_([COMPANIES], f"""SELECT company_id, CAST(length(p) AS BIGINT) AS prompt_chars,
-            CAST(length(p) // {rs.CHARS_PER_TOKEN} AS BIGINT) AS est_tokens
+            CAST(length(p) // 4 AS BIGINT) AS est_tokens
             FROM (SELECT company_id, {_prompt_sql()} AS p FROM companies)"""),
         "cost_estimate": with_([COMPANIES], f"""SELECT n_companies, input_tokens, output_tokens,
-            CAST(input_tokens AS DOUBLE) / 1000000 * CAST({rs.PRICE_INPUT_PER_M} AS DOUBLE)
-              + CAST(output_tokens AS DOUBLE) / 1000000 * CAST({rs.PRICE_OUTPUT_PER_M} AS DOUBLE) AS total_cost_usd,
-            CAST(n_companies AS DOUBLE) / {rs.RATE_ROWS_PER_SECOND} AS est_seconds,
-            '~' || CAST(floor(CAST(n_companies AS DOUBLE) / {rs.RATE_ROWS_PER_SECOND} / 60) AS BIGINT) || 'm '
-              || CAST(floor(CAST(n_companies AS DOUBLE) / {rs.RATE_ROWS_PER_SECOND} % 60) AS BIGINT) || 's'
+            CAST(input_tokens AS DOUBLE) / 1000000 * CAST(0.15 AS DOUBLE)
+              + CAST(output_tokens AS DOUBLE) / 1000000 * CAST(0.60 AS DOUBLE) AS total_cost_usd,
+            CAST(n_companies AS DOUBLE) / 2 AS est_seconds,
+            '~' || CAST(floor(CAST(n_companies AS DOUBLE) / 2 / 60) AS BIGINT) || 'm '
+              || CAST(floor(CAST(n_companies AS DOUBLE) / 2 % 60) AS BIGINT) || 's'
               AS est_time_text FROM (
             SELECT count(*) AS n_companies, CAST(count(*) * {per_in} AS BIGINT) AS input_tokens,
-              CAST(count(*) * {rs.OUTPUT_TOKENS_PER_COMPANY} AS BIGINT) AS output_tokens FROM companies)"""),
+              CAST(count(*) * 250 AS BIGINT) AS output_tokens FROM companies)"""),
         "response_parse": with_(PARSED, f"SELECT company_id, error_class, {SELECT6} FROM parsed"),
         "response_errors": with_(PARSED, """SELECT company_id, error_class, type_mismatch, Predicted_Archetype, Keywords_Found
             FROM parsed WHERE error_class IS NOT NULL OR type_mismatch"""),
         "result_projection": with_(M, "SELECT company_id, Secondary_Archetypes, Driving_Capabilities FROM model"),
         "model_fallback": with_(M, f"SELECT company_id, result_source, {SELECT6} FROM model"),
         "actual_cost": with_(PARSED, f"""SELECT input_tokens, output_tokens,
-            CAST(input_tokens AS DOUBLE) / 1000000 * CAST({rs.PRICE_INPUT_PER_M} AS DOUBLE)
-              + CAST(output_tokens AS DOUBLE) / 1000000 * CAST({rs.PRICE_OUTPUT_PER_M} AS DOUBLE) AS cost_usd
+            CAST(input_tokens AS DOUBLE) / 1000000 * CAST(0.15 AS DOUBLE)
+              + CAST(output_tokens AS DOUBLE) / 1000000 * CAST(0.60 AS DOUBLE) AS cost_usd
             FROM (SELECT CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
                          CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM responses)"""),
         "cost_ledger": with_(M, f"""SELECT company_id, billable, running_billable,
-            CAST(running_billable AS DOUBLE) * CAST({rs.LEDGER_COST_PER_ROW} AS DOUBLE) AS running_cost FROM (
+            CAST(running_billable AS DOUBLE) * CAST(0.0002 AS DOUBLE) AS running_cost FROM (
             SELECT company_id, billable, CAST(sum(CASE WHEN billable THEN 1 ELSE 0 END) OVER (ORDER BY company_id
               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_billable
             FROM (SELECT company_id, {BILLABLE} AS billable FROM model))"""),
         "cost_summary": with_(M, f"""SELECT n_billable, n_total,
-            CAST(n_billable AS DOUBLE) * CAST({rs.LEDGER_COST_PER_ROW} AS DOUBLE) AS total_cost,
-            CAST(n_billable AS DOUBLE) * CAST({rs.LEDGER_COST_PER_ROW} AS DOUBLE) / NULLIF(CAST(n_total AS DOUBLE), 0)
+            CAST(n_billable AS DOUBLE) * CAST(0.0002 AS DOUBLE) AS total_cost,
+            CAST(n_billable AS DOUBLE) * CAST(0.0002 AS DOUBLE) / NULLIF(CAST(n_total AS DOUBLE), 0)
               AS cost_per_company
             FROM (SELECT count(*) FILTER (WHERE {BILLABLE}) AS n_billable, count(*) AS n_total FROM model)"""),
         "non_error_rows": with_(M, f"SELECT company_id, Predicted_Archetype FROM model WHERE {NOT_ERR}"),
@@ -431,6 +437,12 @@ def oracle_sql() -> dict[str, str]:
                  FROM fsc WHERE n_hybrid > 0"""),
         "incremental_classify": with_(C, f"SELECT company_id, {SELECT6} FROM classified"),
         # keyword mode is free; a finished stream has nothing left
+        "batch_progress": with_(C + [f"""batches AS (SELECT company_id % 3 AS batch_id, count(*) AS n_rows,
+                count(*) FILTER (WHERE {BILLABLE}) AS n_billable FROM classified GROUP BY 1)"""],
+            """SELECT batch_id, n_rows, n_billable, CAST(0.0 AS DOUBLE) AS batch_cost, rows_done,
+                CAST(0.0 AS DOUBLE) AS cost_so_far,
+                CAST(rows_done AS DOUBLE) * 100.0 / CAST(sum(n_rows) OVER () AS DOUBLE) AS pct_done
+            FROM (SELECT *, CAST(sum(n_rows) OVER (ORDER BY batch_id) AS BIGINT) AS rows_done FROM batches)"""),
         "batch_totals": with_(C + ["model AS (SELECT * FROM classified)"],
             f"""SELECT count(*) AS rows_done, count(*) FILTER (WHERE {BILLABLE}) AS n_billable,
                 CAST(0.0 AS DOUBLE) AS cost, CAST(100.0 AS DOUBLE) AS pct_done, '0s' AS eta_text FROM model"""),
