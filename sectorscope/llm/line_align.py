@@ -1,17 +1,22 @@
 """Line dedup by pairwise alignment.
 
-A document is paired with the earlier documents it overlaps: every line hash
-that occurs in several documents points to the earliest of them, so pairs are
-(document, owner of one of its lines) and grow with the lines, not with the
-square of a group. A pair counts if it shares a rare line, one in at most
-``rare_share`` of all documents (or ``rare_min``), or ``common_lines`` lines
-of any frequency, so groups too large for a rare line are still found.
-
-The shared lines of a pair are aligned with patience diff: lines unique on
-both sides are matched in their longest increasing order, and the gaps between
-them are aligned in the same way. Aligned lines that are consecutive on both
-sides form a block; blocks with a rare line, with ``common_lines`` lines, or
-covering the whole document are deleted from the later document.
+A document loses the lines that its alignment with any one earlier document
+deletes. A line is rare if at most ``rare_share`` of all documents (or
+``rare_min``) have it. The shared lines of a pair are aligned with patience
+diff: lines unique on both sides are matched in their longest increasing
+order, and the gaps between them are aligned in the same way. Aligned lines
+that are consecutive on both sides form a block; blocks with a rare line, with
+``common_lines`` lines, or covering the whole document are deleted from the
+later document.
+
+Documents with equal lines are grouped first: all but the earliest go whole,
+and only that one is compared further. Every block that counts is a union of
+short runs (a rare line, a rare line with frequent ones, ``common_lines``
+lines), so a document is first paired with the earliest document that has such
+a run of it (as often, if it repeats), and both are aligned on all lines they
+share; pairs grow with the lines. Only the runs that these alignments leave,
+for lines that cross or repeat, are then looked for in all other earlier
+documents that have them. The result is that of all pairs.
 
 A document is (id, text); the earlier one has the smaller id, then the smaller
 text hash. Lines are cut at ``\\n``; blank lines are neither matched nor
@@ -23,6 +28,7 @@ null id come after all others.
 from __future__ import annotations
 
 import bisect
+import struct
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -99,46 +105,116 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def removed_lines(shared: list[dict], n_lines: int, rules: AlignRules, rare_df: int) -> set[int]:
-    """Line ranks to delete from one document, by its shared lines.
-
-    Each item has the hash ``h``, its ranks ``pos`` here, the ``owner``, the
-    ranks ``owner_pos`` there and the number of documents ``df``. A rank counts
-    non-blank lines.
-    """
-    by_owner: dict[tuple, list[dict]] = {}
-    for s in shared:
-        by_owner.setdefault(s["owner"], []).append(s)
+def aligned_blocks(mine: list[int], theirs: list[int], frequent: frozenset[int], rules: AlignRules) -> set[int]:
+    """Line ranks to delete from one document by one earlier one, both as the hashes of their non-blank lines."""
+    shared = set(mine) & set(theirs)
+    here = [(p, h) for p, h in enumerate(mine) if h in shared]
+    there = [(p, h) for p, h in enumerate(theirs) if h in shared]
     gone: set[int] = set()
-    for _, items in sorted(by_owner.items()):
-        rare = {s["h"] for s in items if s["df"] <= rare_df}
-        if not rare and sum(len(s["pos"]) for s in items) < min(rules.common_lines, n_lines):
-            continue
-        mine = sorted((p, s["h"]) for s in items for p in s["pos"])
-        theirs = sorted((p, s["h"]) for s in items for p in s["owner_pos"])
-        pairs = patience([h for _, h in mine], [h for _, h in theirs])
-        block: list[tuple[int, int, int]] = []
-        for i, j in [*pairs, (-1, -1)]:
-            here = (mine[i][0], theirs[j][0], mine[i][1]) if i >= 0 else None
-            if block and (here is None or (here[0], here[1]) != (block[-1][0] + 1, block[-1][1] + 1)):
-                if len(block) >= min(rules.common_lines, n_lines) or any(h in rare for *_, h in block):
-                    gone.update(p for p, _, _ in block)
-                block = []
-            if here:
-                block.append(here)
+    block: list[tuple[int, int]] = []
+    for i, j in [*patience([h for _, h in here], [h for _, h in there]), (-1, -1)]:
+        at = (here[i][0], there[j][0]) if i >= 0 else None
+        if block and at != (block[-1][0] + 1, block[-1][1] + 1):
+            if counts(mine, block[0][0], len(block), frequent, rules):
+                gone.update(p for p, _ in block)
+            block = []
+        if at:
+            block.append(at)
     return gone
 
 
-def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document ``key`` (struct) with a line that an earlier document has: ``n_lines`` and its ``shared`` lines."""
-    lines = document_lines(docs, id_col, text_col)
-    owners = (lines.groupBy("h").agg(F.min("key").alias("owner"), F.min_by("pos", "key").alias("owner_pos"),
-                                     F.count("*").alias("df")).where("df > 1"))
-    # read back from a table, so that AQE can split a line that very many documents have
-    owners, _ = stored(owners, "line-owners")
-    matched = lines.join(owners, "h").where(F.col("key") != F.col("owner"))
-    return matched.groupBy("key").agg(F.first("n_lines").alias("n_lines"), F.collect_set(
-        F.struct("h", "pos", "owner", "owner_pos", "df")).alias("shared"))
+def counts(seq: list[int], at: int, size: int, frequent: frozenset[int], rules: AlignRules) -> bool:
+    """Whether a block of ``size`` lines from rank ``at`` is deleted."""
+    return size >= min(rules.common_lines, len(seq)) or any(h not in frequent for h in seq[at:at + size])
+
+
+def block_runs(seq: list[int], frequent: frozenset[int], rules: AlignRules) -> list[tuple[int, int, int, int]]:
+    """The shortest runs that make a block count, as (hash, rank, size, how often the run was there before).
+
+    Every block that counts is a union of such runs, so a document that loses a line shares one of them that covers it.
+    """
+    import xxhash
+    out: list[tuple[int, int, int, int]] = []
+    seen: dict[int, int] = {}
+    for size in range(1, min(rules.common_lines, len(seq)) + 1):
+        for at in range(len(seq) - size + 1):
+            part = seq[at:at + size]
+            # a longer run of rare lines only is covered by its lines
+            if (size > 1 and not any(h in frequent for h in part)) or not counts(seq, at, size, frequent, rules):
+                continue
+            run = part[0] if size == 1 else xxhash.xxh64_intdigest(struct.pack(f"<{size}q", *part)) - (1 << 63)
+            out.append((run, at, size, seen.get(run, 0)))
+            seen[run] = seen.get(run, 0) + 1
+    return out
+
+
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, rules: AlignRules) -> DataFrame:
+    """``key`` and ``gone`` (line ranks) of each document that loses a line."""
+    rare_df = max(rules.rare_min, int(rules.rare_share * docs.count()))
+    every, _ = stored(line_hashes(docs, id_col, text_col), "line-hashes")
+    # read back from tables, so that AQE can split a join on what very many documents have
+    firsts, _ = stored(every.groupBy("seq", "n_lines").agg(F.min("key").alias("first"), F.sum("n_rows").alias("n_rows")),
+                       "line-firsts")
+    by_first = every.join(firsts, ["seq", "n_lines"])
+    copies = (by_first.where(F.col("key") != F.col("first"))
+              .select("key", F.sequence(F.lit(0), F.col("n_lines") - 1).alias("gone")))
+    alone, _ = stored(by_first.where(F.col("key") == F.col("first")).select("key", "lines", firsts["n_rows"]), "line-alone")
+
+    # at most mean lines of a document / rare_share hashes
+    frequent = frozenset(r["h"] for r in alone.select(F.explode(F.array_distinct("lines")).alias("h"), "n_rows")
+                         .groupBy("h").agg(F.sum("n_rows").alias("df")).where(F.col("df") > rare_df).select("h").collect())
+
+    def find_runs(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"key": [], "run": [], "nth": []}
+        for key, seq in zip(batch["key"], batch["lines"]):
+            for run, _, _, nth in block_runs(seq, frequent, rules):
+                out["key"].append(key)
+                out["run"].append(run)
+                out["nth"].append(nth)
+        return out
+
+    runs, _ = stored(map_batches(alone, find_runs, with_fields(alone, "key", "run bigint, nth int")), "line-runs")
+    owners, _ = stored(runs.groupBy("run", "nth").agg(F.min("key").alias("owner"), F.count("*").alias("df"))
+                       .where("df > 1").drop("df"), "line-owners")
+    matched, _ = stored(runs.join(owners, ["run", "nth"]).where(F.col("key") != F.col("owner")).select("key", "run", "owner"),
+                        "line-matched")
+    pairs = matched.select("key", "owner").distinct()
+    gone, _ = stored(_aligned(pairs, alone, frequent, rules), "line-gone")
+
+    # a run that the alignment with its owner leaves is looked for in all other earlier documents that have it
+    def left_over(batch: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {"key": [], "run": []}
+        for key, seq, found, gone in zip(batch["key"], batch["lines"], batch["found"], batch["gone"]):
+            found, gone = set(found), set(gone or ())
+            left = {run for run, at, size, _ in block_runs(seq, frequent, rules)
+                    if run in found and not gone.issuperset(range(at, at + size))}
+            out["key"] += [key] * len(left)
+            out["run"] += left
+        return out
+
+    joined = (alone.join(matched.groupBy("key").agg(F.collect_set("run").alias("found")), "key")
+              .join(gone, "key", "left").select("key", "lines", "found", "gone"))
+    left, _ = stored(map_batches(joined, left_over, with_fields(joined, "key", "run bigint")), "line-left")
+    others = (left.join(runs.where("nth = 0").select("run", F.col("key").alias("owner")), "run")
+              .where(F.col("owner") < F.col("key")).select("key", "owner").distinct().join(pairs, ["key", "owner"], "left_anti"))
+    return copies.unionByName(_union(gone.unionByName(_aligned(others, alone, frequent, rules))))
+
+
+def _aligned(pairs: DataFrame, alone: DataFrame, frequent: frozenset[int], rules: AlignRules) -> DataFrame:
+    """``key`` and ``gone`` by the alignments of each ``key`` with its ``owner``s."""
+    both = (pairs.join(alone.select("key", F.col("lines").alias("mine")), "key")
+            .join(alone.select(F.col("key").alias("owner"), F.col("lines").alias("theirs")), "owner")
+            .select("key", "mine", "theirs"))
+
+    def align(batch: dict[str, list]) -> dict[str, list]:
+        return {"key": batch["key"], "gone": [sorted(aligned_blocks(a, b, frequent, rules))
+                                              for a, b in zip(batch["mine"], batch["theirs"])]}
+
+    return _union(map_batches(both, align, with_fields(both, "key", "gone array<int>")).where(F.size("gone") > 0))
+
+
+def _union(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
 
 
 def _key(id_col: str, text_col: str):
@@ -146,27 +222,24 @@ def _key(id_col: str, text_col: str):
     return F.struct(doc.isNull().alias("no_id"), doc.alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"))
 
 
-def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key``, ``n_lines`` (non-blank), ``h``, ``pos``: each distinct non-blank line of each row with its ranks."""
+def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``key``, ``n_lines``, ``seq`` (hash of all), ``lines`` (hashes of the non-blank lines), ``n_rows`` of equal rows."""
     packed = docs.select(_key(id_col, text_col).alias("key"), as_bytes(text_col).alias("raw")).where("raw is not null")
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         import xxhash
-        out: dict[str, list] = {"key": [], "n_lines": [], "h": [], "pos": []}
+        out: dict[str, list] = {"key": [], "n_lines": [], "seq": [], "lines": []}
         for key, raw in zip(batch["key"], batch["raw"]):
-            at: dict[int, list[int]] = {}
-            n = 0
-            for line in lines_of(raw):
-                if line.strip(_WS):
-                    at.setdefault(xxhash.xxh64_intdigest(line) - (1 << 63), []).append(n)
-                    n += 1
-            out["key"] += [key] * len(at)
-            out["n_lines"] += [n] * len(at)
-            out["h"] += at.keys()
-            out["pos"] += at.values()
+            seq = [xxhash.xxh64_intdigest(line) - (1 << 63) for line in lines_of(raw) if line.strip(_WS)]
+            if seq:
+                out["key"].append(key)
+                out["n_lines"].append(len(seq))
+                out["seq"].append(xxhash.xxh64_intdigest(struct.pack(f"<{len(seq)}q", *seq)) - (1 << 63))
+                out["lines"].append(seq)
         return out
 
-    return map_batches(packed, run, with_fields(packed, "key", "n_lines int, h bigint, pos array<int>"))
+    rows = map_batches(packed, run, with_fields(packed, "key", "n_lines int, seq bigint, lines array<bigint>"))
+    return rows.groupBy("key", "n_lines", "seq").agg(F.first("lines").alias("lines"), F.count("*").alias("n_rows"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
@@ -175,19 +248,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document without a removed line keeps its text as it is.
     """
-    rare_df = max(rules.rare_min, int(rules.rare_share * docs.count()))
-    shared = shared_lines(docs, id_col, text_col)
-
-    def align(batch: dict[str, list]) -> dict[str, list]:
-        gone = []
-        for n, items in zip(batch["n_lines"], batch["shared"]):
-            for s in items:
-                o = s["owner"]
-                s["owner"] = (o["no_id"], o["id"] if o["id"] is not None else 0, o["tie"])
-            gone.append(sorted(removed_lines(items, n, rules, rare_df)))
-        return {"key": batch["key"], "gone": gone}
-
-    removed = (map_batches(shared, align, with_fields(shared, "key", "gone array<int>")).where(F.size("gone") > 0)
+    removed = (removed_lines(docs, id_col, text_col, rules)
                .select(F.col("key.id").alias("id"), F.col("key.no_id").alias("no_id"), F.col("key.tie").alias("tie"), "gone"))
     key = _key(id_col, text_col)
     joined = (docs.select(row_struct(carry), as_bytes(text_col).alias("raw"), key["id"].alias("id"),

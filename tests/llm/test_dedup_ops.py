@@ -210,3 +210,14 @@ def test_line_dedup_odd_rows(odd, empty):
     assert PASSAGE in by_id["-3"][0][0]
     assert line_align.remove_shared_lines(empty).count() == 0
     assert line_align.remove_shared_lines(odd).columns == odd.columns
+
+
+def test_blocks_go_whoever_has_their_lines_first(spark):
+    # (a) the copy of document 2 goes although 1 has p and q in another order
+    df = spark.createDataFrame([(1, "p\nq"), (2, "q\np\nr"), (3, "q\np\nr")], "doc_id long, text string")
+    assert [t for _, t, _ in _clean(df)][2] == ""
+    # (b) a block of three frequent lines, the first of which an earlier document has
+    rows = [(i, f"own {i}\ncommon\nalso own {i}") for i in range(5)]
+    rows += [(100 + i, f"start {i}\ncommon\nfoo\nbar\nend {i}") for i in range(5)]
+    got = {int(d): n for d, _, n in _clean(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=0.0, rare_min=1)}
+    assert got == {**{i: 0 for i in range(5)}, 100: 0, **{100 + i: 3 for i in range(1, 5)}}
