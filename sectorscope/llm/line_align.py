@@ -6,13 +6,14 @@ deletes. A line is rare if at most ``rare_share`` of all documents (or
 diff: lines unique on both sides are matched in their longest increasing
 order, and the gaps between them are aligned in the same way. Aligned lines
 that are consecutive on both sides form a block; blocks with a rare line, with
-``common_lines`` lines, or covering the whole document are deleted from the
-later document.
+``common_lines`` lines, with ``block_words`` words, or covering the whole
+document are deleted from the later document. Frequency thus protects only
+short blocks of few words.
 
 Documents with equal lines are grouped first: all but the earliest go whole,
 and only that one is compared further. Every block that counts is a union of
 short runs (a rare line, a rare line with frequent ones, ``common_lines``
-lines), so a document is first paired with the earliest document that has such
+lines, ``block_words`` words), so a document is first paired with the earliest document that has such
 a run of it (as often, if it repeats), and both are aligned on all lines they
 share; pairs grow with the lines. Only the runs that these alignments leave,
 for lines that cross or repeat, are then looked for in all other earlier
@@ -44,6 +45,7 @@ class AlignRules:
     rare_share: float = 0.05
     rare_min: int = 50
     common_lines: int = 3
+    block_words: int = 50
 
 
 def lines_of(raw: bytes | None) -> list[bytes]:
@@ -105,8 +107,14 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def aligned_blocks(mine: list[int], theirs: list[int], frequent: frozenset[int], rules: AlignRules) -> set[int]:
-    """Line ranks to delete from one document by one earlier one, both as the hashes of their non-blank lines."""
+def words_of(line: bytes) -> int:
+    """The words of a line, or its bytes / 16 if that is more (scripts without spaces, encoded blobs)."""
+    return max(len(line.split()), len(line) // 16)
+
+
+def aligned_blocks(mine: list[int], words: list[int], theirs: list[int], frequent: frozenset[int],
+                   rules: AlignRules) -> set[int]:
+    """Line ranks to delete from one document (hashes and words of its non-blank lines) by an earlier one (hashes)."""
     shared = set(mine) & set(theirs)
     here = [(p, h) for p, h in enumerate(mine) if h in shared]
     there = [(p, h) for p, h in enumerate(theirs) if h in shared]
@@ -115,7 +123,7 @@ def aligned_blocks(mine: list[int], theirs: list[int], frequent: frozenset[int],
     for i, j in [*patience([h for _, h in here], [h for _, h in there]), (-1, -1)]:
         at = (here[i][0], there[j][0]) if i >= 0 else None
         if block and at != (block[-1][0] + 1, block[-1][1] + 1):
-            if counts(mine, block[0][0], len(block), frequent, rules):
+            if counts(mine, words, block[0][0], len(block), frequent, rules):
                 gone.update(p for p, _ in block)
             block = []
         if at:
@@ -123,12 +131,14 @@ def aligned_blocks(mine: list[int], theirs: list[int], frequent: frozenset[int],
     return gone
 
 
-def counts(seq: list[int], at: int, size: int, frequent: frozenset[int], rules: AlignRules) -> bool:
+def counts(seq: list[int], words: list[int], at: int, size: int, frequent: frozenset[int], rules: AlignRules) -> bool:
     """Whether a block of ``size`` lines from rank ``at`` is deleted."""
-    return size >= min(rules.common_lines, len(seq)) or any(h not in frequent for h in seq[at:at + size])
+    return (size >= min(rules.common_lines, len(seq)) or sum(words[at:at + size]) >= rules.block_words
+            or any(h not in frequent for h in seq[at:at + size]))
 
 
-def block_runs(seq: list[int], frequent: frozenset[int], rules: AlignRules) -> list[tuple[int, int, int, int]]:
+def block_runs(seq: list[int], words: list[int], frequent: frozenset[int],
+               rules: AlignRules) -> list[tuple[int, int, int, int]]:
     """The shortest runs that make a block count, as (hash, rank, size, how often the run was there before).
 
     Every block that counts is a union of such runs, so a document that loses a line shares one of them that covers it.
@@ -140,7 +150,7 @@ def block_runs(seq: list[int], frequent: frozenset[int], rules: AlignRules) -> l
         for at in range(len(seq) - size + 1):
             part = seq[at:at + size]
             # a longer run of rare lines only is covered by its lines
-            if (size > 1 and not any(h in frequent for h in part)) or not counts(seq, at, size, frequent, rules):
+            if (size > 1 and not any(h in frequent for h in part)) or not counts(seq, words, at, size, frequent, rules):
                 continue
             run = part[0] if size == 1 else xxhash.xxh64_intdigest(struct.pack(f"<{size}q", *part)) - (1 << 63)
             out.append((run, at, size, seen.get(run, 0)))
@@ -158,7 +168,7 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, rules: AlignRules
     by_first = every.join(firsts, ["seq", "n_lines"])
     copies = (by_first.where(F.col("key") != F.col("first"))
               .select("key", F.sequence(F.lit(0), F.col("n_lines") - 1).alias("gone")))
-    alone, _ = stored(by_first.where(F.col("key") == F.col("first")).select("key", "lines", firsts["n_rows"]), "line-alone")
+    alone, _ = stored(by_first.where(F.col("key") == F.col("first")).select("key", "lines", "words", firsts["n_rows"]), "line-alone")
 
     # at most mean lines of a document / rare_share hashes
     frequent = frozenset(r["h"] for r in alone.select(F.explode(F.array_distinct("lines")).alias("h"), "n_rows")
@@ -166,8 +176,8 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, rules: AlignRules
 
     def find_runs(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"key": [], "run": [], "nth": []}
-        for key, seq in zip(batch["key"], batch["lines"]):
-            for run, _, _, nth in block_runs(seq, frequent, rules):
+        for key, seq, words in zip(batch["key"], batch["lines"], batch["words"]):
+            for run, _, _, nth in block_runs(seq, words, frequent, rules):
                 out["key"].append(key)
                 out["run"].append(run)
                 out["nth"].append(nth)
@@ -184,16 +194,16 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, rules: AlignRules
     # a run that the alignment with its owner leaves is looked for in all other earlier documents that have it
     def left_over(batch: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"key": [], "run": []}
-        for key, seq, found, gone in zip(batch["key"], batch["lines"], batch["found"], batch["gone"]):
+        for key, seq, words, found, gone in zip(*(batch[c] for c in ("key", "lines", "words", "found", "gone"))):
             found, gone = set(found), set(gone or ())
-            left = {run for run, at, size, _ in block_runs(seq, frequent, rules)
+            left = {run for run, at, size, _ in block_runs(seq, words, frequent, rules)
                     if run in found and not gone.issuperset(range(at, at + size))}
             out["key"] += [key] * len(left)
             out["run"] += left
         return out
 
     joined = (alone.join(matched.groupBy("key").agg(F.collect_set("run").alias("found")), "key")
-              .join(gone, "key", "left").select("key", "lines", "found", "gone"))
+              .join(gone, "key", "left").select("key", "lines", "words", "found", "gone"))
     left, _ = stored(map_batches(joined, left_over, with_fields(joined, "key", "run bigint")), "line-left")
     others = (left.join(runs.where("nth = 0").select("run", F.col("key").alias("owner")), "run")
               .where(F.col("owner") < F.col("key")).select("key", "owner").distinct().join(pairs, ["key", "owner"], "left_anti"))
@@ -202,13 +212,13 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, rules: AlignRules
 
 def _aligned(pairs: DataFrame, alone: DataFrame, frequent: frozenset[int], rules: AlignRules) -> DataFrame:
     """``key`` and ``gone`` by the alignments of each ``key`` with its ``owner``s."""
-    both = (pairs.join(alone.select("key", F.col("lines").alias("mine")), "key")
+    both = (pairs.join(alone.select("key", F.col("lines").alias("mine"), "words"), "key")
             .join(alone.select(F.col("key").alias("owner"), F.col("lines").alias("theirs")), "owner")
-            .select("key", "mine", "theirs"))
+            .select("key", "mine", "words", "theirs"))
 
     def align(batch: dict[str, list]) -> dict[str, list]:
-        return {"key": batch["key"], "gone": [sorted(aligned_blocks(a, b, frequent, rules))
-                                              for a, b in zip(batch["mine"], batch["theirs"])]}
+        return {"key": batch["key"], "gone": [sorted(aligned_blocks(a, w, b, frequent, rules))
+                                              for a, w, b in zip(batch["mine"], batch["words"], batch["theirs"])]}
 
     return _union(map_batches(both, align, with_fields(both, "key", "gone array<int>")).where(F.size("gone") > 0))
 
@@ -223,23 +233,26 @@ def _key(id_col: str, text_col: str):
 
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key``, ``n_lines``, ``seq`` (hash of all), ``lines`` (hashes of the non-blank lines), ``n_rows`` of equal rows."""
+    """``key``, ``n_lines``, ``seq`` (hash of all), ``lines`` and ``words`` (hashes and words of the non-blank lines), ``n_rows``."""
     packed = docs.select(_key(id_col, text_col).alias("key"), as_bytes(text_col).alias("raw")).where("raw is not null")
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         import xxhash
-        out: dict[str, list] = {"key": [], "n_lines": [], "seq": [], "lines": []}
+        out: dict[str, list] = {"key": [], "n_lines": [], "seq": [], "lines": [], "words": []}
         for key, raw in zip(batch["key"], batch["raw"]):
-            seq = [xxhash.xxh64_intdigest(line) - (1 << 63) for line in lines_of(raw) if line.strip(_WS)]
+            lines = [line for line in lines_of(raw) if line.strip(_WS)]
+            seq = [xxhash.xxh64_intdigest(line) - (1 << 63) for line in lines]
             if seq:
                 out["key"].append(key)
                 out["n_lines"].append(len(seq))
                 out["seq"].append(xxhash.xxh64_intdigest(struct.pack(f"<{len(seq)}q", *seq)) - (1 << 63))
                 out["lines"].append(seq)
+                out["words"].append([words_of(line) for line in lines])
         return out
 
-    rows = map_batches(packed, run, with_fields(packed, "key", "n_lines int, seq bigint, lines array<bigint>"))
-    return rows.groupBy("key", "n_lines", "seq").agg(F.first("lines").alias("lines"), F.count("*").alias("n_rows"))
+    rows = map_batches(packed, run, with_fields(packed, "key", "n_lines int, seq bigint, lines array<bigint>, words array<int>"))
+    return rows.groupBy("key", "n_lines", "seq").agg(F.first("lines").alias("lines"), F.first("words").alias("words"),
+                                                    F.count("*").alias("n_rows"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),

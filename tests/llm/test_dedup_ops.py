@@ -221,3 +221,16 @@ def test_blocks_go_whoever_has_their_lines_first(spark):
     rows += [(100 + i, f"start {i}\ncommon\nfoo\nbar\nend {i}") for i in range(5)]
     got = {int(d): n for d, _, n in _clean(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=0.0, rare_min=1)}
     assert got == {**{i: 0 for i in range(5)}, 100: 0, **{100 + i: 3 for i in range(1, 5)}}
+
+
+def test_long_passages_go_however_many_have_them(spark):
+    # one or two lines of 50 words in every document go from the later ones; short frequent ones stay
+    one, two = " ".join(f"x{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
+    unspaced = "\u65e5\u672c\u8a9e" * 100
+    for n in (4, 80):
+        rows = [(i, "\n".join([f"own {i}", one, f"mid {i}", *two, f"more {i}", "short one", f"end {i}", unspaced, f"z {i}"]))
+                for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {int(d): (t, k) for d, t, k in _clean(df, rare_share=0.05, rare_min=1)}
+        assert got[0][1] == 0
+        assert all(got[i] == (f"own {i}\nmid {i}\nmore {i}\nshort one\nend {i}\nz {i}", 4) for i in range(1, n))
