@@ -212,6 +212,50 @@ def test_line_dedup_odd_rows(odd, empty):
     assert line_align.remove_shared_lines(odd).columns == odd.columns
 
 
+def _brute_lines(rows, rules):
+    """Kept non-blank lines of each (id, text), by the alignments with all earlier documents."""
+    seqs = [[x for x in (t or "").split("\n") if x.strip()] for _, t in rows]
+    df = {}
+    for seq in seqs:
+        for x in set(seq):
+            df[x] = df.get(x, 0) + 1
+    rare_df = max(rules.rare_min, int(rules.rare_share * len(rows)))
+    out = {}
+    for k, (doc, _) in enumerate(rows):
+        mine, gone = seqs[k], set()
+        for theirs in seqs[:k]:
+            a, b = ([(i, x) for i, x in enumerate(s) if x in t] for s, t in ((mine, theirs), (theirs, mine)))
+            pairs = {(a[i][0], b[j][0]) for i, j in line_align.patience([x for _, x in a], [x for _, x in b])}
+            for i, j in pairs:
+                if (i - 1, j - 1) in pairs:
+                    continue
+                block = [i]
+                while (block[-1] + 1, j + len(block)) in pairs:
+                    block.append(block[-1] + 1)
+                n_words = sum(max(len(mine[p].split()), len(mine[p].encode()) // 16) for p in block)
+                if (len(block) >= min(rules.common_lines, len(mine)) or n_words >= rules.block_words
+                        or any(df[mine[p]] <= rare_df for p in block)):
+                    gone.update(block)
+        out[doc] = [x for i, x in enumerate(mine) if i not in gone]
+    return out
+
+
+def test_lines_are_held_against_all_earlier_documents(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" if i % 5 else " ".join([f"w{i}"] * 30) for i in range(14)]
+    passages = [[rng.choice(words) for _ in range(rng.randrange(1, 7))] for _ in range(12)]
+    rows = []
+    for doc in range(150):
+        seq = [x for _ in range(rng.randrange(4)) for x in [*rng.choice(passages), f"own {doc} {rng.random()}"]]
+        rows.append((doc, "\n".join(seq) if rng.random() < 0.9 or not rows else rng.choice(rows)[1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for rules in ({"rare_share": 0.0, "rare_min": 1}, {"rare_share": 0.2, "rare_min": 1}, {}):
+        want = _brute_lines(rows, line_align.AlignRules(**rules))
+        got = {int(d): [x for x in t.split("\n") if x.strip()] for d, t, _ in _clean(df, **rules)}
+        assert got == want
+        assert any(want[d] != [x for x in t.split("\n") if x] for d, t in rows)
+
+
 def test_blocks_go_whoever_has_their_lines_first(spark):
     # (a) the copy of document 2 goes although 1 has p and q in another order
     df = spark.createDataFrame([(1, "p\nq"), (2, "q\np\nr"), (3, "q\np\nr")], "doc_id long, text string")

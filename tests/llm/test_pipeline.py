@@ -4,11 +4,11 @@ import hashlib
 import struct
 
 import corpus_pipeline
-from sectorscope.llm import bpe, decontam, line_quality
+from sectorscope.llm import bpe, decontam, line_align, line_quality
 from sectorscope.llm.oracle import oracle_sql
 from sectorscope.llm.queries import queries
 from tests.llm.conftest import SF
-from tests.llm.test_dedup_ops import _brute_components, _brute_fingerprint
+from tests.llm.test_dedup_ops import _brute_components, _brute_fingerprint, _brute_lines
 from tests.llm.test_text_ops import _brute_hits
 
 
@@ -40,6 +40,12 @@ def test_pipeline_stages(spark, documents, tmp_path):
             assert kept == before[doc]                              # a document without a shared line stays as it is
         seen |= set(before[doc])
 
+    # and every line of a shared block goes
+    wanted = _brute_lines([(r["doc_id"], r["text"]) for r in _rows(good)], line_align.AlignRules())
+    assert any(wanted[d] != [x for x in before[d] if x.strip()] for d in before)
+    for doc in before:
+        assert [x for x in after.get(doc, []) if x.strip()] == wanted[doc]
+
     single = stages["simhash_near_dedup"](spark, lined, SF).cache()
     assert single.columns == columns
     rows = _rows(lined)
