@@ -8,6 +8,8 @@ are never decoded only to be split.
 from __future__ import annotations
 
 import gc
+import re
+import sys
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,6 +24,12 @@ from sectorscope.session import scratch_path
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
+def letters_pattern(times: str = "+") -> re.Pattern[str]:
+    """Runs of letters: ``\\w`` without digits, underscores and the other numerals (fractions, superscripts, Roman numerals)."""
+    numerals = (chr(i) for i in range(sys.maxunicode + 1))
+    return re.compile(r"[^\W\d_" + "".join(c for c in numerals if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]" + times)
+
+
 def as_bytes(col: str) -> Column:
     """The UTF-8 bytes of a text column; null stays null."""
     return F.col(f"`{col}`").cast("string").cast("binary")
@@ -69,13 +77,18 @@ def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a ``stored`` table that nothing will read again."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a ``stored`` table that nothing will read again, and let Spark drop finished jobs' shuffle files.
 
     Spark drops them when the driver's JVM collects its garbage, which this asks for.
     """
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    delete_table(spark, path)
     for _ in range(2):  # the second round takes what the first one's finalizers let go
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -18,27 +18,26 @@ label every text is ``und``; equal rows get equal results.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import map_batches, row_struct, with_fields
+from sectorscope.llm.common import letters_pattern, map_batches, row_struct, with_fields
 
 UNDEFINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = letters_pattern()
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _GROUP = 1 << 20
 
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    per_language: int = 800         # rows per language expected in the sample
-    max_languages: int = 200        # the most frequent languages are learned
+    per_language: int = 800         # rows of one language in the sample, at most
+    sample_rows: int = 6_400        # rows of the sample; with many languages each has its share, one row at least
     buckets: int = 1 << 14
     dim: int = 16
     min_gram: int = 2
@@ -96,25 +95,28 @@ class LangModel:
     held_accuracy: float
 
 
-def sample_labelled(docs: DataFrame, lang_col: str, id_col: str, cfg: LangIdConfig) -> list[tuple[str, float]]:
-    """The learned languages with the share of each one's rows that makes about ``per_language`` rows."""
-    counts = (docs.where(F.col(f"`{lang_col}`").isNotNull()).groupBy(F.col(f"`{lang_col}`").alias("lang")).count()
-              .orderBy(F.desc("count"), "lang").limit(cfg.max_languages).collect())
-    return [(r["lang"], min(1.0, cfg.per_language / r["count"])) for r in counts]
+def sample_labelled(docs: DataFrame, text_col: str, lang_col: str, id_col: str, cfg: LangIdConfig) -> DataFrame:
+    """``lang`` and ``text`` of the sample: of every language the rows of smallest hash of id and text, as many as its bound."""
+    rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(
+        F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(cfg.seed)).alias("draw"))
+    languages = rows.select("lang").distinct().count()
+    most = max(1, min(cfg.per_language, cfg.sample_rows // max(1, languages)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    # first over the hashes alone: the largest one that each language needs
+    last = (rows.select("lang", "draw").withColumn("rank", rank).where(F.col("rank") <= most)
+            .groupBy("lang").agg(F.max("draw").alias("last")).collect())
+    chosen: Column = F.lit(False)
+    for r in last:
+        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("draw") <= r["last"]))
+    # then over the chosen rows: equal ones beyond the bound go
+    return rows.where(chosen).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "text")
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
           cfg: LangIdConfig = LangIdConfig()) -> LangModel:
     """Fit on ``docs`` (labelled rows only; the caller has left out the held-out ones)."""
-    lang = F.col(f"`{lang_col}`")
-    shares = sample_labelled(docs, lang_col, id_col, cfg)
-    draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(cfg.seed)), F.lit(1 << 20))
-    chosen: Column = F.lit(False)
-    for name, share in shares:
-        chosen = chosen | ((lang == name) & (draw < int(share * (1 << 20)) + 1))
-    most = 2 * cfg.per_language * max(1, len(shares))
-    rows = (docs.where(chosen).select(lang.alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-            .limit(most).repartition(cfg.sample_tasks))
+    rows = sample_labelled(docs, text_col, lang_col, id_col, cfg).repartition(cfg.sample_tasks)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         bags = [bag(t, cfg) for t in batch["text"]]

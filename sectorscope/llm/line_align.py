@@ -1,29 +1,30 @@
 """Line dedup by pairwise alignment.
 
-A document loses the lines that its alignment with any one earlier document
-deletes. A line is rare if at most ``rare_share`` of all documents (or
-``rare_min``) have it. The shared lines of a pair are aligned with patience
-diff: lines unique on both sides are matched in their longest increasing
-order, and the gaps between them are aligned in the same way. Aligned lines
-that are consecutive on both sides form a block; blocks with a rare line, with
-``common_lines`` lines, with ``block_words`` words, or covering the whole
-document are deleted from the later document. Frequency thus protects only
-short blocks of few words.
+A document loses every line of a run of consecutive lines that counts and that
+an earlier document has. A run counts if it holds a rare line (at most
+``rare_share`` of all documents have it), has ``common_lines`` lines or
+``block_words`` words, or is the whole document; frequency thus protects only
+short runs of few words.
 
 Documents with equal lines are grouped first: all but the earliest go whole,
-and only that one is compared further. Every block that counts is a union of
-short runs (a rare line, a rare line with frequent ones, ``common_lines``
-lines, ``block_words`` words), so a document is first paired with the earliest document that has such
-a run of it (as often, if it repeats), and both are aligned on all lines they
-share; pairs grow with the lines. Only the runs that these alignments leave,
-for lines that cross or repeat, are then looked for in all other earlier
-documents that have them. The result is that of all pairs.
+and only that one is compared further. Every run that counts is a union of
+short ones (a rare line, a rare line with frequent ones, ``common_lines``
+lines, ``block_words`` words), and each short run belongs to its owner, the
+earliest document that has it. A document is paired with the owners of its
+runs, so pairs grow with the lines. The shared lines of a pair are aligned with
+patience diff: lines unique on both sides are matched in their longest
+increasing order, and the gaps between them are aligned in the same way.
+Aligned lines that are consecutive on both sides form a block; blocks that
+count are deleted from the later document. A run that its owner has but that
+this alignment leaves, because it crosses or repeats others, is aligned by
+itself: matched with its place in the owner, extended over equal lines on both
+sides, and deleted. So no other earlier document needs to be looked at.
 
 A document is (id, text); the earlier one has the smaller id, then the smaller
 text hash. Lines are cut at ``\\n``; blank lines are neither matched nor
 removed, and are skipped in telling what is consecutive. Defined results: null
 texts have no lines and stay null; equal rows get equal results; rows with a
-null id come after all others.
+null id come after all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import WS_CHARS, as_bytes, map_batches, row_struct, stored, with_fields
+from sectorscope.llm.common import WS_CHARS, as_bytes, delete_table, map_batches, row_struct, stored, with_fields
 
 _WS = WS_CHARS.encode()
 
@@ -43,7 +44,6 @@ _WS = WS_CHARS.encode()
 @dataclass(frozen=True)
 class AlignRules:
     rare_share: float = 0.05
-    rare_min: int = 50
     common_lines: int = 3
     block_words: int = 50
 
@@ -131,21 +131,50 @@ def aligned_blocks(mine: list[int], words: list[int], theirs: list[int], frequen
     return gone
 
 
+def anchored_block(mine: list[int], theirs: list[int], at: int, size: int, places: list[int]) -> range:
+    """The block around the run of ``size`` lines from rank ``at`` of one document, at the first of ``places`` where the
+    other has it, extended over equal lines on both sides."""
+    run = mine[at:at + size]
+    there = next((j for j in places if theirs[j:j + size] == run), None)
+    if there is None:
+        return range(0)
+    lo, hi = 0, size
+    while lo < min(at, there) and mine[at - lo - 1] == theirs[there - lo - 1]:
+        lo += 1
+    while at + hi < len(mine) and there + hi < len(theirs) and mine[at + hi] == theirs[there + hi]:
+        hi += 1
+    return range(at - lo, at + hi)
+
+
+def removed_by(mine: list[int], words: list[int], theirs: list[int], runs: list[tuple[int, int]], frequent: frozenset[int],
+               rules: AlignRules) -> set[int]:
+    """Line ranks to delete from one document by an earlier one that owns the ``runs`` (rank and size) of the first."""
+    gone = aligned_blocks(mine, words, theirs, frequent, rules)
+    left = [(at, size) for at, size in runs if not gone.issuperset(range(at, at + size))]
+    if left:
+        places: dict[int, list[int]] = {mine[at]: [] for at, _ in left}
+        for j, h in enumerate(theirs):
+            if h in places:
+                places[h].append(j)
+        for at, size in left:
+            if not gone.issuperset(range(at, at + size)):
+                gone.update(anchored_block(mine, theirs, at, size, places[mine[at]]))
+    return gone
+
+
 def counts(seq: list[int], words: list[int], at: int, size: int, frequent: frozenset[int], rules: AlignRules) -> bool:
     """Whether a block of ``size`` lines from rank ``at`` is deleted."""
     return (size >= min(rules.common_lines, len(seq)) or sum(words[at:at + size]) >= rules.block_words
             or any(h not in frequent for h in seq[at:at + size]))
 
 
-def block_runs(seq: list[int], words: list[int], frequent: frozenset[int],
-               rules: AlignRules) -> list[tuple[int, int, int, int]]:
-    """The shortest runs that make a block count, as (hash, rank, size, how often the run was there before).
+def block_runs(seq: list[int], words: list[int], frequent: frozenset[int], rules: AlignRules) -> list[tuple[int, int, int]]:
+    """The shortest runs that make a block count, as (hash, rank, size).
 
     Every block that counts is a union of such runs, so a document that loses a line shares one of them that covers it.
     """
     import xxhash
-    out: list[tuple[int, int, int, int]] = []
-    seen: dict[int, int] = {}
+    out: list[tuple[int, int, int]] = []
     for size in range(1, min(rules.common_lines, len(seq)) + 1):
         for at in range(len(seq) - size + 1):
             part = seq[at:at + size]
@@ -153,78 +182,67 @@ def block_runs(seq: list[int], words: list[int], frequent: frozenset[int],
             if (size > 1 and not any(h in frequent for h in part)) or not counts(seq, words, at, size, frequent, rules):
                 continue
             run = part[0] if size == 1 else xxhash.xxh64_intdigest(struct.pack(f"<{size}q", *part)) - (1 << 63)
-            out.append((run, at, size, seen.get(run, 0)))
-            seen[run] = seen.get(run, 0) + 1
+            out.append((run, at, size))
     return out
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, rules: AlignRules) -> DataFrame:
-    """``key`` and ``gone`` (line ranks) of each document that loses a line."""
-    rare_df = max(rules.rare_min, int(rules.rare_share * docs.count()))
-    every, _ = stored(line_hashes(docs, id_col, text_col), "line-hashes")
+    """``key`` and ``gone`` (line ranks) of each document that loses a line; written once, and all that led to it deleted."""
+    spark, paths = docs.sparkSession, []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        table, path = stored(df, label)
+        paths.append(path)
+        return table
+
+    rare_df = max(1, int(rules.rare_share * docs.count()))
+    every = keep(line_hashes(docs, id_col, text_col), "line-hashes")
     # read back from tables, so that AQE can split a join on what very many documents have
-    firsts, _ = stored(every.groupBy("seq", "n_lines").agg(F.min("key").alias("first"), F.sum("n_rows").alias("n_rows")),
-                       "line-firsts")
+    firsts = keep(every.groupBy("seq", "n_lines").agg(F.min("key").alias("first"), F.sum("n_rows").alias("n_rows")), "line-firsts")
     by_first = every.join(firsts, ["seq", "n_lines"])
     copies = (by_first.where(F.col("key") != F.col("first"))
               .select("key", F.sequence(F.lit(0), F.col("n_lines") - 1).alias("gone")))
-    alone, _ = stored(by_first.where(F.col("key") == F.col("first")).select("key", "lines", "words", firsts["n_rows"]), "line-alone")
+    alone = keep(by_first.where(F.col("key") == F.col("first")).select("key", "lines", "words", firsts["n_rows"]), "line-alone")
 
     # at most mean lines of a document / rare_share hashes
     frequent = frozenset(r["h"] for r in alone.select(F.explode(F.array_distinct("lines")).alias("h"), "n_rows")
                          .groupBy("h").agg(F.sum("n_rows").alias("df")).where(F.col("df") > rare_df).select("h").collect())
 
     def find_runs(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"key": [], "run": [], "nth": []}
+        out: dict[str, list] = {"key": [], "run": [], "at": [], "size": []}
         for key, seq, words in zip(batch["key"], batch["lines"], batch["words"]):
-            for run, _, _, nth in block_runs(seq, words, frequent, rules):
+            for run, at, size in block_runs(seq, words, frequent, rules):
                 out["key"].append(key)
                 out["run"].append(run)
-                out["nth"].append(nth)
+                out["at"].append(at)
+                out["size"].append(size)
         return out
 
-    runs, _ = stored(map_batches(alone, find_runs, with_fields(alone, "key", "run bigint, nth int")), "line-runs")
-    owners, _ = stored(runs.groupBy("run", "nth").agg(F.min("key").alias("owner"), F.count("*").alias("df"))
-                       .where("df > 1").drop("df"), "line-owners")
-    matched, _ = stored(runs.join(owners, ["run", "nth"]).where(F.col("key") != F.col("owner")).select("key", "run", "owner"),
-                        "line-matched")
-    pairs = matched.select("key", "owner").distinct()
-    gone, _ = stored(_aligned(pairs, alone, frequent, rules), "line-gone")
-
-    # a run that the alignment with its owner leaves is looked for in all other earlier documents that have it
-    def left_over(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"key": [], "run": []}
-        for key, seq, words, found, gone in zip(*(batch[c] for c in ("key", "lines", "words", "found", "gone"))):
-            found, gone = set(found), set(gone or ())
-            left = {run for run, at, size, _ in block_runs(seq, words, frequent, rules)
-                    if run in found and not gone.issuperset(range(at, at + size))}
-            out["key"] += [key] * len(left)
-            out["run"] += left
-        return out
-
-    joined = (alone.join(matched.groupBy("key").agg(F.collect_set("run").alias("found")), "key")
-              .join(gone, "key", "left").select("key", "lines", "words", "found", "gone"))
-    left, _ = stored(map_batches(joined, left_over, with_fields(joined, "key", "run bigint")), "line-left")
-    others = (left.join(runs.where("nth = 0").select("run", F.col("key").alias("owner")), "run")
-              .where(F.col("owner") < F.col("key")).select("key", "owner").distinct().join(pairs, ["key", "owner"], "left_anti"))
-    return copies.unionByName(_union(gone.unionByName(_aligned(others, alone, frequent, rules))))
+    runs = keep(map_batches(alone, find_runs, with_fields(alone, "key", "run bigint, at int, size int")), "line-runs")
+    owners = keep(runs.groupBy("run").agg(F.min("key").alias("owner"), F.max("key").alias("last"))
+                  .where(F.col("owner") != F.col("last")).drop("last"), "line-owners")
+    # one row per document and owner, with what the owner has of it
+    pairs = keep(runs.join(owners, "run").where(F.col("key") != F.col("owner")).groupBy("key", "owner")
+                 .agg(F.collect_list(F.struct("at", "size")).alias("runs")), "line-pairs")
+    done, _ = stored(copies.unionByName(_aligned(pairs, alone, frequent, rules)), "line-gone")
+    for path in paths:
+        delete_table(spark, path)
+    return done
 
 
 def _aligned(pairs: DataFrame, alone: DataFrame, frequent: frozenset[int], rules: AlignRules) -> DataFrame:
     """``key`` and ``gone`` by the alignments of each ``key`` with its ``owner``s."""
     both = (pairs.join(alone.select("key", F.col("lines").alias("mine"), "words"), "key")
             .join(alone.select(F.col("key").alias("owner"), F.col("lines").alias("theirs")), "owner")
-            .select("key", "mine", "words", "theirs"))
+            .select("key", "mine", "words", "theirs", "runs"))
 
     def align(batch: dict[str, list]) -> dict[str, list]:
-        return {"key": batch["key"], "gone": [sorted(aligned_blocks(a, w, b, frequent, rules))
-                                              for a, w, b in zip(batch["mine"], batch["words"], batch["theirs"])]}
-
-    return _union(map_batches(both, align, with_fields(both, "key", "gone array<int>")).where(F.size("gone") > 0))
-
+        return {"key": batch["key"], "gone": [
+            sorted(removed_by(a, w, b, [(r["at"], r["size"]) for r in runs], frequent, rules))
+            for a, w, b, runs in zip(*(batch[c] for c in ("mine", "words", "theirs", "runs")))]}
 
-def _union(gone: DataFrame) -> DataFrame:
-    return gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    aligned = map_batches(both, align, with_fields(both, "key", "gone array<int>")).where(F.size("gone") > 0)
+    return aligned.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
 
 
 def _key(id_col: str, text_col: str):

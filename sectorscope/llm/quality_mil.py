@@ -27,8 +27,7 @@ from sectorscope.llm.common import as_bytes, map_batches, row_struct, with_field
 
 @dataclass(frozen=True)
 class MilConfig:
-    sample: int = 3000              # labelled documents fitted on (about; at most twice as many)
-    sample_passages: int = 32       # passages of one document in the fit, evenly spaced over the whole text
+    sample: int = 3000              # labelled documents fitted on (about), with all their passages
     passage_words: int = 64
     shapes: int = 256
     hidden: int = 24
@@ -37,6 +36,7 @@ class MilConfig:
     batch: int = 64
     rate: float = 0.01
     decay: float = 1e-4
+    piece: int = 64                 # longer words are cut into pieces of so many bytes, each a word
     shape_limit: int = 300_000      # words remembered per worker
     seed: int = 11
 
@@ -47,13 +47,12 @@ _STYLE = 6
 
 def word_shape(word: bytes) -> str:
     """Runs of capitals, small letters and digits as one sign each; other characters stay."""
-    text = word.decode("utf-8", "replace")[:64]
     out = []
-    for c in text:
+    for c in word.decode("utf-8", "replace"):
         kind = "9" if c.isdigit() else ("X" if c.isupper() else "x") if c.isalpha() else c
         if not out or out[-1] != kind or not (c.isalnum()):
             out.append(kind)
-    return "".join(out)[:12]
+    return "".join(out)
 
 
 class Shapes(dict):
@@ -74,16 +73,24 @@ class Shapes(dict):
         self.bucket[k] = zlib.crc32(shape.encode()) % self.cfg.shapes
         text = word.decode("utf-8", "replace")
         letters = sum(map(str.isalpha, text))
-        self.style[k] = (min(len(text), 40) / 10, letters / len(text), sum(map(str.isupper, text)) / len(text),
+        self.style[k] = (len(text) / 10, letters / len(text), sum(map(str.isupper, text)) / len(text),
                          sum(map(str.isdigit, text)) / len(text), len(text) - letters > 1, letters == 0)
         self[word] = k
         return k
 
 
+def words_of(raw: bytes | None, piece: int) -> list[bytes]:
+    """The words of a text, long ones in pieces (cut between bytes)."""
+    words = [] if raw is None else raw.split()
+    if words and len(max(words, key=len)) > piece:
+        words = [w[i:i + piece] for w in words for i in range(0, len(w), piece)]
+    return words
+
+
 def encode_passages(raw: bytes | None, shapes: Shapes) -> np.ndarray:
     """One row per passage of the whole text: shape shares, mean style, and three measures of repetition."""
     cfg = shapes.cfg
-    words = [] if raw is None else raw.split()
+    words = words_of(raw, cfg.piece)
     if not words:
         return np.zeros((1, cfg.shapes + _STYLE + 3), np.float32)
     if len(shapes) > cfg.shape_limit:
@@ -188,26 +195,24 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     """Fit on the labelled documents of ``docs`` (the caller has left out the held-out ones).
 
     The sample is drawn by a hash of the id, so the labels broadcast to pick it
-    are bounded by it, whatever their table's size.
+    are bounded by it, whatever their table's size. All passages of a drawn
+    document are fitted on.
     """
     known = labels.where(F.col(f"`{label_col}`").isin(0, 1) & F.col(f"`{id_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
     share = min(1.0, cfg.sample / max(1, known.count()))
-    in_sample = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    in_sample = F.xxhash64("id", F.lit(cfg.seed)).cast("double") / float(1 << 64) + 0.5 <= share
     drawn = known.where(in_sample)
     # one label an id (the smaller of several)
-    drawn = {r["id"]: r["label"] for r in drawn.limit(2 * cfg.sample).groupBy("id").agg(F.min("label").alias("label")).collect()}
+    drawn = {r["id"]: r["label"] for r in drawn.groupBy("id").agg(F.min("label").alias("label")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(drawn)
 
     def run(batch: dict[str, list]) -> dict[str, list]:
         wanted, shapes, ids, bags = shared.value, Shapes(cfg), [], []
         for doc, raw in zip(batch["id"], batch["raw"]):
             if doc in wanted:
-                rows = encode_passages(raw, shapes)
-                if len(rows) > cfg.sample_passages:
-                    rows = rows[np.linspace(0, len(rows) - 1, cfg.sample_passages).astype(int)]
                 ids.append(doc)
-                bags.append(rows.tobytes())
+                bags.append(zlib.compress(encode_passages(raw, shapes).tobytes(), 1))
         return {"id": ids, "bag": bags}
 
     packed = docs.select(F.col(f"`{id_col}`").alias("id"), as_bytes(text_col).alias("raw")).where(in_sample)
@@ -216,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             .agg(F.min("bag").alias("bag")).collect())
     rows.sort(key=lambda r: zlib.crc32(str(r["id"]).encode()))
     width = cfg.shapes + _STYLE + 3
-    bags = [np.frombuffer(bytes(r["bag"]), np.float32).reshape(-1, width) for r in rows]
+    bags = [np.frombuffer(zlib.decompress(r["bag"]), np.float32).reshape(-1, width) for r in rows]
     return fit(bags, np.array([drawn[r["id"]] for r in rows], float), cfg)
 
 

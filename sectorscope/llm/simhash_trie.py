@@ -241,7 +241,7 @@ def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str =
                          radius: int = RADIUS) -> DataFrame:
     """One document of each component: the one with the component's id. Columns as the input's.
 
-    Of several rows with that id the one of smallest text hash stays, once.
+    Of several rows with that id the one of smallest text hash stays, of equal texts the row that is smallest as JSON.
     Documents of a component without any id all stay.
     """
     rows = materialize(near_duplicates(docs, text_col, id_col, (id_col,), shingle, radius).drop("row"), "simhash-classes")
@@ -249,6 +249,6 @@ def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str =
     nameless = rows.where("component_id is null").select("tie").distinct()
     packed = docs.select(row_struct(docs.columns), F.col(f"`{id_col}`").alias("id"),
                          F.xxhash64(F.col(f"`{text_col}`")).alias("tie"))
-    kept = packed.join(first, ["id", "tie"]).groupBy("id", "tie").agg(F.first("row").alias("row")).select("row")
+    kept = packed.join(first, ["id", "tie"]).groupBy("id", "tie").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
     others = packed.where("id is null").join(nameless, "tie", "left_semi").select("row")
     return kept.unionByName(others).select("row.*")

@@ -36,6 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, IntegralType, LongType, StructField, StructType
 
 from sectorscope.llm.common import as_bytes, discard, map_batches, row_struct, stored, with_fields
 from sectorscope.llm.word_hashes import WordBuffer, buffers, normal
@@ -186,14 +188,22 @@ def shard_firsts(groups: list[tuple[list[bytes], list]], window: int) -> list[li
     return out
 
 
+def _id_type(docs: DataFrame, id_col: str) -> DataType:
+    """Whole numbers are compared as long, other ids in their own type."""
+    kind = docs.schema[id_col].dataType
+    return LongType() if isinstance(kind, IntegralType) else kind
+
+
 def _store_grams(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int) -> str:
     """Path of ``g, id``: the minimizers of each document."""
-    packed = (docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), as_bytes(text_col).alias("raw"))
+    kind = _id_type(docs, id_col)
+    packed = (docs.select(F.col(f"`{id_col}`").cast(kind).alias("id"), as_bytes(text_col).alias("raw"))
               .where("id is not null and raw is not null"))
+    plain = np.int64 if isinstance(kind, LongType) else object
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        doc_ids = np.array(batch["id"], np.int64)
+        ids, found = [np.zeros(0, plain)], [np.zeros(0, np.int64)]
+        doc_ids = np.array(batch["id"], plain)
         for at, words in buffers(list(map(normal, batch["raw"]))):
             grams, _, _, doc = window_runs(words, window, gram)
             order = np.lexsort((grams, doc))
@@ -204,7 +214,8 @@ def _store_grams(docs: DataFrame, id_col: str, text_col: str, window: int, gram:
             ids.append(doc_ids[at + doc[once]])
         return {"g": np.concatenate(found), "id": np.concatenate(ids)}
 
-    return stored(map_batches(packed, run, "g bigint, id bigint"), "gram-rows")[1]
+    schema = StructType([StructField("g", LongType()), StructField("id", kind)])
+    return stored(map_batches(packed, run, schema), "gram-rows")[1]
 
 
 def _store_shared(spark: SparkSession, grams_path: str, hot: int) -> str:
@@ -247,8 +258,9 @@ def _store_segments(texts: DataFrame, shared_path: str, window: int, gram: int)
                             put(g, xxhash.xxh32_intdigest(seg) % _SUB_KEYS, seg, at + d, i - int(begin[d]))
         return out
 
-    return stored(map_batches(joined, run, "g bigint, sub int, sh bigint, seg binary, id bigint, tie bigint, at int"),
-                  "segments")[1]
+    schema = StructType([*StructType.fromDDL("g bigint, sub int, sh bigint, seg binary").fields, joined.schema["id"],
+                         *StructType.fromDDL("tie bigint, at int").fields])
+    return stored(map_batches(joined, run, schema), "segments")[1]
 
 
 def _store_hits(spark: SparkSession, segments_path: str, window: int, shard_words: int) -> str:
@@ -265,13 +277,15 @@ def _store_hits(spark: SparkSession, segments_path: str, window: int, shard_word
 
 def _answers(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
     """``g, sub, sh, firsts``: for each distinct segment (by hash) the first document of each of its windows."""
+    kind = segments.schema["id"].dataType
+    firsts_type = pa.list_(to_arrow_type(kind))
     distinct = (segments.groupBy("g", "sub", "seg").agg(F.min("id").alias("id"))
                 .repartition("g", "sub").sortWithinPartitions("g", "sub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         keys: list[tuple[int, int]] = []
-        groups: list[tuple[list[bytes], list[int]]] = []
+        groups: list[tuple[list[bytes], list]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -281,7 +295,7 @@ def _answers(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
             sh = [xxhash.xxh64_intdigest(x) - (1 << 63) for s, _ in groups for x in s]
             return pa.RecordBatch.from_arrays(
                 [pa.array(g, pa.int64()), pa.array(sub, pa.int32()), pa.array(sh, pa.int64()),
-                 pa.array(firsts, pa.list_(pa.int64()))], names=["g", "sub", "sh", "firsts"])
+                 pa.array(firsts, firsts_type)], names=["g", "sub", "sh", "firsts"])
 
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in range(4)]
@@ -298,7 +312,8 @@ def _answers(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
         if keys:
             yield flush()
 
-    return distinct.select("g", "sub", "seg", "id").mapInArrow(run, "g bigint, sub int, sh bigint, firsts array<bigint>")
+    schema = StructType([*StructType.fromDDL("g bigint, sub int, sh bigint").fields, StructField("firsts", ArrayType(kind))])
+    return distinct.select("g", "sub", "seg", "id").mapInArrow(run, schema)
 
 
 def _pack(raw: bytes | None) -> bytes | None:
@@ -317,7 +332,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``starts`` holds the word numbers at which windows start that an earlier document has.
     """
-    packed = docs.select(F.struct(row_struct(carry), F.col(f"`{id_col}`").cast("bigint").alias("id"),
+    packed = docs.select(F.struct(row_struct(carry), F.col(f"`{id_col}`").cast(_id_type(docs, id_col)).alias("id"),
                                   F.xxhash64(F.col(f"`{text_col}`")).alias("tie")).alias("row"),
                          as_bytes(text_col).alias("raw"))
     texts = map_batches(packed, lambda b: {"row": b["row"], "raw": [_pack(r) for r in b["raw"]]},

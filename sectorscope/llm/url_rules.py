@@ -5,13 +5,15 @@ A host is keyed by its reversed labels, each ended by a dot
 subdomains form one interval of keys, and intervals nest or are disjoint.
 Pages are range-partitioned and sorted by key; a sweep over each partition
 walks the sorted rules beside the sorted pages and keeps a stack of the rules
-whose interval is open. The open rules of a page are tried from the innermost
-out; the first whose path starts the page's path wins.
+whose interval is open. The hosts open at a page are asked from the innermost
+out. The paths of a host's rules are sorted too and know the next shorter rule
+path that starts them, so the longest one that starts the page's path is found
+by one search and steps over nested rules only.
 
 Range bounds include the page id and the path, so a host with a third of all
-pages is cut over many partitions. Rules go to every task in blocks of at most
-``block_rules``; a longer list takes further sweeps, each of which keeps the
-better of two matches.
+pages is cut over many partitions. Rules are a list or a table of any size; they
+go to every task in blocks of about ``block_rules``, dealt by hash, and each
+further block takes a further sweep, which keeps the better of two matches.
 
 Longest rule: the longer host first, then the longer path, then the smaller
 rule text and verdict.
@@ -73,6 +75,31 @@ def host_key_col(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
+class PathRules:
+    """The rules of one host by path; of several rules with one path the smallest."""
+
+    def __init__(self, rules: list[UrlRule]):
+        best: dict[str, UrlRule] = {}
+        for r in sorted(rules, key=lambda r: (r.text, r.verdict)):
+            best.setdefault(r.path, r)
+        self.paths = sorted(best)
+        self.rules = [best[p] for p in self.paths]
+        self.shorter: list[int] = []  # the longest other path that starts this one, -1 for none
+        open_paths: list[int] = []
+        for i, path in enumerate(self.paths):
+            while open_paths and not path.startswith(self.paths[open_paths[-1]]):
+                open_paths.pop()
+            self.shorter.append(open_paths[-1] if open_paths else -1)
+            open_paths.append(i)
+
+    def longest(self, path: str) -> UrlRule | None:
+        """The rule whose path is the longest that starts ``path``."""
+        i = bisect.bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.shorter[i]
+        return self.rules[i] if i >= 0 else None
+
+
 class RuleSweep:
     """The rules of one block in key order, and the stack of those open at the current key."""
 
@@ -81,7 +108,7 @@ class RuleSweep:
         for r in rules:
             groups.setdefault(host_key(r.host), []).append(r)
         self.keys = sorted(groups)
-        self.groups = [sorted(groups[k], key=lambda r: (-len(r.path), r.text, r.verdict)) for k in self.keys]
+        self.groups = [PathRules(groups[k]) for k in self.keys]
 
     def start(self, key: str) -> None:
         """Open the rules whose interval holds ``key``, for the first key of a sorted run."""
@@ -108,9 +135,8 @@ class RuleSweep:
 
     def best(self, path: str) -> UrlRule | None:
         for i in reversed(self.stack):
-            for rule in self.groups[i]:
-                if path.startswith(rule.path):
-                    return rule
+            if rule := self.groups[i].longest(path):
+                return rule
         return None
 
 
@@ -120,11 +146,23 @@ def _better(a: UrlRule | None, b: UrlRule | None) -> UrlRule | None:
     return min(a, b, key=lambda r: (-len(host_key(r.host)), -len(r.path), r.text, r.verdict))
 
 
-def judge_urls(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", carry: tuple[str, ...] = ("page_id",),
+def rule_blocks(rules: list[UrlRule] | DataFrame, block_rules: int) -> Iterator[list[UrlRule]]:
+    """The rules (a table has ``host``, ``path``, ``verdict``) in blocks that are broadcast one by one; at least one block."""
+    if not isinstance(rules, DataFrame):
+        rules = [r for r in rules if None not in (r.host, r.path, r.verdict)]
+        yield from (rules[at:at + block_rules] for at in range(0, max(1, len(rules)), block_rules))
+        return
+    table = rules.select("host", "path", "verdict").dropna().distinct()
+    blocks = max(1, -(-table.count() // block_rules))
+    for k in range(blocks):
+        part = table if blocks == 1 else table.where(F.pmod(F.xxhash64("host", "path"), F.lit(blocks)) == k)
+        yield [UrlRule(*r) for r in part.collect()]
+
+
+def judge_urls(pages: DataFrame, rules: list[UrlRule] | DataFrame, url_col: str = "url", carry: tuple[str, ...] = ("page_id",),
                default: str = "allow", block_rules: int = BLOCK_RULES) -> DataFrame:
     """One row per page: ``row`` (struct of ``carry``), ``host``, ``path``, ``rule``, ``verdict``."""
     spark = pages.sparkSession
-    rules = [r for r in rules if None not in (r.host, r.path, r.verdict)]
     url = F.col(f"`{url_col}`").cast("string")
     judged = (pages.select(row_struct(carry), url_host(url).alias("host"), url_path(url).alias("path"))
               .withColumn("key", host_key_col(F.col("host")))
@@ -132,8 +170,8 @@ def judge_urls(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", car
               .repartitionByRange("key", "path", "spread").sortWithinPartitions("key")
               .select("row", "host", "path", "key", F.lit(None).cast("struct<host:string,path:string,verdict:string>").alias("found")))
     schema = with_fields(judged, "row", "host string, path string, key string, found struct<host:string,path:string,verdict:string>")
-    for at in range(0, max(1, len(rules)), block_rules):
-        block = spark.sparkContext.broadcast(rules[at:at + block_rules])
+    for block in rule_blocks(rules, block_rules):
+        block = spark.sparkContext.broadcast(block)
         judged = judged.mapInArrow(_sweeper(block), schema)
     rule = F.when(F.col("found").isNotNull(), F.concat("found.host", "found.path"))
     return judged.select("row", "host", "path", rule.alias("rule"),
@@ -158,7 +196,7 @@ def _sweeper(block):
     return run
 
 
-def filter_urls(pages: DataFrame, rules: list[UrlRule], url_col: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[UrlRule] | DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """The pages that are allowed; columns as the input's."""
     judged = judge_urls(pages, rules, url_col, tuple(pages.columns), default)
     return judged.where(F.col("verdict") == "allow").select("row.*")

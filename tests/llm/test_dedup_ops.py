@@ -39,6 +39,19 @@ def test_substring_dedup(request, which, hot):
     assert sorted((str(r["row"]["doc_id"]), r["n_words"], r["n_removed"], bytes(r["kept"])) for r in got) == _brute_repeats(rows)
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)", "date"])
+def test_substring_dedup_with_ids_of_any_type(spark, kind):
+    # "10" comes before "9" as text, not as a number
+    rows = [(9, f"x {PASSAGE}"), (10, f"{PASSAGE} y z"), (11, f"{PASSAGE} y z"), (None, PASSAGE), (10, f"{PASSAGE} y z")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    change = "date_add(date'2020-01-01', doc_id)" if kind == "date" else f"CAST(doc_id AS {kind})"
+    df = df.selectExpr(f"{change} AS doc_id", "text")
+    plain = [(r["doc_id"], r["text"]) for r in df.collect()]
+    for hot in (20_000, 1):
+        got = substring_dedup.remove_repeats(df, hot=hot).collect()
+        assert sorted((str(r["row"]["doc_id"]), r["n_words"], r["n_removed"], bytes(r["kept"])) for r in got) == _brute_repeats(plain)
+
+
 def test_suffix_automaton_matches_brute_force():
     rng = random.Random(3)
     for _ in range(200):
@@ -136,6 +149,12 @@ def test_near_duplicates(request, which):
     assert kept.where("doc_id is not null").count() == len(ids) and kept.count() == len(ids) + alone
 
 
+def test_representative_of_equal_rows_is_the_smallest(spark):
+    rows = [(1, "some words of a text", x) for x in ("c", "a", "b")] + [(2, "some words of a text", "0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    assert [tuple(r) for r in simhash_trie.keep_representatives(df).collect()] == [(1, "some words of a text", "a")]
+
+
 def test_near_duplicates_of_nothing(empty):
     assert simhash_trie.near_duplicates(empty).count() == 0 and simhash_trie.keep_representatives(empty).count() == 0
 
@@ -180,9 +199,9 @@ def test_line_dedup_cases(spark):
     rows = [(1, "\n".join(page)), (2, "\n".join(["own start", *page[1:4], "", "own end"])), (3, "\n".join(page)),
             (4, "own start\nnothing else shared\nown end"), (5, page[5] + "\nnew\n" + page[0]), (6, None), (7, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert _clean(df) == [("1", rows[0][1], 0), ("2", "own start\n\nown end", 3), ("3", "", 6), ("4", "nothing else shared", 2),
-                          ("5", "line 5 of the first page\nnew", 1), ("6", None, 0), ("7", "", 0)]
-    kept = line_align.remove_shared_lines(df)
+    assert _clean(df, rare_share=0.5) == [("1", rows[0][1], 0), ("2", "own start\n\nown end", 3), ("3", "", 6), ("4", "nothing else shared", 2),
+                          ("5", "new", 2), ("6", None, 0), ("7", "", 0)]
+    kept = line_align.remove_shared_lines(df, rules=line_align.AlignRules(rare_share=0.5))
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5, 6, 7]
 
 
@@ -191,10 +210,10 @@ def test_frequent_lines_need_company(spark):
     rows = [(i, f"own {i}\ncommon\nalso own {i}") for i in range(40)]
     rows += [(100 + i, f"start {i}\ncommon\nfoo\nbar\nend {i}") for i in range(20)] + [(200 + i, "x y\nz") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {int(d): n for d, _, n in _clean(df, rare_share=0.0, rare_min=1)}
+    got = {int(d): n for d, _, n in _clean(df, rare_share=0.0)}
     assert all(got[i] == 0 for i in range(40)) and got[100] == 0 and got[200] == 0
     assert all(got[200 + i] == 2 for i in range(1, 20))
-    assert all(got[100 + i] == 0 for i in range(1, 20))  # the run splits between two owners, two lines each at most
+    assert all(got[100 + i] == 3 for i in range(1, 20))  # whoever has its first line first
 
 
 def test_line_dedup_odd_rows(odd, empty):
@@ -213,29 +232,30 @@ def test_line_dedup_odd_rows(odd, empty):
 
 
 def _brute_lines(rows, rules):
-    """Kept non-blank lines of each (id, text), by the alignments with all earlier documents."""
+    """Kept non-blank lines of each (id, text): every common run of lines with any earlier document that counts goes."""
     seqs = [[x for x in (t or "").split("\n") if x.strip()] for _, t in rows]
     df = {}
     for seq in seqs:
         for x in set(seq):
             df[x] = df.get(x, 0) + 1
-    rare_df = max(rules.rare_min, int(rules.rare_share * len(rows)))
+    rare_df = max(1, int(rules.rare_share * len(rows)))
     out = {}
     for k, (doc, _) in enumerate(rows):
         mine, gone = seqs[k], set()
         for theirs in seqs[:k]:
-            a, b = ([(i, x) for i, x in enumerate(s) if x in t] for s, t in ((mine, theirs), (theirs, mine)))
-            pairs = {(a[i][0], b[j][0]) for i, j in line_align.patience([x for _, x in a], [x for _, x in b])}
-            for i, j in pairs:
-                if (i - 1, j - 1) in pairs:
-                    continue
-                block = [i]
-                while (block[-1] + 1, j + len(block)) in pairs:
-                    block.append(block[-1] + 1)
-                n_words = sum(max(len(mine[p].split()), len(mine[p].encode()) // 16) for p in block)
-                if (len(block) >= min(rules.common_lines, len(mine)) or n_words >= rules.block_words
-                        or any(df[mine[p]] <= rare_df for p in block)):
-                    gone.update(block)
+            if not set(mine) & set(theirs):
+                continue
+            for i in range(len(mine)):
+                for j in range(len(theirs)):
+                    if mine[i] != theirs[j] or (i and j and mine[i - 1] == theirs[j - 1]):
+                        continue  # only where a common run starts
+                    n = 0
+                    while i + n < len(mine) and j + n < len(theirs) and mine[i + n] == theirs[j + n]:
+                        n += 1
+                    n_words = sum(max(len(x.split()), len(x.encode()) // 16) for x in mine[i:i + n])
+                    if (n >= min(rules.common_lines, len(mine)) or n_words >= rules.block_words
+                            or any(df[x] <= rare_df for x in mine[i:i + n])):
+                        gone.update(range(i, i + n))
         out[doc] = [x for i, x in enumerate(mine) if i not in gone]
     return out
 
@@ -249,13 +269,36 @@ def test_lines_are_held_against_all_earlier_documents(spark):
         seq = [x for _ in range(rng.randrange(4)) for x in [*rng.choice(passages), f"own {doc} {rng.random()}"]]
         rows.append((doc, "\n".join(seq) if rng.random() < 0.9 or not rows else rng.choice(rows)[1]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for rules in ({"rare_share": 0.0, "rare_min": 1}, {"rare_share": 0.2, "rare_min": 1}, {}):
+    for rules in ({"rare_share": 0.0}, {"rare_share": 0.2}, {}):
         want = _brute_lines(rows, line_align.AlignRules(**rules))
         got = {int(d): [x for x in t.split("\n") if x.strip()] for d, t, _ in _clean(df, **rules)}
         assert got == want
         assert any(want[d] != [x for x in t.split("\n") if x] for d, t in rows)
 
 
+def test_crossing_and_repeated_runs_go(spark):
+    # patience aligns one of two crossing blocks and one of two equal ones; the others are aligned by themselves
+    a, b = [f"a{i}" for i in range(4)], [f"b{i}" for i in range(4)]
+    rows = [(1, "\n".join([*a, "own 1", *b])), (2, "\n".join([*b, "own 2", *a, "own 2 too", *b])), (3, "\n".join([*b, *a]))]
+    got = {int(d): t for d, t, _ in _clean(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {1: rows[0][1], 2: "own 2\nown 2 too", 3: ""}
+
+
+def test_pairs_do_not_grow_with_the_square(spark):
+    # two blocks in either order in every document: each document meets the owners of its runs only
+    blocks = [[f"{c} {i} of a block" for i in range(3)] for c in "pq"]
+    for n in (50, 100):
+        rows = [(i, "\n".join([*blocks[i % 2], f"own {i}", *blocks[1 - i % 2]])) for i in range(n)]
+        alone = line_align.line_hashes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        owner = {}
+        for r in sorted(alone, key=lambda r: r["key"]["id"]):
+            for run, _, _ in line_align.block_runs(r["lines"], r["words"], frozenset(), line_align.AlignRules()):
+                owner.setdefault(run, r["key"]["id"])
+        assert len(set(owner.values()) - {0}) == n - 1  # only by their own lines
+        got = _clean(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=0.0)
+        assert {int(d): t for d, t, _ in got} == {i: rows[0][1] if not i else f"own {i}" for i in range(n)}
+
+
 def test_blocks_go_whoever_has_their_lines_first(spark):
     # (a) the copy of document 2 goes although 1 has p and q in another order
     df = spark.createDataFrame([(1, "p\nq"), (2, "q\np\nr"), (3, "q\np\nr")], "doc_id long, text string")
@@ -263,7 +306,7 @@ def test_blocks_go_whoever_has_their_lines_first(spark):
     # (b) a block of three frequent lines, the first of which an earlier document has
     rows = [(i, f"own {i}\ncommon\nalso own {i}") for i in range(5)]
     rows += [(100 + i, f"start {i}\ncommon\nfoo\nbar\nend {i}") for i in range(5)]
-    got = {int(d): n for d, _, n in _clean(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=0.0, rare_min=1)}
+    got = {int(d): n for d, _, n in _clean(spark.createDataFrame(rows, "doc_id long, text string"), rare_share=0.0)}
     assert got == {**{i: 0 for i in range(5)}, 100: 0, **{100 + i: 3 for i in range(1, 5)}}
 
 
@@ -275,6 +318,6 @@ def test_long_passages_go_however_many_have_them(spark):
         rows = [(i, "\n".join([f"own {i}", one, f"mid {i}", *two, f"more {i}", "short one", f"end {i}", unspaced, f"z {i}"]))
                 for i in range(n)]
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        got = {int(d): (t, k) for d, t, k in _clean(df, rare_share=0.05, rare_min=1)}
+        got = {int(d): (t, k) for d, t, k in _clean(df, rare_share=0.05)}
         assert got[0][1] == 0
         assert all(got[i] == (f"own {i}\nmid {i}\nmore {i}\nshort one\nend {i}\nz {i}", 4) for i in range(1, n))

@@ -88,4 +88,4 @@ def test_run_and_registry(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(rows) < 200 and len({r["doc_id"] for r in rows}) == len(rows)
     assert corpus_pipeline.ORACLE_SQL is None
-    assert len(queries()) == 11 and set(oracle_sql()) < set(queries())
+    assert len(queries()) == 14 and set(oracle_sql()) < set(queries())
