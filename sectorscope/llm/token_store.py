@@ -19,6 +19,7 @@ and equal rows are all written; an empty table gives files without rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -55,18 +56,40 @@ class StoreLayout:
         }
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: printable Latin-1 itself, the rest from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (chr(256 + i) for i in range(256))
+    return {b: chr(b) if b in plain else next(rest) for b in range(256)}
+
+
+#: A blank and letters are one pre-token for certain (letters of every version of Unicode).
+_ONE_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> ChunkCache:
-    """One tokenizer per worker process; special tokens' strings in a text are ordinary text."""
+    """One tokenizer per worker process; special tokens' strings in a text are ordinary text.
+
+    Chunks that are one word go to the tokenizer's model straight, all others through its pre-tokenizer too.
+    """
     import os
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    letters, merge, is_word = _byte_letters(), tokenizer.model.tokenize, _ONE_WORD.fullmatch
 
     def encode(chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes()
-                for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        out: list[bytes | None] = []
+        for c in chunks:
+            if is_word(c):
+                mapped = c.replace(" ", letters[32]) if c.isascii() else c.encode().decode("latin-1").translate(letters)
+                out.append(array("I", [t.id for t in merge(mapped)]).tobytes())
+            else:
+                out.append(None)
+        rest = iter(tokenizer.encode_batch_fast([c for c, ids in zip(chunks, out) if ids is None], add_special_tokens=False))
+        return [array("I", next(rest).ids).tobytes() if ids is None else ids for ids in out]
 
     return ChunkCache(encode)
 

@@ -68,6 +68,23 @@ def test_bpe_documents(reference_bpe, documents, odd):
     assert {r["row"]["doc_id"]: r["text"] for r in back.collect()} == dict(_pairs(documents))
 
 
+def test_chunk_cache_against_hash_collisions(monkeypatch):
+    # chunks of one hash are told apart by their bytes, inside a group and against the kept ones
+    monkeypatch.setattr(chunks, "span_hashes", lambda data, start, end: ((end - start) % 3).astype(np.uint64))
+    cache = chunks.ChunkCache(lambda cs: [c.encode("utf-32-le") for c in cs], limit=8)
+    for texts in ([b"one two six"], [b"ten two, a bb ccc dddd", b"", b"one"], [b"x" * 700 + b" " + b"y" * 700, b"x" * 700]):
+        assert [p.decode("utf-32-le").encode() for p in cache.pack(texts)] == texts
+
+
+def test_chunk_cache_keeps_what_is_used():
+    asked = []
+    cache = chunks.ChunkCache(lambda cs: asked.extend(cs) or [c.encode("utf-32-le") for c in cs], limit=20)
+    for i in range(40):
+        text = " ".join(["common words stay", *(f"w{chr(97 + i % 26)}{j}x{i}" for j in range(3))]).encode()
+        assert cache.pack([text])[0].decode("utf-32-le").encode() == text and len(cache) <= 20
+    assert asked.count(" stay") == 1
+
+
 def test_chunk_cache_stays_bounded():
     cache = chunks.ChunkCache(lambda cs: [c.encode("utf-32-le") for c in cs], limit=5, long=4)
     texts = [(" ".join(f"{a}{i}" for i in range(9)) + " muchlonger").encode() for a in "abc"]
@@ -227,7 +244,8 @@ def test_contamination_without_items(spark, documents, empty):
 RULES = [url_rules.UrlRule("com", "/", "allow"), url_rules.UrlRule("example.com", "/en/", "block"),
          url_rules.UrlRule("www.example.com", "/en/", "allow"), url_rules.UrlRule("net", "/es/", "block"),
          url_rules.UrlRule("example.com", "/en/a", "allow"), url_rules.UrlRule("a.b.example.com", "", "block")]
-URLS = [None, "", "nothing", "http://example.com", "HTTP://EXAMPLE.com/EN/", "http://example.com/en/x?q#f", "x://www.example.com/en/",
+LONG_URL = "http://example.com/en/" + "a/" * 1_000_000
+URLS = [LONG_URL, None, "", "nothing", "http://example.com", "HTTP://EXAMPLE.com/EN/", "http://example.com/en/x?q#f", "x://www.example.com/en/",
         "http://www.example.com/en", "http://notexample.com/en/", "http://a.net/es/1", "http://anet/es/1", "http://b.a.b.example.com",
         "http://a.b.example.com?x=http://c.net/es/", "http:///en/", "http://com", "http://com/", "http://.com/", "http://example.com./en/",
         "http://x.example.com/en/abc", "http://example-.com/en/", "http://example.com:80/en/", "a://b://net/es/"]
@@ -255,3 +273,27 @@ def test_url_rules(spark, block_rules):
     assert url_rules.filter_urls(df, RULES).columns == df.columns
     assert url_rules.judge_urls(df, []).where("rule is not null or verdict != 'allow'").count() == 0
     assert url_rules.judge_urls(df.limit(0), RULES).count() == 0
+
+
+def test_url_rules_of_a_table(spark):
+    # a table of rules, rows with a null part and repeated rows among them, and a host with very many paths
+    rows = [(r.host, r.path, r.verdict) for r in RULES] * 2 + [(None, "/", "block"), ("com", None, "block"), ("org", "/", None)]
+    table = spark.createDataFrame(rows, "host string, path string, verdict string")
+    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    for block_rules in (100, 2):
+        for r in url_rules.judge_urls(df, table, carry=("page_id", "url"), block_rules=block_rules).collect():
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == _brute_url(r["row"]["url"])
+    assert url_rules.judge_urls(df, table.limit(0)).where("rule is not null").count() == 0
+
+
+def test_paths_of_one_host():
+    import random
+    rng = random.Random(4)
+    paths = ["".join(rng.choice("/ab") for _ in range(rng.randrange(9))) for _ in range(3000)]
+    rules = url_rules.PathRules([url_rules.UrlRule("h", p, "block") for p in paths])
+    known = set(paths)
+    for _ in range(2000):
+        path = "".join(rng.choice("/abc") for _ in range(rng.randrange(14)))
+        want = next((path[:n] for n in range(len(path), -1, -1) if path[:n] in known), None)
+        got = rules.longest(path)
+        assert (got and got.path) == want
