@@ -1,28 +1,27 @@
 """File sources and sinks for company tables.
 
-CSV is read with every column as a string (no inference pass over the data,
-no "5" turning into "5.0"), then null tokens are mapped to null. Parquet and
-JSON keep their own types. Sinks write partitioned, columnar output.
+CSV is read with every column as a string (no "5" turning into "5.0"), then null
+tokens are mapped to null; ``infer_types`` gives the columns the types that all
+their values have. Parquet and JSON keep their own types. Sinks write
+partitioned, columnar output.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sectorscope.sources.csv_ranges import scan_csv
+
 # The strings read as null (pandas' CSV defaults), in its order.
 NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 # End of fixed values.
 
-#: Header lines read at the same time.
-_HEADER_THREADS = 16
 FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".parquet": "parquet"}
 
 
@@ -36,60 +35,19 @@ def format_of(path: str) -> str:
     return FORMATS[ext]
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str] | None:
-    """Column names from one file's header line (reads one line, not the file); None for an empty file.
-
-    An unnamed column is called ``Unnamed: <position>``; a repeated name gets ``.1``, ``.2`` and so on.
-    """
-    first = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path).limit(1).first()
-    if first is None:
-        return None
-    given = [f"Unnamed: {i}" if v is None else str(v) for i, v in enumerate(first)]
-    names: list[str] = []
-    for name in given:
-        k, unique = 0, name
-        while unique in names or (k and unique in given):
-            k += 1
-            unique = f"{name}.{k}"
-        names.append(unique)
-    return names
-
-
-def csv_files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The CSV files under ``path``, in order of their paths, grouped by their columns: a listing and one line a file."""
-    listed = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
-    with ThreadPoolExecutor(_HEADER_THREADS) as pool:
-        headers = list(pool.map(lambda f: csv_header(spark, f), listed))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, names in zip(listed, headers):
-        if names is not None:
-            groups.setdefault(tuple(names), []).append(file)
-    return groups
-
-
 def scan(spark: SparkSession, path: str, fmt: str | None = None,
          columns: Sequence[str] | None = None, multi_line: bool = True) -> DataFrame:
     """Read a company table; CSV columns are all strings, null tokens become null.
 
-    ``multi_line`` allows quoted line breaks inside CSV cells (as pandas
-    does); Spark then reads each CSV file in one task. For large files known
-    to have none, ``multi_line=False`` lets Spark split them.
-
-    Columns go by name in each file, so files of a folder may order them
-    differently or lack some (null there); ``columns`` names them by position
-    instead, for all files alike.
+    CSV files are cut into ranges that are read in many tasks, also where
+    quoted cells hold line breaks; ``multi_line=False`` takes every line for a
+    record. Columns go by name in each file, so files of a folder may order
+    them differently or lack some (null there); ``columns`` names them by
+    position instead, for all files alike.
     """
     fmt = fmt or format_of(path)
     if fmt == "csv":
-        groups = {tuple(columns): [path]} if columns else csv_files_by_header(spark, path)
-        if not groups:
-            raise ValueError(f"no columns in {path!r}")
-        parts = []
-        for names, paths in groups.items():
-            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-            parts.append(spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
-                         .option("escape", '"').option("nullValue", None).option("emptyValue", "").csv(paths))
-        return null_normalise(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+        return null_normalise(scan_csv(spark, path, columns, multi_line))
     if fmt == "json":
         return spark.read.json(path)
     return spark.read.parquet(path)
@@ -102,6 +60,35 @@ def null_normalise(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFr
                        if c in strings else F.col(f"`{c}`") for c in df.columns])
 
 
+# The type lattice: one bit for each type that a value may have; a column's types are those of all its values.
+INTEGER, FLOAT, BOOLEAN = 1, 2, 4
+
+
+def type_bits(value: Column) -> Column:
+    """The types a string can have: a float may be any number, an integer one of digits that fits a long."""
+    integer = value.rlike(r"^[+-]?[0-9]{1,19}$") & value.try_cast("bigint").isNotNull()
+    number = value.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
+    truth = F.lower(value).isin("true", "false")
+    return (F.when(integer, INTEGER + FLOAT).when(number, FLOAT).when(truth, BOOLEAN).otherwise(0)).cast("int")
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """``df`` with every string column in the narrowest type that all its values have: long, double, boolean or string.
+
+    One aggregate over all rows (a bitwise and per column, so parts merge in any order) and one projection. Nulls fit
+    every type; a column without a value stays a string. Columns of other types stay as they are.
+    """
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not strings:
+        return df
+    found = df.agg(*[F.bit_and(F.when(F.col(f"`{c}`").isNotNull(), type_bits(F.col(f"`{c}`")))).alias(str(i))
+                     for i, c in enumerate(strings)]).first()
+    target = {}
+    for c, bits in zip(strings, found):
+        target[c] = ("string" if not bits else "bigint" if bits & INTEGER else "double" if bits & FLOAT else "boolean")
+    return df.select(*[F.col(f"`{c}`").cast(target.get(c, df.schema[c].dataType)).alias(c) for c in df.columns])
+
+
 def column_mapping(columns: Sequence[str], rule: str = "app") -> tuple[str, str]:
     """(name column, description column) by the default rules.
 
@@ -135,8 +122,13 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
+def run_id(at: Column) -> Column:
+    """Run id of a time, e.g. ``20261202_0915``, in the session's time zone."""
+    return F.date_format(at, "yyyyMMdd_HHmm")
+
+
 def run_id_now() -> str:
-    """Run id from the current time, e.g. ``20261202_0915`` (UTC)."""
+    """Run id of the current time (UTC), in the form of ``run_id``."""
     from datetime import datetime, timezone
     return datetime.now(timezone.utc).strftime("%Y%m%d_%H%M")
 
