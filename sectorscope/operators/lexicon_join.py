@@ -1,143 +1,233 @@
 """Join-based scorer for lexicons too large to fold into the plan as literals.
 
 Same semantics as the literal scorer (non-overlapping substring counts, no
-word boundaries) but the lexicon is a table and texts meet keywords through
-an equi-join, never a cross join:
-
-1. every keyword gets an *anchor*: its first ``q`` characters, where ``q`` is
-   the shortest keyword length, so every occurrence starts with an anchor;
-2. each text becomes (id, pos, window) rows, one per character position,
-   where ``window`` is the next ``maxlen`` characters, cut by one regex pass
-   (the text itself is not copied per row), plus one base row per text so
-   that texts without hits still give a result; generic words are matched
-   by the same join, as category 0;
-3. positions join keywords on anchor; a hit is a window starting with the
-   keyword;
-4. hits are counted per (id, category) with a partial aggregate (every
-   position of a text is produced in one task, so the map side already
-   reduces a text to one row per category); keywords that can overlap
-   themselves ("aa", "abab") count greedily over their sorted positions,
-   which matches ``str.count``;
+word boundaries) but the lexicon is a table of any size and texts meet
+keywords through an equi-join, never a cross join:
+
+1. every keyword gets an *anchor*, one of its grams: of all its runs of
+   ``min(length, GRAM)`` characters the one that fewest blocks of the texts
+   hold, counted over all texts. A keyword with a gram that no text holds
+   cannot occur and is left out;
+2. texts are cut into overlapping blocks of bounded size; in each block every
+   position's grams (one a class of anchor lengths) are tested against a bit
+   set of the anchors, inside the array of positions, so that only positions
+   that can match become rows, with the characters around them;
+3. these rows join the keywords on the anchor (a small table that Spark may
+   broadcast within its own bound, else a shuffle of the few rows), and a hit
+   is a keyword that stands around its anchor;
+4. hits are counted per (id, category) with a partial aggregate; keywords that
+   can overlap themselves ("aa", "abab") count greedily over their sorted
+   positions, which matches ``str.count``;
 5. per-category scores and found lists are assembled per id (at most one
-   entry per category). The texts are read once and never joined back.
-
-No side is broadcast by force: Spark broadcasts the keywords within its own
-bound, else the join shuffles and AQE splits hot anchors. A lexicon of any
-size can be given as a table alone (``lex_df`` without ``lex``).
+   entry per category) from these and one base row a text, so that texts
+   without hits still give a result. Texts are never joined back.
+
+A lexicon table has ``cat_ord``, ``category``, ``kw_ord``, ``keyword``.
+Defined results: ordinals may have gaps, only their order counts; rows with a
+null category or ordinal of one and null or empty keywords (or ones holding
+NUL) are left out; a keyword that a category has twice (in lower case) counts
+once, under its smallest ordinal; null keyword ordinals come last; two names of
+one ordinal or two ordinals of one name are an error; an empty lexicon finds
+nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.functions.lexicon import GENERIC_WORDS, Lexicon
 from sectorscope.functions.text import has_word
 from sectorscope.operators.classify import RESULT_COLUMNS, _decision, let
+from sectorscope.session import materialize
 
-# prefix of a base row's anchor; no lower-cased keyword starts with it
-BASE_MARK = "\u0000#"
+#: Longest anchor, characters of a block, and the bounds of the bit set (bits an anchor, at least, at most).
+GRAM = 6
+BLOCK = 4096
+BITS_PER_ANCHOR, LEAST_BITS, MOST_BITS = 32, 1 << 14, 1 << 24
+_NUL = "\u0000"
 
 
-def _lexicon_table(lex_df: DataFrame) -> DataFrame:
-    """(cat_ord, kw_ord, keyword) -> + m (matched form), klen, self_overlap."""
-    m = F.lower(F.col("keyword"))
-    out = lex_df.select("cat_ord", "kw_ord", "keyword", m.alias("m")).withColumn("klen", F.length("m"))
-    border = F.exists(F.sequence(F.lit(1), F.col("klen") - 1),
-                      lambda b: F.substring("m", 1, b) == F.substring(F.col("m"), F.col("klen") - b + 1, b))
-    return out.withColumn("self_overlap", (F.col("klen") > 1) & border)
+# ---- the lexicon ------------------------------------------------------------------
 
+def table_lexicon(lex_df: DataFrame, generic: tuple[str, ...] = tuple(GENERIC_WORDS)) -> Lexicon:
+    """The categories of a lexicon table, in the order of their ordinals; the keywords stay in the table."""
+    cats = [(r["cat_ord"], r["category"]) for r in _categories(lex_df).orderBy("cat_ord").collect()]
+    if len({o for o, _ in cats}) < len(cats) or len({c for _, c in cats}) < len(cats):
+        raise ValueError("a category with two ordinals, or an ordinal with two categories")
+    return Lexicon(tuple(c for _, c in cats), tuple(() for _ in cats), generic)
 
-def _with_generic(lex_df: DataFrame, generic: tuple[str, ...]) -> DataFrame:
-    """The lexicon plus the generic words as category 0, so one join finds both."""
-    if not generic:
-        return lex_df
-    spark = lex_df.sparkSession
-    g = spark.createDataFrame([(0, "", i + 1, w) for i, w in enumerate(generic)],
-                              "cat_ord int, category string, kw_ord int, keyword string")
-    return lex_df.select("cat_ord", "category", "kw_ord", "keyword").unionByName(g)
 
+def _categories(lex_df: DataFrame) -> DataFrame:
+    return lex_df.select("cat_ord", "category").dropna().distinct()
 
-def table_lexicon(lex_df: DataFrame, generic: tuple[str, ...] = tuple(GENERIC_WORDS)) -> Lexicon:
-    """The categories of a lexicon table; the keywords stay in the table."""
-    cats = lex_df.select("cat_ord", "category").distinct().orderBy("cat_ord").collect()
-    return Lexicon(tuple(r["category"] for r in cats), tuple(() for _ in cats), generic)
+
+def _keywords(lex_df: DataFrame, lex: Lexicon) -> DataFrame:
+    """``cat`` (rank of the category, 0 for generic words), ``kw_ord``, ``keyword``, ``m`` (matched form), ``klen``, ``self_overlap``."""
+    spark = lex_df.sparkSession
+    ranks = spark.createDataFrame([(i + 1, c) for i, c in enumerate(lex.categories)], "cat int, category string")
+    last = F.lit(2 ** 31 - 1)
+    rows = lex_df.dropna(subset=["cat_ord", "category", "keyword"]).join(F.broadcast(ranks), "category").select(
+        "cat", F.coalesce(F.col("kw_ord").cast("int"), last).alias("kw_ord"), "keyword")
+    if lex.generic:
+        rows = rows.unionByName(spark.createDataFrame([(0, i + 1, w) for i, w in enumerate(lex.generic)],
+                                                      "cat int, kw_ord int, keyword string"))
+    rows = (rows.where((F.col("keyword") != "") & ~F.col("keyword").contains(_NUL))
+            .groupBy("cat", F.lower("keyword").alias("m")).agg(F.min(F.struct("kw_ord", "keyword")).alias("kw"))
+            .select("cat", "kw.*", "m").withColumn("klen", F.length("m")))
+    border = F.exists(F.sequence(F.lit(1), F.col("klen") - 1),
+                      lambda b: F.substring("m", 1, b) == F.substring(F.col("m"), F.col("klen") - b + 1, b))
+    return rows.withColumn("self_overlap", (F.col("klen") > 1) & border)
+
+
+# ---- bit sets and positions -------------------------------------------------------
+
+@dataclass(frozen=True)
+class GramSet:
+    """The bit set of some grams (a literal of the plan) and the lengths they have."""
+
+    bits: Column
+    size: int
+    lengths: tuple[int, ...]
+
+    @staticmethod
+    def of(grams: DataFrame) -> "GramSet":
+        """Of the column ``gram``; what reaches the driver is bounded by ``MOST_BITS``."""
+        found = grams.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("gram"))).alias("lengths")).first()
+        size = LEAST_BITS
+        while size < min(MOST_BITS, BITS_PER_ANCHOR * found["n"]):
+            size *= 2
+        at = F.xxhash64("gram").bitwiseAND(F.lit(size - 1))
+        words = [0] * (size >> 6)
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))
+        for r in (grams.select(F.call_function("shiftright", at, F.lit(6)).alias("word"), bit.alias("bit"))
+                  .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()):
+            words[r["word"]] = r["bits"]
+        # folded into one array literal when the plan is made
+        return GramSet(F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), size, tuple(found["lengths"]))
+
+    def may_hold(self, gram: Column) -> Column:
+        at = F.xxhash64(gram).bitwiseAND(F.lit(self.size - 1))
+        word = F.get(self.bits, F.call_function("shiftright", at, F.lit(6)).cast("int"))
+        bit = F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int"))
+        return bit.bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+
+def _blocks(texts: DataFrame, before: int, width: int) -> DataFrame:
+    """``texts`` with its text (``_tl``) replaced by ``block`` (number) and ``win``, the windows of ``width`` characters
+    at the block's positions; a window starts ``before`` characters in front of its position."""
+    padded = F.concat(F.lit(_NUL * before), F.coalesce("_tl", F.lit("")), F.lit(_NUL * width))
+    cut = F.lit(f"(?s)(.{{1,{BLOCK}}})(?=(.{{0,{width}}}))")
+    parts = F.arrays_zip(F.regexp_extract_all(padded, cut, 1).alias("own"), F.regexp_extract_all(padded, cut, 2).alias("next"))
+    rest = [c for c in texts.columns if c != "_tl"]
+    rows = texts.select(*rest, F.posexplode(parts).alias("block", "part"))
+    # a zero-width lookahead matches at every position, its group is the window
+    windows = F.regexp_extract_all(F.concat("part.own", "part.next"), F.lit(f"(?s)(?=(.{{{width}}}))"), 1)
+    return rows.select(*rest, "block", F.slice(windows, 1, BLOCK).alias("win"))
+
+
+def _grams(keywords: DataFrame) -> DataFrame:
+    """Every gram of every keyword that may become its anchor: ``m``, ``gram``, ``off`` (characters before it)."""
+    g = F.least("klen", F.lit(GRAM))
+    return (keywords.select("m", "klen").distinct()
+            .select("m", "klen", F.explode(F.sequence(F.lit(0), F.col("klen") - g)).alias("off"))
+            .select("m", "off", F.substring(F.col("m"), F.col("off") + 1, g).alias("gram")))
+
+
+def _anchors(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """The keywords that can occur, with ``gram`` and ``off`` of their anchors; a small table, written and read back."""
+    grams = materialize(_grams(keywords), "lexicon-grams")
+    distinct = grams.select("gram").distinct()
+    known = GramSet.of(distinct)
+    if not known.lengths:
+        return materialize(keywords.withColumns({"gram": F.lit(""), "off": F.lit(0)}).where(F.lit(False)), "lexicon-anchors")
+    blocks = _blocks(texts.select("_tl"), 0, max(known.lengths))
+
+    def of_length(g: int) -> Column:
+        return F.col("win") if g == max(known.lengths) else F.transform("win", lambda w: F.substring(w, 1, g))
+
+    held = F.concat(*[F.filter(of_length(g), known.may_hold) for g in known.lengths])
+    counts = blocks.select(F.explode(F.array_distinct(held)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    best = (grams.join(counts, "gram", "left")
+            .groupBy("m").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "gram")).alias("a"))
+            .where(F.col("a.n") > 0).select("m", "a.gram", "a.off"))
+    return materialize(keywords.join(best, "m"), "lexicon-anchors")
+
+
+def candidates(texts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Rows ``_id``, ``pos``, ``gram``, ``win``, ``_empty`` and ``before``: one per position of a text that may hold an
+    anchor (``win`` has ``before`` characters in front of it), and a base row per text, of position -1 and a gram of its own."""
+    known = GramSet.of(anchors.select("gram").distinct())
+    reach = anchors.agg(F.max("off").alias("before"), F.max(F.col("klen") - F.col("off")).alias("after")).first()
+    before, after = reach["before"] or 0, reach["after"] or 1
+    empty = F.col("_tl").isNull() | ~has_word(F.col("_tl"))
+    blocks = _blocks(texts.select("_id", "_tl", empty.alias("_empty")), before, before + after)
+
+    def of_length(g: int) -> Column:
+        gram = lambda i: F.substring(F.get("win", i), before + 1, g)
+        places = F.filter(F.sequence(F.lit(0), F.size("win") - 1), lambda i: known.may_hold(gram(i)))
+        return F.transform(places, lambda i: F.struct((F.col("block") * BLOCK + i).alias("pos"), gram(i).alias("gram"),
+                                                      F.get("win", i).alias("win")))
+
+    found = F.concat(*[of_length(g) for g in known.lengths or (1,)])
+    base = F.struct(F.lit(-1).alias("pos"), F.concat(F.lit(_NUL), F.col("_id.row").cast("string")).alias("gram"),
+                    F.lit("").alias("win"))
+    rows = F.when(F.col("block") == 0, F.concat(F.array(base), found)).otherwise(found)
+    return blocks.select("_id", "_empty", F.explode(rows).alias("c")).select("_id", "_empty", "c.*", F.lit(before).alias("before"))
+
+
+# ---- scores -----------------------------------------------------------------------
+
+def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id`` (rows of equal id stay apart) and ``_tl``, the lower-cased text."""
+    return df.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("_id"),
+                     F.lower(F.col(text_col)).alias("_tl"))
 
 
 def score_by_join(df: DataFrame, id_col: str, text_col: str, lex: Lexicon | None = None,
                   lex_df: DataFrame | None = None) -> DataFrame:
-    """Per id: ``scores``, ``found``, ``_generic`` (generic words present) and ``_empty``.
-
-    One pass over the texts: every text becomes one *base* row (position 0,
-    so texts without hits still give a result) plus one row per position;
-    generic words are matched by the same join as category 0. Both kinds of
-    row go through the keyword join together (a left join; a base row's
-    anchor is unique to its id and matches no keyword, so base rows never
-    gather on one key) and through two aggregates, per (id, category) and
-    then per id. Only ids and small per-id values cross a shuffle; nothing
-    joins back to the texts.
-    """
+    """Per id: ``scores``, ``found``, ``_generic`` (generic words present) and ``_empty``."""
     spark = df.sparkSession
-    lex = table_lexicon(lex_df) if lex is None else lex
     if lex_df is None:
         lex_df = lex.to_df(spark)
-        klens = [len(k.lower()) for ks in (*lex.keywords, lex.generic) for k in ks]
-        q, maxlen, guard = min(klens), max(klens), lex.needs_word_guard
-        table = _lexicon_table(_with_generic(lex_df, lex.generic))
-    else:
-        table = _lexicon_table(_with_generic(lex_df, lex.generic))
-        stats = table.agg(F.min("klen").alias("q"), F.max("klen").alias("maxlen"),
-                          F.bool_or((F.col("cat_ord") > 0) & ~has_word(F.col("m"))).alias("guard")).first()
-        q, maxlen, guard = int(stats["q"]), int(stats["maxlen"]), bool(stats["guard"])
-    table = table.withColumn("anchor", F.substring("m", 1, q))
-
-    # rows of equal id stay apart
-    texts = df.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("_id"), F.lower(F.col(text_col)).alias("_tl"))
-    tl = F.col("_tl")
-    empty = tl.isNull()
-    if guard:
-        empty = empty | ~has_word(tl)
-    # one window per start position with at least q characters left: a
-    # zero-width lookahead matches at every position, its group is the window
-    windows = F.regexp_extract_all(tl, F.lit(f"(?s)(?=(.{{{q},{maxlen}}}))"), 1)
-    base = F.array(F.concat(F.lit(BASE_MARK), F.col("_id.row").cast("string")))
-    all_rows = F.concat(base, F.coalesce(windows, F.array().cast("array<string>")))
-    rows = (texts.select("_id", empty.alias("_empty"), F.posexplode(all_rows).alias("pos", "win"))
-                 .withColumn("anchor", F.when(F.col("pos") == 0, F.col("win"))
-                                        .otherwise(F.substring("win", 1, q))))
-
-    # a position row survives only as a hit; a base row always survives
-    hits = (rows.join(table, "anchor", "left")
-                .filter((F.col("pos") == 0) | (F.substring("win", 1, F.col("klen")) == F.col("m"))))
-
-    # per (id, category): plain hits are counted; self-overlapping keywords
-    # ("aa", "abab") keep their positions and are counted greedily below,
-    # which matches str.count; the base row lands in the null category and
-    # generic words in category 0
+    lex = table_lexicon(lex_df) if lex is None else Lexicon(lex.categories, tuple(() for _ in lex.categories), lex.generic)
+    keywords = _keywords(lex_df, lex)
+    texts = keyed_texts(df, id_col, text_col)
+    anchors = _anchors(texts, keywords)
+    near = F.substring(F.col("win"), F.col("before") - F.col("off") + 1, F.col("klen"))
+    start = F.col("pos") - F.coalesce("off", F.lit(0))
+    # a base row always survives: its gram is no anchor, and it gathers with no other in a join
+    hits = (candidates(texts, anchors).join(anchors, "gram", "left").where((F.col("pos") < 0) | (near == F.col("m")))
+            .withColumn("pos", start))
+
+    # per (id, category): plain hits are counted; self-overlapping keywords keep their positions and are counted
+    # greedily; the base row lands in the null category and generic words in category 0
     kw = F.when(F.col("kw_ord").isNotNull(), F.struct("kw_ord", "keyword"))
-    overlap = F.when(F.col("self_overlap"), F.struct("kw_ord", "pos", "klen"))
-    per_cat = (hits.groupBy("_id", "cat_ord")
+    overlap = F.when(F.col("self_overlap"), F.struct("kw_ord", "keyword", "pos", "klen"))
+    per_cat = (hits.groupBy("_id", "cat")
                    .agg(F.count_if(~F.col("self_overlap")).alias("n_plain"),
                         F.collect_set(kw).alias("kws"),
                         F.collect_list(overlap).alias("ov"),
                         F.bool_or("_empty").alias("_empty")))
-    start = F.struct(F.lit(-1).alias("kw"), F.lit(0).alias("next"), F.lit(0).alias("cnt"))
+    begin = F.struct(F.lit("").alias("kw"), F.lit(0).alias("next"), F.lit(0).alias("cnt"))
 
     def step(acc, o):
-        nxt = F.when(o["kw_ord"] == acc["kw"], acc["next"]).otherwise(F.lit(0))
-        return F.when(o["pos"] >= nxt, F.struct(o["kw_ord"].alias("kw"), (o["pos"] + o["klen"]).alias("next"),
+        nxt = F.when(o["keyword"] == acc["kw"], acc["next"]).otherwise(F.lit(0))
+        return F.when(o["pos"] >= nxt, F.struct(o["keyword"].alias("kw"), (o["pos"] + o["klen"]).alias("next"),
                                                 (acc["cnt"] + 1).alias("cnt"))) \
-                .otherwise(F.struct(o["kw_ord"].alias("kw"), nxt.alias("next"), acc["cnt"].alias("cnt")))
-    greedy = F.aggregate(F.array_sort("ov"), start, step)["cnt"]
+                .otherwise(F.struct(o["keyword"].alias("kw"), nxt.alias("next"), acc["cnt"].alias("cnt")))
+    greedy = F.aggregate(F.array_sort("ov"), begin, step)["cnt"]
     score = (F.col("n_plain") + greedy).cast("int")
     found = F.transform(F.array_sort("kws"), lambda s: s["keyword"])
-    entry = F.when(F.col("cat_ord").isNotNull(),
-                   F.struct("cat_ord", F.struct(score.alias("score"), found.alias("found"))))
+    entry = F.when(F.col("cat").isNotNull(),
+                   F.struct("cat", F.struct(score.alias("score"), found.alias("found"))))
     per_id = (per_cat.groupBy("_id")
                      .agg(F.map_from_entries(F.collect_list(entry)).alias("_m"),
                           F.bool_or("_empty").alias("_empty")))
-    cats = F.sequence(F.lit(1), F.lit(len(lex.categories)))
     none = F.array().cast("array<string>")
+    cats = F.sequence(F.lit(1), F.lit(len(lex.categories))) if lex.categories else F.array().cast("array<int>")
     out = per_id.withColumn(id_col, F.col("_id.id")).drop("_id").withColumns({
         "_generic": F.coalesce(F.col("_m")[0]["found"], none),
         "scores": F.transform(cats, lambda c: F.coalesce(F.col("_m")[c]["score"], F.lit(0))),
