@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorscope.functions import text as tx
-from sectorscope.operators import corrections, profiles
+from sectorscope.functions.lexicon import read_lexicon
+from sectorscope.operators import corrections, profiles, resume
 from sectorscope.operators import responses as rs
 from sectorscope.operators.classify import classify_companies
 from sectorscope.sources import files
@@ -53,6 +54,12 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--responses-format", choices=["csv", "json", "parquet"],
                    help="format of the responses; default: from their extension")
     p.add_argument("--key", default="company_id", help="model mode: id column shared with the responses")
+    p.add_argument("--resume", help="table of results saved earlier: rows whose key has a label there are taken over "
+                                    "and not classified again (needs --key)")
+    p.add_argument("--resume-format", choices=["csv", "json", "parquet"],
+                   help="format of the saved results; default: from their extension, else Parquet")
+    p.add_argument("--lexicon", help="keyword mode: table of keywords (cat_ord, category, kw_ord, keyword), CSV or Parquet")
+    p.add_argument("--infer-types", action="store_true", help="give the columns of a CSV the types that all their values have")
     p.add_argument("--scorer", default="native", choices=["native", "aho", "arrow"])
     p.add_argument("--age-cutoff", type=float, help="apply the age correction with this founding-year cutoff")
     p.add_argument("--format", default="parquet", choices=["parquet", "csv"], help="output format")
@@ -60,16 +67,34 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     return p.parse_args(argv)
 
 
+def _saved_results(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The saved results; the output folder of an earlier run has no extension and is Parquet."""
+    fmt = args.resume_format or ("parquet" if "." not in args.resume.rstrip("/").rsplit("/", 1)[-1] else None)
+    saved = files.scan(spark, args.resume, fmt)
+    if args.key not in saved.columns:
+        raise SystemExit(f"--key {args.key!r} is not a column of the saved results")
+    return saved
+
+
 def classify_table(spark: SparkSession, args: argparse.Namespace) -> tuple[DataFrame, DataFrame, str, str]:
     """The input, the result table for ``args`` (both lazy) and the chosen name / description columns."""
     df = files.scan(spark, args.input, args.input_format, multi_line=not args.single_line)
+    if args.infer_types:
+        df = files.infer_types(df)
     default_name, default_desc = files.column_mapping(df.columns)
     name_col = _column(df.columns, args.name, default_name)
     desc_col = _column(df.columns, args.desc, default_desc)
     source = df
     if args.age_cutoff is not None:
         df = corrections.founding_year(df)  # on the input: its whole-column choice never repeats a join
-    result = classify_companies(df, desc_col, scorer=args.scorer)
+    saved = None
+    if args.resume:
+        if args.key not in df.columns:
+            raise SystemExit(f"--key {args.key!r} is not a column of the input")
+        saved = _saved_results(spark, args)
+        df = resume.pending_rows(df, saved, args.key)
+    lexicon = read_lexicon(spark, args.lexicon) if args.lexicon else None
+    result = classify_companies(df, desc_col, lexicon=lexicon, scorer=args.scorer)
     if args.mode == "model":
         if not args.responses:
             raise SystemExit("--mode model needs --responses (a table of stored responses)")
@@ -83,6 +108,8 @@ def classify_table(spark: SparkSession, args: argparse.Namespace) -> tuple[DataF
             tx.combined_text(df, desc_col), tx.industries(df), key=args.key)
     if args.age_cutoff is not None:
         result = corrections.age_correction(result, args.age_cutoff)
+    if saved is not None:
+        result = resume.with_saved(result, saved, source, args.key)
     return source, result, name_col, desc_col
 
 

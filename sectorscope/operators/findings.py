@@ -43,7 +43,11 @@ def _row(name: str, label: Column, n: Column, value: Column, keep: Column) -> Co
 
 def findings(df: DataFrame) -> DataFrame:
     """Findings from one pass: everything derives from ``profiles.profile_cube``."""
-    cube, cols = pf.profile_cube(df)
+    return findings_of_cube(*pf.profile_cube(df))
+
+
+def findings_of_cube(cube: DataFrame, cols: list[str]) -> DataFrame:
+    """Findings from a cube alone (also the one of ``live_cube``) and its capability columns."""
     label, wave = F.col("label"), F.col("wave")
     err = pf.is_error(label)
     per_row_dc = sum((F.col(c) for c in cols), F.lit(0))

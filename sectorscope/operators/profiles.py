@@ -71,6 +71,12 @@ def with_share(counts: DataFrame, n_col: str = "n", name: str = "share_pct",
     return counts.withColumn(name, pct(F.col(n_col), total))
 
 
+def ranked(counts: DataFrame, label: str, n_col: str = "n") -> DataFrame:
+    """Counts with ``place``, from 1 for the most frequent (ties: smallest label), in that order; one row a label."""
+    order = Window.orderBy(F.desc(n_col), F.asc(label))
+    return counts.withColumn("place", F.row_number().over(order)).orderBy("place")
+
+
 def top_n(counts: DataFrame, label: str, n: int, n_col: str = "n") -> DataFrame:
     """Top ``n`` by count descending, label ascending."""
     return counts.orderBy(F.desc(n_col), F.asc(label)).limit(n)
@@ -84,11 +90,12 @@ def archetype_counts_all(df: DataFrame) -> DataFrame:
 
 
 def archetype_counts(df: DataFrame) -> DataFrame:
-    return value_counts(non_error_rows(df), ARCH)
+    """Rows per label without errors, most frequent first."""
+    return value_counts(non_error_rows(df), ARCH).orderBy(F.desc("n"), F.asc(ARCH))
 
 
 def archetype_share(df: DataFrame) -> DataFrame:
-    return with_share(archetype_counts(df))
+    return with_share(value_counts(non_error_rows(df), ARCH))
 
 
 def archetype_mode(df: DataFrame) -> DataFrame:
@@ -142,12 +149,13 @@ def success_rate(df: DataFrame) -> DataFrame:
 # --- innovation waves ----------------------------------------------------------
 
 def wave_counts(df: DataFrame) -> DataFrame:
-    return value_counts(df, WAVE)
+    """Rows per wave, most frequent first."""
+    return value_counts(df, WAVE).orderBy(F.desc("n"), F.asc(WAVE))
 
 
 def wave_share(df: DataFrame) -> DataFrame:
     """Share of each wave, in order of the wave's label."""
-    return with_share(wave_counts(df)).orderBy(WAVE)
+    return with_share(value_counts(df, WAVE)).orderBy(WAVE)
 
 
 def wave_maturity(df: DataFrame) -> DataFrame:
@@ -192,8 +200,9 @@ def capability_top10(df: DataFrame) -> DataFrame:
 
 
 def capability_counts(df: DataFrame) -> DataFrame:
+    """Mentions per capability, most frequent first."""
     ex = df.select(F.explode(dc_list()).alias("DC"))
-    return value_counts(ex, "DC")
+    return value_counts(ex, "DC").orderBy(F.desc("n"), F.asc("DC"))
 
 
 def _dc_mentions(df: DataFrame, cols: list[str]) -> list[Column]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -74,13 +74,14 @@ def classify_stream_with_progress(spark: SparkSession, source: str, schema: Stru
     """
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         started = datetime.now(timezone.utc)
+        seen = Observation()
         out = classify_companies(batch, main, aux, lexicon).withColumn("batch_id", F.lit(batch_id))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        # the figures come with the write, nothing is read back
+        (out.observe(seen, F.count(F.lit(1)).alias("n_rows"),
+                     F.count_if(billable(F.col("Predicted_Archetype"))).alias("n_billable"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch_id").parquet(sink))
-        # read back only this batch's folder: the listing does not grow with the batches
-        written = spark.read.parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
-        stats = written.agg(F.count(F.lit(1)).alias("n_rows"),
-                            F.count_if(billable(F.col("Predicted_Archetype"))).alias("n_billable"))
+        stats = batch.sparkSession.createDataFrame([(seen.get["n_rows"], seen.get["n_billable"])], "n_rows bigint, n_billable bigint")
         row = stats.withColumns({"batch_id": F.lit(batch_id).cast("bigint"),
                                  "batch_cost": F.col("n_billable") * F.lit(cost_per_row),
                                  "started_at": F.lit(started),
