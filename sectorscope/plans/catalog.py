@@ -16,11 +16,11 @@ from pyspark.sql.types import StructType
 
 from sectorscope.functions import text as tx
 from sectorscope.functions.lexicon import Lexicon, default_lexicon, probe_lexicon
-from sectorscope.operators import corrections, explore, profiles, responses as rs, resume
+from sectorscope.operators import answer_log, corrections, explore, live_cube, profiles, responses as rs, resume
 from sectorscope.operators.classify import classify_companies, classify_text, score
 from sectorscope.operators.lexicon_join import classify_by_join
-from sectorscope.session import scratch_path
-from sectorscope.sources import files
+from sectorscope.session import materialize, scratch_path
+from sectorscope.sources import files, positions
 from sectorscope.sources.tables import (COMPANY_AUX, COMPANY_DESC, companies, read_table,
                                         responses)
 from sectorscope.streaming import incremental
@@ -112,6 +112,59 @@ def _scan_as(fmt: str, write: Callable[[DataFrame, str], None]) -> Query:
     return query
 
 
+def q_scan_multiline(spark, sf_dir):
+    """Texts with line breaks, commas and quotes in their cells, in CSV files that are read in ranges."""
+    path = scratch_path(spark, "documents") + ".csv"
+    files.write_csv(_docs(spark, sf_dir).select("doc_id", "text", "lang", "source"), path)
+    return files.scan(spark, path)
+
+
+def q_scan_inferred(spark, sf_dir):
+    """CSV columns of every kind the type lattice knows, read back in their types."""
+    path = scratch_path(spark, "orders") + ".csv"
+    k = F.col("o_orderkey")
+    files.write_csv(read_table(spark, sf_dir, "orders").select(
+        k.alias("whole"), F.when(k % 7 != 0, k * 1000).alias("whole_or_null"), F.col("o_totalprice").alias("number"),
+        F.when(k % 3 == 0, F.lit("1.5")).otherwise(k.cast("string")).alias("whole_or_number"),
+        F.when(k % 2 == 0, F.lit("True")).when(k % 5 != 0, F.lit("false")).alias("truth"),
+        F.when(k % 1000 == 1, F.lit("about 3")).otherwise(k.cast("string")).alias("mostly_whole"),
+        F.when(k % 2 == 0, F.lit("true")).otherwise(F.lit("1")).alias("truth_and_number"),
+        F.col("o_orderpriority").alias("text"), F.lit(None).cast("string").alias("nothing")), path)
+    return files.infer_types(files.scan(spark, path))
+
+
+def _ordered_csv(spark, df, order_col, label, file_count):
+    """``df`` without its id, as CSV files whose rows stand in its order."""
+    path = scratch_path(spark, label) + ".csv"
+    ordered = df.repartitionByRange(file_count, order_col).sortWithinPartitions(order_col)
+    files.write_csv(ordered.drop(order_col), path)
+    return positions.scan_with_position(spark, path)
+
+
+def q_input_positions(spark, sf_dir):
+    """The place of every row of a table without ids, over several files."""
+    return _ordered_csv(spark, companies(spark, sf_dir), "company_id", "places", 4).select(
+        F.col(positions.POSITION).alias("position"), "Company", "Description")
+
+
+def q_first_rows(spark, sf_dir):
+    """The first ten rows of a classified table without ids."""
+    placed = _ordered_csv(spark, companies(spark, sf_dir), "company_id", "places", 3)
+    out = positions.first_rows(classify_companies(placed, COMPANY_DESC, COMPANY_AUX, scorer=SCORER), 10)
+    return out.select(F.col(positions.POSITION).alias("position"), "Company", "Predicted_Archetype", "Confidence_Score")
+
+
+def q_positional_join(spark, sf_dir):
+    """Results put beside their rows by position, the two tables written in different numbers of files."""
+    c = companies(spark, sf_dir)
+    left = _ordered_csv(spark, c.select("company_id", "Company", "founded"), "company_id", "left", 5)
+    path = scratch_path(spark, "right")
+    (_classified(spark, sf_dir).select("company_id", "Predicted_Archetype", "Keywords_Found")
+     .repartitionByRange(3, "company_id").sortWithinPartitions("company_id").drop("company_id").write.parquet(path))
+    right = positions.scan_with_position(spark, path, "parquet")
+    return positions.positional_join(left, right).withColumnRenamed(positions.POSITION, "position")
+
+
 def q_upload_mapping(spark, sf_dir):
     c = companies(spark, sf_dir)
     name, desc = files.column_mapping(c.columns, rule="upload")
@@ -251,9 +304,18 @@ def q_explorer_search_docs(spark, sf_dir):
     return explore.search(d, SEARCH_DOCS).select("doc_id", "lang", "source")
 
 
+def word_lexicon(docs: DataFrame) -> DataFrame:
+    """A lexicon table that grows with the texts: every word of eight small letters or more that two of them have."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0))).alias("keyword"))
+    cat = F.ascii("keyword") % 7 + 1
+    return (words.groupBy("keyword").count().where("count >= 2")
+            .select((cat * 10).alias("cat_ord"), F.concat(F.lit("w"), cat.cast("string")).alias("category"),
+                    F.length("keyword").alias("kw_ord"), "keyword"))
+
+
 def q_lexicon_join_docs(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", "text")
-    out = classify_by_join(d, "doc_id", "text", probe_lexicon(), keep_scores=True)
+    out = classify_by_join(d, "doc_id", "text", lex_df=materialize(word_lexicon(d), "word-lexicon"), keep_scores=True)
     return out.select("doc_id", _scores_str().alias("scores"), "Predicted_Archetype",
                       "Confidence_Score", "Keywords_Found")
 
@@ -277,6 +339,11 @@ def q_explorer_counts(spark, sf_dir):
     return explore.filter_counts(_classified(spark, sf_dir), EXPLORER_LABELS)
 
 
+def q_explorer_search_counts(spark, sf_dir):
+    """Shown and total rows under the labels and the search together."""
+    return explore.filter_counts(_classified(spark, sf_dir), EXPLORER_LABELS, pattern=SEARCH_COMPANIES)
+
+
 def q_explorer_search(spark, sf_dir):
     out = explore.search(_classified(spark, sf_dir), SEARCH_COMPANIES)
     return out.select("company_id", "Predicted_Archetype")
@@ -294,6 +361,27 @@ def q_archetype_counts(spark, sf_dir):
     return profiles.archetype_counts(_classified(spark, sf_dir))
 
 
+def q_archetype_ranking(spark, sf_dir):
+    return profiles.ranked(profiles.archetype_counts(_classified(spark, sf_dir)), profiles.ARCH)
+
+
+def q_wave_ranking(spark, sf_dir):
+    return profiles.ranked(profiles.wave_counts(_model_results(spark, sf_dir)), profiles.WAVE)
+
+
+def q_capability_ranking(spark, sf_dir):
+    return profiles.ranked(profiles.capability_counts(_model_results(spark, sf_dir)), "DC")
+
+
+def q_empty_table_rates(spark, sf_dir):
+    """Both success rates and the hybrid share of a table without rows."""
+    none = _classified(spark, sf_dir).where(F.col("company_id") < 0)
+    exact = profiles.success_rate_exact(none).select(F.col("n_total").alias("n_exact"), F.col("success_rate").alias("exact_rate"))
+    return (exact.join(profiles.success_rate(none), exact["n_exact"] == F.col("n_total"))
+            .join(profiles.hybrid_share(none).select("n_hybrid", F.col("n_total").alias("n_rows"), "hybrid_pct"),
+                  exact["n_exact"] == F.col("n_rows")))
+
+
 def q_archetype_mode(spark, sf_dir):
     return profiles.archetype_mode(_classified(spark, sf_dir))
 
@@ -397,6 +485,45 @@ def q_result_projection(spark, sf_dir):
     return _model_results(spark, sf_dir).select("company_id", "Secondary_Archetypes", "Driving_Capabilities")
 
 
+#: Parts of the answer log's query, and the first one in which its first run fails.
+LOG_PARTS, FAILING_PART = 16, 8
+
+
+def _stand_in_model(pdf):
+    """Answers by the length of the prompt; each third one is no JSON."""
+    import json
+    labels = ["Enablers", "Connectors", "Innovators", "Protectors"]
+    texts = [json.dumps({"archetype": labels[len(p) % 4], "innovation_wave": f"{len(p) % 3 + 1}.0", "confidence": "High"})
+             if len(p) % 3 else "no answer" for p in pdf["prompt"]]
+    return pdf[["request"]].assign(response_json=texts)
+
+
+def _failing_model(pdf):
+    if any(int(r[:4], 16) % LOG_PARTS >= FAILING_PART for r in pdf["request"]):
+        raise RuntimeError("the model is away")
+    return _stand_in_model(pdf)
+
+
+def q_answer_log(spark, sf_dir):
+    """A run that fails half-way, then a second one that asks only for what is missing."""
+    c = companies(spark, sf_dir)
+    args = (tx.company_name(c), tx.combined_text(c, COMPANY_DESC, COMPANY_AUX), tx.industries(c, INDUSTRY_COLS))
+    requests = rs.render_requests(c, *args).select("company_id", "prompt")
+    log = scratch_path(spark, "answer-log")
+    try:
+        answer_log.ask(requests, _failing_model, log, "first", LOG_PARTS, batch_rows=500)
+        raise RuntimeError("the first run was to fail")
+    except Exception as exc:  # noqa: BLE001 - the failure this query is about
+        if "the model is away" not in str(exc):
+            raise
+    respond = answer_log.log_responder(_stand_in_model, log, "second", parts=LOG_PARTS, batch_rows=500)
+    answers = materialize(respond(requests), "log-answers")
+    result = rs.merge_with_keywords(_classified(spark, sf_dir), rs.parse_responses(answers))
+    times = answer_log.read_log(spark, log).groupBy("request").agg(F.count("*").alias("times_asked"))
+    return (result.join(answers.select("company_id", "request", "run"), "company_id").join(times, "request")
+            .select("company_id", "run", "times_asked", "result_source", "Predicted_Archetype", "Confidence_Score", "Innovation_Wave"))
+
+
 def q_model_fallback(spark, sf_dir):
     return _model_results(spark, sf_dir).select("company_id", "result_source", *RESULT6)
 
@@ -440,6 +567,27 @@ def q_findings(spark, sf_dir):
     return findings(_model_results(spark, sf_dir))
 
 
+def _live_cube(spark, sf_dir) -> str:
+    """The cube of the model results that came in three waves, then of the age correction of some; its folder."""
+    path = scratch_path(spark, "live-cube")
+    rows = _model_results(spark, sf_dir)
+    for wave in range(3):
+        live_cube.add_batch(rows.where(F.col("company_id") % 3 == wave), path, wave)
+    aged = materialize(corrections.age_correction(corrections.founding_year(rows), AGE_CUTOFF).where("Age_Corrected"), "aged")
+    before = rows.join(aged.select("company_id"), "company_id", "left_semi")
+    live_cube.correct(before, aged, path, 3)
+    return path
+
+
+def q_findings_live(spark, sf_dir):
+    from sectorscope.operators.findings import findings_of_cube
+    return findings_of_cube(live_cube.current(spark, _live_cube(spark, sf_dir)), profiles.DC_CODES)
+
+
+def q_label_counts_live(spark, sf_dir):
+    return live_cube.label_counts(live_cube.current(spark, _live_cube(spark, sf_dir)))
+
+
 def q_findings_text(spark, sf_dir):
     from sectorscope.operators.findings import findings, render_text
     return render_text(findings(_model_results(spark, sf_dir)))
@@ -456,6 +604,26 @@ def q_incremental_classify(spark, sf_dir):
     return spark.read.schema(_result_schema()).parquet(sink)
 
 
+def q_incremental_classify_csv(spark, sf_dir):
+    """The stream over CSV files, null tokens and all."""
+    from sectorscope.sources.tables import raw_companies
+    src = scratch_path(spark, "incoming-csv")
+    c = raw_companies(spark, sf_dir)
+    files.write_csv(c, src)
+    sink, ckpt = scratch_path(spark, "classified"), scratch_path(spark, "stream-ckpt")
+    incremental.classify_stream(spark, src, c.schema, sink, ckpt, COMPANY_DESC, COMPANY_AUX, fmt="csv",
+                                keep=["company_id", *RESULT6]).awaitTermination()
+    return spark.read.schema(_result_schema()).parquet(sink)
+
+
+def q_run_ids(spark, sf_dir):
+    """The run id that each order's time would give."""
+    o = read_table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date").cast("timestamp")
+    at = F.timestamp_seconds(F.unix_seconds(day) + F.col("o_orderkey") % 86_400)
+    return o.select("o_orderkey", files.run_id(at).alias("run_id"))
+
+
 def _stream_progress(spark, sf_dir):
     """The progress table of a stream over ``companies``, whose rows arrive in three waves.
 
@@ -579,4 +747,19 @@ def queries() -> dict[str, Query]:
         "batch_progress": q_batch_progress,
         "batch_totals": q_batch_totals,
         "export_roundtrip": q_export_roundtrip,
+        "scan_multiline": q_scan_multiline,
+        "scan_inferred": q_scan_inferred,
+        "input_positions": q_input_positions,
+        "first_rows": q_first_rows,
+        "positional_join": q_positional_join,
+        "explorer_search_counts": q_explorer_search_counts,
+        "archetype_ranking": q_archetype_ranking,
+        "wave_ranking": q_wave_ranking,
+        "capability_ranking": q_capability_ranking,
+        "empty_table_rates": q_empty_table_rates,
+        "answer_log": q_answer_log,
+        "findings_live": q_findings_live,
+        "label_counts_live": q_label_counts_live,
+        "incremental_classify_csv": q_incremental_classify_csv,
+        "run_ids": q_run_ids,
     }

@@ -58,21 +58,23 @@ RESPONSES_CTE = f"""stored AS (
 COMPANY_TEXT = "concat_ws(' ', Description, Industries, industry_groups)"
 
 
-def classify_ctes(texts_sql: str, lex: Lexicon, p: str = "") -> list[str]:
-    """CTEs ending in ``{p}cls``: id, txt, scores, found_all, best, c1, s1, c2, s2, generic, result."""
-    lex_rows = ", ".join(f"({co}, {q(c)}, {ko}, {q(k)})" for co, c, ko, k in lex.rows())
+def classify_ctes(texts_sql: str, lex: Lexicon, p: str = "", lex_sql: str | None = None) -> list[str]:
+    """CTEs ending in ``{p}cls``: id, txt, scores, found_all, best, c1, s1, c2, s2, generic, result.
+
+    The keywords are those of ``lex``, or the rows of ``lex_sql``."""
+    lex_sql = lex_sql or "VALUES " + ", ".join(f"({co}, {q(c)}, {ko}, {q(k)})" for co, c, ko, k in lex.rows())
     gen_rows = ", ".join(f"({i + 1}, {q(w)})" for i, w in enumerate(lex.generic))
     return [
         f"{p}texts AS ({texts_sql})",
         f"{p}lt AS (SELECT id, txt, lower(txt) AS t FROM {p}texts)",
-        f"{p}lex(cat_ord, category, kw_ord, keyword) AS (VALUES {lex_rows})",
+        f"{p}lex(cat_ord, category, kw_ord, keyword) AS ({lex_sql})",
         f"{p}cats AS (SELECT DISTINCT cat_ord, category FROM {p}lex)",
         f"{p}gen(g_ord, word) AS (VALUES {gen_rows})",
         f"""{p}hits AS (SELECT lt.id, x.cat_ord, x.kw_ord, x.keyword,
               (length(lt.t) - length(replace(lt.t, lower(x.keyword), ''))) // length(lower(x.keyword)) AS n
             FROM {p}lt lt JOIN {p}lex x ON contains(lt.t, lower(x.keyword)))""",
         f"""{p}sc AS (SELECT lt.id, c.cat_ord, c.category, CAST(coalesce(sum(h.n), 0) AS BIGINT) AS score,
-              string_agg(h.keyword, ', ' ORDER BY h.kw_ord) AS found,
+              string_agg(h.keyword, ', ' ORDER BY h.kw_ord, h.keyword) AS found,
               CAST(count(h.keyword) AS BIGINT) AS n_found
             FROM {p}lt lt CROSS JOIN {p}cats c
             LEFT JOIN {p}hits h ON h.id = lt.id AND h.cat_ord = c.cat_ord
@@ -110,8 +112,14 @@ def _company_cls() -> list[str]:
             FROM companies c JOIN cls k ON k.id = c.company_id)"""]
 
 
-def _doc_cls(lex: Lexicon) -> list[str]:
-    return classify_ctes("SELECT doc_id AS id, text AS txt FROM documents", lex)
+def _doc_cls(lex: Lexicon, lex_sql: str | None = None) -> list[str]:
+    return classify_ctes("SELECT doc_id AS id, text AS txt FROM documents", lex, lex_sql=lex_sql)
+
+
+# every word of eight small letters or more in two documents, in seven categories by its first letter
+WORD_LEXICON = """SELECT (ascii(word) % 7 + 1) * 10, 'w' || CAST(ascii(word) % 7 + 1 AS VARCHAR), length(word), word
+    FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}'))) AS word FROM documents)
+    GROUP BY word HAVING count(*) >= 2"""
 
 
 _pytype = ("CASE json_type(j) WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' "
@@ -250,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
             OR coalesce(regexp_matches(lang, {q(SEARCH_DOCS)}, 'i'), false)
             OR coalesce(regexp_matches(source, {q(SEARCH_DOCS)}, 'i'), false)
             OR coalesce(regexp_matches(CAST(n_chars AS VARCHAR), {q(SEARCH_DOCS)}, 'i'), false)""",
-        "lexicon_join_docs": with_(_doc_cls(probe_lexicon()), """SELECT id AS doc_id, scores, Predicted_Archetype,
+        "lexicon_join_docs": with_(_doc_cls(probe_lexicon(), WORD_LEXICON), """SELECT id AS doc_id, scores, Predicted_Archetype,
             Confidence_Score, Keywords_Found FROM cls"""),
         "recent_classifications": with_(C, """SELECT company_id, Predicted_Archetype, Confidence_Score, Innovation_Wave
             FROM classified ORDER BY company_id LIMIT 10"""),
@@ -448,6 +456,49 @@ def oracle_sql() -> dict[str, str]:
                 CAST(0.0 AS DOUBLE) AS cost, CAST(100.0 AS DOUBLE) AS pct_done, '0s' AS eta_text FROM model"""),
         "export_roundtrip": with_(C, f"SELECT company_id, {SELECT6}, 'keywords' AS mode, 'r1' AS run_id FROM classified"),
     }
+    tokens = _list(NULL_TOKENS)
+    d["scan_multiline"] = f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN list_contains({tokens}, text) THEN NULL ELSE text END
+        AS text, lang, source FROM documents"""
+    d["scan_inferred"] = """SELECT CAST(o_orderkey AS BIGINT) AS whole,
+        CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey * 1000 AS BIGINT) END AS whole_or_null, CAST(o_totalprice AS DOUBLE) AS number,
+        CASE WHEN o_orderkey % 3 = 0 THEN CAST(1.5 AS DOUBLE) ELSE CAST(o_orderkey AS DOUBLE) END AS whole_or_number,
+        CASE WHEN o_orderkey % 2 = 0 THEN true WHEN o_orderkey % 5 <> 0 THEN false END AS truth,
+        CASE WHEN o_orderkey % 1000 = 1 THEN 'about 3' ELSE CAST(o_orderkey AS VARCHAR) END AS mostly_whole,
+        CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '1' END AS truth_and_number,
+        o_orderpriority AS text, CAST(NULL AS VARCHAR) AS nothing FROM orders"""
+    place = "row_number() OVER (ORDER BY company_id) - 1 AS position"
+    d["input_positions"] = with_([COMPANIES], f"SELECT {place}, Company, Description FROM companies")
+    d["first_rows"] = with_(C, f"""SELECT {place}, Company, Predicted_Archetype, Confidence_Score FROM classified
+        ORDER BY company_id LIMIT 10""")
+    d["positional_join"] = with_(C, f"SELECT {place}, Company, founded, Predicted_Archetype, Keywords_Found FROM classified")
+    d["explorer_search_counts"] = with_(C, "SELECT count(*) FILTER (WHERE Predicted_Archetype IN ({}) AND ({})) AS n_shown, "
+        "count(*) AS n_total FROM classified".format(", ".join(q(x) for x in EXPLORER_LABELS), " OR ".join(
+            f"coalesce(regexp_matches(CAST({c} AS VARCHAR), {q(SEARCH_COMPANIES)}, 'i'), false)"
+            for c in ["company_id", "Company", "Industries", "industry_groups", "Description", "founded",
+                      "Predicted_Archetype", "Confidence_Score", "Keywords_Found"])))
+    for name, table, col in (("archetype_ranking", "archetype_counts", "Predicted_Archetype"),
+                             ("wave_ranking", "wave_counts", "Innovation_Wave"), ("capability_ranking", "capability_counts", "DC")):
+        d[name] = f"SELECT {col}, n, row_number() OVER (ORDER BY n DESC, {col}) AS place FROM ({d[table]})"
+    d["empty_table_rates"] = """SELECT CAST(0 AS BIGINT) AS n_exact, CAST(NULL AS DOUBLE) AS exact_rate, CAST(0 AS BIGINT) AS n_total,
+        CAST(0 AS BIGINT) AS n_errors, CAST(0.0 AS DOUBLE) AS success_rate, CAST(0 AS BIGINT) AS n_hybrid,
+        CAST(0 AS BIGINT) AS n_rows, CAST(NULL AS DOUBLE) AS hybrid_pct"""
+    d["answer_log"] = with_(C + [f"asked AS (SELECT company_id, {_prompt_sql()} AS p FROM companies)"],
+        """SELECT company_id, CASE WHEN CAST('0x' || substr(sha256(p), 1, 4) AS INTEGER) % 16 < 8 THEN 'first' ELSE 'second' END AS run,
+            CAST(1 AS BIGINT) AS times_asked, 'model' AS result_source,
+            CASE WHEN length(p) % 3 = 0 THEN 'API Error - JSON'
+                 ELSE ['Enablers', 'Connectors', 'Innovators', 'Protectors'][length(p) % 4 + 1] END AS Predicted_Archetype,
+            CASE WHEN length(p) % 3 = 0 THEN 'Low' ELSE 'High' END AS Confidence_Score,
+            CASE WHEN length(p) % 3 = 0 THEN '' ELSE CAST(length(p) % 3 + 1 AS VARCHAR) || '.0' END AS Innovation_Wave FROM asked""")
+    # the findings over the results after the age correction
+    d["findings_live"] = d["findings"].replace("model AS (SELECT c.company_id,", "model0 AS (SELECT c.company_id,", 1).replace(
+        "mdc AS (", f"""model AS (SELECT m.* REPLACE (CASE WHEN m.Predicted_Archetype IN ('Disruptors', 'Innovators')
+          AND TRY_CAST(c.founded AS DOUBLE) < {AGE_CUTOFF} THEN 'Traditional / Generalist' ELSE m.Predicted_Archetype END
+          AS Predicted_Archetype) FROM model0 m JOIN companies c USING (company_id)),\nmdc AS (""", 1)
+    d["label_counts_live"] = d["findings_live"][:d["findings_live"].index(",\nfsc AS (")] + """
+        SELECT Predicted_Archetype, CAST(count(*) AS BIGINT) AS n FROM model WHERE Predicted_Archetype IS NOT NULL GROUP BY 1"""
+    d["incremental_classify_csv"] = d["incremental_classify"]
+    d["run_ids"] = """SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400), '%Y%m%d_%H%M')
+        AS run_id FROM orders"""
     d["scan_parquet"] = with_([COMPANIES], """SELECT company_id, Company, Industries, industry_groups, Description, founded
         FROM companies""")
     d["scan_json"] = d["scan_parquet"]

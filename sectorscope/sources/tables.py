@@ -48,10 +48,16 @@ RESPONSES: dict[int, str] = {
 }
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
-    """One driver table. ``partitions`` spreads a table whose files hold too few splits; off by default."""
+#: Session setting: spread every table over so many partitions when it is read. Unset by default, and never chosen by
+#: size: it is for tables whose files hold one split each (one Parquet row group), as a bench's.
+PARTITIONS_CONF = "sectorscope.read.partitions"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table, spread over ``PARTITIONS_CONF`` partitions if the session sets that."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df if partitions is None else df.repartition(partitions)
+    partitions = spark.conf.get(PARTITIONS_CONF, None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def _phrase(idx: Column) -> Column:
