@@ -284,7 +284,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key = _key(id_col, text_col)
     joined = (docs.select(row_struct(carry), as_bytes(text_col).alias("raw"), key["id"].alias("id"),
                           key["no_id"].alias("no_id"), key["tie"].alias("tie")).alias("d")
-              .join(removed.alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.no_id") == F.col("r.no_id"))
+              # one plan at every size: the texts are shuffled, whether or not what is removed would fit a broadcast
+              .join(removed.hint("merge").alias("r"), F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.no_id") == F.col("r.no_id"))
                     & (F.col("d.tie") == F.col("r.tie")), "left").select("d.row", "d.raw", "r.gone"))
 
     def cut(batch: dict[str, list]) -> dict[str, list]:
