@@ -10,7 +10,7 @@ trie, node pairs are walked down together: bits in which the two sides differ
 are added up, and a pair is dropped when they exceed the radius, or when both
 sides already lie in one component. A key with more than ``trie_size``
 fingerprints is first cut by its next bits into node pairs within the radius,
-each its own task.
+and so on until every node pair is small, each its own task.
 
 A task returns one link per fingerprint to its local root, never all pairs of
 a group, and equal texts count as one fingerprint, so links grow with the
@@ -25,10 +25,11 @@ rows with a null id take part, and get the component of their fingerprint
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.llm.common import as_bytes, map_batches, row_struct, with_fields
@@ -155,31 +156,80 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _unsigned_shift(col, bits: int):
-    return F.shiftrightunsigned(col, bits)
+_KEY = ["block", "value", "level", "lo", "hi"]
+
+
+def _without_block(shift: int, width: int) -> Column:
+    """The bits of ``fp`` outside a block, as one number of ``64 - width`` bits."""
+    low = F.col("fp").bitwiseAND(F.lit((1 << shift) - 1))
+    if shift + width == 64:
+        return low
+    return F.shiftleft(F.shiftrightunsigned("fp", shift + width), shift).bitwiseOR(low)
+
+
+def _path(level: Column | int, block_width: Column) -> Column:
+    """The first ``level`` times ``_SPLIT_BITS`` bits of ``rest``: the trie node of that depth."""
+    below = F.greatest(F.lit(0), F.lit(64) - block_width - F.lit(level) * _SPLIT_BITS)
+    return F.call_function("shiftrightunsigned", F.col("rest"), below.cast("int"))
+
+
+def _bits_at(level: int, block_width: Column) -> Column:
+    """How many bits the cut to ``level`` adds to a path (fewer at the end of the fingerprint)."""
+    return F.least(F.lit(_SPLIT_BITS), F.greatest(F.lit(0), F.lit(64) - block_width - (level - 1) * _SPLIT_BITS))
+
+
+def _cut(parts: DataFrame, level: int, radius: int) -> DataFrame:
+    """Node pairs one cut deeper: each member goes to the pairs of its node with all nodes that the error budget allows."""
+    bits = _bits_at(level, F.col("width"))
+    masks = F.array(*[F.struct(F.lit(m).cast("bigint").alias("bits"), F.lit(m.bit_count()).alias("n"))
+                      for m in range(1 << _SPLIT_BITS) if m.bit_count() <= radius])
+    budget = F.lit(radius) - F.bit_count(F.col("lo").bitwiseXOR(F.col("hi")))
+    fits = F.filter(masks, lambda m: (m["n"] <= budget) & (m["bits"] < F.call_function("shiftleft", F.lit(1).cast("bigint"), bits.cast("int"))))
+    own = _path(level, F.col("width"))
+    up = lambda x: F.call_function("shiftleft", x, bits.cast("int"))
+    before = _path(level - 1, F.col("width"))
+    # of a pair of two nodes the other one than its own, of a node with itself that node
+    other = F.when(before == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    node = own.bitwiseAND(up(F.lit(1).cast("bigint")) - 1)
+    rows = (parts.select("block", "width", "value", "rest", "fp", "lo", "hi", own.alias("own"), other.alias("other"), node.alias("node"),
+                         F.explode(fits).alias("mask"))
+            .withColumn("there", up(F.col("other")).bitwiseOR(F.col("node").bitwiseXOR(F.col("mask.bits")))))
+    # of two nodes with one parent the smaller one is "lo"; deeper pairs keep the order of their parents
+    swap = F.when(F.col("lo") == F.col("hi"), F.col("own") > F.col("there")).otherwise(before == F.col("hi"))
+    return rows.select("block", "width", "value", F.lit(level).alias("level"),
+                       F.when(swap, F.col("there")).otherwise(F.col("own")).alias("lo"),
+                       F.when(swap, F.col("own")).otherwise(F.col("there")).alias("hi"), "rest", "fp")
+
+
+def node_pairs(fps: DataFrame, radius: int, trie_size: int) -> DataFrame:
+    """``_KEY`` and ``fp``: for each bit block and value the members of its trie; tries of over ``trie_size`` members are
+    cut into pairs of nodes, and those again, until all are small or no bit is left (then a pair has two members)."""
+    tries = F.array(*[F.struct(F.lit(k).alias("block"), F.lit(width).alias("width"),
+                               F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("value"),
+                               _without_block(shift, width).alias("rest")) for k, (shift, width) in enumerate(_blocks(radius))])
+    zero = F.lit(0).cast("bigint")
+    parts = fps.select("fp", F.explode(tries).alias("t")).select(
+        "t.block", "t.width", "t.value", F.lit(0).alias("level"), zero.alias("lo"), zero.alias("hi"), "t.rest", "fp")
+    done = []
+    for level in range(1, -(-64 // _SPLIT_BITS) + 1):
+        own = _path(level - 1, F.col("width"))
+        sizes = parts.groupBy(*_KEY).agg(F.count("*").alias("n"), F.count_if(own == F.col("lo")).alias("n_lo"),
+                                         F.count_if(own == F.col("hi")).alias("n_hi"))
+        # a table, so that AQE can split a join on a very common key; pairs with one side only have no links
+        pairs = materialize(sizes.where((F.col("n") > 1) & (F.col("n_lo") > 0) & (F.col("n_hi") > 0))
+                            .select(*_KEY, (F.col("n") > trie_size).alias("large")), "simhash-pairs")
+        large = pairs.where("large").select(*_KEY)
+        if not large.take(1):
+            break
+        done.append(parts.join(pairs.where("NOT large").select(*_KEY), _KEY, "left_semi").select(*_KEY, "fp"))
+        parts = materialize(_cut(parts.join(large, _KEY), level, radius), "simhash-nodes")
+    return reduce(DataFrame.unionByName, [*done, parts.select(*_KEY, "fp")])
 
 
 def trie_links(fps: DataFrame, radius: int = RADIUS, trie_size: int = TRIE_SIZE) -> DataFrame:
     """Links ``u, v`` between the distinct fingerprints of ``fps`` (column ``fp``): each to a root in its trie."""
-    blocks = _blocks(radius)
-    keyed = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("block"),
-                 _unsigned_shift(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)).alias("value"),
-                 # the highest bits outside the block, for cutting a large trie
-                 (_unsigned_shift(F.col("fp"), 64 - _SPLIT_BITS) if shift + width <= 64 - _SPLIT_BITS
-                  else F.col("fp").bitwiseAND(F.lit((1 << _SPLIT_BITS) - 1))).alias("node"))
-        for k, (shift, width) in enumerate(blocks)])).alias("t")).select("fp", "t.*")
-    large = (keyed.groupBy("block", "value").count().where(F.col("count") > trie_size)
-             .select("block", "value", F.lit(True).alias("large")))
-    large = materialize(large, "simhash-large")  # a table, so that AQE can split the join on a very common value
-    masks = F.array(*[F.lit(m).cast("bigint") for m in range(1 << _SPLIT_BITS) if m.bit_count() <= radius])
-    cut = (keyed.join(large, ["block", "value"], "left")
-           .withColumn("mask", F.explode(F.when(F.col("large"), masks).otherwise(F.array(F.lit(-1).cast("bigint")))))
-           .withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
-           .select("block", "value", "fp",
-                   F.when(F.col("mask") < 0, -1).otherwise(F.least("node", "other")).alias("lo"),
-                   F.when(F.col("mask") < 0, -1).otherwise(F.greatest("node", "other")).alias("hi")))
-    key = ["block", "value", "lo", "hi"]
+    cut = node_pairs(fps, radius, trie_size)
+    key = _KEY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -195,8 +245,8 @@ def trie_links(fps: DataFrame, radius: int = RADIUS, trie_size: int = TRIE_SIZE)
                 names=["u", "v"])
 
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], 1)
-            fp = batch.column(4).to_numpy()
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(len(key))], 1)
+            fp = batch.column(len(key)).to_numpy()
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(fp)]):
                 if a == b:
