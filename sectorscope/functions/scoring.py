@@ -6,8 +6,8 @@ boundaries). Found keywords are the keywords with at least one occurrence,
 in lexicon order, each once.
 
 Interchangeable scorers produce the same ``scores ARRAY<INT>`` and
-``found ARRAY<ARRAY<STRING>>`` columns (``resolve_scorer`` picks one for
-``"auto"``):
+``found ARRAY<ARRAY<STRING>>`` columns; ``native`` is the default, the others
+are a caller's choice:
 
 * ``native``: the lexicon is one literal ``ARRAY<ARRAY<STRING>>``;
   ``filter(contains)`` runs once per keyword and the occurrence count
@@ -19,8 +19,7 @@ Interchangeable scorers produce the same ``scores ARRAY<INT>`` and
   word) in one Aho-Corasick pass per text, so its cost grows with the text
   length and the hits, not with text length x keywords. Occurrences of a
   keyword that can overlap itself are counted greedily left to right, which
-  is ``str.count``. Needs ``pyahocorasick`` on the executors; the ``auto``
-  default when it is installed.
+  is ``str.count``. Needs ``pyahocorasick`` on the executors.
 
 All are row-local (a projection): no shuffle, partitioned like the input.
 """
@@ -60,8 +59,11 @@ def _lit_array(values) -> Column:
 
 
 def occurrences(t: Column, kw: Column) -> Column:
-    """Non-overlapping occurrences of ``kw`` in ``t`` (``str.count`` semantics)."""
-    return ((F.length(t) - F.length(F.replace(t, kw, F.lit("")))) / F.length(kw)).cast("int")
+    """Non-overlapping occurrences of ``kw`` in ``t`` (``str.count`` semantics).
+
+    In bytes, which a string knows; its length in characters is counted anew each time.
+    """
+    return ((F.octet_length(t) - F.octet_length(F.replace(t, kw, F.lit("")))) / F.octet_length(kw)).cast("int")
 
 
 def native_found(t: Column, lex: Lexicon) -> Column:

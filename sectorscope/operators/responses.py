@@ -140,6 +140,9 @@ def _python_type_name(j: Column) -> Column:
              .otherwise(number))
 
 
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def parse_responses(df: DataFrame, json_col: str = "response_json", error_col: str = "error") -> DataFrame:
     """Add the six result columns and ``error_class`` (null / 'processing' / 'json' / 'api').
 
@@ -151,13 +154,15 @@ def parse_responses(df: DataFrame, json_col: str = "response_json", error_col: s
       a field of the wrong type (e.g. a string where a list is expected) is
       treated as absent and the row is flagged in ``type_mismatch``.
     """
-    # a key that occurs twice keeps its last value, as in Python's parser
-    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     j = F.regexp_replace(F.col(json_col), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     out = df.withColumn("_r", F.from_json(j, RESPONSE_SCHEMA))
     # in brackets, so that anything after the document makes it invalid
     wrapped = F.try_parse_json(F.concat(F.lit("["), j, F.lit("]")))
-    valid = wrapped.isNotNull() & (F.length(j) > 0) & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    alone = wrapped.isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    # a key that occurs twice keeps its last value, as in Python's parser; a variant refuses it, plain JSON does not
+    repeats = (F.size(F.from_json(F.concat(F.lit("["), j, F.lit("]")), "array<string>", _STRICT)) == 1) & F.from_json(
+        F.concat(F.lit('{"a":'), j, F.lit("}")), "map<string,string>", _STRICT).isNotNull()
+    valid = (F.length(j) > 0) & (alone | (wrapped.isNull() & F.coalesce(repeats, F.lit(False))))
     is_obj = F.substring(j, 1, 1) == "{"
     failed = F.col(error_col).isNotNull() if error_col in df.columns else F.lit(False)
     message = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")

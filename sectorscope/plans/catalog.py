@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from sectorscope.functions import text as tx
 from sectorscope.functions.lexicon import Lexicon, default_lexicon, probe_lexicon
-from sectorscope.operators import answer_log, corrections, explore, live_cube, profiles, responses as rs, resume
+from sectorscope.operators import answer_log, corrections, explore, live_cube, profiles, responses as rs, resume, search_index
 from sectorscope.operators.classify import classify_companies, classify_text, score
 from sectorscope.operators.lexicon_join import classify_by_join
 from sectorscope.session import materialize, scratch_path
@@ -304,6 +304,25 @@ def q_explorer_search_docs(spark, sf_dir):
     return explore.search(d, SEARCH_DOCS).select("doc_id", "lang", "source")
 
 
+def _searched(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    path = scratch_path(spark, "postings")
+    search_index.build_index(d, "doc_id", path)
+    return d, *search_index.search_indexed(d, "doc_id", path, SEARCH_DOCS)
+
+
+def q_explorer_search_indexed(spark, sf_dir):
+    """The search of ``explorer_search_docs`` through the posting table."""
+    return _searched(spark, sf_dir)[1].select("doc_id", "lang", "source")
+
+
+def q_search_scanned(spark, sf_dir):
+    """How many rows the indexed search tests, of how many."""
+    d, found, tested = _searched(spark, sf_dir)
+    count = lambda x, name: x.agg(F.count("*").alias(name))
+    return count(tested, "n_tested").withColumns({"n_found": count(found, "n").scalar(), "n_total": count(d, "n").scalar()})
+
+
 def word_lexicon(docs: DataFrame) -> DataFrame:
     """A lexicon table that grows with the texts: every word of eight small letters or more that two of them have."""
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0))).alias("keyword"))
@@ -762,4 +781,6 @@ def queries() -> dict[str, Query]:
         "label_counts_live": q_label_counts_live,
         "incremental_classify_csv": q_incremental_classify_csv,
         "run_ids": q_run_ids,
+        "explorer_search_indexed": q_explorer_search_indexed,
+        "search_scanned": q_search_scanned,
     }

@@ -497,6 +497,14 @@ def oracle_sql() -> dict[str, str]:
     d["label_counts_live"] = d["findings_live"][:d["findings_live"].index(",\nfsc AS (")] + """
         SELECT Predicted_Archetype, CAST(count(*) AS BIGINT) AS n FROM model WHERE Predicted_Archetype IS NOT NULL GROUP BY 1"""
     d["incremental_classify_csv"] = d["incremental_classify"]
+    d["explorer_search_indexed"] = d["explorer_search_docs"]
+    # any match holds lic, ice and cen, or pas, ass and ssw
+    held = lambda *grams: " AND ".join("(" + " OR ".join(
+        f"coalesce(contains(lower(CAST({c} AS VARCHAR)), '{g}'), false)" for c in ("doc_id", "text", "lang", "source", "n_chars"))
+        + ")" for g in grams)
+    d["search_scanned"] = f"""SELECT (SELECT count(*) FROM documents WHERE ({held('lic', 'ice', 'cen')})
+        OR ({held('pas', 'ass', 'ssw')})) AS n_tested, (SELECT count(*) FROM ({d['explorer_search_docs']})) AS n_found,
+        (SELECT count(*) FROM documents) AS n_total"""
     d["run_ids"] = """SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400), '%Y%m%d_%H%M')
         AS run_id FROM orders"""
     d["scan_parquet"] = with_([COMPANIES], """SELECT company_id, Company, Industries, industry_groups, Description, founded

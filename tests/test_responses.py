@@ -146,3 +146,16 @@ def test_each_request_is_sent_once(spark, scratch):
 
 def test_cost_estimate_per_company():
     assert rs.FRAMEWORK_TOKENS + rs.EXTRA_INPUT_TOKENS == 458 and rs.OUTPUT_TOKENS_PER_COMPANY == 250
+
+
+def test_parsing_leaves_the_session_as_it_is(spark):
+    from sectorscope.operators.responses import parse_responses
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name, None)
+    texts = ['{"archetype":"A","archetype":"Enablers"}', '{"archetype":"A"} x', "1],[2", '[1, 2], "b": [3', "{'archetype':'A'}", '{"a":NaN}',
+             '{"archetype":"A","archetype":"B"', '[{"a":1,"a":2}]']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "company_id int, response_json string")
+    got = {r["company_id"]: (r["error_class"], r["Predicted_Archetype"]) for r in parse_responses(df).collect()}
+    assert spark.conf.get(name, None) == before
+    assert got[0] == (None, "Enablers") and got[7][0] == "api"
+    assert all(got[i][0] == "json" for i in (1, 2, 3, 4, 6)), got
