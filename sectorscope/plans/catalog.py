@@ -16,14 +16,14 @@ from pyspark.sql.types import StructType
 
 from sectorscope.functions import text as tx
 from sectorscope.functions.lexicon import Lexicon, default_lexicon, probe_lexicon
-from sectorscope.operators import answer_log, corrections, explore, live_cube, profiles, responses as rs, resume, search_index
+from sectorscope.operators import answer_log, corrections, explore, label_sketches, live_cube, profiles, responses as rs, resume, search_index
 from sectorscope.operators.classify import classify_companies, classify_text, score
 from sectorscope.operators.lexicon_join import classify_by_join
 from sectorscope.session import materialize, scratch_path
 from sectorscope.sources import files, positions
 from sectorscope.sources.tables import (COMPANY_AUX, COMPANY_DESC, companies, read_table,
                                         responses)
-from sectorscope.streaming import incremental
+from sectorscope.streaming import incremental, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -635,6 +635,53 @@ def q_incremental_classify_csv(spark, sf_dir):
     return spark.read.schema(_result_schema()).parquet(sink)
 
 
+def q_stream_keyed(spark, sf_dir):
+    """Companies that come again in later files, with another description: the first and the last version of each."""
+    c = companies(spark, sf_dir)
+    k = F.col("company_id")
+    kept = {}
+    for last in (False, True):
+        src, sink, ckpt = (scratch_path(spark, name) for name in ("incoming", "kept", "stream-ckpt"))
+        for wave in range(3):
+            part = c.where((k + wave) % 2 == 0).select(
+                "company_id", F.lit(wave).alias("version"), F.to_timestamp(F.lit(f"2024-01-0{wave + 1} 00:00:00")).alias("seen"),
+                F.concat_ws(" ", "Description", F.lit(["", "saas platform", "robotic claims"][wave])).alias("Description"))
+            part.write.mode("append").parquet(src)
+            stream = spark.readStream.schema(part.schema).parquet(src)
+            one = keyed.keep_one(stream, "company_id", "version", "seen", "30 days", last)
+            keyed.write_kept(one, sink, ckpt).awaitTermination()
+        rows = keyed.latest(spark, sink, part.schema)
+        kept[last] = classify_text(rows, "Description").select(
+            "company_id", F.col("version").alias("last_version" if last else "first_version"),
+            F.col("Predicted_Archetype").alias("last_label" if last else "first_label"))
+    return kept[False].join(kept[True], "company_id")
+
+
+def _label_batches(spark, sf_dir):
+    """Part numbers as free-text labels, in three batches of a stream; the rows and the summaries' folder."""
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("part "), "l_partkey").alias("label"))
+    src, ckpt, path = (scratch_path(spark, name) for name in ("incoming", "stream-ckpt", "sketches"))
+    for wave in range(3):
+        rows.where(F.col("l_orderkey") % 3 == wave).write.mode("append").parquet(src)
+        (spark.readStream.schema(rows.schema).parquet(src).writeStream
+         .foreachBatch(lambda batch, n: label_sketches.add_batch(batch, "label", path, n))
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination())
+    return rows, path
+
+
+def q_top_labels(spark, sf_dir):
+    rows, path = _label_batches(spark, sf_dir)
+    return label_sketches.top_labels(rows, "label", path, 10).select("label", "n")
+
+
+def q_distinct_labels(spark, sf_dir):
+    """The estimate from the batches' sketches beside the exact number of labels."""
+    rows, path = _label_batches(spark, sf_dir)
+    exact = rows.agg(F.countDistinct("label")).scalar()
+    out = label_sketches.distinct_labels(spark, path).withColumn("n_exact", exact)
+    return out.select("n_rows", "n_exact", (F.abs(F.col("n_distinct") - F.col("n_exact")) <= 0.05 * F.col("n_exact")).alias("within_5_pct"))
+
+
 def q_run_ids(spark, sf_dir):
     """The run id that each order's time would give."""
     o = read_table(spark, sf_dir, "orders")
@@ -781,6 +828,9 @@ def queries() -> dict[str, Query]:
         "label_counts_live": q_label_counts_live,
         "incremental_classify_csv": q_incremental_classify_csv,
         "run_ids": q_run_ids,
+        "stream_keyed": q_stream_keyed,
+        "top_labels": q_top_labels,
+        "distinct_labels": q_distinct_labels,
         "explorer_search_indexed": q_explorer_search_indexed,
         "search_scanned": q_search_scanned,
     }

@@ -505,6 +505,18 @@ def oracle_sql() -> dict[str, str]:
     d["search_scanned"] = f"""SELECT (SELECT count(*) FROM documents WHERE ({held('lic', 'ice', 'cen')})
         OR ({held('pas', 'ass', 'ssw')})) AS n_tested, (SELECT count(*) FROM ({d['explorer_search_docs']})) AS n_found,
         (SELECT count(*) FROM documents) AS n_total"""
+    versions = "['', 'saas platform', 'robotic claims']"
+    waves = lambda even, odd: (f"SELECT company_id AS id, concat_ws(' ', Description, {versions}[v + 1]) AS txt FROM "
+                               f"(SELECT *, CASE WHEN company_id % 2 = 0 THEN {even} ELSE {odd} END AS v FROM companies)")
+    d["stream_keyed"] = with_([COMPANIES] + classify_ctes(waves(0, 1), default_lexicon(), "a_")
+                              + classify_ctes(waves(2, 1), default_lexicon(), "b_"),
+        """SELECT a.id AS company_id, CASE WHEN a.id % 2 = 0 THEN 0 ELSE 1 END AS first_version,
+            CASE WHEN a.id % 2 = 0 THEN 2 ELSE 1 END AS last_version, a.Predicted_Archetype AS first_label,
+            b.Predicted_Archetype AS last_label FROM a_cls a JOIN b_cls b ON a.id = b.id""")
+    d["top_labels"] = """SELECT 'part ' || CAST(l_partkey AS VARCHAR) AS label, count(*) AS n FROM lineitem GROUP BY 1
+        ORDER BY n DESC, label LIMIT 10"""
+    d["distinct_labels"] = """SELECT CAST(count(*) AS BIGINT) AS n_rows, count(DISTINCT l_partkey) AS n_exact, true AS within_5_pct
+        FROM lineitem"""
     d["run_ids"] = """SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400), '%Y%m%d_%H%M')
         AS run_id FROM orders"""
     d["scan_parquet"] = with_([COMPANIES], """SELECT company_id, Company, Industries, industry_groups, Description, founded
