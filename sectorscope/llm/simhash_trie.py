@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import as_bytes, map_batches, row_struct, with_fields
+from sectorscope.llm.common import as_bytes, delete_table, map_batches, row_struct, stored, with_fields
 from sectorscope.llm.components import components
 from sectorscope.session import materialize
 
@@ -201,8 +201,8 @@ def _cut(parts: DataFrame, level: int, radius: int) -> DataFrame:
                        F.when(swap, F.col("own")).otherwise(F.col("there")).alias("hi"), "rest", "fp")
 
 
-def node_pairs(fps: DataFrame, radius: int, trie_size: int) -> DataFrame:
-    """``_KEY`` and ``fp``: for each bit block and value the members of its trie; tries of over ``trie_size`` members are
+def node_pairs(fps: DataFrame, radius: int, trie_size: int, tables: list[str]) -> DataFrame:
+    """``_KEY`` and ``fp`` (the paths of tables it reads are added to ``tables``): for each bit block and value the members of its trie; tries of over ``trie_size`` members are
     cut into pairs of nodes, and those again, until all are small or no bit is left (then a pair has two members)."""
     tries = F.array(*[F.struct(F.lit(k).alias("block"), F.lit(width).alias("width"),
                                F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("value"),
@@ -216,19 +216,21 @@ def node_pairs(fps: DataFrame, radius: int, trie_size: int) -> DataFrame:
         sizes = parts.groupBy(*_KEY).agg(F.count("*").alias("n"), F.count_if(own == F.col("lo")).alias("n_lo"),
                                          F.count_if(own == F.col("hi")).alias("n_hi"))
         # a table, so that AQE can split a join on a very common key; pairs with one side only have no links
-        pairs = materialize(sizes.where((F.col("n") > 1) & (F.col("n_lo") > 0) & (F.col("n_hi") > 0))
-                            .select(*_KEY, (F.col("n") > trie_size).alias("large")), "simhash-pairs")
+        pairs, path = stored(sizes.where((F.col("n") > 1) & (F.col("n_lo") > 0) & (F.col("n_hi") > 0))
+                             .select(*_KEY, (F.col("n") > trie_size).alias("large")), "simhash-pairs")
+        tables.append(path)
         large = pairs.where("large").select(*_KEY)
         if not large.take(1):
             break
         done.append(parts.join(pairs.where("NOT large").select(*_KEY), _KEY, "left_semi").select(*_KEY, "fp"))
-        parts = materialize(_cut(parts.join(large, _KEY), level, radius), "simhash-nodes")
+        parts, path = stored(_cut(parts.join(large, _KEY), level, radius), "simhash-nodes")
+        tables.append(path)
     return reduce(DataFrame.unionByName, [*done, parts.select(*_KEY, "fp")])
 
 
-def trie_links(fps: DataFrame, radius: int = RADIUS, trie_size: int = TRIE_SIZE) -> DataFrame:
+def trie_links(fps: DataFrame, radius: int = RADIUS, trie_size: int = TRIE_SIZE, tables: list[str] | None = None) -> DataFrame:
     """Links ``u, v`` between the distinct fingerprints of ``fps`` (column ``fp``): each to a root in its trie."""
-    cut = node_pairs(fps, radius, trie_size)
+    cut = node_pairs(fps, radius, trie_size, [] if tables is None else tables)
     key = _KEY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +280,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         as_bytes(text_col).alias("raw")), shingle)
     printed = materialize(printed.select("row.row", "row.id", "row.tie", "fp"), "simhash")
     firsts = materialize(printed.groupBy("fp").agg(F.min("id").alias("first")), "simhash-first")
-    roots = components(trie_links(firsts, radius, trie_size), "simhash-links")
+    tables: list[str] = []
+    roots = components(trie_links(firsts, radius, trie_size, tables), "simhash-links")
+    for path in tables:
+        delete_table(docs.sparkSession, path)
     placed = (firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
               .withColumn("root", F.coalesce("root", "fp")))
     smallest = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
