@@ -394,7 +394,7 @@ def q_capability_ranking(spark, sf_dir):
 
 def q_empty_table_rates(spark, sf_dir):
     """Both success rates and the hybrid share of a table without rows."""
-    none = _classified(spark, sf_dir).where(F.col("company_id") < 0)
+    none = materialize(_classified(spark, sf_dir).where(F.col("company_id") < 0), "no-rows")  # read by three profiles
     exact = profiles.success_rate_exact(none).select(F.col("n_total").alias("n_exact"), F.col("success_rate").alias("exact_rate"))
     return (exact.join(profiles.success_rate(none), exact["n_exact"] == F.col("n_total"))
             .join(profiles.hybrid_share(none).select("n_hybrid", F.col("n_total").alias("n_rows"), "hybrid_pct"),
