@@ -159,10 +159,11 @@ def parse_responses(df: DataFrame, json_col: str = "response_json", error_col: s
     # in brackets, so that anything after the document makes it invalid
     wrapped = F.try_parse_json(F.concat(F.lit("["), j, F.lit("]")))
     alone = wrapped.isNotNull() & F.try_variant_get(wrapped, "$[1]", "variant").isNull()
+    # ... and in braces, since the parser stops after the first document: "1],[2" is none in braces
+    braced = F.from_json(F.concat(F.lit('{"a":'), j, F.lit("}")), "map<string,string>").isNotNull()
     # a key that occurs twice keeps its last value, as in Python's parser; a variant refuses it, plain JSON does not
-    repeats = (F.size(F.from_json(F.concat(F.lit("["), j, F.lit("]")), "array<string>", _STRICT)) == 1) & F.from_json(
-        F.concat(F.lit('{"a":'), j, F.lit("}")), "map<string,string>", _STRICT).isNotNull()
-    valid = (F.length(j) > 0) & (alone | (wrapped.isNull() & F.coalesce(repeats, F.lit(False))))
+    repeats = F.size(F.from_json(F.concat(F.lit("["), j, F.lit("]")), "array<string>", _STRICT)) == 1
+    valid = (F.length(j) > 0) & braced & (alone | (wrapped.isNull() & F.coalesce(repeats, F.lit(False))))
     is_obj = F.substring(j, 1, 1) == "{"
     failed = F.col(error_col).isNotNull() if error_col in df.columns else F.lit(False)
     message = F.col(error_col) if error_col in df.columns else F.lit(None).cast("string")

@@ -651,9 +651,9 @@ def q_stream_keyed(spark, sf_dir):
             one = keyed.keep_one(stream, "company_id", "version", "seen", "30 days", last)
             keyed.write_kept(one, sink, ckpt).awaitTermination()
         rows = keyed.latest(spark, sink, part.schema)
-        kept[last] = classify_text(rows, "Description").select(
+        kept[last] = materialize(classify_text(rows, "Description").select(
             "company_id", F.col("version").alias("last_version" if last else "first_version"),
-            F.col("Predicted_Archetype").alias("last_label" if last else "first_label"))
+            F.col("Predicted_Archetype").alias("last_label" if last else "first_label")), "kept-labels")
     return kept[False].join(kept[True], "company_id")
 
 
