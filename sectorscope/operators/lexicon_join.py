@@ -84,6 +84,11 @@ def _keywords(lex_df: DataFrame, lex: Lexicon) -> DataFrame:
 
 # ---- bit sets and positions -------------------------------------------------------
 
+def _counted() -> tuple[Column, Column]:
+    """How many grams a table has, and their lengths."""
+    return F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("gram"))).alias("lengths")
+
+
 @dataclass(frozen=True)
 class GramSet:
     """The bit set of some grams (a literal of the plan) and the lengths they have."""
@@ -93,11 +98,10 @@ class GramSet:
     lengths: tuple[int, ...]
 
     @staticmethod
-    def of(grams: DataFrame) -> "GramSet":
-        """Of the column ``gram``; what reaches the driver is bounded by ``MOST_BITS``."""
-        found = grams.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("gram"))).alias("lengths")).first()
+    def of(grams: DataFrame, count: int, lengths: list[int]) -> "GramSet":
+        """Of the column ``gram``, about ``count`` values; what reaches the driver is bounded by ``MOST_BITS``."""
         size = LEAST_BITS
-        while size < min(MOST_BITS, BITS_PER_ANCHOR * found["n"]):
+        while size < min(MOST_BITS, BITS_PER_ANCHOR * count):
             size *= 2
         at = F.xxhash64("gram").bitwiseAND(F.lit(size - 1))
         words = [0] * (size >> 6)
@@ -106,7 +110,7 @@ class GramSet:
                   .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()):
             words[r["word"]] = r["bits"]
         # folded into one array literal when the plan is made
-        return GramSet(F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), size, tuple(found["lengths"]))
+        return GramSet(F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), size, tuple(lengths))
 
     def may_hold(self, gram: Column) -> Column:
         at = F.xxhash64(gram).bitwiseAND(F.lit(self.size - 1))
@@ -139,8 +143,8 @@ def _grams(keywords: DataFrame) -> DataFrame:
 def _anchors(texts: DataFrame, keywords: DataFrame) -> DataFrame:
     """The keywords that can occur, with ``gram`` and ``off`` of their anchors; a small table, written and read back."""
     grams = materialize(_grams(keywords), "lexicon-grams")
-    distinct = grams.select("gram").distinct()
-    known = GramSet.of(distinct)
+    found = grams.agg(*_counted()).first()
+    known = GramSet.of(grams, found["n"], found["lengths"])
     if not known.lengths:
         return materialize(keywords.withColumns({"gram": F.lit(""), "off": F.lit(0)}).where(F.lit(False)), "lexicon-anchors")
     blocks = _blocks(texts.select("_tl"), 0, max(known.lengths))
@@ -159,8 +163,8 @@ def _anchors(texts: DataFrame, keywords: DataFrame) -> DataFrame:
 def candidates(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """Rows ``_id``, ``pos``, ``gram``, ``win``, ``_empty`` and ``before``: one per position of a text that may hold an
     anchor (``win`` has ``before`` characters in front of it), and a base row per text, of position -1 and a gram of its own."""
-    known = GramSet.of(anchors.select("gram").distinct())
-    reach = anchors.agg(F.max("off").alias("before"), F.max(F.col("klen") - F.col("off")).alias("after")).first()
+    reach = anchors.agg(F.max("off").alias("before"), F.max(F.col("klen") - F.col("off")).alias("after"), *_counted()).first()
+    known = GramSet.of(anchors, reach["n"], reach["lengths"])
     before, after = reach["before"] or 0, reach["after"] or 1
     empty = F.col("_tl").isNull() | ~has_word(F.col("_tl"))
     blocks = _blocks(texts.select("_id", "_tl", empty.alias("_empty")), before, before + after)
