@@ -24,10 +24,20 @@ from sectorscope.session import scratch_path
 WS_CHARS = " \t\n\x0b\x0c\r"
 
 
-def letters_pattern(times: str = "+") -> re.Pattern[str]:
-    """Runs of letters: ``\\w`` without digits, underscores and the other numerals (fractions, superscripts, Roman numerals)."""
-    numerals = (chr(i) for i in range(sys.maxunicode + 1))
-    return re.compile(r"[^\W\d_" + "".join(c for c in numerals if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]" + times)
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are no letters, digits or underscores: fractions, superscripts, Roman numerals and the like.
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1))
+                                    if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+
+
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    return _LETTERS.findall(_NUMERALS.sub(" ", text) if not text.isascii() and _NUMERALS.search(text) else text)
+
+
+def has_letter(text: str) -> bool:
+    found = _LETTERS.search(text)
+    return found is not None and (text.isascii() or any(map(str.isalpha, text)))
 
 
 def as_bytes(col: str) -> Column:

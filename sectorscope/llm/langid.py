@@ -26,10 +26,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import letters_pattern, map_batches, row_struct, with_fields
+from sectorscope.llm.common import letter_runs, map_batches, row_struct, with_fields
 
 UNDEFINED = "und"
-_LETTERS = letters_pattern()
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _GROUP = 1 << 20
 
@@ -74,7 +73,7 @@ def subwords(words: list[str], cfg: LangIdConfig) -> tuple[np.ndarray, np.ndarra
 def bag(text: str | None, cfg: LangIdConfig) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a whole text and their shares."""
     words: dict[str, int] = {}
-    for w in _LETTERS.findall((text or "").lower()):
+    for w in letter_runs((text or "").lower()):
         words[w] = words.get(w, 0) + 1
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
@@ -229,7 +228,7 @@ def _groups(texts: list[str | None]) -> Iterator[list[list[str]]]:
         if group and size + len(text or "") > _GROUP:
             yield group
             group, size = [], 0
-        group.append(_LETTERS.findall(text.lower()) if text else [])
+        group.append(letter_runs(text.lower()) if text else [])
         size += len(text or "")
     yield group
 

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import WS_CHARS, as_bytes, letters_pattern, map_batches, row_struct, with_fields
+from sectorscope.llm.common import WS_CHARS, as_bytes, has_letter, map_batches, row_struct, with_fields
 
 SYMBOLS = "#*$%&|<>"
 BOILERPLATE = (
@@ -51,7 +51,6 @@ class LineRules:
 
 _SEPARATOR = re.compile(r"\s*[|»›•·]\s*")
 _SHOUT = re.compile(r"[!?]{2}(?:\s|$)")
-_LETTER = letters_pattern("")
 
 
 def line_fails(line: str, rules: LineRules = LineRules()) -> str | None:
@@ -60,7 +59,7 @@ def line_fails(line: str, rules: LineRules = LineRules()) -> str | None:
     n = len(words)
     if not n:
         return None
-    if not _LETTER.search(line):
+    if not has_letter(line):
         return "punctuation"
     if n >= rules.rule_min_words:
         symbols = sum(map(line.count, SYMBOLS))
