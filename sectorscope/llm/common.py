@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import gc
 import re
-import sys
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,14 +24,25 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Word characters that are no letters, digits or underscores: fractions, superscripts, Roman numerals and the like.
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1))
-                                    if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _is_numeral(c: str) -> bool:
+    """Word characters that are no letters, digits or underscores: fractions, superscripts, Roman numerals and the like."""
+    return c.isalnum() and not c.isalpha() and not c.isdecimal()
+
+
+#: Those of the basic plane; a set with others is matched one by one, which takes microseconds a character.
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(1 << 16)) if _is_numeral(c)) + "]")
 
 
 def letter_runs(text: str) -> list[str]:
     """The runs of letters of a text."""
-    return _LETTERS.findall(_NUMERALS.sub(" ", text) if not text.isascii() and _NUMERALS.search(text) else text)
+    if not text.isascii():
+        text = _NUMERALS.sub(" ", text)
+        if _ASTRAL.search(text):
+            text = _ASTRAL.sub(lambda m: " " if _is_numeral(m[0]) else m[0], text)
+    return _LETTERS.findall(text)
 
 
 def has_letter(text: str) -> bool:
