@@ -12,12 +12,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sectorscope.session import scratch_path
 
+#: Bytes of prompts that one task of the dealing holds, about.
+TASK_BYTES = 128 << 20
+
 #: A request's hash, its answer, the message of a call that failed, and the run that asked.
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("request", "response_json", "error", "run")])
 
@@ -58,12 +61,21 @@ def ask(requests: DataFrame, fn: Callable, log: str, run: str, parts: int = 16,
     """
     spark = requests.sparkSession
     log = log.rstrip("/")
-    wanted = requests.where("prompt is not null").select(request_key(F.col("prompt")).alias("request"), "prompt").dropDuplicates(["request"])
-    pending = wanted.join(read_log(spark, log).select("request"), "request", "left_anti")
-    # written once: every part reads its own rows only
+    # the prompts are written with a number a row, as they come; what is asked is then settled on hashes and numbers alone
+    stored, seen = scratch_path(spark, "requests"), Observation()
+    (requests.where("prompt is not null")
+     .select(request_key(F.col("prompt")).alias("request"), "prompt", F.monotonically_increasing_id().alias("row"))
+     .observe(seen, F.coalesce(F.sum(F.octet_length("prompt")), F.lit(0)).alias("bytes")).write.parquet(stored))
+    wanted = spark.read.schema("request string, prompt string, row bigint").parquet(stored)
+    pending = (wanted.groupBy("request").agg(F.min("row").alias("row"))
+               .join(read_log(spark, log).select("request"), "request", "left_anti").select("row"))
+    # written once: every part reads its own rows only. Prompts are alike and shrink many times when compressed, so the
+    # number of tasks comes from their true size and not from that of the shuffled files
     path = scratch_path(spark, "pending-requests")
-    pending.withColumn("part", part_of(F.col("request"), parts)).repartition("part", F.xxhash64("request") % 64) \
-        .write.partitionBy("part").parquet(path)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-seen.get["bytes"] // TASK_BYTES))
+    (wanted.repartition(tasks, "row").join(pending.repartition(tasks, "row"), "row", "left_semi")
+     .select("request", "prompt", part_of(F.col("request"), parts).alias("part"))
+     .write.partitionBy("part").parquet(path))
     left = spark.read.schema("request string, prompt string, part int").parquet(path)
 
     def answers(batches):
