@@ -70,7 +70,8 @@ def _advance(batch: DataFrame, batch_id: int, kept: Kept, states: str) -> DataFr
     seen = Observation()
     # a key's time counts from its latest batch, as far as the watermark is not beyond it
     (held.join(new, "key", "full")
-     .select("key", best.alias("held"), F.coalesce(F.greatest("at", F.lit(mark + 1)), "expires").alias("expires"),
+     .select("key", best.alias("held"),
+             F.when(F.col("at").isNull(), F.col("expires")).otherwise(F.greatest("at", F.lit(mark + 1))).alias("expires"),
              (F.col("held").isNull() | (F.col("held") != best)).alias("changed"), "at")
      .observe(seen, F.max("at").alias("at")).drop("at")
      .write.mode("overwrite").parquet(f"{states}/{batch_id}"))

@@ -28,3 +28,14 @@ def test_late_rows_do_not_count(spark, scratch):
     kept = keyed.keep_one(df, "k", "v", "at", "2 days")
     assert keyed._advance(kept.rows.where("order > 3"), 0, kept, states).count() == 2
     assert [(r["key"], r["order"]) for r in keyed._advance(kept.rows.where("order < 3"), 1, kept, states).collect()] == [(3, 1)]
+
+
+def test_a_key_that_a_batch_has_not_stays(spark, scratch):
+    states = scratch("states")
+    df = spark.createDataFrame([(1, 0, "2024-01-01"), (2, 1, "2024-01-02"), (1, 2, "2024-01-03")], "k int, v long, at string") \
+        .withColumn("at", F.to_timestamp("at"))
+    kept = keyed.keep_one(df, "k", "v", "at", "30 days")
+    for batch in range(3):
+        changed = keyed._advance(kept.rows.where(F.col("order") == batch), batch, kept, states)
+        assert [r["order"] for r in changed.collect()] == ([batch] if batch < 2 else [])
+    assert {r["key"]: r["held"]["order"] for r in spark.read.parquet(f"{states}/2").collect()} == {1: 0, 2: 1}
